@@ -13,10 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.session import spread
+
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+# Tables whose rows are costly to work on.
+TEXT = ("documents", "conversations", "pages", "embeddings")
 S = "CAST({} AS STRING)".format
 
 _HEAD = "substring(replace(text, chr(10), ' '), 1, 40)"
@@ -180,7 +184,8 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df) if name in TEXT else df
         view = VIEWS[name]
         return self.spark.sql(self._register(view if isinstance(view, str) else view[0]))
 
@@ -223,6 +228,8 @@ def oracle(text: str) -> str:
     if not ctes:
         return body
     head = "WITH " + ", ".join(f"{n} AS ({b.strip()})" for n, b in ctes.items())
+    if re.match(r"WITH RECURSIVE\s", body):
+        return f"WITH RECURSIVE {head[5:]}, {body[15:]}"
     if re.match(r"WITH\s", body):
         return f"{head}, {body[5:]}"
     return f"{head} {body}"

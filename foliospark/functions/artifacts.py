@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from foliospark.functions.latex import sanitize_latex
 from foliospark.functions.text import strip
@@ -119,7 +120,7 @@ def _first_object(text: str | None) -> str | None:
     return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(_first_object)
@@ -144,8 +145,10 @@ def number_of(v: Column, path: str = "$") -> Column:
     kind = _kind(v, path)
     text = F.trim(F.try_variant_get(v, path, "string"))
     numeric = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    value = F.when(numeric & ~kind.isin("BOOLEAN", "VOID"), text.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    value = F.when(kind == "STRING", F.when(numeric, text.try_cast("double"))).when(
+        kind != "BOOLEAN", F.try_variant_get(v, path, "double")
+    )
+    return _let(value, lambda x: F.when(F.abs(x) < float("inf"), x))
 
 
 def _label(v: Column, path: str) -> Column:
@@ -175,57 +178,63 @@ def _let(value: Column, use) -> Column:
 
 def valid_number_line(payload: Column) -> Column:
     """Normalised JSON of a graduated line, null when it breaks a rule."""
+    read_point = lambda p: F.struct(_label(p, "$.label").alias("label"), number_of(p, "$.value").alias("value"))
 
-    def build(o: Column) -> Column:
-        lo, hi, step = number_of(o, "$.min"), number_of(o, "$.max"), number_of(o, "$.step")
-        points = F.filter(
-            F.transform(
-                F.filter(F.slice(_items(o, "$.points"), 1, MAX_POINTS), _is_object),
-                lambda p: F.struct(_label(p, "$.label").alias("label"), number_of(p, "$.value").alias("value")),
-            ),
-            lambda p: p["label"].isNotNull() & p["value"].between(lo, hi),
+    def read(o: Column) -> Column:
+        points = F.filter(F.slice(_items(o, "$.points"), 1, MAX_POINTS), _is_object)
+        pairs = F.filter(
+            F.slice(_items(o, "$.highlight_segments"), 1, MAX_SEGMENTS),
+            lambda s: F.size(_items(s, "$")) == 2,
         )
-        segments = F.filter(
-            F.transform(
-                F.filter(
-                    F.slice(_items(o, "$.highlight_segments"), 1, MAX_SEGMENTS),
-                    lambda s: F.size(F.try_variant_get(s, "$", "array<variant>")) == 2,
-                ),
-                lambda s: F.array(number_of(s, "$[0]"), number_of(s, "$[1]")),
-            ),
-            lambda s: (s[0] >= lo) & (s[0] <= s[1]) & (s[1] <= hi),
+        return F.struct(
+            number_of(o, "$.min").alias("lo"), number_of(o, "$.max").alias("hi"), number_of(o, "$.step").alias("step"),
+            F.transform(points, read_point).alias("points"),
+            F.transform(pairs, lambda s: F.array(number_of(s, "$[0]"), number_of(s, "$[1]"))).alias("pairs"),
         )
-        shown = F.struct(
-            lo.alias("min"), hi.alias("max"), step.alias("step"), points.alias("points"),
-            F.when(F.size(segments) > 0, segments).alias("highlight_segments"),
+
+    def check(r: Column) -> Column:
+        lo, hi = r["lo"], r["hi"]
+        points = F.filter(r["points"], lambda p: p["label"].isNotNull() & p["value"].between(lo, hi))
+        pairs = F.filter(r["pairs"], lambda s: (s[0] >= lo) & (s[0] <= s[1]) & (s[1] <= hi))
+        return F.struct(
+            lo.alias("min"), hi.alias("max"), r["step"].alias("step"), points.alias("points"),
+            F.when(F.size(pairs) > 0, pairs).alias("highlight_segments"),
         )
-        return F.when((lo < hi) & (step > 0) & (F.size(points) > 0), F.to_json(shown))
 
-    return _let(_object(payload), build)
+    def build(n: Column) -> Column:
+        return F.when((n["min"] < n["max"]) & (n["step"] > 0) & (F.size(n["points"]) > 0), F.to_json(n))
+
+    return _let(_let(_let(_object(payload), read), check), build)
 
 
 def valid_decimal_grid(payload: Column) -> Column:
     """Normalised JSON of a coloured grid, null when it breaks a rule."""
-    whole = lambda c: F.when(c == F.floor(c), c.cast("int"))
+    whole = lambda c: _let(c, lambda x: F.when(x == F.floor(x), x.cast("int")))
+    read_cell = lambda c: F.struct(
+        whole(number_of(c, "$.count")).alias("count"),
+        F.lower(strip(_string(c, "$.color"))).alias("color"),
+        _label(c, "$.label").alias("label"),
+    )
 
-    def build(o: Column) -> Column:
-        rows, cols = whole(number_of(o, "$.rows")), whole(number_of(o, "$.cols"))
+    def read(o: Column) -> Column:
+        cells = F.filter(F.slice(_items(o, "$.cells"), 1, MAX_CELLS), _is_object)
+        return F.struct(
+            whole(number_of(o, "$.rows")).alias("rows"), whole(number_of(o, "$.cols")).alias("cols"),
+            F.transform(cells, read_cell).alias("cells"),
+        )
+
+    def check(g: Column) -> Column:
         cells = F.filter(
-            F.transform(
-                F.filter(F.slice(_items(o, "$.cells"), 1, MAX_CELLS), _is_object),
-                lambda c: F.struct(
-                    whole(number_of(c, "$.count")).alias("count"),
-                    F.lower(strip(_string(c, "$.color"))).alias("color"),
-                    _label(c, "$.label").alias("label"),
-                ),
-            ),
-            lambda c: c["count"].between(F.lit(0), rows * cols) & c["color"].isin(*GRID_COLORS),
+            g["cells"],
+            lambda c: c["count"].between(F.lit(0), g["rows"] * g["cols"]) & c["color"].isin(*GRID_COLORS),
         )
-        shown = F.struct(rows.alias("rows"), cols.alias("cols"), cells.alias("cells"))
-        fits = rows.between(1, MAX_GRID) & cols.between(1, MAX_GRID) & (F.size(cells) > 0)
-        return F.when(fits, F.to_json(shown))
+        return F.struct(g["rows"].alias("rows"), g["cols"].alias("cols"), cells.alias("cells"))
+
+    def build(g: Column) -> Column:
+        fits = g["rows"].between(1, MAX_GRID) & g["cols"].between(1, MAX_GRID) & (F.size(g["cells"]) > 0)
+        return F.when(fits, F.to_json(g))
 
-    return _let(_object(payload), build)
+    return _let(_let(_let(_object(payload), read), check), build)
 
 
 def valid_plotly(payload: Column) -> Column:

@@ -99,11 +99,15 @@ def _greedy(unit: Column, separator: str, max_tokens: int) -> Column:
 def enforce_max(units: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """Re-split oversized units at blank lines, then lines, then spaces."""
     for separator in ("\n\n", "\n", " "):
-        units = F.flatten(F.transform(units, lambda u, sep=separator: _resplit(u, sep, max_tokens)))
+        units = F.flatten(F.transform(units, _resplit(separator, max_tokens)))
     return units
 
 
-def _resplit(unit: Column, separator: str, max_tokens: int) -> Column:
+def _resplit(separator: str, max_tokens: int):
+    return lambda unit: _resplit_unit(unit, separator, max_tokens)
+
+
+def _resplit_unit(unit: Column, separator: str, max_tokens: int) -> Column:
     whole = F.array(unit)
     pieces = F.array(_greedy(unit, separator, max_tokens))
     chosen = F.get(F.transform(pieces, lambda p: F.when(F.size(p) > 1, p).otherwise(whole)), F.lit(0))

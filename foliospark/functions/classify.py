@@ -87,19 +87,18 @@ def strict_patterns() -> list[tuple[str, str]]:
     return out
 
 
-def effective_type(declared: Column, text: Column) -> Column:
+def effective_type(
+    declared: Column, text: Column,
+    markers: tuple[list[str], list[str], list[str]] = (EXAM_MARKERS, SOLUTION_MARKERS, EXERCISE_MARKERS),
+) -> Column:
     """``struct<type,inferred>``: the declared type, else a marker among the
     first 40 characters once images and leading markup are blanked."""
     cleaned = F.regexp_replace(F.coalesce(text, F.lit("")), r"!\[[^\]]*\]\([^)]*\)", " ")
     head = F.substring(strip(F.regexp_replace(cleaned, r"[#>*_`~-]+", " ")), 1, 40)
 
-    def has(markers: list[str]) -> Column:
-        return head.rlike("|".join(markers))
-
+    exam, solution, exercise = (head.rlike("|".join(words)) for words in markers)
     guess = (
-        F.when(has(EXAM_MARKERS), "evaluation_exam")
-        .when(has(SOLUTION_MARKERS), "solution_only")
-        .when(has(EXERCISE_MARKERS), "exercise_unsolved")
+        F.when(exam, "evaluation_exam").when(solution, "solution_only").when(exercise, "exercise_unsolved")
     )
     given = declared.isNotNull() & (declared != "")
     return F.struct(

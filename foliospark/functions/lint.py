@@ -7,6 +7,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from foliospark.functions.text import occurrences, strip
 
@@ -79,7 +80,7 @@ def lint_unicode(c: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def svg_error(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Parser message of a malformed XML text, null for a well-formed one."""
 

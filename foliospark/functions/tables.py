@@ -23,12 +23,8 @@ def md_table(c: Column) -> Column:
         headers = split_row(F.get(ls, F.lit(0)))
         rule = F.forall(split_row(F.get(ls, F.lit(1))), lambda x: x.rlike(r"^:?-+:?$"))
         body = F.filter(F.slice(ls, 3, F.greatest(F.size(ls), F.lit(1))), lambda line: line.contains("|"))
-        rows = F.transform(
-            body,
-            lambda line: F.transform(
-                headers, lambda _, i: F.coalesce(F.get(split_row(line), i), F.lit(""))
-            ),
-        )
+        fit = lambda cells: F.transform(headers, lambda _, i: F.coalesce(F.get(cells, i), F.lit("")))
+        rows = F.transform(F.transform(body, split_row), fit)
         ok = (F.size(ls) >= 2) & F.get(ls, F.lit(0)).contains("|") & rule & (F.size(body) > 0)
         return F.when(ok, F.struct(headers.alias("headers"), rows.alias("rows")))
 

@@ -62,14 +62,15 @@ def tokens(c: Column, arabic_fold: bool = True) -> Column:
 
 def token_line(c: Column, arabic_fold: bool = True) -> Column:
     """Tokens written as ``' a  b  c '``: each keeps a space of its own on both
-    sides, so a literal count of ``' a '`` is the exact term frequency."""
-    gapped = F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit("")), arabic_fold), TOKEN_GAP, "  "))
-    return F.when(gapped == "", F.lit("")).otherwise(F.concat(F.lit(" "), gapped, F.lit(" ")))
+    sides, so a literal count of ``' a '`` is the exact term frequency.  A text
+    without tokens gives blanks only."""
+    folded = fold(F.coalesce(c, F.lit("")), arabic_fold)
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(folded, TOKEN_GAP, "  ")), F.lit(" "))
 
 
 def line_length(line: Column) -> Column:
     """Number of tokens of a token line."""
-    return F.when(line == "", 0).otherwise(occurrences(line, "  ") + 1)
+    return F.when(F.length(line) == 2, 0).otherwise(occurrences(line, "  ") + 1)
 
 
 def phrase_count(line: Column, phrase: list[str]) -> Column:

@@ -20,6 +20,10 @@ def _sequence(lo: Column, hi: Column) -> Column:
     return F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _at_level(level: int):
+    return lambda n: F.struct(F.lit(level).alias("lv"), n.alias("node"))
+
+
 def _nodes(ranges: DataFrame, start: str, end: str) -> DataFrame:
     """Cover each [start, end] by tree nodes, one row per (range, node)."""
     df = ranges.withColumn("_lo", F.col(start).cast("long")).withColumn("_hi", F.col(end).cast("long") + 1)
@@ -34,9 +38,7 @@ def _nodes(ranges: DataFrame, start: str, end: str) -> DataFrame:
                 up <= down, F.concat(_sequence(lo, up * FAN), _sequence(down * FAN, hi))
             ).otherwise(_sequence(lo, hi))
         df = df.withColumn(f"_n{level}", cover)
-        parts.append(
-            F.transform(F.col(f"_n{level}"), lambda n, lv=level: F.struct(F.lit(lv).alias("lv"), n.alias("node")))
-        )
+        parts.append(F.transform(F.col(f"_n{level}"), _at_level(level)))
         if level < LEVELS - 1:
             df = df.withColumn("_u", F.when(up <= down, up).otherwise(0)).withColumn(
                 "_d", F.when(up <= down, down).otherwise(0)

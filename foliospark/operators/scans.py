@@ -38,29 +38,35 @@ def row_number_by(df: DataFrame, keys: list[str], order: list[Column], block: Co
 
 
 def running_last(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str,
+    df: DataFrame, keys: list[str], order: list[str], block: Column, values: dict[str, Column],
     inclusive: bool = True, descending: bool = False,
 ) -> DataFrame:
-    """Last non-null ``value`` up to each row (or strictly before it)."""
-    cut = df.withColumn(BLOCK, block).withColumn("_v", value)
-    edge = F.min_by if descending else F.max_by
-    ends = (
-        cut.where(F.col("_v").isNotNull())
-        .groupBy(*keys, BLOCK)
-        .agg(edge("_v", F.struct(*order)).alias("_end"))
+    """For each named value, its last non-null one up to each row (or strictly
+    before it).  ``block`` never decreases along the scan."""
+    cut = df.withColumn(BLOCK, block)
+    held = {name: f"_v{i}" for i, name in enumerate(values)}
+    for name, value in values.items():
+        cut = cut.withColumn(held[name], value)
+    edge = F.min if descending else F.max
+    ends = cut.groupBy(*keys, BLOCK).agg(
+        *[
+            edge(F.when(F.col(v).isNotNull(), F.struct(*order, F.col(v).alias("_v")))).alias(v)
+            for v in held.values()
+        ]
     )
-    every = cut.select(*keys, BLOCK).distinct()
-    carried = _null_safe(every, ends, [*keys, BLOCK], "left").select(
+    before = _blocks(keys).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(
         *keys, BLOCK,
-        F.last("_end", ignorenulls=True).over(_blocks(keys).rowsBetween(W.unboundedPreceding, -1)).alias("_carry"),
+        *[F.last(F.col(f"{v}._v"), ignorenulls=True).over(before).alias(f"_carry{v}") for v in held.values()],
     )
     sort = [F.desc(c) if descending else F.asc(c) for c in order]
     frame = W.partitionBy(*keys, BLOCK).orderBy(*sort).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    local = cut.withColumn("_local", F.last("_v", ignorenulls=True).over(frame))
-    return (
-        _null_safe(local, carried, [*keys, BLOCK])
-        .withColumn(name, F.coalesce("_local", "_carry"))
-        .drop(BLOCK, "_v", "_local", "_carry")
+    local = cut.select(
+        *df.columns, BLOCK,
+        *[F.last(v, ignorenulls=True).over(frame).alias(f"_local{v}") for v in held.values()],
+    )
+    return _null_safe(local, carried, [*keys, BLOCK]).select(
+        *df.columns, *[F.coalesce(f"_local{v}", f"_carry{v}").alias(name) for name, v in held.items()]
     )
 
 

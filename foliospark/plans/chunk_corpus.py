@@ -129,16 +129,19 @@ def repair(artifacts: DataFrame, fn: Callable[[str], str | None]) -> DataFrame:
         lint_artifact(F.col("artifact_type"), F.col("raw_data"), F.col("needs_vlm"), F.col("_svg")),
     )
     broken = F.exists("_errors", lambda e: e["severity"] == "ERROR")
-    asked = call_model(
-        checked, fn, F.when(broken, F.coalesce("raw_data", F.lit(""))), "_answer"
-    )
+    good = checked.where(~broken).select(*artifacts.columns, F.lit("valid").alias("repair_state"))
+    bad = checked.where(broken).select(*artifacts.columns)
+    asked = call_model(bad, fn, F.coalesce("raw_data", F.lit("")), "_answer")
     done = F.col("_answer").isNotNull()
-    return asked.select(
-        *[c for c in artifacts.columns if c not in ("raw_data", "searchable_text")],
-        F.when(done, F.col("_answer")).otherwise(F.col("raw_data")).alias("raw_data"),
-        F.when(done, F.substring("_answer", 1, 500)).otherwise(F.col("searchable_text")).alias("searchable_text"),
-        F.when(broken, F.when(done, "repaired").otherwise("failed")).otherwise("valid").alias("repair_state"),
+    new = {
+        "raw_data": F.coalesce("_answer", "raw_data"),
+        "searchable_text": F.coalesce(F.substring("_answer", 1, 500), F.col("searchable_text")),
+    }
+    fixed = asked.select(
+        *[new.get(c, F.col(c)).alias(c) for c in artifacts.columns],
+        F.when(done, "repaired").otherwise("failed").alias("repair_state"),
     )
+    return good.unionByName(fixed)
 
 
 def telemetry_rows(pages: DataFrame, lint_counts: DataFrame) -> DataFrame:

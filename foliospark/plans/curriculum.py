@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliospark.operators.filters import EXERCISES
 from foliospark.operators.joins import page_lesson
 from foliospark.operators.scans import row_number_by
+from foliospark.session import checkpointed
 
 # Fixed values.
 AUTO = "auto"
@@ -43,12 +44,14 @@ def sequence_lessons(toc: DataFrame) -> DataFrame:
     )
 
 
-def course_chunks(toc: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Course chunks with their lesson; chunks outside every lesson dropped."""
-    courses = chunks.where(F.col("pedagogical_type").isin(*COURSE_TYPES)).select(
-        "document_id", "chunk_id", "page_number", "chunk_index"
+def lesson_chunks(toc: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Course and exercise chunks with their lesson; chunks outside every
+    lesson dropped.  One range join serves both kinds of edges."""
+    wanted = chunks.where(F.col("pedagogical_type").isin(*COURSE_TYPES, *EXERCISES)).select(
+        "document_id", "chunk_id", "page_number", "chunk_index",
+        F.col("pedagogical_type").isin(*COURSE_TYPES).alias("is_course"),
     )
-    return page_lesson(courses, toc, how="inner")
+    return page_lesson(wanted, toc, how="inner")
 
 
 def _edges(df: DataFrame, kind: str, source: str, target: str) -> DataFrame:
@@ -63,22 +66,19 @@ def _edges(df: DataFrame, kind: str, source: str, target: str) -> DataFrame:
     )
 
 
-def course_program_edges(toc: DataFrame, chunks: DataFrame) -> DataFrame:
-    placed = course_chunks(toc, chunks).withColumn("program_id", key_id("program", F.col("lesson_id")))
-    return _edges(placed, "course_program", "chunk_id", "program_id")
+def course_program_edges(placed: DataFrame) -> DataFrame:
+    courses = placed.where("is_course").withColumn("program_id", key_id("program", F.col("lesson_id")))
+    return _edges(courses, "course_program", "chunk_id", "program_id")
 
 
-def course_exercise_edges(toc: DataFrame, chunks: DataFrame) -> DataFrame:
+def course_exercise_edges(placed: DataFrame) -> DataFrame:
     """First course chunk of a lesson to each of the lesson's exercises; a
     lesson without course gives no edge."""
-    first = course_chunks(toc, chunks).groupBy("lesson_id").agg(
+    first = placed.where("is_course").groupBy("lesson_id").agg(
         F.min_by("chunk_id", F.struct("page_number", "chunk_index", "chunk_id")).alias("course_id")
     )
-    exercises = chunks.where(F.col("pedagogical_type").isin(*EXERCISES)).select(
-        "document_id", "chunk_id", "page_number"
-    )
-    placed = page_lesson(exercises, toc, how="inner").join(first, "lesson_id")
-    return _edges(placed, "course_exercise", "course_id", "chunk_id")
+    exercises = placed.where("not is_course").join(first, "lesson_id")
+    return _edges(exercises, "course_exercise", "course_id", "chunk_id")
 
 
 def exam_documents(documents: DataFrame) -> DataFrame:
@@ -111,10 +111,11 @@ def build_curriculum(
         )).alias("competencies_json"),
         F.col("page_start").alias("page_number"),
     )
+    placed = checkpointed(lesson_chunks(toc, chunks))
     links = (
         _edges(programs, "program_term", "program_id", "term_id")
-        .unionByName(course_program_edges(toc, chunks))
-        .unionByName(course_exercise_edges(toc, chunks))
+        .unionByName(course_program_edges(placed))
+        .unionByName(course_exercise_edges(placed))
     )
     title = F.trim(F.coalesce("section_title", F.lit("")))
     by_page = F.concat(F.lit(EXAM_PAGE_TITLE), F.col("page_number").cast("string"))

@@ -13,9 +13,12 @@ many queries share one plan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliospark.functions.text import (
@@ -28,6 +31,7 @@ from foliospark.functions.text import (
 )
 from foliospark.operators.joins import hydrate
 from foliospark.operators.topk import top_k
+from foliospark.session import checkpointed
 
 # Ranking constants and default thresholds.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -55,14 +59,12 @@ def scan_counts(
     rows: DataFrame, phrases: list[list[str]], columns: list[str] = INDEXED, arabic_fold: bool = True
 ) -> DataFrame:
     """Rows with their token count ``dl`` and one frequency ``tf<i>`` per phrase."""
-    lines = F.array(*[token_line(F.col(c), arabic_fold) for c in columns])
-    total = lambda count: F.aggregate(
-        F.transform(F.col("_lines"), count), F.lit(0), lambda a, b: a + b
-    )
-    if len(columns) == 1:
-        total = lambda count: count(F.col("_lines")[0])
+    # The lines are columns of their own, read many times but made once.
+    names = [f"_line{i}" for i in range(len(columns))]
     kept = [c for c in rows.columns if c not in columns]
-    return rows.select(*kept, lines.alias("_lines")).select(
+    lines = rows.select(*kept, *[token_line(F.col(c), arabic_fold).alias(n) for c, n in zip(columns, names)])
+    total = lambda count: reduce(lambda a, b: a + b, [count(F.col(n)) for n in names])
+    return lines.select(
         *kept,
         total(line_length).alias("dl"),
         *[total(lambda line, p=p: phrase_count(line, p)).alias(f"tf{i}") for i, p in enumerate(phrases)],
@@ -76,7 +78,9 @@ def scan_bm25(
     phrases = query_phrases(query, arabic_fold)
     if not phrases:
         return rows.drop(*columns).where("false").withColumn("score", F.lit(0.0))
-    counted = scan_counts(rows, phrases, columns, arabic_fold)
+    # Text is scanned once: the few numbers per row go to the shared folder,
+    # and both the statistics and the scores read them from there.
+    counted = checkpointed(scan_counts(rows, phrases, columns, arabic_fold))
     stats = counted.groupBy("corpus").agg(
         F.count("*").alias("n_rows"),
         F.avg("dl").alias("avg_dl"),
@@ -119,18 +123,37 @@ class Index:
         return Index(*[spark.read.parquet(f"{path}/{n}") for n in names])
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column("w")
+        flat = pa.table({"at": pc.list_parent_indices(words), "term": pc.list_flatten(words)})
+        counted = flat.group_by(["at", "term"]).aggregate([([], "count_all")])
+        at = counted["at"]
+        sizes = pc.list_value_length(words)
+        yield from pa.table(
+            {
+                "corpus": pc.take(batch.column("corpus"), at),
+                "row_id": pc.take(batch.column("row_id"), at),
+                "term": counted["term"],
+                "tf": counted["count_all"].cast(pa.int32()),
+                "dl": pc.take(sizes, at).cast(pa.int32()),
+            }
+        ).to_batches()
+
+
 def build_index(
     rows: DataFrame, columns: list[str] = INDEXED, keep: tuple[str, ...] = ("chunk_id",), arabic_fold: bool = True
 ) -> Index:
-    """Terms are counted inside their row: the index needs no shuffle."""
-    words = F.flatten(F.array(*[tokens(F.coalesce(F.col(c), F.lit("")), arabic_fold) for c in columns]))
+    """Terms are counted inside their own row, on Arrow batches, so building
+    needs no shuffle however many postings there are."""
+    words = F.concat(*[tokens(F.coalesce(F.col(c), F.lit("")), arabic_fold) for c in columns])
     cut = rows.select("corpus", "row_id", *keep, words.alias("w"))
-    postings = (
-        cut.select("corpus", "row_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-        .groupBy("corpus", "row_id", "term")
-        .agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    size = F.size("w")
+    ident = rows.schema["row_id"].dataType.simpleString()
+    postings = cut.select("corpus", "row_id", "w").mapInArrow(
+        _count_terms, f"corpus string, row_id {ident}, term string, tf int, dl int"
     )
-    lengths = cut.select("corpus", "row_id", *keep, F.size("w").alias("dl"))
+    lengths = cut.select("corpus", "row_id", *keep, size.alias("dl"))
     stats = lengths.groupBy("corpus").agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"))
     return Index(postings, lengths, stats)
 

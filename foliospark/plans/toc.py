@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from foliospark.functions.text import headings
 from foliospark.operators.joins import chunk_toc
 from foliospark.operators.scans import row_number_by, running_last
+from foliospark.session import checkpointed
 
 LEVELS = (1, 2, 3)
 
@@ -75,7 +76,7 @@ def toc_parents(entries: DataFrame) -> DataFrame:
     """Parent of a level-two entry: the most recent level-one entry."""
     known = running_last(
         entries, ["document_id"], ["ord"], F.floor(F.col("ord") / 4096),
-        F.when(F.col("level") == 1, F.col("toc_id")), "_l1",
+        {"_l1": F.when(F.col("level") == 1, F.col("toc_id"))},
     )
     return known.withColumn("parent_id", F.when(F.col("level") == 2, F.col("_l1"))).drop("_l1")
 
@@ -87,12 +88,11 @@ def _next_starts(entries: DataFrame) -> DataFrame:
     Entries collapse to distinct pages first, and pages are scanned in blocks.
     """
     pages = entries.groupBy("document_id", F.col("page_start").alias("page")).agg(F.min("level").alias("lv"))
-    for level in LEVELS:
-        pages = running_last(
-            pages, ["document_id"], ["page"], -F.floor(F.col("page") / 256),
-            F.when(F.col("lv") <= level, F.col("page")), f"n{level}", inclusive=False, descending=True,
-        )
-    return pages
+    return running_last(
+        pages, ["document_id"], ["page"], -F.floor(F.col("page") / 256),
+        {f"n{level}": F.when(F.col("lv") <= level, F.col("page")) for level in LEVELS},
+        inclusive=False, descending=True,
+    )
 
 
 def _by_level(prefix: str):
@@ -166,12 +166,11 @@ def reliable_page_ends(toc: DataFrame) -> DataFrame:
     following one; the last start page of the document bounds everything.
     """
     ceiling = toc.groupBy("document_id").agg(F.max("page_start").alias("_max"))
-    df = toc
-    for level in LEVELS:
-        df = running_last(
-            df, ["document_id"], ["page_start", "ord"], -F.floor(F.col("page_start") / 256),
-            F.when(F.col("level") <= level, F.col("page_start")), f"n{level}", inclusive=False, descending=True,
-        )
+    df = running_last(
+        toc, ["document_id"], ["page_start", "ord"], -F.floor(F.col("page_start") / 256),
+        {f"n{level}": F.when(F.col("level") <= level, F.col("page_start")) for level in LEVELS},
+        inclusive=False, descending=True,
+    )
     joined = df.join(ceiling, "document_id")
     nxt = _by_level("n")
     limit = F.when(nxt.isNotNull(), F.least(nxt - 1, F.col("_max"))).otherwise(F.col("_max"))
@@ -190,7 +189,8 @@ def build_toc(chunks: DataFrame, documents: DataFrame, native: DataFrame | None
         derived_from = chunks.join(outlined, "document_id", "left_anti")
     else:
         derived_from = chunks
-    entries = number_entries(toc_entries(heading_rows(derived_from)))
+    # Entries are a sliver of the text they come from and are read many times.
+    entries = checkpointed(number_entries(checkpointed(toc_entries(heading_rows(derived_from)))))
     placed = toc_parents(entries.withColumnRenamed("page_number", "page_start").drop("chunk_index"))
     toc = toc_page_ends(placed, documents)
     return toc, chunk_toc(derived_from, toc)
@@ -207,15 +207,16 @@ def course_units(toc: DataFrame, links: DataFrame, documents: DataFrame, indexes
         numbered = numbered.join(indexes.select("toc_id", "lesson_index"), "toc_id", "left")
     else:
         numbered = numbered.withColumn("lesson_index", F.lit(None).cast("long"))
-    program = links.where("link_type = 'course_program'").groupBy(F.col("from_id").alias("toc_id")).agg(
+    program = links.where("link_type = 'course_program'").groupBy(F.col("from_id").alias("unit_id")).agg(
         F.min_by("to_id", "link_id").alias("program_id")
     )
-    count = links.where("link_type = 'course_exercise'").groupBy(F.col("from_id").alias("toc_id")).agg(
+    count = links.where("link_type = 'course_exercise'").groupBy(F.col("from_id").alias("unit_id")).agg(
         F.count("*").alias("exercises_count")
     )
     chapters = (
-        numbered.join(program, "toc_id", "left").join(count, "toc_id", "left").select(
-            "document_id", F.col("toc_id").cast("string").alias("unit_id"), "title", "page_start", "page_end",
+        numbered.withColumn("unit_id", F.col("toc_id").cast("string"))
+        .join(program, "unit_id", "left").join(count, "unit_id", "left").select(
+            "document_id", "unit_id", "title", "page_start", "page_end",
             F.coalesce("lesson_index", "_rank").alias("lesson_number"), F.col("program_id").cast("string").alias("program_id"),
             F.coalesce("exercises_count", F.lit(0)).alias("exercises_count"),
         )
