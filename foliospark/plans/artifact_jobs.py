@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -184,37 +184,56 @@ def merge_boxes(boxes: DataFrame, max_regions: int = MAX_REGIONS) -> DataFrame:
     width_px, height_px)``; the group is a single page image, whose boxes are
     limited by their minimum area.  A region is text when all its boxes are.
     """
-    keep = boxes.where(
-        ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= F.col("width_px") * F.col("height_px") * MIN_AREA)
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    keep = boxes.where(area >= F.col("width_px") * F.col("height_px") * MIN_AREA)
+    names = ["document_id", "page_number", "x0", "y0", "x1", "y1", "is_text", "width_px", "height_px"]
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted boxes page by page; only the page at hand is held."""
+        current, found = None, []
+        for batch in batches:
+            out = []
+            for doc, number, x0, y0, x1, y1, text, width, height in batch[names].itertuples(index=False, name=None):
+                if (doc, number, width, height) != current:
+                    if found:
+                        out += _regions(*current, found, max_regions)
+                    current, found = (doc, number, width, height), []
+                found.append(((x0, y0, x1, y1), text))
+            yield pd.DataFrame(out, columns=_REGION)
+        if found:
+            yield pd.DataFrame(_regions(*current, found, max_regions), columns=_REGION)
+
+    kind = boxes.schema["document_id"].dataType.simpleString()
+    return (
+        keep.repartition("document_id", "page_number")
+        .sortWithinPartitions("document_id", "page_number", "box_no")
+        .mapInPandas(
+            pages,
+            f"document_id {kind}, page_number int, region_no int, x0 double, y0 double, x1 double, y1 double,"
+            " is_text boolean",
+        )
     )
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        width, height = float(pdf["width_px"].iloc[0]), float(pdf["height_px"].iloc[0])
-        pdf = pdf.sort_values("box_no")
-        raw = list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        text = list(pdf["is_text"])
-        good = [(b, t) for b, t in zip(raw, text) if _fits(b, width * height)]
-        regions = []
-        for box in _merge([b for b, _ in good], width, height):
-            if not _fits(box, width * height):
-                continue
-            inside = [t for b, t in good if b[0] >= box[0] and b[1] >= box[1] and b[2] <= box[2] and b[3] <= box[3]]
-            regions.append((all(inside), box[1], box[0], box))
-        best = sorted(regions, key=lambda r: r[:3])[: max(1, max_regions)]
-        pad = int(max(width, height) * PAD)
-        rows = [
-            (
-                pdf["document_id"].iloc[0], pdf["page_number"].iloc[0], n,
-                max(0.0, b[0] - pad), max(0.0, b[1] - pad), min(width, b[2] + pad), min(height, b[3] + pad), bool(t),
-            )
-            for n, (t, _, _, b) in enumerate(sorted(best, key=lambda r: (r[1], r[2])))
+
+_REGION = ["document_id", "page_number", "region_no", "x0", "y0", "x1", "y1", "is_text"]
+
+
+def _regions(document_id, page_number, width: float, height: float, found: list, max_regions: int) -> list[tuple]:
+    good = [(box, text) for box, text in found if _fits(box, width * height)]
+    regions = []
+    for box in _merge([b for b, _ in good], width, height):
+        if not _fits(box, width * height):
+            continue
+        inside = [
+            t for b, t in good if b[0] >= box[0] and b[1] >= box[1] and b[2] <= box[2] and b[3] <= box[3]
         ]
-        return pd.DataFrame(
-            rows, columns=["document_id", "page_number", "region_no", "x0", "y0", "x1", "y1", "is_text"]
+        regions.append((all(inside), box[1], box[0], box))
+    best = sorted(regions, key=lambda r: r[:3])[: max(1, max_regions)]
+    pad = int(max(width, height) * PAD)
+    return [
+        (
+            document_id, page_number, n, float(max(0, b[0] - pad)), float(max(0, b[1] - pad)),
+            float(min(width, b[2] + pad)), float(min(height, b[3] + pad)), bool(text),
         )
-
-    kind = boxes.schema["document_id"].dataType.simpleString()
-    return keep.groupBy("document_id", "page_number").applyInPandas(
-        page,
-        f"document_id {kind}, page_number int, region_no int, x0 double, y0 double, x1 double, y1 double, is_text boolean",
-    )
+        for n, (text, _, _, b) in enumerate(sorted(best, key=lambda r: (r[1], r[2])))
+    ]

@@ -84,17 +84,20 @@ def catalog(tables: dict[str, DataFrame], files: DataFrame | None = None) -> Dat
 
 
 def import_artifacts(spark: SparkSession, requests: DataFrame, base: str) -> DataFrame:
-    """External files as artifacts.  ``requests(path, document_id, chunk_id,
-    page_number, domain, artifact_type, caption)``; files over 50 MB are
-    refused, text types decoded, all others kept as bytes."""
+    """Artifacts from the files below ``base`` that the requests name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    small = files.where(F.col("length") <= IMPORT_MAX_BYTES).select(
-        F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content"
-    )
+    small = files.where(F.col("length") <= IMPORT_MAX_BYTES)
+    return imported(spark, requests, small.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content"))
+
+
+def imported(spark: SparkSession, requests: DataFrame, files: DataFrame) -> DataFrame:
+    """``requests(path, document_id, chunk_id, page_number, domain,
+    artifact_type, caption)`` joined to ``files(path, content)``; contents over
+    50 MB are refused, text types decoded, all others kept as bytes."""
     dim = artifact_dim(spark).where(F.col("artifact_type").isin(*IMPORT_RENDER_TYPES))
     is_text = F.col("artifact_type").isin(*TEXT_IMPORT_TYPES)
-    joined = requests.join(small, "path").join(
-        dim.select("artifact_type", F.col("render_config_json").alias("_rc")), "artifact_type", "left"
+    joined = requests.join(files.where(F.octet_length("content") <= IMPORT_MAX_BYTES), "path").join(
+        F.broadcast(dim.select("artifact_type", F.col("render_config_json").alias("_rc"))), "artifact_type", "left"
     )
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return joined.select(
