@@ -67,7 +67,15 @@ def split_units(c: Column) -> Column:
 
 def _greedy(unit: Column, separator: str, max_tokens: int) -> Column:
     """Greedy runs of fragments up to the limit, never closing inside ``$$``."""
-    parts = F.split(unit, separator)
+    return _once(F.split(unit, separator), lambda parts: _greedy_parts(parts, separator, max_tokens))
+
+
+def _once(value: Column, use) -> Column:
+    """Bind an expression that the folds below read many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _greedy_parts(parts: Column, separator: str, max_tokens: int) -> Column:
     width = len(separator)
 
     def step(acc: Column, part: Column) -> Column:
@@ -118,7 +126,11 @@ def _resplit_unit(unit: Column, separator: str, max_tokens: int) -> Column:
 def pack_units(units: Column, max_tokens: int = MAX_TOKENS, overlap: float = OVERLAP) -> Column:
     """Greedy packing; each new chunk repeats the last 15 % of the units (one
     at least) of the chunk before it."""
-    sizes = F.transform(units, token_len)
+    sized = lambda u: F.struct(u.alias("units"), F.transform(u, token_len).alias("sizes"))
+    return _once(_once(units, sized), lambda r: _pack(r["units"], r["sizes"], max_tokens, overlap))
+
+
+def _pack(units: Column, sizes: Column, max_tokens: int, overlap: float) -> Column:
 
     def step(acc: Column, size: Column) -> Column:
         count = acc["i"] - acc["s"]

@@ -15,22 +15,29 @@ _ORD = "|".join(ORDINALS)
 _HEAD = r"(?:^|\n)\s*[#>*\-|\s]*"
 _NUMBER_SIGN = r"(?:n?[°ºo]\s*)?"
 
+# A text without any character of this block cannot match an Arabic pattern.
+ARABIC = "[\u0600-\u06FF]"
+
 # Ordered patterns, the first that matches decides.  Group 1,
-# where present, holds the index (digits or an ordinal word).
-PATTERNS: list[tuple[str, str]] = [
+# where present, holds the index (digits or an ordinal word).  A third entry
+# is a cheap test that any match implies.
+PATTERNS: list[tuple[str, ...]] = [
     ("solution_only", r"(?iU)" + _HEAD + r"(?:Solution|Corrigé|Corrige|Correction)\b\s*(?:de\s+l['’]exercice\s*)?" + _NUMBER_SIGN + r"(\d{1,3})?"),
-    ("solution_only", r"(?U)(?:الحل|التصحيح|حل|تصحيح)\s+(?:ال)?(?:تمرين|تمارين|فرض|اختبار|مسألة|نشاط)\s+(" + _ORD + r")\b"),
-    ("solution_only", r"(?U)(?:الحل|التصحيح|حل|تصحيح)\s*(?:ال)?(?:تمرين|تمارين|فرض|اختبار|مسألة|نشاط)?\s*(?:رقم\s*)?(\d{1,3})?"),
-    ("solution_only", r"(?U)(?:الحلول|التصحيحات|حلول\s+التمارين|تصحيح\s+التمارين)"),
+    ("solution_only", r"(?U)(?:الحل|التصحيح|حل|تصحيح)\s+(?:ال)?(?:تمرين|تمارين|فرض|اختبار|مسألة|نشاط)\s+(" + _ORD + r")\b", ARABIC),
+    ("solution_only", r"(?U)(?:الحل|التصحيح|حل|تصحيح)\s*(?:ال)?(?:تمرين|تمارين|فرض|اختبار|مسألة|نشاط)?\s*(?:رقم\s*)?(\d{1,3})?", ARABIC),
+    ("solution_only", r"(?U)(?:الحلول|التصحيحات|حلول\s+التمارين|تصحيح\s+التمارين)", ARABIC),
     ("evaluation_exam", r"(?iU)" + _HEAD + r"(?:Devoir|Composition|Examen|Contrôle|Controle|BEM|BAC)\b"),
-    ("evaluation_exam", r"(?U)" + _HEAD + r"(?:ال)?(?:فرض|اختبار|امتحان|تقويم|الوضعية\s+الإدماجية|إدماج)\b"),
+    ("evaluation_exam", r"(?U)" + _HEAD + r"(?:ال)?(?:فرض|اختبار|امتحان|تقويم|الوضعية\s+الإدماجية|إدماج)\b", ARABIC),
     ("exercise_unsolved", r"(?iU)" + _HEAD + r"(?:Exercice|Exercise|Problem|Activité|Activite)\s*" + _NUMBER_SIGN + r"(\d{1,3})"),
-    ("exercise_unsolved", r"(?U)(?:ال)?(?:تمرين|تمارين|مسألة|نشاط|أنشطة|وضعية)\s+(" + _ORD + r")\b"),
-    ("exercise_unsolved", r"(?U)(?:ال)?(?:تمرين|تمارين|مسألة|نشاط|أنشطة|وضعية)\s*(?:رقم\s*)?(\d{1,3})"),
-    ("exercise_unsolved", r"(?U)(?:^|\n|\||#|\s)(?:ال)?(?:تمرين|تمارين|أنشطة|نشاط|وضعية|أتدرب|أتمرن|أطبق|أوظف|أنجز)\b"),
-    ("proof_demonstration", r"(?iU)" + _HEAD + r"(?:Démonstration|Demonstration|Preuve|Proof)\b|(?:برهان|إثبات|أبرهن)"),
-    ("practical_work", r"(?iU)" + _HEAD + r"(?:TP|Travaux\s+pratiques|Manipulation)\b|(?:عمل\s*تطبيقي|أنشطة\s*تطبيقية)"),
-    ("course_theory", r"(?iU)" + _HEAD + r"(?:Définition|Definition|Théorème|Theoreme|Propriété|Propriete|Règle|Regle|Cours|Leçon|Lecon)\b|(?:تعريف|مبرهنة|خاصية|قاعدة|الدرس|أتعلم|أكتشف|أتذكر|أستحضر|أتحقق|مكتسباتي)"),
+    ("exercise_unsolved", r"(?U)(?:ال)?(?:تمرين|تمارين|مسألة|نشاط|أنشطة|وضعية)\s+(" + _ORD + r")\b", ARABIC),
+    ("exercise_unsolved", r"(?U)(?:ال)?(?:تمرين|تمارين|مسألة|نشاط|أنشطة|وضعية)\s*(?:رقم\s*)?(\d{1,3})", ARABIC),
+    ("exercise_unsolved", r"(?U)(?:^|\n|\||#|\s)(?:ال)?(?:تمرين|تمارين|أنشطة|نشاط|وضعية|أتدرب|أتمرن|أطبق|أوظف|أنجز)\b", ARABIC),
+    ("proof_demonstration", r"(?iU)" + _HEAD + r"(?:Démonstration|Demonstration|Preuve|Proof)\b"),
+    ("proof_demonstration", r"(?U)(?:برهان|إثبات|أبرهن)", ARABIC),
+    ("practical_work", r"(?iU)" + _HEAD + r"(?:TP|Travaux\s+pratiques|Manipulation)\b"),
+    ("practical_work", r"(?U)(?:عمل\s*تطبيقي|أنشطة\s*تطبيقية)", ARABIC),
+    ("course_theory", r"(?iU)" + _HEAD + r"(?:Définition|Definition|Théorème|Theoreme|Propriété|Propriete|Règle|Regle|Cours|Leçon|Lecon)\b"),
+    ("course_theory", r"(?U)(?:تعريف|مبرهنة|خاصية|قاعدة|الدرس|أتعلم|أكتشف|أتذكر|أستحضر|أتحقق|مكتسباتي)", ARABIC),
 ]
 
 # Opening words that suggest a type where none is declared.
@@ -45,24 +52,32 @@ def _has_group(pattern: str) -> bool:
     return regex.compile(regex.sub(r"^\(\?[iU]+\)", "", pattern)).groups > 0
 
 
-def pattern_no(text: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
+def pattern_no(text: Column, patterns: list[tuple[str, ...]], hints: dict[str, Column]) -> Column:
     """Position of the first matching pattern; the text must be cleaned."""
     branches = None
-    for n, (_, pattern) in enumerate(patterns):
-        branches = (F if branches is None else branches).when(text.rlike(pattern), F.lit(n))
+    for n, (_, pattern, *hint) in enumerate(patterns):
+        test = text.rlike(pattern)
+        if hint:
+            test = hints[hint[0]] & test
+        branches = (F if branches is None else branches).when(test, F.lit(n))
     return branches
 
 
-def qualify(c: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
+def qualify(c: Column, patterns: list[tuple[str, ...]] = PATTERNS) -> Column:
     """``struct<pedagogical_type,pedagogical_index>``, nulls where nothing matches.
 
-    The winning pattern is found once per row; its group is then read once.
+    Cleaning, hints and the winning pattern are found once per row; the
+    winner's group is then read once.
     """
-    cleaned = strip_harakat(F.coalesce(c, F.lit("")))
+    hints = sorted({hint for _, _, *rest in patterns for hint in rest})
+
+    def find(row: Column) -> Column:
+        flags = {h: row[f"h{i}"] for i, h in enumerate(hints)}
+        return F.struct(row["t"].alias("t"), pattern_no(row["t"], patterns, flags).alias("n"))
 
     def decide(row: Column) -> Column:
         kind = word = None
-        for n, (name, pattern) in enumerate(patterns):
+        for n, (name, pattern, *_) in enumerate(patterns):
             hit = row["n"] == n
             kind = (F if kind is None else kind).when(hit, F.lit(name))
             if _has_group(pattern):
@@ -71,19 +86,22 @@ def qualify(c: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
         ordinal = F.coalesce(*[F.when(word == w, i) for w, i in ORDINALS.items()], word.try_cast("int"))
         return F.struct(kind.alias("pedagogical_type"), ordinal.alias("pedagogical_index"))
 
-    once = F.array(F.struct(cleaned.alias("t"), pattern_no(cleaned, patterns).alias("n")))
-    return F.get(F.transform(once, decide), F.lit(0))
+    cleaned = F.array(strip_harakat(F.coalesce(c, F.lit(""))))
+    flagged = F.transform(
+        cleaned, lambda t: F.struct(t.alias("t"), *[t.rlike(h).alias(f"h{i}") for i, h in enumerate(hints)])
+    )
+    return F.get(F.transform(F.transform(flagged, find), decide), F.lit(0))
 
 
-def strict_patterns() -> list[tuple[str, str]]:
+def strict_patterns() -> list[tuple[str, ...]]:
     """The table with word boundaries around the bare Arabic solution words."""
     out = []
-    for kind, pattern in PATTERNS:
+    for kind, pattern, *hint in PATTERNS:
         if kind == "solution_only" and pattern.startswith("(?U)(?:الحل"):
             pattern = pattern.replace("(?U)(?:الحل", r"(?U)(?<!\p{L})(?:الحل", 1)
             if pattern.endswith(r"(\d{1,3})?"):
                 pattern += r"(?!\p{L})"
-        out.append((kind, pattern))
+        out.append((kind, pattern, *hint))
     return out
 
 
