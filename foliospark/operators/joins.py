@@ -129,7 +129,13 @@ def _course_edges(links: DataFrame) -> DataFrame:
 def resolve_solutions(exercises: DataFrame, solutions: DataFrame, links: DataFrame) -> DataFrame:
     """Solution of each exercise by decreasing reliability, with its source:
     direct link, graph edge, same index (last one), first of the document."""
-    ids = solutions.select(F.col("chunk_id").alias("direct_id"))
+    # Only exercises that carry a link look it up; null links would pile up
+    # in one partition of a left join.
+    direct = (
+        exercises.where("linked_solution_chunk_id is not null")
+        .select("chunk_id", F.col("linked_solution_chunk_id").alias("direct_id"))
+        .join(solutions.select(F.col("chunk_id").alias("direct_id")), "direct_id")
+    )
     by_edge = (
         _course_edges(links)
         .join(solutions.select(F.col("chunk_id").alias("b")), "b")
@@ -148,7 +154,7 @@ def resolve_solutions(exercises: DataFrame, solutions: DataFrame, links: DataFra
         *[F.when(F.col(c).isNotNull(), n) for c, n in zip(sources, ("direct", "edge", "index", "document"))]
     )
     return (
-        exercises.join(ids, exercises["linked_solution_chunk_id"] == ids["direct_id"], "left")
+        exercises.join(direct, "chunk_id", "left")
         .join(by_edge, "chunk_id", "left")
         .join(by_index, "pedagogical_index", "left")
         .join(by_document, "document_id", "left")

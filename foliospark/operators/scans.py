@@ -27,13 +27,13 @@ def row_number_by(df: DataFrame, keys: list[str], order: list[Column], block: Co
     sizes = cut.groupBy(*keys, BLOCK).agg(F.count("*").alias("_n"))
     before = sizes.select(
         *keys, BLOCK,
-        F.coalesce(F.sum("_n").over(_blocks(keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(_blocks(keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_scan_before"),
     )
-    local = cut.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, BLOCK).orderBy(*order)))
+    local = cut.withColumn("_scan_rn", F.row_number().over(W.partitionBy(*keys, BLOCK).orderBy(*order)))
     return (
         _null_safe(local, before, [*keys, BLOCK])
-        .withColumn(name, (F.col("_rn") + F.col("_before")).cast("long"))
-        .drop(BLOCK, "_rn", "_before")
+        .withColumn(name, (F.col("_scan_rn") + F.col("_scan_before")).cast("long"))
+        .drop(BLOCK, "_scan_rn", "_scan_before")
     )
 
 
@@ -74,18 +74,18 @@ def running_count(
     df: DataFrame, keys: list[str], order: list[str], block: Column, condition: Column, name: str
 ) -> DataFrame:
     """Number of rows up to and including each one that meet the condition."""
-    cut = df.withColumn(BLOCK, block).withColumn("_hit", F.when(condition, 1).otherwise(0))
-    sums = cut.groupBy(*keys, BLOCK).agg(F.sum("_hit").alias("_n"))
+    cut = df.withColumn(BLOCK, block).withColumn("_scan_hit", F.when(condition, 1).otherwise(0))
+    sums = cut.groupBy(*keys, BLOCK).agg(F.sum("_scan_hit").alias("_n"))
     before = sums.select(
         *keys, BLOCK,
-        F.coalesce(F.sum("_n").over(_blocks(keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(_blocks(keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_scan_before"),
     )
     frame = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = cut.withColumn("_run", F.sum("_hit").over(frame))
+    local = cut.withColumn("_scan_run", F.sum("_scan_hit").over(frame))
     return (
         _null_safe(local, before, [*keys, BLOCK])
-        .withColumn(name, (F.col("_run") + F.col("_before")).cast("long"))
-        .drop(BLOCK, "_hit", "_run", "_before")
+        .withColumn(name, (F.col("_scan_run") + F.col("_scan_before")).cast("long"))
+        .drop(BLOCK, "_scan_hit", "_scan_run", "_scan_before")
     )
 
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -187,16 +188,38 @@ def bm25(index: Index, terms: DataFrame) -> DataFrame:
 # ── nearest neighbours ─────────────────────────────────────────────────────
 
 
-def distance(embedding: Column, query: list[float], metric: str = "l2") -> Column:
-    q = F.array(*[F.lit(float(x)) for x in query])
-    pair = lambda f: F.aggregate(F.zip_with(embedding, q, f), F.lit(0.0), lambda a, b: a + b)
-    if metric == "l2":
-        return F.sqrt(pair(lambda x, y: (x - y) * (x - y)))
-    if metric == "cosine":
-        own = F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        norm = sum(x * x for x in query) ** 0.5
-        return F.lit(1.0) - pair(lambda x, y: x * y) / (own * norm)
-    raise ValueError(f"unknown metric {metric!r}")
+def scored_vectors(vectors: DataFrame, query: list[float], metric: str = "l2", top: int | None = None) -> DataFrame:
+    """Add ``score``, the distance to the query vector, and drop the embedding.
+
+    Arrow batches are scored as one matrix each.  With ``top`` a batch returns
+    its own best rows only, ties at the edge included, so that the overall top
+    is unchanged.  Vectors of another length are not comparable and left out.
+    """
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    wanted = np.asarray(query, dtype=np.float64)
+    kept = [c for c in vectors.columns if c != "embedding"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            matrix = flat.reshape(-1, len(wanted)).astype(np.float64)
+            if metric == "l2":
+                gap = matrix - wanted
+                values = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            else:
+                norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * np.linalg.norm(wanted)
+                values = 1.0 - (matrix @ wanted) / norms
+            out = pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept] + [pa.array(values)], names=[*kept, "score"]
+            )
+            if top is not None and len(values) > top:
+                out = out.filter(pa.array(values <= np.partition(values, top - 1)[top - 1]))
+            yield out
+
+    usable = vectors.where(F.size("embedding") == len(wanted)).select(*kept, "embedding")
+    schema = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in kept) + ", score double"
+    return usable.mapInArrow(score, schema)
 
 
 def knn(
@@ -204,7 +227,7 @@ def knn(
     partition: list[str] | None = None,
 ) -> DataFrame:
     """Nearest vectors by full scan; only the best rows of each task travel."""
-    scored = vectors.withColumn("score", distance(F.col("embedding"), query, metric)).drop("embedding")
+    scored = scored_vectors(vectors, query, metric, None if partition else top)
     return top_k(scored, top, [F.asc("score"), F.asc("chunk_id")], partition)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foliospark.functions.text import headings
 from foliospark.operators.joins import chunk_toc
-from foliospark.operators.scans import row_number_by, running_last
+from foliospark.operators.scans import row_number_by, running_count, running_last
 from foliospark.session import checkpointed
 
 LEVELS = (1, 2, 3)
@@ -23,23 +23,43 @@ def heading_rows(chunks: DataFrame) -> DataFrame:
     return found.where(F.size("hs") > 0)
 
 
+def fresh_starts(rows: DataFrame) -> DataFrame:
+    """Cut documents where the memory of the fold below is known to be empty.
+
+    A chunk whose only heading is a level-one title that differs from the one
+    its predecessor (also a lone level-one title) left behind is accepted
+    whatever came before, and clears level two.  A run may start there, so a
+    large document spreads over many runs.
+    """
+    place = ["page_number", "chunk_index"]
+    block = F.floor(F.col("page_number") / 64)
+    first = F.get("hs", F.lit(0))
+    lone = (F.size("hs") == 1) & (first["level"] == 1)
+    before = running_last(
+        rows, ["document_id"], place, block,
+        {"_prev": F.struct(lone.alias("lone"), first["title"].alias("title"))}, inclusive=False,
+    )
+    cut = F.coalesce(lone & F.col("_prev.lone") & (first["title"] != F.col("_prev.title")), F.lit(False))
+    return running_count(before, ["document_id"], place, block, cut, "_run").drop("_prev")
+
+
 def toc_entries(rows: DataFrame) -> DataFrame:
     """First accepted heading of each chunk: a heading equal to the last title
     of its level is skipped, a new level-one title resets level two.
 
-    The memory runs in document order, so documents stream through their task
-    row by row with two titles of state.
+    The memory runs in document order.  Runs that need no memory of what came
+    before stream side by side, row by row, with two titles of state.
     """
 
     def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        document, last = None, {}
+        current, last = None, {}
         for batch in batches:
             out = []
-            for doc, page, idx, hs in zip(
-                batch["document_id"], batch["page_number"], batch["chunk_index"], batch["hs"]
+            for doc, run, page, idx, hs in zip(
+                batch["document_id"], batch["_run"], batch["page_number"], batch["chunk_index"], batch["hs"]
             ):
-                if doc != document:
-                    document, last = doc, {}
+                if (doc, run) != current:
+                    current, last = (doc, run), {}
                 for h in hs:
                     level, title = h["level"], h["title"]
                     if title == last.get(level):
@@ -53,8 +73,9 @@ def toc_entries(rows: DataFrame) -> DataFrame:
 
     kind = rows.schema["document_id"].dataType.simpleString()
     return (
-        rows.repartition("document_id")
-        .sortWithinPartitions("document_id", "page_number", "chunk_index")
+        fresh_starts(rows)
+        .repartition("document_id", "_run")
+        .sortWithinPartitions("document_id", "_run", "page_number", "chunk_index")
         .mapInPandas(
             accept, f"document_id {kind}, page_number int, chunk_index int, level int, title string"
         )
@@ -190,7 +211,8 @@ def build_toc(chunks: DataFrame, documents: DataFrame, native: DataFrame | None
     else:
         derived_from = chunks
     # Entries are a sliver of the text they come from and are read many times.
-    entries = checkpointed(number_entries(checkpointed(toc_entries(heading_rows(derived_from)))))
+    found = checkpointed(heading_rows(derived_from))
+    entries = checkpointed(number_entries(checkpointed(toc_entries(found))))
     placed = toc_parents(entries.withColumnRenamed("page_number", "page_start").drop("chunk_index"))
     toc = toc_page_ends(placed, documents)
     return toc, chunk_toc(derived_from, toc)

@@ -27,10 +27,15 @@ class Store:
     def path(self, table: str, corpus: str | None = None) -> str:
         return f"{self.root}/{table}" + (f"/corpus={corpus}" if corpus else "")
 
+    def _path(self, text: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
+
+    def _fs(self, text: str):
+        return self._path(text).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def exists(self, table: str, corpus: str | None = None) -> bool:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path(table, corpus))
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+        target = self.path(table, corpus)
+        return self._fs(target).exists(self._path(target))
 
     def read(self, table: str, corpus: str | None = None, documents: list | None = None) -> DataFrame:
         df = self.spark.read.option("basePath", self.path(table)).parquet(self.path(table))
@@ -51,6 +56,7 @@ class Store:
         self._bucketed(df.drop("corpus")).write.partitionBy(BUCKET).parquet(stage)
         ready = self.spark.read.schema(self._bucketed(df.drop("corpus")).schema).parquet(stage)
         ready.write.mode("overwrite").partitionBy(BUCKET).parquet(self.path(table, corpus))
+        self._fs(stage).delete(self._path(stage), True)
 
     def upsert_scans(self, corpus: str, scans: DataFrame) -> None:
         """page_scans by (document_id, page_number), newest wins."""

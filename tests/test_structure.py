@@ -187,3 +187,30 @@ def test_global_counts_fallback(spark):
 def test_telemetry_of_nothing(spark):
     bench = spark.createDataFrame([], "document_id string, execution_time_ms double, confidence_score double, ram_peak_mb double, vlm_provider_used string, fallback_triggered boolean")
     assert tuple(agg.telemetry_averages(bench).first()) == (0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_toc_fold_equals_one_pass_memory(spark):
+    """Splitting a document into runs never changes the accepted headings."""
+    rng = random.Random(5)
+    rows = []
+    for doc in ("hot", "cold"):
+        for page in range(1, 301 if doc == "hot" else 20):
+            n = 1 if rng.random() < 0.8 else 3
+            rows.append((doc, page, 0, [(rng.choice([1, 1, 2]), rng.choice("abc")) for _ in range(n)]))
+    df = spark.createDataFrame(rows, "document_id string, page_number int, chunk_index int, hs array<struct<level:int,title:string>>")
+    assert tc.fresh_starts(df).where("document_id = 'hot'").select("_run").distinct().count() > 10
+    got = sorted((r.document_id, r.page_number, r.level, r.title) for r in tc.toc_entries(df).collect())
+    want = []
+    for doc in ("hot", "cold"):
+        memory = {}
+        for d, page, _, hs in rows:
+            if d != doc:
+                continue
+            for level, title in hs:
+                if memory.get(level) != title:
+                    memory[level] = title
+                    if level == 1:
+                        memory[2] = None
+                    want.append((doc, page, level, title))
+                    break
+    assert got == sorted(want)
