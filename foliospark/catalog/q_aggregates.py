@@ -134,10 +134,10 @@ def agg_lint_pages(t: Tables) -> DataFrame:
 
 
 @register("agg_confidence", """
-    SELECT event_id, round(greatest(0.0, 1.0 - least(0.5, 0.15 * (event_id % 4) + 0.05 * (event_id % 3))
+    SELECT event_id, CAST(round(greatest(0.0, 1.0 - least(0.5, 0.15 * (event_id % 4) + 0.05 * (event_id % 3))
            - CASE WHEN event_type = 'click' THEN 0.0 ELSE 0.1 END
            - CASE WHEN event_type <> 'click' AND value < 80 THEN 0.15 ELSE 0.0 END
-           - CASE WHEN event_id % 10 = 0 THEN 0.3 ELSE 0.0 END), 2) AS confidence FROM @events""")
+           - CASE WHEN event_id % 10 = 0 THEN 0.3 ELSE 0.0 END), 2) AS DOUBLE) AS confidence FROM @events""")
 def agg_confidence(t: Tables) -> DataFrame:
     score = confidence(
         F.col("event_id") % 4, F.col("event_id") % 3, F.col("event_type") == "click", F.col("value"),
@@ -151,9 +151,9 @@ def agg_confidence(t: Tables) -> DataFrame:
                    count(e.severity) FILTER (WHERE severity = 'WARNING') AS wa
             FROM d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id)
     SELECT document_id, 'text' AS engine_used, file_size_bytes AS execution_time_ms,
-           round(greatest(0.0, 1.0 - least(0.5, 0.15 * er + 0.05 * wa) - CASE WHEN lang = 'en' THEN 0.0 ELSE 0.1 END
+           CAST(round(greatest(0.0, 1.0 - least(0.5, 0.15 * er + 0.05 * wa) - CASE WHEN lang = 'en' THEN 0.0 ELSE 0.1 END
            - CASE WHEN lang <> 'en' AND file_size_bytes % 200 < 80 THEN 0.15 ELSE 0.0 END
-           - CASE WHEN trim(body, ' ' || chr(9) || chr(10)) = '' THEN 0.3 ELSE 0.0 END), 2) AS confidence_score
+           - CASE WHEN trim(body, ' ' || chr(9) || chr(10)) = '' THEN 0.3 ELSE 0.0 END), 2) AS DOUBLE) AS confidence_score
     FROM @v_documents JOIN n ON n.doc_id = document_id""")
 def job_telemetry_rows(t: Tables) -> DataFrame:
     counts = agg.lint_pages(lint_pages_table(*_lint_inputs(t)))

@@ -80,7 +80,8 @@ def job_reprocess_scope(t: Tables) -> DataFrame:
 
 
 @register("job_reingest_scope", """
-    WITH pg AS (SELECT document_id, page_number FROM @b_scans WHERE document_id % 3 = 0),
+    WITH pg AS (SELECT s.document_id, s.page_number FROM @b_scans s JOIN @b_documents d ON d.document_id = s.document_id
+                WHERE d.doc_type = 'Sujet'),
     kept AS (SELECT chunk_id, document_id, page_number, chunk_index, is_human_edited FROM @b_chunks c
              WHERE is_human_edited OR NOT EXISTS (SELECT 1 FROM pg WHERE pg.document_id = c.document_id
                    AND pg.page_number = c.page_number)),
@@ -94,9 +95,10 @@ def job_reprocess_scope(t: Tables) -> DataFrame:
     UNION ALL SELECT 'page_scans', count(*) FROM @b_scans
     UNION ALL SELECT 'anchored', count(*) FROM added WHERE chunk_index = 0""")
 def job_reingest_scope(t: Tables) -> DataFrame:
-    """Every page of a third of the documents comes in again with two chunks
-    and one artifact."""
-    pages = t["b_scans"].where("document_id % 3 = 0")
+    """Every page of the exam documents comes in again with two chunks and one
+    artifact."""
+    again = t["b_documents"].where("doc_type = 'Sujet'").select("document_id")
+    pages = t["b_scans"].join(again, "document_id", "left_semi")
     key = F.col("document_id") * 100000 + F.col("page_number") * 10
     chunks = pages.select(
         "document_id", "page_number", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"), key.alias("_k")
@@ -118,12 +120,13 @@ def job_reingest_scope(t: Tables) -> DataFrame:
 
 
 @register("job_edit_chunk", """
-    SELECT chunk_id, CASE WHEN chunk_id % 5 = 0 THEN 'edited' ELSE section_title END AS section_title, pedagogical_type,
-           CAST(is_human_edited OR chunk_id % 5 = 0 AS INT) AS is_human_edited FROM @b_chunks""")
+    SELECT chunk_id, CASE WHEN pedagogical_type = 'solution_only' THEN 'edited' ELSE section_title END AS section_title,
+           pedagogical_type, CAST(is_human_edited OR coalesce(pedagogical_type = 'solution_only', FALSE) AS INT) AS is_human_edited
+    FROM @b_chunks""")
 def job_edit_chunk(t: Tables) -> DataFrame:
     chunks = t["b_chunks"].withColumn("updated_at", F.lit(None).cast("timestamp"))
-    patches = t["orders"].where("o_orderkey % 5 = 0").select(
-        F.col("o_orderkey").alias("chunk_id"), F.lit("edited").alias("section_title"),
+    patches = t["b_chunks"].where("pedagogical_type = 'solution_only'").select(
+        "chunk_id", F.lit("edited").alias("section_title"),
         F.lit(None).cast("string").alias("pedagogical_type"),
     )
     edited = ed.apply_edits(chunks, patches, "chunk_id", ("section_title", "pedagogical_type"), F.current_timestamp())
@@ -133,12 +136,12 @@ def job_edit_chunk(t: Tables) -> DataFrame:
 
 
 @register("job_edit_artifact", """
-    SELECT artifact_id, CASE WHEN artifact_id % 6 = 0 THEN 'fixed' ELSE raw_data END AS raw_data, caption,
-           CASE WHEN artifact_id % 6 = 0 THEN 'fixed' ELSE searchable_text END AS searchable_text FROM @b_artifacts""")
+    SELECT artifact_id, CASE WHEN artifact_type = 'data_table' THEN 'fixed' ELSE raw_data END AS raw_data, caption,
+           CASE WHEN artifact_type = 'data_table' THEN 'fixed' ELSE searchable_text END AS searchable_text FROM @b_artifacts""")
 def job_edit_artifact(t: Tables) -> DataFrame:
     artifacts = t["b_artifacts"].withColumn("updated_at", F.lit(None).cast("timestamp"))
     none = F.lit(None).cast("string")
-    patches = t["events"].where("event_id % 6 = 0").select(
+    patches = t["events"].where("event_type = 'view'").select(
         F.col("event_id").alias("artifact_id"), F.lit("fixed").alias("raw_data"), none.alias("caption"),
         none.alias("render_config_json"),
     )
@@ -229,13 +232,15 @@ def ledger_recover(t: Tables) -> DataFrame:
 
 
 @register("job_ledger_update", """
-    SELECT job_id, CASE WHEN job_id % 3 = 0 THEN 'READY' WHEN job_id % 3 = 2 THEN status
+    WITH o AS (SELECT o_orderkey AS job_id, o_orderpriority = '1-URGENT' AS ok, o_orderpriority = '5-LOW' AS bad FROM @orders)
+    SELECT job_id, CASE WHEN ok THEN 'READY' WHEN NOT bad THEN status
                         WHEN retry_count + 1 >= 3 THEN 'QUARANTINE' ELSE 'QUEUED' END AS status,
-           CASE WHEN job_id % 3 = 1 THEN retry_count + 1 ELSE retry_count END AS retry_count,
-           CASE WHEN job_id % 3 = 1 THEN 'late' ELSE error_log END AS error_log FROM @v_jobs""")
+           CASE WHEN bad THEN retry_count + 1 ELSE retry_count END AS retry_count,
+           CASE WHEN bad THEN 'late' ELSE error_log END AS error_log FROM @v_jobs JOIN o USING (job_id)""")
 def job_ledger_update(t: Tables) -> DataFrame:
-    outcomes = t["orders"].where("o_orderkey % 3 < 2").select(
-        F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 3 == 0).alias("ok"), F.lit("late").alias("error")
+    """Urgent jobs succeed, low ones fail, the others have no news."""
+    outcomes = t["orders"].where("o_orderpriority in ('1-URGENT', '5-LOW')").select(
+        F.col("o_orderkey").alias("job_id"), (F.col("o_orderpriority") == "1-URGENT").alias("ok"), F.lit("late").alias("error")
     )
     done = lg.record_outcomes(t["v_jobs"], outcomes)
     return done.select("job_id", "status", "retry_count", "error_log")

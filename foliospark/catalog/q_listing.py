@@ -232,19 +232,19 @@ def _files(t: Tables) -> DataFrame:
 
 
 @register("src_corpus_scan", """
-    SELECT source_path AS path, file_size_bytes, lang || '_' || corpus AS corpus, CAST(document_id % 2 = 0 AS INT) AS ingested
+    SELECT source_path AS path, file_size_bytes, lang || '_' || corpus AS corpus, CAST(lang = 'en' AS INT) AS ingested
     FROM @v_documents""")
 def src_corpus_scan(t: Tables) -> DataFrame:
-    known = t["v_documents"].where("document_id % 2 = 0")
+    known = t["v_documents"].where("lang = 'en'")
     found = scan_corpus(_files(t), known, "/sources")
     return found.select("path", "file_size_bytes", "corpus", F.col("ingested").cast("int").alias("ingested"))
 
 
 @register("src_register_documents", """
     SELECT sha256('document:' || source_path) AS document_id, title, filename, source_path, lang || '/' || corpus AS doc_source
-    FROM @v_documents WHERE document_id % 2 = 1""")
+    FROM @v_documents WHERE lang <> 'en'""")
 def src_register_documents(t: Tables) -> DataFrame:
-    known = t["v_documents"].where("document_id % 2 = 0")
+    known = t["v_documents"].where("lang = 'en'")
     new = register_documents(scan_corpus(_files(t), known, "/sources"))
     return new.select("document_id", "title", "filename", "source_path", "doc_source")
 
@@ -301,14 +301,17 @@ def src_artifact_import(t: Tables) -> DataFrame:
 
 
 @register("snk_page_upsert", """
-    SELECT document_id, page_number, 1000 AS width_px FROM @b_scans WHERE document_id % 2 = 0
-    UNION ALL SELECT document_id, page_number, width_px FROM @b_scans WHERE document_id % 2 = 1
-    UNION ALL SELECT document_id, 999, 1000 FROM @b_documents WHERE document_id % 2 = 0""")
+    WITH redo AS (SELECT document_id FROM @b_documents WHERE doc_type = 'manuel')
+    SELECT document_id, page_number, 1000 AS width_px FROM @b_scans WHERE document_id IN (SELECT document_id FROM redo)
+    UNION ALL SELECT document_id, page_number, width_px FROM @b_scans WHERE document_id NOT IN (SELECT document_id FROM redo)
+    UNION ALL SELECT document_id, 999, 1000 FROM redo""")
 def snk_page_upsert(t: Tables) -> DataFrame:
+    """The scans of every manual come in again, each with one page more."""
     from foliospark.plans.corpus_edit import upsert
 
-    redone = t["b_scans"].where("document_id % 2 = 0").withColumn("width_px", F.lit(1000))
-    fresh = t["b_documents"].where("document_id % 2 = 0").select(
+    redo = t["b_documents"].where("doc_type = 'manuel'").select("document_id")
+    redone = t["b_scans"].join(redo, "document_id", "left_semi").withColumn("width_px", F.lit(1000))
+    fresh = redo.select(
         "document_id", F.lit(999).alias("page_number"), F.lit(1000).alias("width_px"), F.lit(900).alias("height_px")
     )
     new = redone.unionByName(fresh)

@@ -400,12 +400,12 @@ def win_seq_index(t: Tables) -> DataFrame:
     WITH {_RELIABLE},
     ch AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_start) AS k FROM rl WHERE level = 1)
     SELECT document_id, CAST(toc_id AS STRING) AS unit_id, title, page_start, page_end,
-           CASE WHEN toc_id % 3 = 0 THEN toc_id % 10 ELSE k END AS lesson_number FROM ch
+           CASE WHEN title = 'AF' THEN toc_id % 10 ELSE k END AS lesson_number FROM ch
     UNION ALL
     SELECT document_id, 'doc_' || CAST(document_id AS STRING), title, 1, 60, 1 FROM @b_documents d
     WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.document_id = d.document_id)""")
 def win_lesson_number(t: Tables) -> DataFrame:
-    indexes = t["b_toc"].where("level = 1 and toc_id % 3 = 0").select("toc_id", (F.col("toc_id") % 10).alias("lesson_index"))
+    indexes = t["b_toc"].where("level = 1 and title = 'AF'").select("toc_id", (F.col("toc_id") % 10).alias("lesson_index"))
     units = tc.course_units(t["b_toc"], t["b_links"], t["b_documents"], indexes)
     return units.select("document_id", "unit_id", "title", "page_start", "page_end", "lesson_number")
 
