@@ -1,60 +1,52 @@
 """Range joins (page in [start, end]) as equi-joins.
 
-A range is written as a few nodes of a fixed tree over page numbers (fan-out
-16): at most 30 nodes per level, whatever its length.  A page looks up its one
-ancestor per level.  Both sides meet on (keys, level, node), so no pair of a
-key's pages and ranges is ever enumerated and a busy document spreads over
-its nodes.  The best range per node is picked before the join.
+A range is written as a few cells of a fixed tree over page numbers (fan-out
+8): at most 14 cells per level, whatever its length.  A page looks up its one
+ancestor per level.  Both sides meet on (keys, cell), so no pair of a key's
+pages and ranges is ever enumerated and a busy document spreads over its
+cells.  The best range per cell is picked before the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-FAN = 16
-LEVELS = 5
+BITS = 3  # eight children per cell
+LEVELS = 7
+LEVEL_STEP = 1 << 40  # cells of different levels never share a number
 
 
-def _sequence(lo: Column, hi: Column) -> Column:
-    """lo .. hi-1, empty when there is nothing between."""
-    return F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+def _cells(lo: Column, hi: Column, level: int) -> Column:
+    """Cells lo .. hi-1 of a level, none when there is nothing between."""
+    first = level * LEVEL_STEP
+    return F.when(lo < hi, F.sequence(lo + first, hi + (first - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _at_level(level: int):
-    return lambda n: F.struct(F.lit(level).alias("lv"), n.alias("node"))
-
-
-def _nodes(ranges: DataFrame, start: str, end: str) -> DataFrame:
-    """Cover each [start, end] by tree nodes, one row per (range, node)."""
+def _covered(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """Cover each [start, end] by tree cells, one row per (range, cell)."""
     df = ranges.withColumn("_lo", F.col(start).cast("long")).withColumn("_hi", F.col(end).cast("long") + 1)
     parts = []
     for level in range(LEVELS):
         lo, hi = F.col("_lo"), F.col("_hi")
+        up, down = F.shiftright(lo + (2**BITS - 1), BITS), F.shiftright(hi, BITS)
         if level == LEVELS - 1:
-            cover = _sequence(lo, hi)
-        else:
-            up, down = F.ceil(lo / FAN), F.floor(hi / FAN)
-            cover = F.when(
-                up <= down, F.concat(_sequence(lo, up * FAN), _sequence(down * FAN, hi))
-            ).otherwise(_sequence(lo, hi))
-        df = df.withColumn(f"_n{level}", cover)
-        parts.append(F.transform(F.col(f"_n{level}"), _at_level(level)))
-        if level < LEVELS - 1:
-            df = df.withColumn("_u", F.when(up <= down, up).otherwise(0)).withColumn(
-                "_d", F.when(up <= down, down).otherwise(0)
-            ).withColumn("_lo", F.col("_u")).withColumn("_hi", F.col("_d"))
-    return df.select(*ranges.columns, F.explode(F.concat(*parts)).alias("_at"))
+            parts.append(_cells(lo, hi, level))
+            break
+        inner = F.concat(
+            _cells(lo, F.shiftleft(up, BITS), level), _cells(F.shiftleft(down, BITS), hi, level)
+        )
+        df = df.select(
+            "*", F.when(up <= down, inner).otherwise(_cells(lo, hi, level)).alias(f"_n{level}"),
+            F.when(up <= down, up).otherwise(F.lit(0)).alias("_up"),
+            F.when(up <= down, down).otherwise(F.lit(0)).alias("_down"),
+        ).drop("_lo", "_hi").withColumnsRenamed({"_up": "_lo", "_down": "_hi"})
+        parts.append(F.col(f"_n{level}"))
+    return df.select(*ranges.columns, F.explode(F.concat(*parts)).alias("cell"))
 
 
 def _ancestors(point: str) -> Column:
-    return F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(lv).alias("lv"), F.floor(F.col(point) / FAN**lv).alias("node"))
-                for lv in range(LEVELS)
-            ]
-        )
-    )
+    page = F.col(point).cast("long")
+    return F.explode(F.array(*[F.shiftright(page, BITS * lv) + lv * LEVEL_STEP for lv in range(LEVELS)]))
 
 
 def range_match(
@@ -82,17 +74,19 @@ def range_match(
         F.greatest(F.col(start).cast("long"), F.lit(0)).alias("_s"),
         F.least(F.coalesce(F.col(end).cast("long"), last), last).alias("_e"),
     )
-    nodes = _nodes(bounded, "_s", "_e").select(*keys, "_at.lv", "_at.node", "_hit", "_ord")
+    cells = _covered(bounded, "_s", "_e").select(*keys, "cell", "_hit", "_ord")
     pages = points.select(*keys, F.col(point).alias("_p")).where("_p is not null").distinct()
-    looked = pages.select(*keys, "_p", _ancestors("_p").alias("_at")).select(*keys, "_p", "_at.lv", "_at.node")
-    on = [*keys, "lv", "node"]
+    looked = pages.select(*keys, "_p", _ancestors("_p").alias("cell"))
+    on = [*keys, "cell"]
     if pick == "all":
-        matched = looked.join(nodes, on).select(*keys, "_p", "_hit")
+        matched = looked.join(cells, on).select(*keys, "_p", "_hit")
     else:
-        best = F.min_by if pick == "first" else F.max_by
         edge = F.min if pick == "first" else F.max
-        top = nodes.groupBy(*on).agg(best("_hit", "_ord").alias("_hit"), edge("_ord").alias("_ord"))
-        matched = looked.join(top, on).groupBy(*keys, "_p").agg(best("_hit", "_ord").alias("_hit"))
+        best = cells.groupBy(*on).agg(edge(F.struct("_ord", "_hit")).alias("_best"))
+        matched = (
+            looked.join(best, on).groupBy(*keys, "_p").agg(edge("_best").alias("_best"))
+            .select(*keys, "_p", F.col("_best._hit").alias("_hit"))
+        )
     matched = matched.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_p", "_hit")
     condition = points[point] == matched["_p"]
     for k in keys:
