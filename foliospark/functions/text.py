@@ -159,16 +159,16 @@ def unreadable(c: Column) -> Column:
     vowelless tokens; substantial Arabic passes."""
     t = strip(c)
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    letters = count(r"\p{L}")
-    arabic = count(r"[\u0600-\u06FF&&\p{L}]")
-    total = count(f"[{_LATIN}]+")
-    short = count(f"(?<![{_LATIN}])[{_LATIN}]{{1,3}}(?![{_LATIN}])")
-    vowelless = count(f"(?<![{_LATIN}]){_NO_VOWEL}{{4,}}(?![{_LATIN}])")
-    long = total - short
+    # Greedy runs need no look-around to be counted whole.
+    total, long = count(f"[{_LATIN}]+"), count(f"[{_LATIN}]{{4,}}")
+    short = total - long
+    vowelless = count(f"(?<![{_LATIN}]){_NO_VOWEL}{{4,}}+(?![{_LATIN}])")
+    # Letters are counted one by one only where there is Arabic at all.
+    arabic = count(r"[\u0600-\u06FF&&\p{L}]") >= count(r"\p{L}") * 0.3
     return (
         F.when(F.length(t) < 20, True)
-        .when(letters == 0, True)
-        .when(arabic >= letters * 0.3, False)
+        .when(~t.rlike(r"\p{L}"), True)
+        .when(t.rlike(r"[\u0600-\u06FF]") & arabic, False)
         .when(total < 6, False)
         .otherwise((short > total * 0.55) | ((long > 0) & (vowelless > long * 0.4)))
     )

@@ -12,6 +12,7 @@ from foliospark.functions.anchoring import anchor_safe
 from foliospark.operators.filters import requalify_candidates
 from foliospark.plans.chunk_corpus import call_model
 from foliospark.plans.curriculum import key_id
+from foliospark.session import checkpointed
 
 MAX_ELEMENTS, MIN_SIDE = 12, 20
 # Layout limits as shares of the page.
@@ -37,7 +38,10 @@ def requalify(
     maps an artifact id to the model's text; it never stops the job.
     """
     todo = requalify_candidates(artifacts, scans, limit, retry_failed).select(F.col(key).alias("_id"))
-    asked = call_model(todo, fn, F.col("_id").cast("string"), "_text")
+    # The limit leaves one partition; model calls are dealt out again, and the
+    # answers are kept so that no candidate is asked twice.
+    tasks = max(1, min(limit, artifacts.sparkSession.sparkContext.defaultParallelism))
+    asked = checkpointed(call_model(todo.repartition(tasks, "_id"), fn, F.col("_id").cast("string"), "_text"))
     answer = asked.select("_id", map_answer(first_json("_text")).alias("_a"))
     merged = artifacts.join(answer.withColumn("_asked", F.lit(True)), F.col(key) == F.col("_id"), "left")
     asked_, ok = F.coalesce("_asked", F.lit(False)), F.col("_a").isNotNull()
