@@ -9,12 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.ann import nearest
 from foliospark.llm.common import scratch
 from foliospark.llm.encode import encode_documents
 from foliospark.llm.exact import UPPER, exact_duplicates
-from foliospark.llm.packing import WINDOW, pack_documents
+from foliospark.llm.language import identify, is_held_out, train
+from foliospark.llm.lines import remove_repeated_lines
+from foliospark.llm.packing import pack_documents
+from foliospark.llm.scoring import pseudo_likelihood
 from foliospark.llm.sharding import write_shards
 from foliospark.llm.simhash import near_duplicates
+from foliospark.llm.warc import archive_pages
 
 PIECES = os.environ.get("FOLIO_PIECE_MODEL", public_tokenizers.path("piece_bpe_32k.model"))
 BYTES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -89,3 +94,59 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM n WINDOW same AS (PARTITION BY t)""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_nearest")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op6_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (
+      SELECT page_id, h, strlen(h)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first,
+             list_aggregate(list_transform(range(1, 41), lambda j:
+               lpad(bin(strpos('0123456789abcdef', substr(sha1(h), j::INT, 1)) - 1), 4, '0')), 'string_agg', '') AS bits
+      FROM p)
+    SELECT page_id, payload_bytes,
+           list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1
+             + substr(bits, (5 * i + 1)::INT, 1)::INT * 16 + substr(bits, (5 * i + 2)::INT, 1)::INT * 8
+             + substr(bits, (5 * i + 3)::INT, 1)::INT * 4 + substr(bits, (5 * i + 4)::INT, 1)::INT * 2
+             + substr(bits, (5 * i + 5)::INT, 1)::INT)::INT, 1)), 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_pseudo_likelihood")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_line_dedup", """
+    WITH l AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+             unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+    f AS (SELECT doc_id, n, trim(line) AS t FROM l WHERE trim(line) <> ''),
+    w AS (
+      SELECT doc_id, n AS start, lead(n, 2) OVER d AS stop, t || chr(10) || lead(t) OVER d || chr(10) || lead(t, 2) OVER d AS k
+      FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+    later AS (
+      SELECT doc_id, start, stop FROM (
+        SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, start) AS r FROM w WHERE stop IS NOT NULL) WHERE r > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS n FROM later)
+    SELECT l.doc_id, count(*) AS n_lines, count(gone.n) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (WHERE gone.n IS NULL), '')) AS text_sha256
+    FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.n = gone.n GROUP BY l.doc_id""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
