@@ -11,7 +11,7 @@ from foliospark.catalog.q_listing import _SIZED
 from foliospark.catalog.tables import Tables, register
 from foliospark.functions.artifacts import first_json
 from foliospark.operators.aggregates import count_if
-from foliospark.plans import artifact_jobs as aj, corpus_edit as ed, ledger as lg
+from foliospark.plans import artifact_jobs as aj, corpus_edit as ed, layout_boxes, ledger as lg
 
 
 def _corpus(t: Tables) -> dict[str, DataFrame]:
@@ -350,7 +350,7 @@ def job_merge_boxes(t: Tables) -> DataFrame:
         (F.col("x0") + (F.col("x1") - F.col("x0")) / 6).alias("x1"), (F.col("y0") + (F.col("y1") - F.col("y0")) / 6).alias("y1"),
         (F.col("artifact_type") == "data_table").alias("is_text"), F.lit(2480).alias("width_px"), F.lit(3508).alias("height_px"),
     )
-    return aj.merge_boxes(boxes)
+    return layout_boxes.merge_boxes(boxes)
 
 
 @register("job_anchor_artifacts", """

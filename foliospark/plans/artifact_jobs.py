@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions.artifacts import first_json, map_answer
@@ -14,11 +13,7 @@ from foliospark.plans.chunk_corpus import call_model
 from foliospark.plans.curriculum import key_id
 from foliospark.session import checkpointed
 
-MAX_ELEMENTS, MIN_SIDE = 12, 20
-# Layout limits as shares of the page.
-MIN_AREA, MAX_AREA, MAX_ASPECT, MIN_INK = 0.005, 0.92, 25.0, 0.010
-MERGE_GAP, MERGE_SMALL, MERGE_COVER, MERGE_SIDE, PAD = 0.012, 0.020, 0.60, 0.12, 0.004
-MAX_REGIONS = 20
+MIN_SIDE = 20
 
 
 def mark(config: Column, key: str, value: Column) -> Column:
@@ -68,15 +63,16 @@ def requalify_report(report: DataFrame) -> DataFrame:
     return report.groupBy("new_type", "semantic").agg(F.count("*").alias("n"))
 
 
-def explode_elements(frames: DataFrame, elements: DataFrame) -> DataFrame:
+def explode_elements(frames: DataFrame, elements: DataFrame, max_elements: int | None = None) -> DataFrame:
     """Children of full-page frames from a table of detected elements.
 
     ``elements(frame_id, element_no, answer, x0, y0, x1, y1)`` gives relative
-    positions in percent or per mille; twelve per frame, in their order.
+    positions in percent or per mille.  All elements of a frame stay unless
+    ``max_elements`` names how many of its first ones to take.
     """
     scale = F.when(F.greatest("x0", "y0", "x1", "y1") > 100, 1000.0).otherwise(100.0)
     placed = (
-        elements.where(F.col("element_no") < MAX_ELEMENTS)
+        (elements if max_elements is None else elements.where(F.col("element_no") < max_elements))
         .join(frames, elements["frame_id"] == frames["artifact_id"])
         .withColumn("_s", scale)
         .withColumn("_w", F.col("bbox.x1") - F.col("bbox.x0"))
@@ -133,111 +129,3 @@ def anchor_artifacts(chunks: DataFrame, artifacts: DataFrame, scans: DataFrame)
         F.when(here, text).otherwise(F.col(c)).alias(c) if c == "content_markdown" else F.col(c)
         for c in chunks.columns
     ])
-
-
-# ── layout boxes ───────────────────────────────────────────────────────────
-
-
-def _fits(box: tuple, page_area: float) -> bool:
-    w, h = box[2] - box[0], box[3] - box[1]
-    if w <= 0 or h <= 0:
-        return False
-    return MIN_AREA <= w * h / page_area <= MAX_AREA and max(w / h, h / w) <= MAX_ASPECT
-
-
-def _joinable(a: tuple, b: tuple, width: float, height: float) -> bool:
-    """Overlapping boxes, or a small fragment lying in the shadow of a
-    neighbour, unless the union would rebuild the page."""
-    shared = [min(a[i + 2], b[i + 2]) - max(a[i], b[i]) for i in (0, 1)]
-    if min(shared) > 0:
-        return True
-    union = (max(a[2], b[2]) - min(a[0], b[0])) * (max(a[3], b[3]) - min(a[1], b[1]))
-    gap = int(max(width, height) * MERGE_GAP)
-    if union > MAX_AREA * width * height or max(-shared[0], -shared[1]) > gap:
-        return False
-    for box in (a, b):
-        w, h = box[2] - box[0], box[3] - box[1]
-        if w * h < MERGE_SMALL * width * height and max(w, h) <= MERGE_SIDE * max(width, height):
-            return any(max(0, shared[i]) / max(1, (w, h)[i]) >= MERGE_COVER for i in (0, 1))
-    return False
-
-
-def _merge(boxes: list[tuple], width: float, height: float) -> list[tuple]:
-    """Union joinable boxes until none is left to join."""
-    while True:
-        merged: list[tuple] = []
-        todo = list(boxes)
-        while todo:
-            grown, rest = todo[0], []
-            for other in todo[1:]:
-                if _joinable(grown, other, width, height):
-                    grown = (*map(min, grown[:2], other[:2]), *map(max, grown[2:], other[2:]))
-                else:
-                    rest.append(other)
-            merged.append(grown)
-            todo = rest
-        if len(merged) == len(boxes):
-            return merged
-        boxes = merged
-
-
-def merge_boxes(boxes: DataFrame, max_regions: int = MAX_REGIONS) -> DataFrame:
-    """Regions of each page from its raw layout boxes, in reading order.
-
-    ``boxes(document_id, page_number, box_no, x0, y0, x1, y1, is_text,
-    width_px, height_px)``; the group is a single page image, whose boxes are
-    limited by their minimum area.  A region is text when all its boxes are.
-    """
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    keep = boxes.where(area >= F.col("width_px") * F.col("height_px") * MIN_AREA)
-    names = ["document_id", "page_number", "x0", "y0", "x1", "y1", "is_text", "width_px", "height_px"]
-
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted boxes page by page; only the page at hand is held."""
-        current, found = None, []
-        for batch in batches:
-            out = []
-            for doc, number, x0, y0, x1, y1, text, width, height in batch[names].itertuples(index=False, name=None):
-                if (doc, number, width, height) != current:
-                    if found:
-                        out += _regions(*current, found, max_regions)
-                    current, found = (doc, number, width, height), []
-                found.append(((x0, y0, x1, y1), text))
-            yield pd.DataFrame(out, columns=_REGION)
-        if found:
-            yield pd.DataFrame(_regions(*current, found, max_regions), columns=_REGION)
-
-    kind = boxes.schema["document_id"].dataType.simpleString()
-    return (
-        keep.repartition("document_id", "page_number")
-        .sortWithinPartitions("document_id", "page_number", "box_no")
-        .mapInPandas(
-            pages,
-            f"document_id {kind}, page_number int, region_no int, x0 double, y0 double, x1 double, y1 double,"
-            " is_text boolean",
-        )
-    )
-
-
-_REGION = ["document_id", "page_number", "region_no", "x0", "y0", "x1", "y1", "is_text"]
-
-
-def _regions(document_id, page_number, width: float, height: float, found: list, max_regions: int) -> list[tuple]:
-    good = [(box, text) for box, text in found if _fits(box, width * height)]
-    regions = []
-    for box in _merge([b for b, _ in good], width, height):
-        if not _fits(box, width * height):
-            continue
-        inside = [
-            t for b, t in good if b[0] >= box[0] and b[1] >= box[1] and b[2] <= box[2] and b[3] <= box[3]
-        ]
-        regions.append((all(inside), box[1], box[0], box))
-    best = sorted(regions, key=lambda r: r[:3])[: max(1, max_regions)]
-    pad = int(max(width, height) * PAD)
-    return [
-        (
-            document_id, page_number, n, float(max(0, b[0] - pad)), float(max(0, b[1] - pad)),
-            float(min(width, b[2] + pad)), float(min(height, b[3] + pad)), bool(text),
-        )
-        for n, (text, _, _, b) in enumerate(sorted(best, key=lambda r: (r[1], r[2])))
-    ]

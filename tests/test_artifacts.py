@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from foliospark.functions import artifacts as art
-from foliospark.plans import artifact_jobs as aj
+from foliospark.plans import artifact_jobs as aj, layout_boxes
 
 
 def mapped(col, **answer):
@@ -73,42 +73,63 @@ def test_artifact_dimension(spark):
     assert dim.where("artifact_type = 'matrix'").first()["renderer"] == "katex"
 
 
-def brute_merge(boxes, width, height):
-    """The rule applied pair by pair until nothing changes."""
+def page_fits(b, width=2480, height=3508):
+    w, h = b[2] - b[0], b[3] - b[1]
+    return w > 0 and h > 0 and 0.005 <= w * h / (width * height) <= 0.92 and max(w / h, h / w) <= 25
+
+
+def overlap(a, b):
+    return min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1])
+
+
+def together(boxes, width, height):
+    """Boxes that overlap, grown to their hull until none overlap."""
     boxes = list(boxes)
     while True:
-        out, used = [], [False] * len(boxes)
-        for i, box in enumerate(boxes):
-            if used[i]:
-                continue
-            for k in range(i + 1, len(boxes)):
-                if not used[k] and aj._joinable(box, boxes[k], width, height):
-                    o = boxes[k]
-                    box = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3]))
-                    used[k] = True
-            out.append(box)
-        if len(out) == len(boxes):
-            return out
-        boxes = out
-
-
-def test_merge_boxes(spark):
+        pair = next(((i, k) for i in range(len(boxes)) for k in range(i) if overlap(boxes[i], boxes[k])), None)
+        if pair is None:
+            return boxes
+        a, b = boxes.pop(pair[0]), boxes.pop(pair[1])
+        boxes.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
+
+
+BOX = "document_id int, page_number int, box_no int, x0 double, y0 double, x1 double, y1 double, is_text boolean, width_px int, height_px int"
+
+
+def test_merge_overlapping_boxes(spark):
     import random
 
     rng = random.Random(3)
     rows, pages = [], {}
-    for page in range(1, 6):
-        for n in range(12):
+    for page in range(1, 9):
+        for n in range(14):
             x, y = rng.randrange(0, 2000), rng.randrange(0, 3000)
-            w, h = rng.randrange(60, 900), rng.randrange(60, 900)
+            w, h = rng.randrange(420, 700), rng.randrange(420, 700)
             rows.append((1, page, n, float(x), float(y), float(min(2480, x + w)), float(min(3508, y + h)), n % 3 == 0, 2480, 3508))
             pages.setdefault(page, []).append(rows[-1])
-    df = spark.createDataFrame(rows, "document_id int, page_number int, box_no int, x0 double, y0 double, x1 double, y1 double, is_text boolean, width_px int, height_px int")
-    got = aj.merge_boxes(df.repartition(3)).collect()
+    df = spark.createDataFrame(rows + rows[:20], BOX)
+    got = layout_boxes.merge_boxes(df.repartition(3)).collect()
+    pad = 14
     for page, boxes in pages.items():
-        fit = [b[3:7] for b in boxes if aj._fits(b[3:7], 2480 * 3508)]
-        want = [b for b in brute_merge(fit, 2480, 3508) if aj._fits(b, 2480 * 3508)]
-        assert len([g for g in got if g.page_number == page]) == min(20, len(want))
+        want = [b for b in together([b[3:7] for b in boxes if page_fits(b[3:7])], 2480, 3508) if page_fits(b)]
+        padded = sorted((max(0, b[0] - pad), max(0, b[1] - pad), min(2480, b[2] + pad), min(3508, b[3] + pad)) for b in want)
+        own = sorted((g for g in got if g.page_number == page), key=lambda g: g.region_no)
+        assert sorted((g.x0, g.y0, g.x1, g.y1) for g in own) == padded
+        assert [g.region_no for g in own] == list(range(len(own)))
+        assert [(g.y0, g.x0) for g in own] == sorted((g.y0, g.x0) for g in own)
+
+
+def test_merge_fragments(spark):
+    def row(n, x0, y0, x1, y1, text=False):
+        return (1, 1, n, float(x0), float(y0), float(x1), float(y1), text, 2480, 3508)
+
+    rows = [row(0, 100, 100, 1100, 1100), row(1, 1120, 300, 1400, 480), row(2, 1500, 300, 1760, 480, True),
+            row(3, 100, 1800, 900, 2900, True), row(4, 100, 2000, 110, 2001)]
+    got = layout_boxes.merge_boxes(spark.createDataFrame(rows, BOX)).orderBy("region_no").collect()
+    assert [(g.x0, g.y0, g.x1, g.y1, g.is_text) for g in got] == [
+        (86.0, 86.0, 1414.0, 1114.0, False), (1486.0, 286.0, 1774.0, 494.0, True), (86.0, 1786.0, 914.0, 2914.0, True)]
+    first = layout_boxes.merge_boxes(spark.createDataFrame(rows, BOX), max_regions=1).collect()
+    assert [g.is_text for g in first] == [False]
 
 
 def test_explode_elements(spark):
@@ -116,6 +137,7 @@ def test_explode_elements(spark):
     rows = [("f", 0, '{"type": "photo", "caption_ar": "c"}', 10.0, 10.0, 50.0, 50.0), ("f", 1, "{}", 100.0, 100.0, 500.0, 500.0),
             ("f", 2, "{}", 1.0, 1.0, 1.5, 2.0), ("f", 12, "{}", 10.0, 10.0, 50.0, 50.0)]
     el = spark.createDataFrame(rows, "frame_id string, element_no int, answer string, x0 double, y0 double, x1 double, y1 double")
-    got = aj.explode_elements(frames, el).collect()
+    assert aj.explode_elements(frames, el).count() == 3
+    got = aj.explode_elements(frames, el, max_elements=12).collect()
     assert [tuple(g.bbox) for g in got] == [(200.0, 250.0, 600.0, 1050.0)] * 2
     assert {g.artifact_type for g in got} == {"dense_illustration"}

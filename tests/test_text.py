@@ -88,10 +88,19 @@ def test_latex_cleaning(col):
     assert col("3،5 $ rac{1}{2}", latex.clean_math) == "3,5  \\frac{1}{2}"
     assert col("طول", latex.clean_math) == "\\text{طول}"
     assert col("a _____ b", latex.self_heal) == "a  $\\dots$  b"
-    assert col("\\frac 1 {2}", latex.self_heal) == "\\frac{1}{2}"
+    for torn in ("\\frac 1 {2}", "\\frac{1}{2}", "\\frac${1}${2}", "\\frac{1} 2", "$frac{1}{2}", "\\fra$c${1}{2}", "\\fr$a$c${1}{2}", "rac{1}{2}"):
+        assert col(torn, latex.self_heal) == "\\frac{1}{2}", torn
+    assert col("\\frac12 and {{a}}{{b}}", latex.self_heal) == "\\frac12 and {a}{b}"
+    assert col("\\underbrace{a+\\text{b}}{ \\text{c d} }", latex.self_heal) == "\\underbrace{a+\\text{b}}_{ \\text{c d} }"
+    assert col("\\underbrace{a}_{b} {c}{d}", latex.self_heal) == "\\underbrace{a}_{b} {c}{d}"
+    assert col("\\begin{cases}1\\end{cases}", latex.self_heal) == "$$\n\\begin{cases}1\\end{cases}\n$$"
+    assert col("$\\begin{cases}1\\end{cases}$", latex.self_heal) == "$\\begin{cases}1\\end{cases}$"
+    assert col("eft( ight) height) left(", latex.self_heal) == "\\left( \\right) height) left("
+    assert col("\\d \\frac{1}{2} \\d\\dfrac", latex.clean_math) == "\\dfrac{1}{2} \\dfrac"
+    assert col("\\text{\\text{a}}\\text{ ، } \\text{طول ب} عرض", latex.clean_math) == "\\text{a} ,  \\text{طول ب} \\text{عرض}"
     got = col("$$a$$ mid $b$ and $c$", latex.protect_math)
     assert [tuple(b) for b in got["blocks"]] == [("display", "a"), ("inline", "b"), ("inline", "c")]
-    assert got["text"] == "\n\n%%%MATHBLOCK_0%%%\n\n mid %%%MATHBLOCK_1%%% and %%%MATHBLOCK_2%%%"
+    assert got["text"] == "\n\n⟦math 0⟧\n\n mid ⟦math 1⟧ and ⟦math 2⟧"
 
 
 @given(st.text(alphabet="$ \\[]()abegindtms{}12", max_size=40))
