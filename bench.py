@@ -32,7 +32,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session("bench", cpus)
     registry = load()
-    tables = Tables(spark, sf_dir)
+    tables = Tables(spark, sf_dir, tasks=int(cpus))
     spent: dict[str, float] = {}
     for name in sys.argv[1:] or HEADLINE:
         times = []

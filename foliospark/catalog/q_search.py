@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from foliospark.catalog.tables import Tables, register
@@ -10,9 +12,10 @@ from foliospark.operators.joins import hydrate
 from foliospark.operators.sets import index_rows
 from foliospark.operators.topk import top_k
 from foliospark.plans.search import (
-    CHANNEL_TOP, Settings, bm25, build_index, channel_rank, fuse_ranks, hybrid_search, knn, query_terms,
+    CHANNEL_TOP, Index, Settings, build_index, channel_rank, fuse_ranks, hybrid_search, index_bm25, knn,
     rag_context, ranked_hits, scan_bm25,
 )
+from foliospark.session import shared_dir
 
 QUERY = "esat estion ndat"
 TERMS = QUERY.split()
@@ -73,7 +76,7 @@ def sql_ranks(bm25_limit: float = -0.3, vec_limit: float = VEC_LIMIT) -> str:
 _ALL = "(SELECT 'all' AS corpus, row_id, chunk_id, search_content FROM @v_rows)"
 _ALL_VEC = "(SELECT 'all' AS corpus, chunk_id, embedding FROM @v_vectors)"
 _HIT_COLUMNS = """chunk_id, d.document_id, d.title AS document_title, c.page_number, c.section_title,
-    left(c.content_markdown, 1200) AS content_markdown, c.pedagogical_type"""
+    c.content_markdown, c.pedagogical_type"""
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -84,6 +87,21 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.select("corpus", "chunk_id", "bm25_rank", "vec_rank", F.round("_rrf", 5).alias("rrf_score"))
 
 
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(t: Tables, name: str, rows: DataFrame) -> Index:
+    """The index of a table set, written to the shared folder the first time a session asks for it."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _INDEXES:
+        path = f"{shared_dir(t.spark).rstrip('/')}/index-{name}-{uuid.uuid4().hex}"
+        build_index(rows, COLUMNS).write(path)
+        target = t.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(t.spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+        _INDEXES[key] = path
+    return Index.read(t.spark, _INDEXES[key])
+
+
 # ── queries ────────────────────────────────────────────────────────────────
 
 
@@ -105,8 +123,29 @@ def sr_bm25(t: Tables) -> DataFrame:
 @register("sr_bm25_index", f"""
     WITH {sql_bm25()} SELECT corpus, row_id, round(score, 4) AS score FROM scored""")
 def sr_bm25_index(t: Tables) -> DataFrame:
-    index = build_index(t["v_rows"], COLUMNS)
-    scores = bm25(index, query_terms(t.spark, {"q": QUERY}))
+    scores = index_bm25(stored_index(t, "corpora", t["v_rows"]), QUERY)
+    return scores.select("corpus", "row_id", F.round("score", 4).alias("score"))
+
+
+# Two words in a row, and one alone.
+PHRASES = "of'the esat"
+
+
+@register("sr_bm25_phrase", f"""
+    WITH toks AS (SELECT corpus, row_id, {TOKENS.format('search_content')} AS w FROM @v_rows),
+    st AS (SELECT corpus, count(*) AS n_rows, avg(len(w)) AS a FROM toks GROUP BY corpus),
+    post AS (SELECT corpus, row_id, len(w) AS dl, p,
+             CASE p WHEN 0 THEN len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))
+                  ELSE len(list_filter(w, lambda x: x = 'esat')) END AS tf
+             FROM toks, range(2) AS r(p)),
+    dfs AS (SELECT corpus, p, count(*) FILTER (WHERE tf > 0) AS n FROM post GROUP BY ALL),
+    idf AS (SELECT corpus, p, CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) > 0
+            THEN ln((n_rows - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf FROM dfs JOIN st USING (corpus))
+    SELECT corpus, row_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 4) AS score
+    FROM post JOIN idf USING (corpus, p) JOIN st USING (corpus) WHERE tf > 0 GROUP BY corpus, row_id""")
+def sr_bm25_phrase(t: Tables) -> DataFrame:
+    """A term of two tokens is a phrase, met by positions in the stored index."""
+    scores = index_bm25(stored_index(t, "corpora", t["v_rows"]), PHRASES)
     return scores.select("corpus", "row_id", F.round("score", 4).alias("score"))
 
 
@@ -211,15 +250,15 @@ _HYBRID = f"""
     JOIN (SELECT document_id, title FROM @v_documents) d ON d.document_id = c.document_id"""
 
 
-def _search(t: Tables, rows: DataFrame, vectors, vector, chunk_filter=None, settings=SETTINGS) -> DataFrame:
+def _search(t: Tables, source: Index, vectors, vector, chunk_filter=None, settings=SETTINGS) -> DataFrame:
     return hybrid_search(
-        rows, t["v_doc_chunks"], t["v_documents"], QUERY, vectors, vector, chunk_filter, settings, COLUMNS
+        source, t["v_doc_chunks"], t["v_documents"], QUERY, vectors, vector, chunk_filter, settings, COLUMNS
     )
 
 
 @register("sr_hybrid_rrf", _HYBRID)
 def sr_hybrid_rrf(t: Tables) -> DataFrame:
-    return _search(t, _one(t["v_rows"]), _one(t["v_vectors"]), query_vector(t))
+    return _search(t, stored_index(t, "all", _one(t["v_rows"])), _one(t["v_vectors"]), query_vector(t))
 
 
 @register("jn_hydrate_hits", _HYBRID)
@@ -273,18 +312,18 @@ _MULTI = f"""
     FROM hits JOIN @v_doc_chunks c USING (chunk_id)
     JOIN (SELECT document_id, title FROM @v_documents) d ON d.document_id = c.document_id""")
 def sr_multi_corpus(t: Tables) -> DataFrame:
-    return _search(t, t["v_rows"], t["v_vectors"], query_vector(t))
+    return _search(t, stored_index(t, "corpora", t["v_rows"]), t["v_vectors"], query_vector(t))
 
 
 @register("sr_context", _MULTI + """
     SELECT string_agg('[Doc: ' || d.title || ' | Page: 1 | Section: ' || c.section_title || ' | Type: '
-           || c.pedagogical_type || ']' || chr(10) || left(c.content_markdown, 1200), chr(10) || chr(10)
+           || c.pedagogical_type || ']' || chr(10) || c.content_markdown, chr(10) || chr(10)
            ORDER BY round(rrf, 5) DESC, hits.corpus, hits.chunk_id) AS context,
            CAST(count(*) AS INT) AS sources, count(*) = 0 AS no_context
     FROM hits JOIN @v_doc_chunks c USING (chunk_id)
     JOIN (SELECT document_id, title FROM @v_documents) d ON d.document_id = c.document_id""")
 def sr_context(t: Tables) -> DataFrame:
-    return rag_context(_search(t, t["v_rows"], t["v_vectors"], query_vector(t)))
+    return rag_context(_search(t, stored_index(t, "corpora", t["v_rows"]), t["v_vectors"], query_vector(t)))
 
 
 @register("set_index_rows", """
@@ -326,11 +365,11 @@ def fn_tokenize(t: Tables) -> DataFrame:
 
 @register("fn_fts_query", f"""
     WITH w AS (SELECT conv_id * 1000 + turn AS query_id, unnest({TOKENS.format('text')}) AS term
-               FROM @conversations WHERE role = 'user')
+               FROM @conversations)
     SELECT query_id, count(DISTINCT term) AS terms FROM w GROUP BY query_id""")
 def fn_fts_query(t: Tables) -> DataFrame:
-    """User turns read as queries: distinct OR-ed terms of each."""
-    asked = t["conversations"].where("role = 'user'").select(
+    """Turns read as queries: distinct OR-ed terms of each."""
+    asked = t["conversations"].select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
     )
     terms = F.array_distinct(tokens(F.replace(F.col("text"), F.lit('"'), F.lit(""))))

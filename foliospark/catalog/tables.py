@@ -13,8 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.session import spread
-
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -169,10 +167,14 @@ VIEWS: dict[str, str | tuple[str, str]] = {
 
 
 class Tables:
-    """Base tables and views of one data folder."""
+    """Base tables and views of one data folder.
+
+    ``tasks`` deals the text tables out to that many partitions, for tables that lie in a single
+    input split; without it they are read as they lie.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+    def __init__(self, spark: SparkSession, sf_dir: str, tasks: int | None = None):
+        self.spark, self.sf_dir, self.tasks = spark, sf_dir.rstrip("/"), tasks
         self._prefix = "fs_" + hashlib.md5(self.sf_dir.encode()).hexdigest()[:8] + "_"
 
     def _register(self, text: str) -> str:
@@ -185,7 +187,7 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         if name in BASE:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            return spread(df) if name in TEXT else df
+            return df.repartition(self.tasks) if self.tasks and name in TEXT else df
         view = VIEWS[name]
         return self.spark.sql(self._register(view if isinstance(view, str) else view[0]))
 

@@ -63,6 +63,10 @@ def pattern_no(text: Column, patterns: list[tuple[str, ...]], hints: dict[str, C
     return branches
 
 
+# Arabic-Indic and eastern Arabic-Indic digits.
+DIGITS = "".join(chr(base + n) for base in (0x660, 0x6F0) for n in range(10))
+
+
 def qualify(c: Column, patterns: list[tuple[str, ...]] = PATTERNS) -> Column:
     """``struct<pedagogical_type,pedagogical_index>``, nulls where nothing matches.
 
@@ -83,7 +87,8 @@ def qualify(c: Column, patterns: list[tuple[str, ...]] = PATTERNS) -> Column:
             if _has_group(pattern):
                 word = (F if word is None else word).when(hit, F.regexp_extract(row["t"], pattern, 1))
         word = F.lit(None).cast("string") if word is None else word
-        ordinal = F.coalesce(*[F.when(word == w, i) for w, i in ORDINALS.items()], word.try_cast("int"))
+        ordinal = F.coalesce(
+            *[F.when(word == w, i) for w, i in ORDINALS.items()], F.translate(word, DIGITS, "0123456789" * 2).try_cast("int"))
         return F.struct(kind.alias("pedagogical_type"), ordinal.alias("pedagogical_index"))
 
     cleaned = F.array(strip_harakat(F.coalesce(c, F.lit(""))))

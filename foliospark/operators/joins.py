@@ -11,16 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliospark.functions.text import ANCHOR
 from foliospark.operators.ranges import range_match
 
-HYDRATED_CHARS = 1200
 PAGE = ["document_id", "page_number"]
 
 
-def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame, max_chars: int = HYDRATED_CHARS) -> DataFrame:
+def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Search hits with their chunk and document; ``hits`` holds top-k rows
-    only, so it is the broadcast side."""
+    only, so it is the broadcast side.  ``max_chars`` cuts the texts."""
+    body = F.col("content_markdown") if max_chars is None else F.substring("content_markdown", 1, max_chars)
     text = chunks.select(
-        "chunk_id", "document_id", "page_number", "section_title",
-        F.substring("content_markdown", 1, max_chars).alias("content_markdown"), "pedagogical_type",
+        "chunk_id", "document_id", "page_number", "section_title", body.alias("content_markdown"), "pedagogical_type",
     )
     found = text.join(F.broadcast(hits), "chunk_id")
     titles = documents.select("document_id", F.col("title").alias("document_title"))

@@ -4,8 +4,10 @@ Two BM25 paths give the same scores:
 
 * ``scan_bm25`` reads the rows once and counts only the query's terms in each
   text.  Nothing but top-k rows is shuffled.
-* ``build_index`` writes postings, row lengths and corpus statistics once;
-  ``bm25`` then reads the query's postings only.
+* ``build_index`` makes postings with positions, row lengths and corpus statistics,
+  written once; ``index_bm25`` then reads the postings of the query's terms only.
+
+Searches take either: rows are scanned, an ``Index`` is looked up.
 
 ``query_id`` and ``corpus`` are partition keys throughout, so many corpora and
 many queries share one plan.
@@ -20,6 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliospark.functions.text import (
@@ -72,6 +75,21 @@ def scan_counts(
     )
 
 
+def _scored(counted: DataFrame, stats: DataFrame, count: int) -> DataFrame:
+    """Score rows (``dl``, ``tf<i>``) with their corpus statistics (``n_rows``, ``avg_dl``, ``n<i>``)."""
+    every = range(count)
+    hits = counted.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in every]))
+    parts = [
+        _idf(F.col("n_rows"), F.col(f"n{i}")) * _weight(F.col(f"tf{i}"), F.col("dl"), F.col("avg_dl")) for i in every
+    ]
+    scored = hits.join(stats, "corpus").withColumn("score", -reduce(lambda a, b: a + b, parts))
+    return scored.drop("dl", "n_rows", "avg_dl", *[c for i in every for c in (f"tf{i}", f"n{i}")])
+
+
+def _matching(count: int) -> list[Column]:
+    return [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(count)]
+
+
 def scan_bm25(
     rows: DataFrame, query: str, columns: list[str] = INDEXED, arabic_fold: bool = True
 ) -> DataFrame:
@@ -83,17 +101,8 @@ def scan_bm25(
     # and both the statistics and the scores read them from there.
     counted = checkpointed(scan_counts(rows, phrases, columns, arabic_fold))
     stats = counted.groupBy("corpus").agg(
-        F.count("*").alias("n_rows"),
-        F.avg("dl").alias("avg_dl"),
-        *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(phrases))],
-    )
-    hits = counted.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(phrases))]))
-    parts = [
-        _idf(F.col("n_rows"), F.col(f"n{i}")) * _weight(F.col(f"tf{i}"), F.col("dl"), F.col("avg_dl"))
-        for i in range(len(phrases))
-    ]
-    scored = hits.join(stats, "corpus").withColumn("score", -reduce(lambda a, b: a + b, parts))
-    return scored.drop("dl", "n_rows", "avg_dl", *[c for i in range(len(phrases)) for c in (f"tf{i}", f"n{i}")])
+        F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"), *_matching(len(phrases)))
+    return _scored(counted, stats, len(phrases))
 
 
 # ── BM25 by stored index ───────────────────────────────────────────────────
@@ -124,22 +133,40 @@ class Index:
         return Index(*[spark.read.parquet(f"{path}/{n}") for n in names])
 
 
+def read_corpora(spark: SparkSession, paths: dict[str, str]) -> tuple[Index | None, dict[str, str]]:
+    """One index over the stored ones that can be read, and why each other corpus is left out."""
+    found, failed = [], {}
+    for corpus, path in paths.items():
+        try:
+            found.append(Index.read(spark, path))
+        except AnalysisException as error:
+            failed[corpus] = str(error).splitlines()[0]
+    if not found:
+        return None, failed
+    both = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    return Index(*[reduce(both, [getattr(ix, n) for ix in found]) for n in ("postings", "lengths", "stats")]), failed
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of each row; an empty word parts two columns and takes a position of its own."""
     for batch in batches:
         words = batch.column("w")
-        flat = pa.table({"at": pc.list_parent_indices(words), "term": pc.list_flatten(words)})
-        counted = flat.group_by(["at", "term"]).aggregate([([], "count_all")])
+        at = pc.list_parent_indices(words)
+        starts = pc.subtract(words.offsets, words.offsets[0]).to_numpy()[:-1]
+        flat = pa.table({"at": at, "term": pc.list_flatten(words)})
+        flat = flat.append_column("position", pa.array((np.arange(len(flat)) - starts[at.to_numpy()]).astype(np.int32)))
+        flat = flat.filter(pc.not_equal(flat["term"], ""))
+        lengths = np.bincount(flat["at"].to_numpy(), minlength=batch.num_rows).astype(np.int32)
+        counted = flat.group_by(["at", "term"], use_threads=False).aggregate([([], "count_all"), ("position", "list")])
         at = counted["at"]
-        sizes = pc.list_value_length(words)
-        yield from pa.table(
-            {
-                "corpus": pc.take(batch.column("corpus"), at),
-                "row_id": pc.take(batch.column("row_id"), at),
-                "term": counted["term"],
-                "tf": counted["count_all"].cast(pa.int32()),
-                "dl": pc.take(sizes, at).cast(pa.int32()),
-            }
-        ).to_batches()
+        kept = [n for n in batch.schema.names if n != "w"]
+        yield from pa.table({
+            **{n: pc.take(batch.column(n), at) for n in kept},
+            "dl": pc.take(pa.array(lengths), at),
+            "term": counted["term"],
+            "tf": counted["count_all"].cast(pa.int32()),
+            "positions": counted["position_list"],
+        }).to_batches()
 
 
 def build_index(
@@ -147,42 +174,63 @@ def build_index(
 ) -> Index:
     """Terms are counted inside their own row, on Arrow batches, so building
     needs no shuffle however many postings there are."""
-    words = F.concat(*[tokens(F.coalesce(F.col(c), F.lit("")), arabic_fold) for c in columns])
-    cut = rows.select("corpus", "row_id", *keep, words.alias("w"))
-    size = F.size("w")
-    ident = rows.schema["row_id"].dataType.simpleString()
-    postings = cut.select("corpus", "row_id", "w").mapInArrow(
-        _count_terms, f"corpus string, row_id {ident}, term string, tf int, dl int"
-    )
-    lengths = cut.select("corpus", "row_id", *keep, size.alias("dl"))
+    gap = F.array(F.lit(""))
+    parts = [tokens(F.coalesce(F.col(c), F.lit("")), arabic_fold) for c in columns]
+    words = F.concat(*[x for part in parts for x in (gap, part)][1:])
+    names = ["corpus", "row_id", *keep]
+    cut = rows.select(*names, words.alias("w"))
+    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    postings = cut.mapInArrow(_count_terms, f"{kinds}, dl int, term string, tf int, positions array<int>")
+    lengths = cut.select(*names, (F.size("w") - len(columns) + 1).alias("dl"))
     stats = lengths.groupBy("corpus").agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"))
     return Index(postings, lengths, stats)
 
 
-def query_terms(spark: SparkSession, queries: dict[str, str], arabic_fold: bool = True) -> DataFrame:
-    """Single-token query terms as a table (a few rows per query)."""
-    rows = [
-        (query_id, phrase[0])
-        for query_id, text in queries.items()
-        for phrase in query_phrases(text, arabic_fold)
-        if len(phrase) == 1
-    ]
-    return spark.createDataFrame(rows, "query_id string, term string")
+def index_counts(index: Index, phrases: list[list[str]], corpora: list[str] | None = None) -> DataFrame:
+    """Matching rows with ``dl`` and one frequency ``tf<i>`` per phrase, from the postings of its words.
 
+    The words, and the corpora when named, are literals that reach the scan.  Words of a phrase
+    meet by their positions.
+    """
+    words = sorted({w for phrase in phrases for w in phrase})
+    hits = index.postings.where(F.col("term").isin(words))
+    if corpora is not None:
+        hits = hits.where(F.col("corpus").isin(corpora))
+    keys = [c for c in index.postings.columns if c not in ("term", "tf", "positions")]
+    of = lambda c, w: F.max(F.when(F.col("term") == w, F.col(c)))
+    single = {p[0] for p in phrases if len(p) == 1}
+    joint = sorted({w for p in phrases if len(p) > 1 for w in p})
+    met = hits.groupBy(*keys).agg(
+        *[of("tf", w).alias(f"_tf{i}") for i, w in enumerate(words) if w in single],
+        *[of("positions", w).alias(f"_at{i}") for i, w in enumerate(words) if w in joint])
+
+    def together(phrase: list[str]) -> Column:
+        first, *rest = [F.col(f"_at{words.index(w)}") for w in phrase]
+        return F.size(F.filter(first, lambda p: reduce(
+            lambda a, b: a & b, [F.coalesce(F.array_contains(at, p + n), F.lit(False)) for n, at in enumerate(rest, 1)])))
+
+    frequency = lambda p: F.col(f"_tf{words.index(p[0])}") if len(p) == 1 else together(p)
+    # The size of no list at all is -1 or null.
+    return met.select(*keys, *[
+        F.greatest(F.coalesce(frequency(p), F.lit(0)), F.lit(0)).alias(f"tf{i}") for i, p in enumerate(phrases)])
+
+
+def index_bm25(index: Index, query: str, arabic_fold: bool = True, corpora: list[str] | None = None) -> DataFrame:
+    """Scored matching rows as from :func:`scan_bm25`, read from the stored index."""
+    phrases = query_phrases(query, arabic_fold)
+    if not phrases:
+        return index.lengths.where("false").drop("dl").withColumn("score", F.lit(0.0))
+    counted = index_counts(index, phrases, corpora)
+    # The same exchange feeds the counts per corpus and the scores.
+    stats = counted.groupBy("corpus").agg(*_matching(len(phrases))).join(index.stats, "corpus")
+    return _scored(counted, stats, len(phrases))
 
-def bm25(index: Index, terms: DataFrame) -> DataFrame:
-    """``query_id, corpus, row_id, score`` of every matching row.
 
-    ``terms`` comes from :func:`query_terms`: it is typed in by users, so it
-    is small and broadcast to the postings.
-    """
-    hits = index.postings.join(F.broadcast(terms), "term")
-    found = (
-        hits.groupBy("query_id", "corpus", "term").agg(F.count("*").alias("n_hits")).join(index.stats, "corpus")
-    )
-    weighted = hits.join(found, ["query_id", "corpus", "term"])
-    part = _idf(F.col("n_rows"), F.col("n_hits")) * _weight(F.col("tf"), F.col("dl"), F.col("avg_dl"))
-    return weighted.groupBy("query_id", "corpus", "row_id").agg((-F.sum(part)).alias("score"))
+def bm25(index: Index, queries: dict[str, str], arabic_fold: bool = True, corpora: list[str] | None = None) -> DataFrame:
+    """The same for several typed-in queries, with their ``query_id``."""
+    found = [index_bm25(index, text, arabic_fold, corpora).withColumn("query_id", F.lit(name))
+             for name, text in queries.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 # ── nearest neighbours ─────────────────────────────────────────────────────
@@ -209,10 +257,14 @@ def scored_vectors(vectors: DataFrame, query: list[float], metric: str = "l2", t
                 values = np.sqrt(np.einsum("ij,ij->i", gap, gap))
             else:
                 norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * np.linalg.norm(wanted)
-                values = 1.0 - (matrix @ wanted) / norms
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    values = 1.0 - (matrix @ wanted) / norms
             out = pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(values)], names=[*kept, "score"]
             )
+            # A zero vector has no angle and a broken one no distance: neither is a hit.
+            finite = np.isfinite(values)
+            out, values = out.filter(pa.array(finite)), values[finite]
             if top is not None and len(values) > top:
                 out = out.filter(pa.array(values <= np.partition(values, top - 1)[top - 1]))
             yield out
@@ -271,17 +323,21 @@ class Settings:
     metric: str = "l2"
     filter_scope: str = "both"
     arabic_fold: bool = True
-    per_corpus: bool = True
+    max_chars: int | None = None
 
 
 def ranked_hits(
-    rows: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
+    source: DataFrame | Index, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
     chunk_filter: DataFrame | None = None, settings: Settings = Settings(), columns: list[str] = INDEXED,
 ) -> DataFrame:
-    """Fused hits per corpus, ``top_k`` each.  ``chunk_filter`` holds the ids
-    that pass the filters; statistics still count every row."""
+    """Fused hits per corpus, ``top_k`` each, from rows to scan or from an index.
+    ``chunk_filter`` holds the ids that pass the filters; statistics still count every row."""
     s, keys = settings, ["corpus"]
-    scored = scan_bm25(rows, query, columns, s.arabic_fold).where("chunk_id is not null")
+    if isinstance(source, Index):
+        scored = index_bm25(source, query, s.arabic_fold)
+    else:
+        scored = scan_bm25(source, query, columns, s.arabic_fold)
+    scored = scored.where("chunk_id is not null")
     if chunk_filter is not None:
         scored = scored.join(chunk_filter.select("chunk_id").distinct(), "chunk_id", "left_semi")
     best = top_k(scored, CHANNEL_TOP, [F.asc("score"), F.asc("chunk_id"), F.asc("row_id")], keys)
@@ -297,14 +353,21 @@ def ranked_hits(
 
 
 def hybrid_search(
-    rows: DataFrame, chunks: DataFrame, documents: DataFrame, query: str, vectors: DataFrame | None = None,
+    source: DataFrame | Index, chunks: DataFrame, documents: DataFrame, query: str, vectors: DataFrame | None = None,
     query_vector: list[float] | None = None, chunk_filter: DataFrame | None = None,
     settings: Settings = Settings(), columns: list[str] = INDEXED,
 ) -> DataFrame:
-    """Search one or many corpora; the merged list is cut to ``top_k``."""
-    hits = ranked_hits(rows, query, vectors, query_vector, chunk_filter, settings, columns)
+    """Search one or many corpora; the merged list is cut to ``top_k``.
+
+    The few ids of that list become a filter on the chunks, so a store sorted by chunk reads
+    the row groups of the hits only.
+    """
+    hits = ranked_hits(source, query, vectors, query_vector, chunk_filter, settings, columns)
     merged = top_k(hits, settings.top_k, [F.desc("rrf_score"), F.asc("corpus"), F.desc("_rrf"), F.desc("chunk_id")])
-    return hydrate(merged.drop("_rrf"), chunks, documents)
+    merged = merged.drop("_rrf")
+    best = merged.collect()
+    found = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in best]))
+    return hydrate(chunks.sparkSession.createDataFrame(best, merged.schema), found, documents, settings.max_chars)
 
 
 def rag_context(hits: DataFrame) -> DataFrame:

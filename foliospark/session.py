@@ -54,19 +54,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that fits in a single input split out to all cores.
-
-    Text work on one small file would otherwise run in one task.  Anything
-    larger already arrives in many splits and is left alone.
-    """
-    spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SPLIT_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)

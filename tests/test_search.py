@@ -59,10 +59,32 @@ def test_bm25_formula_and_index_agree(spark):
     want = {i: score(d) for i, d in enumerate(docs) if {"beta", "delta"} & set(d)}
     scan = {r.row_id: r.score for r in se.scan_bm25(rows, "Beta delta", ["t"]).collect()}
     index = se.build_index(rows, ["t"])
-    stored = {r.row_id: r.score for r in se.bm25(index, se.query_terms(spark, {"q": "beta delta"})).collect()}
+    stored = {r.row_id: r.score for r in se.bm25(index, {"q": "beta delta"}).collect()}
     assert scan == pytest.approx(want) and stored == pytest.approx(want)
 
 
+def test_both_paths_score_phrases_alike(spark, tmp_path):
+    texts = [("l'exercice un", "fractions"), ("l exercice l exercice", ""), ("exercice l", None), ("l", "exercice"), ("x", "fractions l'exercice"), (None, "y"), ("z z z", "z z")]
+    rows = spark.createDataFrame([("c", i, i, a, b) for i, (a, b) in enumerate(texts)], "corpus string, row_id int, chunk_id int, a string, b string")
+    se.build_index(rows, ["a", "b"]).write(str(tmp_path / "ix"))
+    index = se.Index.read(spark, str(tmp_path / "ix"))
+    for query in ("l'exercice fractions", "l'exercice", "z'z", "z'z l", "absent", "l'absent y"):
+        scan = {r.row_id: r.score for r in se.scan_bm25(rows, query, ["a", "b"]).collect()}
+        assert scan == pytest.approx({r.row_id: r.score for r in se.index_bm25(index, query).collect()}), query
+    assert set(se.index_bm25(index, "l'exercice").toPandas()["row_id"]) == {0, 1, 4}
+    plan = se.index_bm25(index, "l'exercice", corpora=["c"])._jdf.queryExecution().toString()
+    assert "In(term" in plan and "PartitionFilters: [isnotnull(corpus" in plan
+    assert se.index_bm25(index, '""').count() == 0
+
+
+def test_unreadable_corpus_is_reported(spark, tmp_path):
+    rows = spark.createDataFrame([("c", 1, 1, "a b")], "corpus string, row_id int, chunk_id int, t string")
+    se.build_index(rows, ["t"]).write(str(tmp_path / "good"))
+    index, failed = se.read_corpora(spark, {"c": str(tmp_path / "good"), "d": str(tmp_path / "gone")})
+    assert list(failed) == ["d"] and se.index_bm25(index, "a").count() == 1
+    assert se.read_corpora(spark, {"d": str(tmp_path / "gone")})[0] is None
+
+
 def test_index_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("x", 1, 1, "a b a"), ("y", 2, 2, "b c")], "corpus string, row_id int, chunk_id int, t string")
     se.build_index(rows, ["t"]).write(str(tmp_path / "ix"))
@@ -90,3 +112,12 @@ def test_cosine(spark):
     v = spark.createDataFrame([("c", 1, [1.0, 0.0]), ("c", 2, [1.0, 1.0])], "corpus string, chunk_id int, embedding array<float>")
     got = {r.chunk_id: round(r.score, 6) for r in se.knn(v, [2.0, 0.0], metric="cosine").collect()}
     assert got == {1: 0.0, 2: round(1 - 1 / math.sqrt(2), 6)}
+
+
+def test_vectors_without_distance_take_no_place(spark):
+    rows = [("c", i, [0.0, 0.0]) for i in range(30)] + [("c", 100 + i, [1.0, float(i)]) for i in range(3)] + [("c", 200, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "corpus string, chunk_id int, embedding array<float>").coalesce(1)
+    for partition in (None, ["corpus"]):
+        got = se.knn(v, [2.0, 0.0], top=5, metric="cosine", partition=partition).collect()
+        assert sorted(r.chunk_id for r in got) == [100, 101, 102]
+    assert 200 not in {r.chunk_id for r in se.knn(v, [2.0, 0.0], top=40).collect()}

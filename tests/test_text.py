@@ -77,6 +77,12 @@ def test_lint(col):
     assert col("<svg/>", lint.svg_error) is None
 
 
+def test_numbers_in_any_arabic_digits(col):
+    for word in ("3", "٣", "۳"):
+        got = col(f"تمرين {word}", classify.qualify)
+        assert (got["pedagogical_type"], got["pedagogical_index"]) == ("exercise_unsolved", 3), word
+
+
 def test_latex_cleaning(col):
     assert col("$$ begin{array}{c} 1 \\end{array} $$", latex.sanitize_latex) == "\\begin{array}{c} 1 \\end{array}"
     assert col("\\[ 2 times 3 \\]\\", latex.sanitize_latex).startswith("2 \\times 3")
