@@ -33,7 +33,7 @@ _SIZED = """
     WITH z AS ({_SIZED})
     SELECT artifact_id, document_id, page_number, CAST(has_binary AS INT) AS has_binary,
            CASE WHEN ratio IS NOT NULL THEN round(least(1.0, ratio), 3) END AS area_ratio
-    FROM z ORDER BY page_number, artifact_id LIMIT 500""")
+    FROM z""")
 def flt_artifacts(t: Tables) -> DataFrame:
     found = flt.filter_artifacts(boxed(t["b_artifacts"]), t["b_scans"])
     return found.select("artifact_id", "document_id", "page_number", F.col("has_binary").cast("int").alias("has_binary"), "area_ratio")
@@ -84,7 +84,7 @@ def flt_all_tokens(t: Tables) -> DataFrame:
 
 @register("flt_quarantine", """
     SELECT job_id, status, updated_at FROM @v_jobs WHERE status IN ('QUARANTINE', 'INVALID_SOURCE')
-    ORDER BY updated_at DESC, job_id LIMIT 500""")
+""")
 def flt_quarantine(t: Tables) -> DataFrame:
     return flt.quarantine(t["v_jobs"]).select("job_id", "status", "updated_at")
 
@@ -114,7 +114,7 @@ def flt_requalify_candidates(t: Tables) -> DataFrame:
     WITH z AS ({_SIZED})
     SELECT artifact_id, page_number FROM z
     WHERE artifact_type = 'dense_illustration' AND has_binary AND artifact_id % 7 <> 2 AND ratio > 0.7
-    ORDER BY page_number, artifact_id LIMIT 50""")
+    ORDER BY page_number, artifact_id LIMIT 80""")
 def flt_explode_frames(t: Tables) -> DataFrame:
     return flt.explode_frames(boxed(t["b_artifacts"]), t["b_scans"], 80).select("artifact_id", "page_number")
 
@@ -145,12 +145,17 @@ def flt_distinct_values(t: Tables) -> DataFrame:
 
 
 @register("top_exercise_order", """
-    SELECT chunk_id, pedagogical_index, page_number FROM @b_chunks
-    WHERE pedagogical_type IN ('exercise_solved', 'exercise_unsolved')
-    ORDER BY pedagogical_index NULLS LAST, page_number, chunk_id LIMIT 200""")
+    SELECT document_id, chunk_id, pedagogical_index, page_number,
+           row_number() OVER (PARTITION BY document_id ORDER BY pedagogical_index NULLS LAST, page_number, chunk_id) AS position
+    FROM @b_chunks WHERE pedagogical_type IN ('exercise_solved', 'exercise_unsolved')""")
 def top_exercise_order(t: Tables) -> DataFrame:
-    found = flt.filter_chunks(t["b_chunks"], pedagogical_type="exercise")
-    return topk.top_k(found, 200, topk.exercise_order()).select("chunk_id", "pedagogical_index", "page_number")
+    """Every exercise with its place in its document, blocks by page number."""
+    from foliospark.operators.scans import row_number_by
+
+    found = flt.filter_chunks(t["b_chunks"], pedagogical_type="exercise").select(
+        "document_id", "chunk_id", "pedagogical_index", "page_number")
+    block = F.coalesce("pedagogical_index", F.lit(2**31 - 1))
+    return row_number_by(found, ["document_id"], topk.exercise_order(), block, "position")
 
 
 @register("top_program_order", """
@@ -281,7 +286,7 @@ def src_curriculum_import(t: Tables) -> DataFrame:
     SELECT sha256('import:' || CAST(page_id AS STRING) || ':' || url) AS artifact_id,
            CASE WHEN page_id % 2 = 0 THEN html END AS raw_data, CAST(page_id % 2 AS INT) AS is_binary,
            CASE WHEN page_id % 2 = 0 THEN 'maplibre' ELSE '3dmol' END AS renderer FROM @pages
-    WHERE strlen(html) <= 52428800""")
+""")
 def src_artifact_import(t: Tables) -> DataFrame:
     """Page sources taken as external files of two import types."""
     from foliospark.sources.corpus import imported

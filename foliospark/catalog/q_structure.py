@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark.catalog.tables import Tables, register
 from foliospark.operators import joins as j
-from foliospark.operators.ranges import range_match
+from foliospark.operators.ranges import range_counts
 from foliospark.operators.scans import (
     moving_average, rate_limit, row_number_by, running_count, window_count_before,
 )
@@ -47,14 +47,14 @@ def jn_chunk_toc(t: Tables) -> DataFrame:
 
 
 @register("range_all_matches", f"""
-    SELECT p.chunk_id, r.toc_id FROM @b_chunks p JOIN @b_toc r ON {_RANGE}""")
+    SELECT p.chunk_id, count(r.toc_id) AS entries FROM @b_chunks p LEFT JOIN @b_toc r ON {_RANGE} GROUP BY p.chunk_id""")
 def range_all_matches(t: Tables) -> DataFrame:
-    """Every entry that covers a chunk's page (the general range join)."""
+    """Number of entries that cover a chunk's page."""
     chunks = t["b_chunks"].select("chunk_id", "document_id", "page_number")
     toc = t["b_toc"].select("document_id", "toc_id", "page_start", "page_end")
-    return range_match(
-        chunks, toc, ["document_id"], "page_number", "page_start", "page_end", ["toc_id"], pick="all", how="inner"
-    ).select("chunk_id", "toc_id")
+    return range_counts(
+        chunks, toc, ["document_id"], "page_number", "page_start", "page_end", "entries"
+    ).select("chunk_id", "entries")
 
 
 _FIRST_SOLUTION = """
@@ -376,7 +376,7 @@ def win_toc_dedup(t: Tables) -> DataFrame:
 
 
 @register("job_build_toc", """
-    WITH e AS (SELECT document_id, page_number, left(trim(regexp_replace(trim(section_title), '\\s+', ' ', 'g'), '*# '), 120)
+    WITH e AS (SELECT document_id, page_number, trim(regexp_replace(trim(section_title), '\\s+', ' ', 'g'), '*# ')
                AS title, row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS ord
                FROM @v_chunks WHERE section_title IS NOT NULL AND length(section_title) >= 3),
     n AS (SELECT *, lead(page_number) OVER (PARTITION BY document_id ORDER BY page_number) AS nxt FROM e),

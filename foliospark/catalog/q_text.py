@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark.catalog.tables import Tables, register
 from foliospark.functions import anchoring, artifacts as art, latex, lint, tables as tab, text as tx
-from foliospark.functions.chunking import enforce_max, split_units
+from foliospark.functions.chunking import enforce_max, pack_units, split_units
 from foliospark.functions.classify import effective_type, qualify
 from foliospark.plans.chunk_corpus import chunk_pages, embed, formula_artifacts, lint_pages_table, repair
 
@@ -96,6 +96,30 @@ def fn_enforce_max(t: Tables) -> DataFrame:
     return units.select("doc_id", "n", tx.token_len(F.col("unit")).alias("tokens"))
 
 
+@register("win_chunk_pack")
+def win_chunk_pack(t: Tables) -> DataFrame:
+    """Chunks of every document's units, each with the overlap of the one before (greedy, see the tests)."""
+    units = enforce_max(split_units(T()), 512)
+    packed = t["documents"].select("doc_id", F.posexplode(pack_units(units, 512)).alias("n", "chunk"))
+    return packed.select("doc_id", "n", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+# A field with a JSON list, a comma list, a lone name, or nothing.
+_MEDIA = """CASE c_custkey % 4 WHEN 0 THEN '["p' || {0} || '.png", "", "q.png"]' WHEN 1 THEN 'p' || {0} || '.png,, q.png'
+    WHEN 2 THEN 'p' || {0} || '.png' END""".format("CAST(c_custkey AS STRING)")
+
+
+@register("fn_media_list", """
+    WITH m AS (SELECT c_custkey, c_custkey % 4 AS k, 'p' || CAST(c_custkey AS STRING) || '.png' AS p FROM @customer)
+    SELECT c_custkey AS evaluation_id, kind, n AS label, item FROM m, (VALUES ('corrige'), ('sujet')) AS kinds(kind),
+      (SELECT 1 AS n UNION ALL SELECT 3) AS places, LATERAL (SELECT CASE n WHEN 1 THEN p ELSE 'q.png' END AS item)
+    WHERE k < 3 AND (n = 1 OR k < 2)""")
+def fn_media_list(t: Tables) -> DataFrame:
+    """Subject and answer images of evaluations, a row each with its place in the list."""
+    rows = t["customer"].select(F.col("c_custkey").alias("evaluation_id"), F.expr(_MEDIA).alias("sujet"), F.expr(_MEDIA).alias("corrige"))
+    return tab.media_rows(rows, "evaluation_id", {"sujet": "sujet", "corrige": "corrige"})
+
+
 @register("job_chunk_corpus")
 def job_chunk_corpus(t: Tables) -> DataFrame:
     pages = t["documents"].select(
@@ -105,16 +129,16 @@ def job_chunk_corpus(t: Tables) -> DataFrame:
 
 
 @register("fn_section_title", """
-    SELECT chunk_id, nullif(left(trim(regexp_extract(content_markdown, '(?m)^#{1,3}\\s+(.+)$', 1)), 200), '')
+    SELECT chunk_id, nullif(trim(regexp_extract(content_markdown, '(?m)^#{1,3}\\s+(.+)$', 1)), '')
            AS section_title FROM @v_chunks""")
 def fn_section_title(t: Tables) -> DataFrame:
     return t["v_chunks"].select("chunk_id", tx.section_title(B()).alias("section_title"))
 
 
 @register("fn_headings", """
-    WITH h AS (SELECT chunk_id, unnest(regexp_extract_all(content_markdown, '(?m)^(#{2,3})\\s+(.{3,120})$', 2)) AS raw
+    WITH h AS (SELECT chunk_id, unnest(regexp_extract_all(content_markdown, '(?m)^(#{2,3})\\s+(.{3,})$', 2)) AS raw
                FROM @v_chunks)
-    SELECT chunk_id, 1 AS level, left(trim(regexp_replace(trim(raw), '\\s+', ' ', 'g'), '*# '), 120) AS title FROM h
+    SELECT chunk_id, 1 AS level, trim(regexp_replace(trim(raw), '\\s+', ' ', 'g'), '*# ') AS title FROM h
     WHERE trim(raw, '*# ') <> ''""")
 def fn_headings(t: Tables) -> DataFrame:
     found = t["v_chunks"].select("chunk_id", F.explode(tx.headings(B())).alias("h"))
@@ -264,25 +288,26 @@ def job_repair(t: Tables) -> DataFrame:
     return fixed.select("document_id", "repair_state", F.length("raw_data").cast("long").alias("chars"))
 
 
-@register("job_embed")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@register("job_embed", f"""
+    WITH l AS (SELECT chunk_id, 'passage: ' || coalesce(content_markdown, '') AS x, unnest(range(26)) AS n FROM @v_chunks)
+    SELECT chunk_id, CAST(n AS INT) AS dim,
+           CAST(length(x) - length(replace(x, substr('{_LETTERS}', CAST(n + 1 AS INT), 1), '')) AS DOUBLE) AS value FROM l""")
 def job_embed(t: Tables) -> DataFrame:
-    """Embeds every turn with a deterministic hashing encoder."""
-    return embed(t["v_chunks"].select("chunk_id", "content_markdown"), hashing_encoder).select(
-        "chunk_id", F.size("embedding").alias("dims")
-    )
+    """Embeds every whole turn with a stand-in model, one row per component."""
+    vectors = embed(t["v_chunks"].select("chunk_id", "content_markdown"), letter_encoder)
+    return vectors.select("chunk_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.col("value").cast("double"))
 
 
-def hashing_encoder():
-    """Stand-in model: counts of hashed words, scaled to length one."""
+def letter_encoder():
+    """Stand-in model: counts of the letters a to z."""
     import numpy as np
-    import xxhash
 
     def encode(texts: list[str]):
-        out = np.zeros((len(texts), 384), dtype=np.float32)
-        for row, words in enumerate(x.split() for x in texts):
-            for word in words:
-                out[row, xxhash.xxh32_intdigest(word) % 384] += 1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        return np.array([[x.count(letter) for letter in _LETTERS] for x in texts], dtype=np.float32)
 
     return encode
 

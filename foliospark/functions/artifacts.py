@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,13 +14,9 @@ from foliospark.functions.latex import sanitize_latex
 from foliospark.functions.text import strip
 from foliospark.schema import SEMANTICS
 
-# Limits of the parametric families.
-MAX_POINTS, MAX_SEGMENTS, MAX_LABEL = 40, 20, 16
-MAX_GRID, MAX_CELLS = 20, 60
+# Side of a grid, its colours, near-full-page share.
+MAX_GRID = 20
 GRID_COLORS = ("blue", "red", "green", "orange", "purple", "gray")
-SVG_MAX_BYTES = 200 * 1024
-SEARCH_TEXT_MAX = 500
-IMPORT_MAX_BYTES = 50 * 1024 * 1024
 AREA_RATIO_MAX = 0.70
 TEXT_IMPORT_TYPES = ("geojson_map", "fasta_sequence", "genbank_record", "smiles_chem")
 
@@ -151,9 +148,30 @@ def number_of(v: Column, path: str = "$") -> Column:
     return _let(value, lambda x: F.when(F.abs(x) < float("inf"), x))
 
 
-def _label(v: Column, path: str) -> Column:
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of model answers; None keeps everything.  Items past a bound are left out, longer
+    labels and larger drawings refused."""
+
+    points: int | None = None
+    segments: int | None = None
+    cells: int | None = None
+    label_chars: int | None = None
+    svg_bytes: int | None = None
+    search_chars: int | None = None
+
+
+UNBOUNDED = Limits()
+
+
+def _first(items: Column, count: int | None) -> Column:
+    return items if count is None else F.slice(items, 1, count)
+
+
+def _label(v: Column, path: str, limits: Limits) -> Column:
     text = strip(_string(v, path))
-    return F.when((text != "") & (F.length(text) <= MAX_LABEL), text)
+    fits = F.lit(True) if limits.label_chars is None else F.length(text) <= limits.label_chars
+    return F.when((text != "") & fits, text)
 
 
 def _object(payload: Column) -> Column:
@@ -176,14 +194,14 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def valid_number_line(payload: Column) -> Column:
+def valid_number_line(payload: Column, limits: Limits = UNBOUNDED) -> Column:
     """Normalised JSON of a graduated line, null when it breaks a rule."""
-    read_point = lambda p: F.struct(_label(p, "$.label").alias("label"), number_of(p, "$.value").alias("value"))
+    read_point = lambda p: F.struct(_label(p, "$.label", limits).alias("label"), number_of(p, "$.value").alias("value"))
 
     def read(o: Column) -> Column:
-        points = F.filter(F.slice(_items(o, "$.points"), 1, MAX_POINTS), _is_object)
+        points = F.filter(_first(_items(o, "$.points"), limits.points), _is_object)
         pairs = F.filter(
-            F.slice(_items(o, "$.highlight_segments"), 1, MAX_SEGMENTS),
+            _first(_items(o, "$.highlight_segments"), limits.segments),
             lambda s: F.size(_items(s, "$")) == 2,
         )
         return F.struct(
@@ -207,17 +225,17 @@ def valid_number_line(payload: Column) -> Column:
     return _let(_let(_let(_object(payload), read), check), build)
 
 
-def valid_decimal_grid(payload: Column) -> Column:
+def valid_decimal_grid(payload: Column, limits: Limits = UNBOUNDED) -> Column:
     """Normalised JSON of a coloured grid, null when it breaks a rule."""
     whole = lambda c: _let(c, lambda x: F.when(x == F.floor(x), x.cast("int")))
     read_cell = lambda c: F.struct(
         whole(number_of(c, "$.count")).alias("count"),
         F.lower(strip(_string(c, "$.color"))).alias("color"),
-        _label(c, "$.label").alias("label"),
+        _label(c, "$.label", limits).alias("label"),
     )
 
     def read(o: Column) -> Column:
-        cells = F.filter(F.slice(_items(o, "$.cells"), 1, MAX_CELLS), _is_object)
+        cells = F.filter(_first(_items(o, "$.cells"), limits.cells), _is_object)
         return F.struct(
             whole(number_of(o, "$.rows")).alias("rows"), whole(number_of(o, "$.cols")).alias("cols"),
             F.transform(cells, read_cell).alias("cells"),
@@ -241,8 +259,10 @@ def valid_plotly(payload: Column) -> Column:
     return _let(_object(payload), lambda o: F.when(F.size(_items(o, "$.data")) > 0, F.to_json(o)))
 
 
-def valid_svg(svg: Column) -> Column:
-    found = svg.rlike(r"(?is)<svg\b[^>]*>.*</svg>") & (F.octet_length(svg) < SVG_MAX_BYTES)
+def valid_svg(svg: Column, limits: Limits = UNBOUNDED) -> Column:
+    found = svg.rlike(r"(?is)<svg\b[^>]*>.*</svg>")
+    if limits.svg_bytes is not None:
+        found = found & (F.octet_length(svg) < limits.svg_bytes)
     return F.coalesce(found, F.lit(False))
 
 
@@ -251,7 +271,7 @@ def semantic_of(v: Column) -> Column:
     return F.when(low.isin(*SEMANTICS), low)
 
 
-def map_answer(answer: Column) -> Column:
+def map_answer(answer: Column, limits: Limits = UNBOUNDED) -> Column:
     """Model answer (JSON text) to ``struct<artifact_type,raw_data,
     render_config_json,caption,searchable_text,semantic>``; a null type keeps
     the dense illustration, a null struct means nothing usable."""
@@ -269,12 +289,12 @@ def map_answer(answer: Column) -> Column:
             _clean(v, "$.code").alias("code"),
             F.coalesce(_clean(v, "$.lang"), F.lit("text")).alias("lang"),
             valid_plotly(F.try_variant_get(v, "$.plotly_json", "variant")).alias("plotly"),
-            valid_number_line(F.try_variant_get(v, "$.number_line", "variant")).alias("line"),
-            valid_decimal_grid(F.try_variant_get(v, "$.decimal_grid", "variant")).alias("grid"),
+            valid_number_line(F.try_variant_get(v, "$.number_line", "variant"), limits).alias("line"),
+            valid_decimal_grid(F.try_variant_get(v, "$.decimal_grid", "variant"), limits).alias("grid"),
         )
 
     def choose(p: Column) -> Column:
-        kind, svg = p["kind"], valid_svg(p["svg"])
+        kind, svg = p["kind"], valid_svg(p["svg"], limits)
         latex = F.concat(F.lit("$$"), sanitize_latex(p["latex"]), F.lit("$$"))
         # (condition, new type, payload, renderer), first match decides.
         branches = [
@@ -300,13 +320,14 @@ def map_answer(answer: Column) -> Column:
         p = c["p"]
         retyped = c["type"].isNotNull()
         search = strip(F.concat_ws(" ", F.coalesce(p["caption"], F.lit("")), c["raw"]))
+        search = search if limits.search_chars is None else F.substring(search, 1, limits.search_chars)
         full = F.struct(
             c["type"].alias("artifact_type"),
             c["raw"].alias("raw_data"),
             render_config(F.coalesce(c["how"], F.lit("openseadragon")), p["lang"], p["semantic"], retyped)
             .alias("render_config_json"),
             p["caption"].alias("caption"),
-            F.when(retyped, F.substring(search, 1, SEARCH_TEXT_MAX)).otherwise(p["caption"]).alias("searchable_text"),
+            F.when(retyped, search).otherwise(p["caption"]).alias("searchable_text"),
             p["semantic"].alias("semantic"),
         )
         return F.when(retyped | p["caption"].isNotNull() | p["semantic"].isNotNull(), full)

@@ -49,3 +49,17 @@ def table_cells(artifacts: DataFrame, id_col: str = "artifact_id", text_col: str
         id_col, "row_no", "col_no", F.get("headers", F.col("col_no")).alias("header"), "cell",
         cell_number(F.col("cell")).alias("number"),
     )
+
+
+def media_list(c: Column) -> Column:
+    """Items of a field that holds a JSON array or else a comma list, blanks trimmed."""
+    items = F.coalesce(F.from_json(c, "array<string>"), F.split(c, ","))
+    return F.transform(items, lambda x: strip(F.coalesce(x, F.lit(""))))
+
+
+def media_rows(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """One row per item of the named fields: key, ``kind``, ``label`` (place from 1) and ``item``; empty items keep
+    their place and give no row."""
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), media_list(F.col(c)).alias("items")) for kind, c in fields.items()])
+    each = df.select(key, F.explode(kinds).alias("m")).select(key, "m.kind", F.posexplode("m.items").alias("n", "item"))
+    return each.where(F.col("item") != "").select(key, "kind", (F.col("n") + 1).alias("label"), "item")

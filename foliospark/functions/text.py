@@ -105,15 +105,17 @@ def token_len(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4).cast("int"))
 
 
-def section_title(c: Column) -> Column:
-    """First heading of level one to three, 200 characters at most."""
-    found = F.substring(strip(F.regexp_extract(c, r"(?m)^#{1,3}\s+(.+)$", 1)), 1, 200)
+def section_title(c: Column, max_chars: int | None = None) -> Column:
+    """First heading of level one to three, cut to ``max_chars`` when given."""
+    found = strip(F.regexp_extract(c, r"(?m)^#{1,3}\s+(.+)$", 1))
+    found = found if max_chars is None else F.substring(found, 1, max_chars)
     return F.when(found != "", found)
 
 
-def headings(c: Column) -> Column:
-    """Ordered ``array<struct<level,title>>`` of level-two and -three headings."""
-    pattern = r"(?m)^(#{2,3})\s+(.{3,120})$"
+def headings(c: Column, max_chars: int | None = None) -> Column:
+    """Ordered ``array<struct<level,title>>`` of level-two and -three headings; lines of more than
+    ``max_chars``, when given, are no headings."""
+    pattern = r"(?m)^(#{2,3})\s+(.{3,%s})$" % ("" if max_chars is None else max_chars)
     marks = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
     names = F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
     pairs = F.zip_with(
@@ -121,7 +123,7 @@ def headings(c: Column) -> Column:
         names,
         lambda m, n: F.struct(
             F.when(F.length(m) == 2, 1).otherwise(2).alias("level"),
-            F.substring(F.btrim(F.regexp_replace(strip(n), r"(?U)\s+", " "), F.lit("*# ")), 1, 120).alias("title"),
+            F.btrim(F.regexp_replace(strip(n), r"(?U)\s+", " "), F.lit("*# ")).alias("title"),
         ),
     )
     return F.filter(pairs, lambda h: h["title"] != "")

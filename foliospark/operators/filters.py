@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions.artifacts import AREA_RATIO_MAX, area_ratio, raw_area_ratio
-from foliospark.operators.joins import with_page_dims, with_page_dims_bounded
+from foliospark.operators.joins import with_page_dims
 from foliospark.operators.topk import top_k
 
 EXERCISES = ("exercise_solved", "exercise_unsolved")
@@ -39,20 +39,23 @@ def filter_chunks(
 
 
 def filter_artifacts(
-    artifacts: DataFrame, scans: DataFrame, *, chunk_id=None, document_id=None, page=None, cap: int = 500
+    artifacts: DataFrame, scans: DataFrame, *, chunk_id=None, document_id=None, page=None, cap: int | None = None
 ) -> DataFrame:
-    """Artifact listing by page; tells whether a binary exists without reading it."""
+    """Artifact listing; tells whether a binary exists without reading it.  ``cap`` keeps the first so many by page."""
     for name, value in (("chunk_id", chunk_id), ("document_id", document_id), ("page_number", page)):
         if value is not None:
             artifacts = artifacts.where(F.col(name) == value)
-    first = top_k(artifacts.drop("raw_binary"), cap, [F.asc("page_number"), F.asc("artifact_id")])
-    dims = with_page_dims_bounded(first, scans)
+    listed = artifacts.drop("raw_binary")
+    if cap is not None:
+        listed = top_k(listed, cap, [F.asc("page_number"), F.asc("artifact_id")])
+    dims = with_page_dims(listed, scans)
     return dims.withColumn("area_ratio", area_ratio(F.col("bbox"), F.col("width_px"), F.col("height_px")))
 
 
-def quarantine(jobs: DataFrame, cap: int = 500) -> DataFrame:
+def quarantine(jobs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Jobs that stopped for good; ``cap`` keeps the latest so many."""
     bad = jobs.where(F.col("status").isin("QUARANTINE", "INVALID_SOURCE"))
-    return top_k(bad, cap, [F.desc("updated_at"), F.asc("job_id")])
+    return bad if cap is None else top_k(bad, cap, [F.desc("updated_at"), F.asc("job_id")])
 
 
 def content_media(artifacts: DataFrame, ratio: Column) -> DataFrame:
@@ -86,14 +89,14 @@ def requalify_candidates(
     return top_k(sized.where(F.col("ratio") <= AREA_RATIO_MAX), limit, [F.asc("page_number"), F.asc("artifact_id")])
 
 
-def explode_frames(artifacts: DataFrame, scans: DataFrame, limit: int) -> DataFrame:
-    """Near-full-page crops never exploded before, fifty per call at most."""
+def explode_frames(artifacts: DataFrame, scans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Near-full-page crops never exploded before, the first ``limit`` by page when given."""
     todo = artifacts.where(
         (F.col("artifact_type") == "dense_illustration") & F.col("has_binary") & _mark("exploded_at").isNull()
     )
     sized = with_page_dims(todo, scans).withColumn("ratio", _ratio())
-    size = max(1, min(limit, 50))
-    return top_k(sized.where(F.col("ratio") > AREA_RATIO_MAX), size, [F.asc("page_number"), F.asc("artifact_id")])
+    frames = sized.where(F.col("ratio") > AREA_RATIO_MAX)
+    return frames if limit is None else top_k(frames, limit, [F.asc("page_number"), F.asc("artifact_id")])
 
 
 SECTIONS = "struct<terms:array<map<string,string>>,programs:array<map<string,string>>,assessments:array<map<string,string>>,links:array<map<string,string>>>"

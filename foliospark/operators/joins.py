@@ -31,14 +31,6 @@ def with_page_dims(artifacts: DataFrame, scans: DataFrame) -> DataFrame:
     return artifacts.join(dims, PAGE, "left")
 
 
-def with_page_dims_bounded(artifacts: DataFrame, scans: DataFrame) -> DataFrame:
-    """As above for a capped listing: the few pages asked for are broadcast
-    to the scans, so the scan table is read but never shuffled."""
-    wanted = F.broadcast(artifacts.select(*PAGE).distinct())
-    dims = scans.select(*PAGE, "width_px", "height_px").join(wanted, PAGE)
-    return artifacts.join(F.broadcast(dims), PAGE, "left")
-
-
 def page_chapter(pages: DataFrame, toc: DataFrame) -> DataFrame:
     """Latest level-one entry that starts at or before the page and holds it."""
     chapters = toc.where("level = 1").select(

@@ -14,9 +14,10 @@ def top_k(df: DataFrame, n: int, order: list[Column], partition: list[str] | Non
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
-def paginate(df: DataFrame, order: list[Column], page: int, limit: int, max_limit: int = 200) -> DataFrame:
-    """One page of rows plus ``page, limit, total, total_pages`` on each."""
-    size = min(max(1, limit), max_limit)
+def paginate(df: DataFrame, order: list[Column], page: int, limit: int, max_limit: int | None = None) -> DataFrame:
+    """One page of rows plus ``page, limit, total, total_pages`` on each; ``limit`` on the rows is the
+    size used, which ``max_limit`` may bound."""
+    size = max(1, limit) if max_limit is None else min(max(1, limit), max_limit)
     page = max(1, page)
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
     total = df.agg(F.count("*").alias("n")).scalar()

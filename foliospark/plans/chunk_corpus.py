@@ -14,7 +14,6 @@ from foliospark.functions.lint import confidence, lint_artifact, lint_chunk, svg
 from foliospark.functions.text import formula_raw, formulas, section_title, token_len
 
 DIMENSIONS = 384
-EMBED_CHARS = 2000
 
 
 def chunk_pages(
@@ -62,10 +61,12 @@ def formula_artifacts(pages: DataFrame) -> DataFrame:
 
 
 def embed(
-    chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "content_markdown"
+    chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "content_markdown",
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Add ``embedding``.  ``encoder`` is a picklable factory called once per
-    Python worker; a failing batch yields nulls and never stops the job."""
+    """Add ``embedding`` of the whole text, or of its first ``max_chars`` for models with a
+    window.  ``encoder`` is a picklable factory called once per Python worker; a failing batch
+    yields nulls and never stops the job."""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -82,8 +83,9 @@ def embed(
                 out = [None] * len(batch)
             yield pd.Series(out)
 
-    passage = F.concat(F.lit("passage: "), F.substring(F.coalesce(text, F.lit("")), 1, EMBED_CHARS))
-    return chunks.withColumn("embedding", vectors(passage))
+    body = F.coalesce(text, F.lit(""))
+    passage = body if max_chars is None else F.substring(body, 1, max_chars)
+    return chunks.withColumn("embedding", vectors(F.concat(F.lit("passage: "), passage)))
 
 
 def call_model(df: DataFrame, fn: Callable[[str], str | None], column: Column, name: str) -> DataFrame:
@@ -135,7 +137,7 @@ def repair(artifacts: DataFrame, fn: Callable[[str], str | None]) -> DataFrame:
     done = F.col("_answer").isNotNull()
     new = {
         "raw_data": F.coalesce("_answer", "raw_data"),
-        "searchable_text": F.coalesce(F.substring("_answer", 1, 500), F.col("searchable_text")),
+        "searchable_text": F.coalesce("_answer", "searchable_text"),
     }
     fixed = asked.select(
         *[new.get(c, F.col(c)).alias(c) for c in artifacts.columns],

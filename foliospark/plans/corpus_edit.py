@@ -197,9 +197,7 @@ def apply_edits(df: DataFrame, patches: DataFrame, key: str, fields: tuple[str,
     new["is_human_edited"] = F.when(edited, F.lit(True)).otherwise(F.col("is_human_edited"))
     new["updated_at"] = F.when(edited, now).otherwise(F.col("updated_at"))
     if "raw_data" in fields and "searchable_text" in df.columns:
-        new["searchable_text"] = F.when(
-            F.col("_p_raw_data").isNotNull(), F.substring("_p_raw_data", 1, 500)
-        ).otherwise(F.col("searchable_text"))
+        new["searchable_text"] = F.coalesce("_p_raw_data", "searchable_text")
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns])
 
 

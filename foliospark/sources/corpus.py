@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from foliospark.functions.artifacts import IMPORT_MAX_BYTES, TEXT_IMPORT_TYPES, artifact_dim
+from foliospark.functions.artifacts import TEXT_IMPORT_TYPES, artifact_dim
 from foliospark.plans.corpus_edit import upsert
 from foliospark.plans.curriculum import key_id
 from foliospark.schema import TABLES
@@ -83,20 +83,35 @@ def catalog(tables: dict[str, DataFrame], files: DataFrame | None = None) -> Dat
     )
 
 
-def import_artifacts(spark: SparkSession, requests: DataFrame, base: str) -> DataFrame:
-    """Artifacts from the files below ``base`` that the requests name."""
+def import_artifacts(
+    spark: SparkSession, requests: DataFrame, base: str, max_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Artifacts from the files below ``base`` that the requests name, and the requests refused.
+
+    The listing carries no contents (the source prunes them): paths and lengths alone decide which
+    request is refused, as ``missing`` or, over ``max_bytes``, as ``too_large``.  The length bound
+    reaches the second read, which skips the contents of larger files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    small = files.where(F.col("length") <= IMPORT_MAX_BYTES)
-    return imported(spark, requests, small.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content"))
+    plain = F.regexp_replace("path", r"^file:/*", "/")
+    listed = files.select(plain.alias("path"), "length")
+    met = requests.join(listed, "path", "left")
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    reason = F.when(F.col("length").isNull(), "missing").when(large, "too_large")
+    refused = met.where(reason.isNotNull()).select(*requests.columns, reason.alias("reason"))
+    wanted = met.where(reason.isNull()).select("path").distinct()
+    small = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    contents = small.select(plain.alias("path"), "content").join(wanted, "path", "left_semi")
+    return imported(spark, requests, contents), refused
 
 
 def imported(spark: SparkSession, requests: DataFrame, files: DataFrame) -> DataFrame:
     """``requests(path, document_id, chunk_id, page_number, domain,
-    artifact_type, caption)`` joined to ``files(path, content)``; contents over
-    50 MB are refused, text types decoded, all others kept as bytes."""
+    artifact_type, caption)`` joined to ``files(path, content)``; text types are decoded,
+    all others kept as bytes."""
     dim = artifact_dim(spark).where(F.col("artifact_type").isin(*IMPORT_RENDER_TYPES))
     is_text = F.col("artifact_type").isin(*TEXT_IMPORT_TYPES)
-    joined = requests.join(files.where(F.octet_length("content") <= IMPORT_MAX_BYTES), "path").join(
+    joined = requests.join(files, "path").join(
         F.broadcast(dim.select("artifact_type", F.col("render_config_json").alias("_rc"))), "artifact_type", "left"
     )
     name = F.regexp_extract("path", r"([^/]+)$", 1)

@@ -161,7 +161,12 @@ def test_sources_and_store(spark, tmp_path):
     assert register_documents(scan_corpus(list_files(spark, root), docs, root)).count() == 0
     ask = spark.createDataFrame([(str(base / "map.json"), "d", None, 1, "geo", "geojson_map", None), (str(base / "book.pdf"), "d", None, 1, "geo", "cad_3d_model", "cap")],
                                 "path string, document_id string, chunk_id string, page_number int, domain string, artifact_type string, caption string")
-    got = {r.artifact_type: r for r in import_artifacts(spark, ask, root).collect()}
+    absent = spark.createDataFrame([(str(base / "none.json"), "d", None, 1, "geo", "geojson_map", None)], ask.schema)
+    made, refused = import_artifacts(spark, ask.union(absent), root)
+    got = {r.artifact_type: r for r in made.collect()}
+    assert len(got) == 2 and [r.reason for r in refused.collect()] == ["missing"]
+    small, refused = import_artifacts(spark, ask, root, max_bytes=3)
+    assert {r.reason for r in refused.collect()} == {"too_large"} and refused.count() == 1
     assert got["geojson_map"].raw_data == "{}" and got["cad_3d_model"].raw_binary == b"%PDF-"
     assert got["cad_3d_model"].searchable_text == "cap book.pdf"
 
