@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import aggregates as agg, joins as j, scans
-from foliospark.operators.ranges import range_match
+from foliospark.operators.ranges import range_counts, range_match
 from foliospark.plans import curriculum as cur, toc as tc
 
 
@@ -19,17 +19,18 @@ def test_range_match_against_brute_force(spark):
     r = spark.createDataFrame(ranges, "k int, rid int, a int, b int")
     inside = lambda pt, rg: pt[0] == rg[0] and rg[2] <= pt[2] and (rg[3] is None or pt[2] <= rg[3])
 
-    def run(pick, order, how="left"):
-        return range_match(p, r, ["k"], "at", "a", "b", ["rid"], order, pick, how)
-
-    first = {x.pid: x.rid for x in run("first", [F.col("rid")]).collect()}
-    late = {x.pid: x.rid for x in run("latest", [F.col("a"), F.col("rid")]).collect()}
-    every = sorted((x.pid, x.rid) for x in run("all", None, "inner").collect())
-    for pt in points:
-        hits = [rg for rg in ranges if inside(pt, rg)]
-        assert first[pt[1]] == min((h[1] for h in hits), default=None)
-        assert late[pt[1]] == (max(hits, key=lambda h: (h[2], h[1]))[1] if hits else None)
-    assert every == sorted((pt[1], rg[1]) for pt in points for rg in ranges if inside(pt, rg))
+    def run(pick, order, levels):
+        return range_match(p, r, ["k"], "at", "a", "b", ["rid"], order, pick, levels=levels)
+
+    for levels in (4, 6):
+        first = {x.pid: x.rid for x in run("first", [F.col("rid")], levels).collect()}
+        late = {x.pid: x.rid for x in run("latest", [F.col("a"), F.col("rid")], levels).collect()}
+        counts = {x.pid: x.n for x in range_counts(p, r, ["k"], "at", "a", "b", "n", levels).collect()}
+        for pt in points:
+            hits = [rg for rg in ranges if inside(pt, rg)]
+            assert first[pt[1]] == min((h[1] for h in hits), default=None)
+            assert late[pt[1]] == (max(hits, key=lambda h: (h[2], h[1]))[1] if hits else None)
+            assert counts[pt[1]] == len(hits)
 
 
 def test_scans_on_a_hot_key(spark):
