@@ -311,47 +311,64 @@ def src_artifact_import(t: Tables) -> DataFrame:
     UNION ALL SELECT document_id, page_number, width_px FROM @b_scans WHERE document_id NOT IN (SELECT document_id FROM redo)
     UNION ALL SELECT document_id, 999, 1000 FROM redo""")
 def snk_page_upsert(t: Tables) -> DataFrame:
-    """The scans of every manual come in again, each with one page more."""
-    from foliospark.plans.corpus_edit import upsert
-
+    """The scans of every manual come in again, each with one page more, through the store."""
     redo = t["b_documents"].where("doc_type = 'manuel'").select("document_id")
     redone = t["b_scans"].join(redo, "document_id", "left_semi").withColumn("width_px", F.lit(1000))
     fresh = redo.select(
         "document_id", F.lit(999).alias("page_number"), F.lit(1000).alias("width_px"), F.lit(900).alias("height_px")
     )
     new = redone.unionByName(fresh)
-    return upsert(t["b_scans"], new, ["document_id", "page_number"]).select("document_id", "page_number", "width_px")
+    store = _store(t, {"page_scans": t["b_scans"].withColumn("corpus", F.lit("one"))})
+    store.upsert_scans("one", new)
+    return store.read("page_scans", "one").select("document_id", "page_number", "width_px")
 
 
-@register("snk_duplicate_corpus", """
-    SELECT corpus, count(*) AS documents, sum(total_pages)::BIGINT AS pages FROM
-    (SELECT corpus, total_pages FROM @b_documents UNION ALL SELECT 'copy', total_pages FROM @b_documents WHERE corpus = 'src3')
-    GROUP BY corpus""")
-def snk_duplicate_corpus(t: Tables) -> DataFrame:
-    """Write the documents, copy one corpus, read the store back."""
+def _store(t: Tables, tables: dict[str, DataFrame]):
+    """A new store with some tables."""
     import uuid
 
     from foliospark.session import shared_dir
     from foliospark.sources.store import Store
 
     store = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}", buckets=4)
-    store.append("documents", t["b_documents"])
-    store.duplicate("src3", "copy", ["documents"])
-    return store.read("documents").groupBy("corpus").agg(
-        F.count("*").alias("documents"), F.sum("total_pages").alias("pages")
-    )
+    for name, rows in tables.items():
+        store.append(name, rows)
+    return store
 
 
-@register("snk_export_corpus", """
-    SELECT document_id, title FROM @b_documents WHERE corpus = 'src3'""")
-def snk_export_corpus(t: Tables) -> DataFrame:
-    import uuid
+def _stored(t: Tables) -> dict[str, DataFrame]:
+    artifacts = t["b_artifacts"].select("corpus", "document_id", "artifact_id", "page_number", "artifact_type")
+    chunks = t["b_chunks"].select("corpus", "document_id", "chunk_id", "page_number", "pedagogical_type")
+    return {"documents": t["b_documents"], "chunks": chunks, "artifacts": artifacts}
 
-    from foliospark.session import shared_dir
-    from foliospark.sources.store import Store
 
-    root = f"{shared_dir(t.spark)}/export-{uuid.uuid4().hex}"
-    store = Store(t.spark, f"{root}/store", buckets=4)
-    store.append("documents", t["b_documents"])
-    store.export("src3", f"{root}/out", ["documents"])
-    return t.spark.read.parquet(f"{root}/out/documents").select("document_id", "title")
+_STORED = """SELECT corpus, 'documents' AS kind, document_id AS id, title AS value FROM @b_documents
+    UNION ALL SELECT corpus, 'chunks', chunk_id, pedagogical_type FROM @b_chunks
+    UNION ALL SELECT corpus, 'artifacts', artifact_id, artifact_type FROM @b_artifacts"""
+
+
+def _rows(read) -> DataFrame:
+    """Rows of all stored tables in one shape."""
+    parts = [read(kind).select("corpus", F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(value).alias("value"))
+             for kind, key, value in (("documents", "document_id", "title"), ("chunks", "chunk_id", "pedagogical_type"),
+                                      ("artifacts", "artifact_id", "artifact_type"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+@register("snk_duplicate_corpus", f"""
+    WITH r AS ({_STORED}) SELECT corpus, kind, id, value FROM r UNION ALL
+    SELECT 'copy', kind, id, value FROM r WHERE corpus = 'src3'""")
+def snk_duplicate_corpus(t: Tables) -> DataFrame:
+    """Write the tables, copy one corpus, read the store back."""
+    tables = _stored(t)
+    store = _store(t, tables)
+    store.duplicate("src3", "copy", list(tables))
+    return _rows(store.read)
+
+
+@register("snk_export_corpus", f"WITH r AS ({_STORED}) SELECT kind, id, value FROM r WHERE corpus = 'src3'")
+def snk_export_corpus(t: Tables) -> DataFrame:
+    """Write the tables, export one corpus, read the export."""
+    tables = _stored(t)
+    store = _store(t, tables)
+    store.export("src3", f"{store.root}-out", list(tables))
+    return _rows(lambda kind: t.spark.read.parquet(f"{store.root}-out/{kind}")).drop("corpus")

@@ -18,15 +18,13 @@ def _stream(t: Tables, table: str) -> DataFrame:
 
 
 def _run(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    """Drain a stream into the shared folder: the newest batch in complete
-    mode, all batches in append mode."""
+    """Drain a stream into the shared folder: all its batches, each row with its ``batch``."""
     root = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    target = (lambda n: f"{root}/out") if mode == "complete" else (lambda n: f"{root}/out/batch={n}")
     schema = stream.schema
     st.run_available(
-        stream, f"{root}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(target(n)), mode
+        stream, f"{root}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), mode
     )
-    return t.spark.read.schema(schema).parquet(f"{root}/out")
+    return t.spark.read.schema(schema.add("batch", "long")).parquet(f"{root}/out")
 
 
 @register("str_progress", """
@@ -38,7 +36,7 @@ def str_progress(t: Tables) -> DataFrame:
         F.col("o_orderpriority").alias("batch_id"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderkey").cast("int").alias("page_number"), F.col("o_orderdate").alias("updated_at"),
     )
-    return _run(t, st.stream_progress(events), "complete")
+    return st.latest(_run(t, st.stream_progress(events), "update"), ["batch_id", "status"]).drop("batch")
 
 
 @register("str_throughput", """
@@ -48,7 +46,7 @@ def str_throughput(t: Tables) -> DataFrame:
     events = _stream(t, "events").select(
         F.col("ts").cast("timestamp").alias("created_at"), F.col("value").alias("execution_time_ms")
     )
-    out = _run(t, st.stream_throughput(events), "complete")
+    out = st.latest(_run(t, st.stream_throughput(events), "update"), ["window_start"])
     return out.select(
         F.unix_micros("window_start").alias("window_us"), "pages", F.round("avg_ms", 4).alias("avg_ms"), "pages_per_hour"
     )
@@ -70,7 +68,9 @@ def str_rate_limit(t: Tables) -> DataFrame:
         F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         F.col("event_id").alias("request_id"),
     )
-    out = _run(t, st.stream_rate_limit(requests, 2, 3600), "append")
+    root = f"{shared_dir(t.spark)}/limit-{uuid.uuid4().hex}"
+    st.stream_rate_limit(t.spark, requests, f"{root}/sink", f"{root}/checkpoint", 2, 3600)
+    out = t.spark.read.parquet(f"{root}/sink/decided")
     return out.select("request_id", F.col("allowed").cast("int").alias("allowed"))
 
 
@@ -95,7 +95,7 @@ def str_ingest(t: Tables) -> DataFrame:
 
 
 @register("str_toc_incremental", """
-    WITH e AS (SELECT document_id, page_number, left(trim(regexp_replace(trim(section_title), '\\s+', ' ', 'g'), '*# '), 120)
+    WITH e AS (SELECT document_id, page_number, trim(regexp_replace(trim(section_title), '\\s+', ' ', 'g'), '*# ')
                AS title FROM @v_chunks WHERE section_title IS NOT NULL AND length(section_title) >= 3),
     n AS (SELECT *, lead(page_number) OVER (PARTITION BY document_id ORDER BY page_number) AS nxt FROM e),
     d AS (SELECT document_id, max(page_number) AS total_pages FROM @v_chunks GROUP BY document_id)

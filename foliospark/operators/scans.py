@@ -137,7 +137,7 @@ def window_count_before(df: DataFrame, key: str, micros: str, seconds: int, name
 
 def rate_limit(
     requests: DataFrame, per_window: int, seconds: int = 60, key: str = "key", micros: str = "micros",
-    ident: str = "request_id",
+    ident: str = "request_id", accepted: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted-only sliding window: a request passes iff fewer than
     ``per_window`` *accepted* ones lie within the last ``seconds``.
@@ -145,29 +145,34 @@ def rate_limit(
     Keys are cut at idle spans of a whole window, where the state is empty.
     Each run of busy bins streams through a task in time order with at most
     ``per_window`` timestamps of state; no group is held in memory.
+    ``accepted(key, micros)`` are requests let through before; they count and give no row.
     """
     span = seconds * 1_000_000
-    bins = requests.withColumn("_bin", F.floor(F.col(micros) / span))
+    asked = requests.select(key, micros, ident, F.lit(False).alias("_before"))
+    if accepted is not None:
+        gone = F.lit(None).cast(requests.schema[ident].dataType)
+        asked = asked.unionByName(accepted.select(key, micros, gone.alias(ident), F.lit(True).alias("_before")))
+    bins = asked.withColumn("_bin", F.floor(F.col(micros) / span))
     runs = bins.select(key, "_bin").distinct().withColumn(
         "_run", F.col("_bin") - F.row_number().over(W.partitionBy(key).orderBy("_bin"))
     )
-    cut = _null_safe(bins, runs, [key, "_bin"]).select(key, "_run", micros, ident)
+    cut = _null_safe(bins, runs, [key, "_bin"]).select(key, "_run", micros, ident, "_before")
     schema = cut.select(key, micros, ident).schema.simpleString()[7:-1]
 
     def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, deque()
         for batch in batches:
             flags = []
-            for k, run, at in zip(batch[key], batch["_run"], batch[micros]):
+            for k, run, at, before in zip(batch[key], batch["_run"], batch[micros], batch["_before"]):
                 if (k, run) != current:
                     current, state = (k, run), deque()
                 while state and at - state[0] > span:
                     state.popleft()
-                ok = len(state) < per_window
+                ok = before or len(state) < per_window
                 if ok:
                     state.append(at)
                 flags.append(ok)
-            yield batch[[key, micros, ident]].assign(allowed=flags)
+            yield batch[[key, micros, ident]].assign(allowed=flags)[~batch["_before"].astype(bool)]
 
     return (
         cut.repartition(F.col(key), F.col("_run"))

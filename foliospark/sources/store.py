@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from foliospark.session import shared_dir
-
 BUCKET = "doc_bucket"
 
 
@@ -49,21 +47,54 @@ class Store:
     def append(self, table: str, df: DataFrame) -> None:
         self._bucketed(df).write.mode("append").partitionBy("corpus", BUCKET).parquet(self.path(table))
 
-    def rewrite(self, table: str, corpus: str, df: DataFrame) -> None:
-        """Replace one corpus of a table by rows that may be read from it: the
-        result is written aside first and swapped in when complete."""
-        stage = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex}"
+    def _touched(self, df: DataFrame) -> list[int]:
+        """Buckets of some rows, ``buckets`` at most."""
+        return sorted(r[0] for r in self._bucketed(df).select(BUCKET).distinct().collect())
+
+    def rewrite(self, table: str, corpus: str, df: DataFrame, touched: list[int] | None = None) -> None:
+        """Replace buckets of one corpus by rows that may be read from them.
+
+        The rows are written aside first; then each bucket's folder is renamed out of the way, the new one
+        renamed in and the old one removed, so that a crash leaves every bucket whole, old or new (see
+        ``recover``).  ``touched`` names the buckets that ``df`` replaces; by default all.
+        """
+        stage = f"{self.path(table)}/_stage-{uuid.uuid4().hex}"
         self._bucketed(df.drop("corpus")).write.partitionBy(BUCKET).parquet(stage)
-        ready = self.spark.read.schema(self._bucketed(df.drop("corpus")).schema).parquet(stage)
-        ready.write.mode("overwrite").partitionBy(BUCKET).parquet(self.path(table, corpus))
-        self._fs(stage).delete(self._path(stage), True)
+        fs, live = self._fs(stage), self.path(table, corpus)
+        fs.mkdirs(self._path(live))
+        for bucket in range(self.buckets) if touched is None else touched:
+            old, new, aside = (self._path(x) for x in (
+                f"{live}/{BUCKET}={bucket}", f"{stage}/{BUCKET}={bucket}", f"{live}/_old-{bucket}"))
+            if fs.exists(old):
+                fs.rename(old, aside)
+            if fs.exists(new):
+                fs.rename(new, old)
+            fs.delete(aside, True)
+        fs.delete(self._path(stage), True)
+
+    def recover(self, table: str, corpus: str) -> None:
+        """After a crash: put back bucket folders that were set aside and not replaced, drop what is left over."""
+        live = self.path(table, corpus)
+        fs = self._fs(live)
+        for bucket in range(self.buckets):
+            old, aside = self._path(f"{live}/{BUCKET}={bucket}"), self._path(f"{live}/_old-{bucket}")
+            if fs.exists(aside):
+                if fs.exists(old):
+                    fs.delete(aside, True)
+                else:
+                    fs.rename(aside, old)
 
     def upsert_scans(self, corpus: str, scans: DataFrame) -> None:
-        """page_scans by (document_id, page_number), newest wins."""
+        """page_scans by (document_id, page_number), newest wins; only their buckets are read and rewritten."""
         from foliospark.plans.corpus_edit import upsert
 
-        old = self.read("page_scans", corpus)
-        self.rewrite("page_scans", corpus, upsert(old, scans, ["document_id", "page_number"]))
+        touched = self._touched(scans)
+        if not touched:
+            return
+        every = self.spark.read.option("basePath", self.path("page_scans")).parquet(self.path("page_scans"))
+        old = every.where((F.col("corpus") == corpus) & F.col(BUCKET).isin(touched)).drop(BUCKET, "corpus")
+        new = scans.drop("corpus").select(*old.columns)
+        self.rewrite("page_scans", corpus, upsert(old, new, ["document_id", "page_number"]), touched)
 
     def export(self, corpus: str, target: str, tables: list[str]) -> None:
         """Self-contained copy of one corpus; an existing target is refused."""

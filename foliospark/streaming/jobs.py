@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliospark.operators.joins import link_solutions
+from foliospark.operators.scans import rate_limit
 from foliospark.plans.chunk_corpus import chunk_pages
 from foliospark.plans.curriculum import key_id
 from foliospark.plans.toc import build_toc
@@ -30,79 +29,102 @@ def run_available(
     return query
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a batch-partitioned sink; an absent sink is empty."""
+def _bucket(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _touched(df: DataFrame, column: str, buckets: int) -> list[int]:
+    """Buckets a batch touches, ``buckets`` at most."""
+    return sorted(r["bucket"] for r in df.select(_bucket(column, buckets)).distinct().collect())
+
+
+def _write(df: DataFrame, path: str, batch_id: int, key: str, buckets: int) -> None:
+    """Rows of one batch by bucket; a replay overwrites the folders of its own batch only."""
+    rows = df.withColumns({"bucket": _bucket(key, buckets), "batch": F.lit(batch_id).cast("long")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+
+def _read(spark: SparkSession, path: str, schema: str, touched: list[int]) -> DataFrame:
+    """Rows of a sink with their batch, from the touched buckets' folders; an absent sink is empty."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.read.option("basePath", path).parquet(path)
-    return spark.createDataFrame([], schema + ", batch bigint")
+    full = f"{schema}, bucket int, batch long"
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], full).drop("bucket")
+    return spark.read.schema(full).parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+
+
+JOBS = "document_id string, page_number int, status string"
+CHUNKS = (
+    "chunk_id string, document_id string, page_number int, chunk_index int, section_title string, content_markdown string,"
+    " pedagogical_type string, pedagogical_index int, token_count int, has_solution boolean, linked_solution_chunk_id string"
+)
+BUCKETS = 64
 
 
 def stream_ingest(
-    spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, files_per_batch: int = 1000
+    spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, files_per_batch: int = 1000,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """New page files become chunks exactly once.
 
-    Every batch owns its folder, so replaying one after a crash overwrites its
-    own output.  Pages READY from another batch are skipped.  Contents are
-    rebuilt for the documents a batch touched, and exercises are linked once
-    their document is complete.
+    Sinks lie by document bucket and batch.  A batch reads the buckets of its own documents
+    only, and owns its folders, so replaying it after a crash overwrites its own output.  Pages READY
+    from another batch are skipped.  Contents are rebuilt for the documents a batch touched, and
+    exercises are linked once their document is complete.  ``buckets`` is sized to the corpus and
+    stays the same for a sink.
     """
     stream = (
         spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     )
-    job_schema = "document_id string, page_number int, status string"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        ready = _read(spark, f"{sink_dir}/jobs", job_schema).where(F.col("batch") != batch_id)
+        touched = _touched(batch, "document_id", buckets)
+        ready = _read(spark, f"{sink_dir}/jobs", JOBS, touched).where(F.col("batch") != batch_id)
         fresh = batch.dropDuplicates(["document_id", "page_number"]).join(
             ready.select("document_id", "page_number"), ["document_id", "page_number"], "left_anti"
         )
-        pages = f"{sink_dir}/pages/batch={batch_id}"
-        fresh.write.mode("overwrite").parquet(pages)
-        stored = spark.read.schema(PAGES).parquet(pages)
+        _write(fresh, f"{sink_dir}/pages", batch_id, "document_id", buckets)
+        stored = _read(spark, f"{sink_dir}/pages", PAGES, touched).where(F.col("batch") == batch_id).drop("batch")
         chunks = chunk_pages(stored.drop("total_pages")).select(
             key_id("chunk", F.col("document_id"), F.col("page_number"), F.col("chunk_index")).alias("chunk_id"),
             "*", F.lit(False).alias("has_solution"), F.lit(None).cast("string").alias("linked_solution_chunk_id"),
         )
-        chunks.write.mode("overwrite").parquet(f"{sink_dir}/chunks/batch={batch_id}")
+        _write(chunks, f"{sink_dir}/chunks", batch_id, "document_id", buckets)
         done = stored.select("document_id", "page_number", F.lit("READY").alias("status"))
-        done.write.mode("overwrite").parquet(f"{sink_dir}/jobs/batch={batch_id}")
-        rebuild_toc(spark, sink_dir, stored, batch_id)
-        relink(spark, sink_dir, stored, batch_id)
+        _write(done, f"{sink_dir}/jobs", batch_id, "document_id", buckets)
+        totals = stored.groupBy("document_id").agg(F.max("total_pages").alias("total_pages"))
+        every = _read(spark, f"{sink_dir}/chunks", CHUNKS, touched).drop("batch")
+        toc = rebuild_toc(every, totals)
+        _write(toc, f"{sink_dir}/toc", batch_id, "document_id", buckets)
+        jobs = _read(spark, f"{sink_dir}/jobs", JOBS, touched)
+        _write(relink(every, jobs, totals), f"{sink_dir}/solution_links", batch_id, "document_id", buckets)
 
     return run_available(stream, checkpoint, on_batch)
 
 
-def _touched_chunks(spark: SparkSession, sink_dir: str, documents: DataFrame) -> DataFrame:
-    every = spark.read.option("basePath", f"{sink_dir}/chunks").parquet(f"{sink_dir}/chunks").drop("batch")
-    return every.join(documents.select("document_id").distinct(), "document_id", "left_semi")
-
+def rebuild_toc(chunks: DataFrame, totals: DataFrame) -> DataFrame:
+    """Derived contents of the documents in ``totals``, from all their pages."""
+    return build_toc(chunks.join(totals.select("document_id"), "document_id", "left_semi"), totals)[0]
 
-def rebuild_toc(spark: SparkSession, sink_dir: str, pages: DataFrame, batch_id: int) -> None:
-    """Derived contents of the documents of this batch, from all their pages."""
-    totals = pages.groupBy("document_id").agg(F.max("total_pages").alias("total_pages"))
-    toc, _ = build_toc(_touched_chunks(spark, sink_dir, pages), totals)
-    toc.write.mode("overwrite").parquet(f"{sink_dir}/toc/batch={batch_id}")
 
-
-def relink(spark: SparkSession, sink_dir: str, pages: DataFrame, batch_id: int) -> None:
+def relink(chunks: DataFrame, jobs: DataFrame, totals: DataFrame) -> DataFrame:
     """Solutions of the documents whose last page has just become READY."""
-    jobs = spark.read.option("basePath", f"{sink_dir}/jobs").parquet(f"{sink_dir}/jobs")
-    totals = pages.groupBy("document_id").agg(F.max("total_pages").alias("total_pages"))
     ready = jobs.groupBy("document_id").agg(F.countDistinct("page_number").alias("n"))
     complete = totals.join(ready, "document_id").where("n >= total_pages")
-    linked = link_solutions(_touched_chunks(spark, sink_dir, complete))
-    linked.where("linked_solution_chunk_id is not null").select(
-        "document_id", "chunk_id", "linked_solution_chunk_id"
-    ).write.mode("overwrite").parquet(f"{sink_dir}/solution_links/batch={batch_id}")
+    linked = link_solutions(chunks.join(complete.select("document_id"), "document_id", "left_semi"))
+    return linked.where("linked_solution_chunk_id is not null").select(
+        "document_id", "chunk_id", "linked_solution_chunk_id")
 
 
 def latest_per_document(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the newest batch of each document in a rebuilt sink."""
-    every = spark.read.option("basePath", path).parquet(path)
-    newest = every.groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return every.join(newest, ["document_id", "batch"]).drop("batch")
+    return latest(spark.read.option("basePath", path).parquet(path), ["document_id"]).drop("batch", "bucket")
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows written batch by batch, those of each key's newest batch."""
+    newest = updates.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return updates.join(newest, [*keys, "batch"])
 
 
 def stream_progress(events: DataFrame) -> DataFrame:
@@ -125,31 +147,28 @@ def stream_throughput(events: DataFrame, window: str = "1 hour", lateness: str =
     )
 
 
-def stream_rate_limit(requests: DataFrame, per_window: int, seconds: int = 60) -> DataFrame:
-    """Accepted-only sliding window per key; the state is the accepted
-    timestamps still inside the window, ``per_window`` at most."""
-    span = seconds * 1_000_000
-    out = T.StructType([
-        T.StructField("key", requests.schema["key"].dataType), T.StructField("micros", T.LongType()),
-        T.StructField("request_id", requests.schema["request_id"].dataType), T.StructField("allowed", T.BooleanType()),
-    ])
-    state_schema = T.StructType([T.StructField("accepted", T.ArrayType(T.LongType()))])
-
-    def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["micros", "request_id"])
-        flags = []
-        for at in rows["micros"]:
-            accepted = [t for t in accepted if at - t <= span]
-            ok = len(accepted) < per_window
-            if ok:
-                accepted.append(int(at))
-            flags.append(ok)
-        state.update((accepted,))
-        yield pd.DataFrame(
-            {"key": key[0], "micros": rows["micros"].values, "request_id": rows["request_id"].values, "allowed": flags}
-        )
+def stream_rate_limit(
+    spark: SparkSession, requests: DataFrame, sink_dir: str, checkpoint: str, per_window: int, seconds: int = 60,
+    lateness: int = 0, buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Accepted-only sliding window per key over ``requests(key, micros, request_id)``.
 
-    return requests.groupBy("key").applyInPandasWithState(
-        accept, out, state_schema, "append", GroupStateTimeout.NoTimeout
-    )
+    Each batch runs the batch operator in time order, on top of what earlier batches accepted.
+    The state is a table of accepted times, kept while they lie within the window and ``lateness`` seconds
+    of the newest time seen, so idle keys leave it; a key has few of them.  Batches own their folders.
+    """
+    key, ident = (requests.schema[c].dataType.simpleString() for c in ("key", "request_id"))
+    span = (seconds + lateness) * 1_000_000
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        touched = list(range(buckets))
+        before = _read(spark, f"{sink_dir}/accepted", f"key {key}, micros long", touched).where(F.col("batch") == batch_id - 1)
+        carried = before.drop("batch")
+        decided = rate_limit(batch, per_window, seconds, accepted=carried)
+        _write(decided, f"{sink_dir}/decided", batch_id, "key", buckets)
+        own = _read(spark, f"{sink_dir}/decided", f"key {key}, micros long, request_id {ident}, allowed boolean", touched)
+        now = own.where((F.col("batch") == batch_id) & F.col("allowed")).select("key", "micros").unionByName(carried)
+        newest = now.agg(F.max("micros").alias("m")).scalar()
+        _write(now.where(F.col("micros") > newest - span), f"{sink_dir}/accepted", batch_id, "key", buckets)
+
+    return run_available(requests, checkpoint, on_batch)
