@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from foliospark.catalog.q_text import _ANSWER, _RAW, _TYPES, boxed
+from foliospark.catalog.q_text import _ANSWER, _LETTERS, _RAW, _TYPES, boxed, letter_encoder
 from foliospark.catalog.q_listing import _SIZED
 from foliospark.catalog.tables import Tables, register
 from foliospark.functions.artifacts import first_json
 from foliospark.operators.aggregates import count_if
+from foliospark.plans.chunk_corpus import embed
 from foliospark.plans import artifact_jobs as aj, corpus_edit as ed, layout_boxes, ledger as lg
 
 
@@ -135,6 +136,41 @@ def job_edit_chunk(t: Tables) -> DataFrame:
     )
 
 
+# A third of the corrections hold a ragged table.
+_CORRECTED = "CASE WHEN chunk_id % 3 = 0 THEN '|a|' || chr(10) || '|b|c|' ELSE 'corrected text' END"
+
+
+def _corrections(t: Tables) -> tuple[DataFrame, DataFrame]:
+    chunks = t["v_chunks"].withColumn("updated_at", F.lit(None).cast("timestamp"))
+    patches = t["v_chunks"].where("pedagogical_type = 'solution_only'").select(
+        "chunk_id", F.expr(_CORRECTED).alias("content_markdown"))
+    return ed.apply_edits(chunks, patches, "chunk_id", ("content_markdown",), F.current_timestamp()), patches
+
+
+@register("job_edit_report", """
+    SELECT chunk_id, CAST(chunk_id % 3 = 0 AS INT) AS n_errors, CAST(chunk_id % 3 <> 0 AS INT) AS is_valid
+    FROM @v_chunks WHERE pedagogical_type = 'solution_only'""")
+def job_edit_report(t: Tables) -> DataFrame:
+    """Lint result of every corrected chunk."""
+    report = ed.edit_report(*_corrections(t))
+    return report.select("chunk_id", "n_errors", F.col("is_valid").cast("int").alias("is_valid"))
+
+
+@register("job_reembed", f"""
+    WITH x AS (SELECT chunk_id, 'passage: ' || CASE WHEN pedagogical_type = 'solution_only' THEN {_CORRECTED} ELSE content_markdown END
+               AS x, unnest(range(26)) AS n FROM @v_chunks)
+    SELECT chunk_id, CAST(n AS INT) AS dim,
+           CAST(length(x) - length(replace(x, substr('{_LETTERS}', CAST(n + 1 AS INT), 1), '')) AS DOUBLE) AS value FROM x""")
+def job_reembed(t: Tables) -> DataFrame:
+    """Corrected chunks embedded again; half of them had no vector yet."""
+    edited, patches = _corrections(t)
+    old = embed(t["v_chunks"].where("pedagogical_type <> 'solution_only' OR chunk_id % 2 = 0").select(
+        "chunk_id", "content_markdown"), letter_encoder).select("chunk_id", "embedding")
+    vectors = ed.reembed(old, edited, patches, letter_encoder)
+    return vectors.select("chunk_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.col("value").cast("double"))
+
+
 @register("job_edit_artifact", """
     SELECT artifact_id, CASE WHEN artifact_type = 'data_table' THEN 'fixed' ELSE raw_data END AS raw_data, caption,
            CASE WHEN artifact_type = 'data_table' THEN 'fixed' ELSE searchable_text END AS searchable_text FROM @b_artifacts""")

@@ -208,6 +208,24 @@ def edit_report(edited: DataFrame, patches: DataFrame) -> DataFrame:
     return touched.select("chunk_id", F.size(errors).alias("n_errors"), (F.size(errors) == 0).alias("is_valid"))
 
 
+def reembed(vectors: DataFrame, edited: DataFrame, patches: DataFrame, encoder) -> DataFrame:
+    """Vectors after corrections: those of the corrected chunks are made anew from their whole text, a chunk
+    that had none gets one.  Only corrected chunks reach the model."""
+    from foliospark.plans.chunk_corpus import embed
+
+    touched = edited.join(patches.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    fresh = embed(touched.select("chunk_id", "content_markdown"), encoder).select(
+        "chunk_id", F.col("embedding").alias("_new"))
+    known = vectors.join(fresh, "chunk_id", "left")
+    updated = known.select(*[
+        F.coalesce("_new", "embedding").alias(c) if c == "embedding" else F.col(c) for c in vectors.columns])
+    others = touched.join(vectors.select("chunk_id"), "chunk_id", "left_anti").join(fresh, "chunk_id")
+    added = others.withColumn("embedding", F.col("_new")).select(*[
+        F.col(c) if c in (*others.columns, "embedding") else F.lit(None).cast(vectors.schema[c].dataType).alias(c)
+        for c in vectors.columns])
+    return updated.unionByName(added)
+
+
 def cascade_delete(tables: dict[str, DataFrame], documents: DataFrame) -> dict[str, DataFrame]:
     """Drop documents with their dependents; links that point at a dropped
     chunk or entry become null."""

@@ -13,11 +13,17 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go with the tables they stand for.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
-def local_session(app: str = "foliospark", cpus: str | int = "*", **conf: str) -> SparkSession:
-    """A session for tests and benches; a cluster brings its own."""
+def local_session(
+    app: str = "foliospark", cpus: str | int = "*", shared: str | None = None, **conf: str
+) -> SparkSession:
+    """A session for tests and benches, with ``shared`` as its shared folder; a cluster brings its own."""
+    if shared is not None:
+        conf = {**conf, "spark.checkpoint.dir": shared}
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -36,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a folder of its own.
+    without that setting gets a folder of its own, which goes with the session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -44,7 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
     folder = os.path.join(tempfile.gettempdir(), f"foliospark-{spark.sparkContext.applicationId}")
-    os.makedirs(folder, exist_ok=True)
+    if not os.path.isdir(folder):
+        os.makedirs(folder)
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return folder
 
 
