@@ -52,12 +52,12 @@ def flt_paginate(t: Tables) -> DataFrame:
     FROM @v_documents""")
 def flt_documents(t: Tables) -> DataFrame:
     """Whole listing, newest first, with each document's place in it."""
-    from foliospark.operators.scans import row_number_by
+    from foliospark.operators.scans import even_block, row_number_by
 
     docs = t["v_documents"].select("document_id", "title", "created_on")
-    return row_number_by(
-        docs, [], [F.desc("created_on"), F.asc("document_id")], -F.datediff("created_on", F.lit("2024-01-01").cast("date")), "position"
-    )
+    # Newest day first, then the id: one number that orders as the listing does, so a busy day spreads too.
+    place = F.col("document_id") - F.unix_date("created_on").cast("long") * F.lit(1 << 40)
+    return row_number_by(docs, [], [F.desc("created_on"), F.asc("document_id")], even_block(docs, place), "position")
 
 
 @register("flt_substring", """

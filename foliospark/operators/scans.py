@@ -20,6 +20,16 @@ def _blocks(keys: list[str]):
     return W.partitionBy(*keys).orderBy(BLOCK)
 
 
+def even_block(df: DataFrame, value: Column, blocks: int = 256) -> Column:
+    """Block of each row along a numeric, date or time value, cut at quantiles of ``df``, so blocks hold about as
+    many rows each wherever the values lie.  Non-decreasing in the value; null is block -1."""
+    shares = [n / blocks for n in range(1, blocks)]
+    cuts = df.agg(F.percentile_approx(value, shares, F.lit(10 * blocks)).alias("cuts")).scalar()
+    # The place of the value among the cuts; a scalar subquery may not stand in a lambda.
+    place = F.array_position(F.sort_array(F.array_append(cuts, value)), value)
+    return F.when(value.isNull(), F.lit(-1)).otherwise(place)
+
+
 def row_number_by(df: DataFrame, keys: list[str], order: list[Column], block: Column, name: str) -> DataFrame:
     """1-based row number per key; ``block`` is any non-decreasing function of
     the leading order column."""

@@ -53,6 +53,21 @@ def test_scans_on_a_hot_key(spark):
             assert ahead[r[1]] == next((x[1] for x in mine[n + 1:] if x[1] % 4 == 0), None)
 
 
+def test_even_blocks(spark):
+    df = spark.createDataFrame([(i, i * i) for i in range(1000)] + [(5000 + i, 7) for i in range(1000)] + [(9000, None)], "id int, v int")
+    rows = df.withColumn("b", scans.even_block(df, F.col("v"), 16)).collect()
+    known = sorted((r for r in rows if r.v is not None), key=lambda r: r.v)
+    assert all(a.b <= b.b for a, b in zip(known, known[1:])) and [r.b for r in rows if r.v is None] == [-1]
+    sizes = {}
+    for r in rows:
+        if r.v != 7:
+            sizes[r.b] = sizes.get(r.b, 0) + 1
+    assert max(sizes.values()) <= 160
+    got = scans.row_number_by(df, [], [F.col("v"), F.col("id")], scans.even_block(df, F.col("v"), 16), "n").collect()
+    order = sorted(got, key=lambda r: (r.v is not None, r.v or 0, r.id))
+    assert [r.n for r in order] == list(range(1, len(rows) + 1))
+
+
 def test_moving_average_across_slabs(spark):
     rows = [(i, float((i * 37) % 11)) for i in range(100)]
     df = spark.createDataFrame(rows, "t int, v double")
