@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Labelled documents the classifier is fitted on, at most in expectation and never over twice this.
-SAMPLE = 2000
-FEATURES = 4096
+SAMPLE = 1500
+FEATURES = 2048
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -125,10 +125,12 @@ class Model:
 
 
 def fit(labels: np.ndarray, x: np.ndarray) -> Model:
+    """Train all machines; scales ``x`` in place."""
     names = sorted(set(labels))
     groups = families({n: x[labels == n].mean(axis=0) for n in names})
-    scale = x.std(axis=0) + 1e-4
-    scaled = (x / scale).astype(np.float32)
+    scale = x.std(axis=0) + np.float32(1e-4)
+    x /= scale
+    scaled = x
     columns = []
     for group in groups:
         columns.append(linear_svm(scaled, np.where(np.isin(labels, group), 1, -1)) if len(groups) > 1
@@ -180,8 +182,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = drawn.limit(4 * sample).toArrow()
     if not found.num_rows:
         return None
-    return fit(np.array(found.column("lang").to_pylist()),
-               np.stack([np.frombuffer(x, dtype=np.float32) for x in found.column("x").to_pylist()]))
+    labels = np.array(found.column("lang").to_pylist())
+    x = np.empty((len(labels), FEATURES), dtype=np.float32)
+    for row, value in enumerate(found.column("x")):
+        x[row] = np.frombuffer(value.as_buffer(), dtype=np.float32)
+    del found
+    return fit(labels, x)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from foliospark.llm.ann import balanced_partition, nearest, neighbours, train_router
-from foliospark.llm.language import (UNKNOWN, decision_values, families, frequencies, identify, is_held_out, linear_svm,
+from foliospark.llm.language import (FEATURES, UNKNOWN, decision_values, families, frequencies, identify, is_held_out, linear_svm,
                                      train as train_language)
 from foliospark.llm.scoring import (CLASSES, MEMBERS, OFFSETS, Network, Vocabulary, build_vocabulary, positions,
                                     pseudo_likelihood, score, train as train_network)
@@ -59,7 +59,7 @@ def test_language_edges(spark, documents):
 def test_decision_values_are_linear_in_frequencies():
     texts = ["Abc def", "é", "x" * 5000, "Ω≈ç√ 1"]
     rng = np.random.default_rng(0)
-    w, b = rng.normal(size=(4096, 3)), rng.normal(size=3)
+    w, b = rng.normal(size=(FEATURES, 3)), rng.normal(size=3)
     assert np.allclose(decision_values(texts, w, b), frequencies(texts) @ w + b, atol=1e-4)
     assert np.allclose(decision_values(texts[1:2], w, b), decision_values(texts, w, b)[1:2])
 
