@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import checkpointed, scratch
+from foliospark.llm.common import checkpointed, scratch, staged
 
 CHUNK = 1 << 20
 # Uncompressed bytes after which a task starts another archive.
@@ -115,7 +115,7 @@ def typed_pages(pages: DataFrame, min_bytes: int, page_col: str, url_col: str, h
     keys = (F.sha1("payload").alias("sha"), F.xxhash64("payload").alias("hash"), F.octet_length("payload").alias("bytes"))
     first = rows.select("page_id", *keys).where(F.col("bytes") >= min_bytes).groupBy("sha", "hash", "bytes").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = checkpointed(first.select(F.col("sha").alias("s"), F.col("hash").alias("h"), F.col("bytes").alias("b"), "first"))
+    first = staged(first.select(F.col("sha").alias("s"), F.col("hash").alias("h"), F.col("bytes").alias("b"), "first"), "first-pages")
     same = (F.col("sha") == F.col("s")) & (F.col("hash") == F.col("h")) & (F.col("bytes") == F.col("b"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("*", *keys).join(first, same, "left").select(
