@@ -39,9 +39,10 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> Directory:
     """Write each shard as one folder ``shard=<bits>`` of Parquet files.
 
-    A shard fits its limit, so one task per shard is bounded; the writer's own
-    commit protocol makes a lost executor's files disappear.
+    Rows are dealt out by shard, and adaptive execution evens out the tasks: a large shard may be
+    written by several, small ones share one.  The writer's commit protocol drops the files of a
+    lost executor.
     """
     assigned, directory = assign_shards(docs, limit, id_col, text_col)
-    assigned.repartition(max(1, len(directory.leaves)), "shard").write.partitionBy("shard").parquet(path)
+    assigned.hint("rebalance", F.col("shard")).write.partitionBy("shard").parquet(path)
     return directory
