@@ -139,6 +139,9 @@ def resolve_solutions(exercises: DataFrame, solutions: DataFrame, links: DataFra
         .groupBy("pedagogical_index")
         .agg(F.max_by("chunk_id", last).alias("index_id"))
     )
+    # Only numbered exercises look their number up; the others would meet in one partition.
+    numbered = exercises.where("pedagogical_index is not null").select("chunk_id", "pedagogical_index").join(
+        by_index, "pedagogical_index").select("chunk_id", "index_id")
     by_document = solutions.groupBy("document_id").agg(F.min_by("chunk_id", _place()).alias("document_first_id"))
     sources = ("direct_id", "edge_id", "index_id", "document_first_id")
     label = F.coalesce(
@@ -147,7 +150,7 @@ def resolve_solutions(exercises: DataFrame, solutions: DataFrame, links: DataFra
     return (
         exercises.join(direct, "chunk_id", "left")
         .join(by_edge, "chunk_id", "left")
-        .join(by_index, "pedagogical_index", "left")
+        .join(numbered, "chunk_id", "left")
         .join(by_document, "document_id", "left")
         .select("chunk_id", F.coalesce(*sources).alias("solution_id"), label.alias("link_source"))
     )
