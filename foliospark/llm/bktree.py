@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 # Bound of (query, node) visits held at once.
-FRONTIER = 2_000_000
+FRONTIER = 500_000
 
 
 def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import base64
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,12 @@ class ByteTokenizer:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+@cache
+def byte_tokenizer(*files: str) -> ByteTokenizer:
+    """One tokenizer per Python worker, whatever the number of its tasks."""
+    return ByteTokenizer(*files)
+
+
 class Windows:
     """At most ``count`` open windows of ``size``; ``closed`` gathers the finished ones."""
 
@@ -95,7 +102,7 @@ def _windows(docs: DataFrame, tokenizer: tuple[str, str, str], end_id: int, size
     schema = PIECE.format(id=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteTokenizer(*tokenizer)
+        encoder = byte_tokenizer(*tokenizer)
         base = TaskContext.get().partitionId() << 36
         windows = Windows(size, count)
         names = ("start", "length", "doc_tokens", "ids", "window", "at", "fill", "open")
