@@ -29,11 +29,11 @@ WORD_PATTERNS = [
 ]
 
 
-@register("fn_strip_harakat", """
-    SELECT lang, sum(length(regexp_replace(text, '[ً-ْٰـ]', '', 'g')))::BIGINT AS chars
-    FROM @documents GROUP BY lang""")
+@register("fn_strip_harakat", "SELECT doc_id, md5(text) AS text_md5 FROM @documents")
 def fn_strip_harakat(t: Tables) -> DataFrame:
-    return t["documents"].groupBy("lang").agg(F.sum(F.length(tx.strip_harakat(T()))).alias("chars"))
+    """Vowel marks and lengthening strokes put into every text and taken out again."""
+    marked = F.regexp_replace(T(), "([aeo])", "$1\u064e\u0640\u0651")
+    return t["documents"].select("doc_id", F.md5(tx.strip_harakat(marked)).alias("text_md5"))
 
 
 _QUALIFY = """
@@ -57,6 +57,34 @@ def fn_qualify_index(t: Tables) -> DataFrame:
     return t["documents"].select("doc_id", qualify(T(), WORD_PATTERNS)["pedagogical_index"].alias("pedagogical_index"))
 
 
+# (heading put before a text, type, index) by the default table; the number is the document's own.
+_HEADINGS = [
+    ("## Exercice n° ", "exercise_unsolved", True), ("تمرين رقم ", "exercise_unsolved", True),
+    ("Correction de l'exercice n° ", "solution_only", True), ("Corrigé ", "solution_only", True),
+    ("Devoir ", "evaluation_exam", False), ("Démonstration ", "proof_demonstration", False),
+    ("Travaux pratiques ", "practical_work", False), ("# Théorème ", "course_theory", False), ("برهان ", "proof_demonstration", False),
+]
+
+
+def _headed(sql: bool) -> str:
+    """Number of each document as digits, in Arabic-Indic ones for every other document."""
+    number = "CAST(1 + doc_id % 98 AS STRING)"
+    digits = "CASE WHEN doc_id % 2 = 0 THEN translate({0}, '0123456789', '٠١٢٣٤٥٦٧٨٩') ELSE {0} END".format(number)
+    cases = " ".join("WHEN {} THEN '{}'".format(n, h.replace("'", "''" if sql else "\\'")) for n, (h, _, _) in enumerate(_HEADINGS))
+    return f"CASE doc_id % {len(_HEADINGS)} {cases} END || {digits} || chr(10) || chr(10) || lower(text)"
+
+
+@register("fn_qualify_default", f"""
+    SELECT doc_id, CASE doc_id % {len(_HEADINGS)} {' '.join(f"WHEN {n} THEN '{k}'" for n, (_, k, _) in enumerate(_HEADINGS))} END
+           AS pedagogical_type,
+           CASE WHEN doc_id % {len(_HEADINGS)} IN ({', '.join(str(n) for n, h in enumerate(_HEADINGS) if h[2])})
+           THEN CAST(1 + doc_id % 98 AS INT) END AS pedagogical_index FROM @documents""")
+def fn_qualify_default(t: Tables) -> DataFrame:
+    """The default table over every text behind a real heading, numbers in both kinds of digits."""
+    found = t["documents"].select("doc_id", qualify(F.expr(_headed(False))).alias("q"))
+    return found.select("doc_id", "q.pedagogical_type", "q.pedagogical_index")
+
+
 @register("fn_effective_type", """
     WITH h AS (SELECT chunk_id, CASE WHEN pedagogical_type = 'solution_only' THEN 'solution_only' END AS declared,
                  left(trim(regexp_replace(regexp_replace(content_markdown, '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'),
