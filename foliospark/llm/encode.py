@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 # A run of spaces with the word behind it; the marker of the run's first space is the chunk's own.
 CHUNK = re.compile(r" *[^ ]+| +")
-# Bound of a task's table, in characters of its chunks.
-TABLE_CHARS = 32_000_000
+# Bound of a worker's table: characters of its chunks, and so many more for each entry.
+TABLE_CHARS = 64_000_000
+ENTRY_CHARS = 64
 
 
 class ChunkTable:
@@ -48,9 +50,10 @@ class ChunkTable:
 
     def learn(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.table]
-        if self.held + sum(map(len, fresh)) > self.bound:
+        weight = lambda chunks: sum(map(len, chunks)) + ENTRY_CHARS * len(chunks)
+        if self.held + weight(fresh) > self.bound:
             self.table, self.held, fresh = {}, 0, list(words)
-        self.held += sum(map(len, fresh))
+        self.held += weight(fresh)
         for word, ids in zip(fresh, self.model.encode(fresh, num_threads=1), strict=True):
             # A lone marker is an empty word: the library encodes nothing for it.
             self.table[word] = np.array(ids if word else [self.model.piece_to_id(MARK)], dtype="<u4").tobytes()
@@ -62,6 +65,12 @@ class ChunkTable:
         return [b"".join(map(self.table.__getitem__, words)) for words in cut]
 
 
+@cache
+def chunk_table(model: str, bound: int) -> ChunkTable:
+    """One table per Python worker: later tasks find the words of earlier ones."""
+    return ChunkTable(model, bound)
+
+
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text",
                      bound: int = TABLE_CHARS) -> DataFrame:
     """(id, ids, decoded) per row: ids with begin and end, and the text they decode to.
@@ -72,7 +81,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model, bound)
+        table = chunk_table(model, bound)
         begin, end = (np.array([i], dtype="<u4").tobytes() for i in (table.model.bos_id(), table.model.eos_id()))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
