@@ -38,6 +38,31 @@ def test_decimal_grid(col):
     assert mapped(col, type="decimal_grid", decimal_grid={**grid, "cells": [{"count": -1, "color": "red"}]}) is None
 
 
+def test_limits_are_the_callers(col):
+    line = {"min": 0, "max": 100, "step": 1, "points": [{"label": "A" * (1 + n % 30), "value": n} for n in range(90)],
+            "highlight_segments": [[n, n + 1] for n in range(50)]}
+    answer = json.dumps({"type": "number_line", "number_line": line})
+    raw = json.loads(col(answer, art.map_answer)["raw_data"])
+    assert len(raw["points"]) == 90 and len(raw["highlight_segments"]) == 50
+    some = art.Limits(points=40, segments=20, label_chars=16)
+    raw = json.loads(col(answer, lambda c: art.map_answer(c, some))["raw_data"])
+    assert len(raw["points"]) == sum(1 + n % 30 <= 16 for n in range(40)) and len(raw["highlight_segments"]) == 20
+    grid = json.dumps({"type": "decimal_grid", "decimal_grid": {"rows": 10, "cols": 10, "cells": [{"count": 1, "color": "red"}] * 80}})
+    assert len(json.loads(col(grid, art.map_answer)["raw_data"])["cells"]) == 80
+    assert len(json.loads(col(grid, lambda c: art.map_answer(c, art.Limits(cells=60)))["raw_data"])["cells"]) == 60
+
+
+def test_listing_limits(spark):
+    from foliospark.operators import filters as flt, topk
+
+    jobs = spark.range(700).select(F.col("id").alias("job_id"), F.lit("QUARANTINE").alias("status"), F.col("id").alias("updated_at"))
+    assert flt.quarantine(jobs).count() == 700
+    assert [r.job_id for r in flt.quarantine(jobs, cap=2).orderBy("job_id").collect()] == [698, 699]
+    page = topk.paginate(jobs, [F.asc("job_id")], 1, 300)
+    assert page.count() == 300 and page.first()["limit"] == 300
+    assert topk.paginate(jobs, [F.asc("job_id")], 1, 300, max_limit=200).first()["limit"] == 200
+
+
 def test_mapping_branches(col):
     svg = "<svg viewBox='0 0 1 1'></svg>"
     assert mapped(col, type="geometry", svg=svg)["artifact_type"] == "geometry_vector"
@@ -50,7 +75,11 @@ def test_mapping_branches(col):
     photo = mapped(col, type="photo", caption_ar="صورة", semantic="demonstration")
     assert (photo["artifact_type"], photo["caption"], photo["semantic"]) == (None, "صورة", "demonstration")
     assert mapped(col, type="photo", semantic="other") is None
-    assert mapped(col, type="geometry", svg="<svg>" + "x" * 210000 + "</svg>") is None
+    large = json.dumps({"type": "geometry", "svg": "<svg>" + "x" * 210000 + "</svg>"})
+    kept = col(large, art.map_answer)
+    assert len(kept["raw_data"]) == 210011 and len(kept["searchable_text"]) == 210011
+    assert col(large, lambda c: art.map_answer(c, art.Limits(svg_bytes=200 * 1024))) is None
+    assert len(col(large, lambda c: art.map_answer(c, art.Limits(search_chars=500)))["searchable_text"]) == 500
     assert mapped(col, type=5, caption_ar=7) is None
 
 

@@ -83,6 +83,14 @@ def test_numbers_in_any_arabic_digits(col):
         assert (got["pedagogical_type"], got["pedagogical_index"]) == ("exercise_unsolved", 3), word
 
 
+def test_titles_keep_their_length(col):
+    name = "Titre " + "long " * 60
+    assert col(f"# {name}", tx.section_title) == name.strip()
+    assert len(col(f"# {name}", lambda c: tx.section_title(c, 200))) == 200
+    assert [h.title for h in col(f"## {name}\n## Court", tx.headings)] == [name.strip(), "Court"]
+    assert [h.title for h in col(f"## {name}\n## Court", lambda c: tx.headings(c, 120))] == ["Court"]
+
+
 def test_latex_cleaning(col):
     assert col("$$ begin{array}{c} 1 \\end{array} $$", latex.sanitize_latex) == "\\begin{array}{c} 1 \\end{array}"
     assert col("\\[ 2 times 3 \\]\\", latex.sanitize_latex).startswith("2 \\times 3")
