@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Labelled documents the classifier is fitted on, at most in expectation and never over twice this.
 SAMPLE = 1500
@@ -190,32 +191,44 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(labels, x)
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) per row, from the whole text alone.
+def predict_batch(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; ``und`` and 0 where there is no letter or no model."""
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    ask = [i for i, t in enumerate(texts) if model is not None and LETTER.search(t)]
+    at = 0
+    while at < len(ask):
+        to, size = at, 0
+        while to < len(ask) and (to == at or size + len(texts[ask[to]]) <= SLICE):
+            size += len(texts[ask[to]])
+            to += 1
+        found, sure = model.predict([texts[i] for i in ask[at:to]])
+        for i, name, score in zip(ask[at:to], found, sure, strict=True):
+            names[i], scores[i] = name, score
+        at = to
+    return names, scores
+
+
+def tag_language(docs: DataFrame, model: Model | None, text_col: str = "text", lang_pred: str = "lang_pred",
+                 score: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the prediction under two further names, from the whole text alone.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is every text
     where nothing could be learned.  Repeated rows get the same answer; no rows give
-    no rows; other columns are not read.
+    no rows.  The step is narrow.  Columns of ``docs`` with the two names are replaced.
     """
+    rest = docs.drop(lang_pred, score)
+    place = rest.columns.index(text_col)
+    names = [*rest.columns, lang_pred, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            ask = [i for i, t in enumerate(texts) if model is not None and LETTER.search(t)]
-            at = 0
-            while at < len(ask):
-                to, size = at, 0
-                while to < len(ask) and (to == at or size + len(texts[ask[to]]) <= SLICE):
-                    size += len(texts[ask[to]])
-                    to += 1
-                found, sure = model.predict([texts[i] for i in ask[at:to]])
-                for i, name, score in zip(ask[at:to], found, sure, strict=True):
-                    names[i], scores[i] = name, score
-                at = to
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)],
-                                             ["id", "lang_pred", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS STRING) AS text")
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+            found, sure = predict_batch(model, [t or "" for t in batch.column(place).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure)], names)
+
+    return rest.mapInArrow(run, StructType([*rest.schema, StructField(lang_pred, StringType()), StructField(score, DoubleType())]))
+
+
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) per row; see ``tag_language``.  Other columns are not read."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return tag_language(rows, model).select(F.col("id").alias(id_col), "lang_pred", "score")
