@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -23,11 +22,25 @@ OPEN = 128
 FAN = 64
 # Numbers of merged sequences start here, above those of all partitions.
 MERGED = 1 << 62
-# Runs from which the rank tokenizer would slow down; such texts go to the other library.
-LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+# Unbroken runs from which the rank tokenizer would slow down; such texts go to the other library.
+LONG_RUN = 2000
 PIECE = "id {id}, start long, length long, doc_tokens long, ids binary, window long, at long, fill long, open boolean"
 
 
+def has_long_run(text: str, size: int = LONG_RUN) -> bool:
+    """Whether ``size`` characters in a row are all blank or all not; looks around every ``size``-th character,
+    as any such run holds one."""
+    for at in range(size - 1, len(text), size):
+        blank, low, high = text[at].isspace(), at, at
+        while low > 0 and at - low < size and text[low - 1].isspace() == blank:
+            low -= 1
+        while high + 1 < len(text) and high - low + 1 < size and text[high + 1].isspace() == blank:
+            high += 1
+        if high - low + 1 >= size:
+            return True
+    return False
+
+
 class ByteTokenizer:
     """Byte-level BPE ids of whole texts; special-token strings are ordinary text.
 
@@ -45,7 +58,7 @@ class ByteTokenizer:
         self.file, self.slow = tokenizer_file, None
 
     def encode(self, text: str) -> np.ndarray:
-        if not LONG_RUN.search(text):
+        if not has_long_run(text):
             return self.ranks.encode_to_numpy(text, disallowed_special=())
         if self.slow is None:
             from tokenizers import Tokenizer

@@ -1,6 +1,7 @@
 """Encoding and packing against the tokenizer libraries on awkward texts."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from foliospark.llm.encode import ENTRY_CHARS, ChunkTable, encode_documents
-from foliospark.llm.packing import PIECE, ByteTokenizer, merge_leftovers, pack_documents
+from foliospark.llm.packing import PIECE, ByteTokenizer, has_long_run, merge_leftovers, pack_documents
 from foliospark.llm.queries import BYTES, PIECES
 
 TEXTS = [
@@ -61,6 +62,13 @@ def test_rank_file_equals_tokenizer_file(text):
     assert ByteTokenizer(*BYTES).encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab \n"), st.integers(1, 12)), max_size=12))
+def test_long_runs(parts):
+    text = "".join(c * n for c, n in parts)
+    assert has_long_run(text, 7) == bool(re.search(r"\S{7}|\s{7}", text))
+
+
 def rebuild(pieces, size):
     windows: dict = {}
     documents: dict = {}
