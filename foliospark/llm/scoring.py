@@ -8,9 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import scratch, staged
 
 OFFSETS = (-2, -1, 1, 2)
 PAD = 2  # tokens between two texts
@@ -21,6 +23,9 @@ BATCH = 8192
 RATE = 0.05
 # Bytes of text in one step of a task.
 SLICE = 1 << 21
+# Words whose count every worker holds; the counts of all others are joined in by a shuffle.
+NEAR = 1 << 16
+COUNTS = "word string, count long"
 
 
 class Vocabulary:
@@ -28,12 +33,22 @@ class Vocabulary:
 
     Id 0 pads.  Class c of the softmax holds the ids c * MEMBERS and on, so a class holds words of
     about one frequency.  Other words are told apart by their length, up to 16 bytes, and last byte.
+    Such a kind of words holds ``totals`` tokens; a word counted n times is n / (total + 1) of it, and
+    all words never counted together are 1 / (total + 1).  ``near`` holds the logarithms of the most
+    frequent of these words, ``path`` the counts of all words; without counts nothing is told apart.
     """
 
-    def __init__(self, frequent: list[bytes]):
+    def __init__(self, frequent: list[bytes], near: dict[bytes, int] | None = None, totals: np.ndarray | None = None,
+                 path: str | None = None):
         self.rare = CLASSES * MEMBERS - RARE
         slots = np.arange(1, self.rare)
         self.table = dict(zip(frequent[:len(slots)], slots.tolist()))
+        self.totals = np.zeros(RARE, dtype=np.int64) if totals is None else totals
+        near = near or {}
+        kinds = self.ids(list(near)) - self.rare
+        shares = np.array(list(near.values()), dtype=np.float64) / (self.totals[kinds] + 1) if near else np.zeros(0)
+        self.near = dict(zip(near, np.log(shares).tolist()))
+        self.path = path
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get, rare = self.table.get, self.rare - 16
@@ -115,9 +130,13 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return np.maximum(scores, np.float32(1e-12), out=scores)
 
 
-def positions(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(around, target, words per text) of all tokens of all texts; texts do not see each other."""
-    cut = [t.split() for t in texts]
+def positions(texts: list[bytes], vocabulary: Vocabulary, cut: list[list[bytes]] | None = None
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(around, target, words per text) of all tokens of all texts; texts do not see each other.
+
+    ``cut`` are the words of the texts where they are known.
+    """
+    cut = [t.split() for t in texts] if cut is None else cut
     sizes = np.array([len(w) for w in cut], dtype=np.int64)
     line = np.zeros(PAD + int(sizes.sum()) + PAD * len(texts), dtype=np.int32)
     first = PAD + np.cumsum(np.r_[0, sizes[:-1] + PAD]) if len(texts) else np.zeros(0, np.int64)
@@ -143,12 +162,31 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS STRING) AS text")
 
 
-def build_vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """Counts every word of the corpus; the driver sees the words that get a token of their own."""
+def kind_of(word: Column) -> Column:
+    """Number of a word among the kinds of words without a token of their own, as ``Vocabulary.ids`` has it."""
+    data = word.cast("binary")
+    last = F.conv(F.hex(F.substring(data, -1, 1)), 16, 10).cast("int")
+    return 16 * (F.least(F.octet_length(data), F.lit(16)) - 1) + last % 16
+
+
+def build_vocabulary(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> Vocabulary:
+    """Counts every word of the corpus in a table in the shared folder.
+
+    The driver sees the words that get a token of their own, the ``near`` next ones and the tokens per kind.
+    """
     words = F.explode(F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+")).alias("word")
-    counts = docs.select(words).where("word <> ''").groupBy("word").count()
-    top = counts.orderBy(F.desc("count"), "word").limit(CLASSES * MEMBERS - RARE - 1).collect()
-    return Vocabulary([r["word"].encode() for r in top])
+    path = scratch(docs.sparkSession, "words")
+    docs.select(words).where("word <> ''").groupBy("word").count().write.option("compression", "zstd").parquet(path)
+    counts = docs.sparkSession.read.schema(COUNTS).parquet(path)
+    own = CLASSES * MEMBERS - RARE - 1
+    top = [(r["word"].encode(), r["count"]) for r in counts.orderBy(F.desc("count"), "word").limit(own + near).collect()]
+    totals = np.zeros(RARE, dtype=np.int64)
+    for r in counts.groupBy(kind_of(F.col("word")).alias("kind")).agg(F.sum("count").alias("n")).collect():
+        totals[r["kind"]] = r["n"]
+    rare = Vocabulary([])
+    if top:
+        np.subtract.at(totals, rare.ids([w for w, _ in top[:own]]) - rare.rare, [n for _, n in top[:own]])
+    return Vocabulary([w for w, _ in top[:own]], dict(top[own:]), totals, path)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Network:
@@ -200,29 +238,57 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, id_col: str
     return network
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, log_likelihood, mean_log_prob) per row: every token predicted from both of its sides.
-
-    Null text is empty; a text without words has no tokens, sum 0 and a null mean.  Repeated rows score
-    alike; no rows give no rows; other columns are not read.
-    """
+def _score_near(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, n_tokens, log_likelihood, far): sums over all tokens, but for the shares of the words ``far`` in their kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, row = vocabulary.near.get, TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, texts in slices(batch):
-                around, target, sizes = positions(texts, vocabulary)
+                cut = [t.split() for t in texts]
+                around, target, sizes = positions(texts, vocabulary, cut)
                 found = [network.log_probs(around[:, at:at + BATCH], target[at:at + BATCH]) for at in range(0, len(target), BATCH)]
-                ends = np.cumsum(np.r_[0.0, np.concatenate(found).astype(np.float64)]) if found else np.zeros(1)
+                logs = np.concatenate(found).astype(np.float64) if found else np.zeros(0)
+                words = [w for own in cut for w in own]
+                rare = np.flatnonzero(target >= vocabulary.rare) if vocabulary.path else np.zeros(0, np.int64)
+                shares = np.array([get(words[n], np.nan) for n in rare.tolist()], dtype=np.float64)
+                lost = rare[np.isnan(shares)]
+                logs[rare] += np.nan_to_num(shares)
+                ends = np.cumsum(np.r_[0.0, logs])
                 stop = np.cumsum(sizes)
-                sums = ends[stop] - ends[stop - sizes]
-                means = np.divide(sums, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
+                offsets = np.searchsorted(lost, np.r_[0, stop])
+                far = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([words[n].decode() for n in lost.tolist()], pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(sizes), pa.array(sums), pa.array(means, mask=sizes == 0)],
-                    ["id", "n_tokens", "log_likelihood", "mean_log_prob"])
+                    [pa.array(np.arange(row, row + len(texts))), batch.column(0).slice(first, len(texts)), pa.array(sizes),
+                     pa.array(ends[stop] - ends[stop - sizes]), far],
+                    ["row", "id", "n_tokens", "log_likelihood", "far"])
+                row += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return _rows(docs, id_col, text_col).mapInArrow(
-        run, f"id {kind}, n_tokens long, log_likelihood double, mean_log_prob double").withColumnRenamed("id", id_col)
+        run, f"row long, id {kind}, n_tokens long, log_likelihood double, far array<string>")
+
+
+def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, log_likelihood, mean_log_prob) per row: every token predicted from both of its sides.
+
+    A word without a token of its own counts with log p(its kind | both sides) + log p(word | kind), the
+    latter from the counts of the vocabulary.  Null text is empty; a text without words has no tokens,
+    sum 0 and a null mean.  Repeated rows score alike; no rows give no rows; other columns are not read.
+    """
+    scored = _score_near(docs, vocabulary, network, id_col, text_col)
+    if vocabulary.path:
+        # Written once, so that rows keep their numbers.
+        scored = staged(scored, "scored")
+        counts = docs.sparkSession.read.schema(COUNTS).parquet(vocabulary.path).select(F.col("word").alias("w"), "count")
+        total = F.element_at(F.array(*[F.lit(int(n)) for n in vocabulary.totals + 1]), kind_of(F.col("word")) + 1)
+        # None of these words is hot: the frequent ones have tokens of their own.
+        far = scored.select("row", F.explode("far").alias("word")).join(counts, F.col("word") == F.col("w"), "left")
+        rest = far.groupBy(F.col("row").alias("r")).agg(F.sum(F.log(F.coalesce("count", F.lit(1)) / total)).alias("rest"))
+        scored = scored.drop("far").join(rest, F.col("row") == F.col("r"), "left").withColumn(
+            "log_likelihood", F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", mean.alias("mean_log_prob"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

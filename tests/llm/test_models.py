@@ -1,6 +1,7 @@
 """Language identification, pseudo-likelihood and nearest neighbours."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from conftest import SF
 from foliospark.llm.ann import balanced_partition, nearest, neighbours, train_router
 from foliospark.llm.language import (FEATURES, UNKNOWN, decision_values, families, frequencies, identify, is_held_out, linear_svm,
                                      train as train_language)
-from foliospark.llm.scoring import (CLASSES, MEMBERS, OFFSETS, Network, Vocabulary, build_vocabulary, positions,
+from foliospark.llm.scoring import (CLASSES, MEMBERS, OFFSETS, RARE, Network, Vocabulary, build_vocabulary, positions,
                                     pseudo_likelihood, score, train as train_network)
 
 EXTRA = "doc_id long, text string, lang string, score int, ids string, held boolean, x string"
@@ -117,6 +118,34 @@ def test_trained_network_prefers_real_order(spark, documents):
     assert mean(texts, trained) > mean(mixed, trained)
 
 
+@pytest.mark.parametrize("near", [0, 50, 1 << 16])
+def test_words_without_a_token_are_told_apart(spark, near):
+    rng = random.Random(3)
+    rare = [f"w{i:05d}é" if i % 3 else f"long-{'x' * (i % 40)}{i}" for i in range(900)]
+    texts = [(i, " ".join(["the"] * 9 + [f"f{j}" for j in range(766)] * 4 + rng.choices(rare, k=30)), None) for i in range(40)]
+    docs = awkward(spark, texts)
+    vocabulary = build_vocabulary(docs, near=near)
+    frequent = sorted(vocabulary.table, key=vocabulary.table.get)
+    assert len(frequent) == CLASSES * MEMBERS - RARE - 1
+    network = Network.fresh()
+    counts = Counter(w for _, t, _ in texts for w in t.encode().split())
+    kind = lambda w: (min(len(w), 16), w[-1] % 16)
+    totals = Counter()
+    for word, n in counts.items():
+        totals[kind(word)] += n * (word not in vocabulary.table)
+    assert sum(totals.values()) > 0 and sorted(totals.values())[-16:] == sorted(vocabulary.totals.tolist())[-16:]
+    known = texts[:5] + [(100, rare[0] + " neverseen the", None), (100, "zzzzz", None), (None, "the", None), (101, None, None)]
+    ask = awkward(spark, known)
+    plain = {(r["doc_id"], r["n_tokens"]): r["log_likelihood"] for r in score(ask, Vocabulary(frequent), network).collect()}
+    found = score(ask, vocabulary, network).collect()
+    assert len(found) == len(known)
+    for r in found:
+        text = next(t for k, t, _ in known if k == r["doc_id"] and len((t or "").split()) == r["n_tokens"])
+        more = sum(np.log(counts.get(w, 1) / (totals[kind(w)] + 1)) for w in (text or "").encode().split() if w not in vocabulary.table)
+        assert abs(r["log_likelihood"] - plain[r["doc_id"], r["n_tokens"]] - more) < 1e-6
+        assert r["mean_log_prob"] is None if not r["n_tokens"] else abs(r["mean_log_prob"] * r["n_tokens"] - r["log_likelihood"]) < 1e-6
+
+
 def test_scoring_edges(spark):
     texts = [(1, None, None), (2, " \n", None), (3, "one", None), (3, "one", None), (None, "a b " * 90_000, None)]
     rows = sorted(map(tuple, pseudo_likelihood(awkward(spark, texts)).collect()), key=str)
