@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -42,36 +43,41 @@ def has_long_run(text: str, size: int = LONG_RUN) -> bool:
 
 
 class ByteTokenizer:
-    """Byte-level BPE ids of whole texts; special-token strings are ordinary text.
+    """Byte-level BPE ids of whole texts.
 
     The rank file holds the same vocabulary as the tokenizer file and gives the
     same ids several times faster; texts with very long unbroken runs are
-    encoded by the tokenizer file itself.
+    encoded by the tokenizer file itself.  With ``added`` the strings of the tokenizer
+    file's added tokens become their ids, as in the library's plain call, and texts
+    that hold one go to the tokenizer file too; without, they are ordinary text.
     """
 
-    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str):
+    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str, added: bool = False):
         import tiktoken
 
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.file, self.slow = tokenizer_file, None
+        self.file, self.slow, self.marks = tokenizer_file, None, []
+        if added:
+            with open(tokenizer_file, encoding="utf-8") as file:
+                self.marks = [t["content"] for t in json.load(file).get("added_tokens", [])]
 
     def encode(self, text: str) -> np.ndarray:
-        if not has_long_run(text):
+        if not has_long_run(text) and not any(m in text for m in self.marks):
             return self.ranks.encode_to_numpy(text, disallowed_special=())
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.file)
-            self.slow.encode_special_tokens = True
+            self.slow.encode_special_tokens = not self.marks
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 @cache
-def byte_tokenizer(*files: str) -> ByteTokenizer:
+def byte_tokenizer(files: tuple[str, str, str], added: bool) -> ByteTokenizer:
     """One tokenizer per Python worker, whatever the number of its tasks."""
-    return ByteTokenizer(*files)
+    return ByteTokenizer(*files, added=added)
 
 
 class Windows:
@@ -109,13 +115,13 @@ class Windows:
 
 
 def _windows(docs: DataFrame, tokenizer: tuple[str, str, str], end_id: int, size: int, count: int,
-             id_col: str, text_col: str) -> DataFrame:
+             id_col: str, text_col: str, added: bool) -> DataFrame:
     """Pieces with their window; windows still open at the end of a partition are marked."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = PIECE.format(id=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_tokenizer(*tokenizer)
+        encoder = byte_tokenizer(tokenizer, added)
         base = TaskContext.get().partitionId() << 36
         windows = Windows(size, count)
         names = ("start", "length", "doc_tokens", "ids", "window", "at", "fill", "open")
@@ -193,7 +199,7 @@ def merge_leftovers(pieces: DataFrame, size: int, fan: int = FAN) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: tuple[str, str, str], end_id: int = 0, size: int = WINDOW,
-                   count: int = OPEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   count: int = OPEN, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Pieces of all documents: id, start, length, doc_tokens, ids, sequence_id, offset.
 
     A document is its token ids and ``end_id``, cut every ``size`` ids; null text
@@ -201,12 +207,13 @@ def pack_documents(docs: DataFrame, tokenizer: tuple[str, str, str], end_id: int
     each piece best-fit.  What is open at a partition's end is merged across
     partitions, cut where a sequence is full; one sequence may stay short.  ``ids`` is binary, little-endian unsigned 32-bit.  Repeated
     rows are packed each for itself; no rows give no pieces; other columns are
-    not read.  ``tokenizer`` is (tokenizer file, rank file, pattern).
+    not read.  ``tokenizer`` is (tokenizer file, rank file, pattern); ``added`` maps the
+    strings of its added tokens in a text to their ids.
 
     The pieces are written once to the shared folder, so that a task run again
     cannot change a window half of which was already merged.
     """
-    pieces = staged(_windows(docs, tokenizer, end_id, size, count, id_col, text_col), "pieces")
+    pieces = staged(_windows(docs, tokenizer, end_id, size, count, id_col, text_col, added), "pieces")
     rest = merge_leftovers(pieces.where("open").withColumn("slot", F.shiftright("window", 36)), size)
     return pieces.where("NOT open").unionByName(rest.drop("slot")).select(
         F.col("id").alias(id_col), "start", "length", "doc_tokens", "ids", F.col("window").alias("sequence_id"),

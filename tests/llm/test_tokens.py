@@ -62,6 +62,32 @@ def test_rank_file_equals_tokenizer_file(text):
     assert ByteTokenizer(*BYTES).encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [
+    "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " <|endoftext|>  \n<|endoftext", "é" * 3000 + "<|endoftext|>", "plain"])
+def test_added_tokens_equal_plain_call(text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BYTES[0]).encode(text, add_special_tokens=False).ids
+    assert ByteTokenizer(*BYTES, added=True).encode(text).tolist() == plain
+    assert (50256 in plain) == ("<|endoftext|>" in text)
+
+
+@pytest.mark.parametrize("name", ["op3_packing", "pipeline"])
+def test_queries_give_ids_of_added_tokens(spark, tmp_path, name):
+    import __spark_entry__ as contract
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|> other words", "no mark"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["doc_tokens"] for r in contract.queries()[name](spark, str(tmp_path)).where("start = 0").collect()}
+    whole = Tokenizer.from_file(BYTES[0])
+    for key, text in enumerate(texts):
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 0]
+        assert found[key] == len(ids)
+    assert len(found) == 3
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("ab \n"), st.integers(1, 12)), max_size=12))
 def test_long_runs(parts):
