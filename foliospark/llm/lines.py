@@ -15,37 +15,38 @@ WINDOW = 3
 
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(id, h1, h2, start, stop): every run of ``width`` lines with words, by a 128-bit hash.
+    """(id, own, h1, h2, start, stop): every run of ``width`` lines with words, by a 128-bit hash.
 
     Lines are compared without blanks at their ends; blank lines do not count, so a window
-    may span them.  ``start`` and ``stop`` are its first and last line in the text.
+    may span them.  ``start`` and ``stop`` are its first and last line in the text,
+    and ``own``, a hash of the whole text, tells texts of one id apart.
     """
     lines = F.transform(F.split(F.col("text"), "\n"), lambda line, n: F.struct(n.alias("n"), F.trim(line).alias("line")))
     full = F.filter(lines, lambda x: x["line"] != "")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where(
-        F.col("id").isNotNull()).select("id", full.alias("full"))
+        F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("own"), full.alias("full"))
 
     def window(i):
-        own = [F.element_at("full", i + n + 1) for n in range(width)]
+        run = [F.element_at("full", i + n + 1) for n in range(width)]
         return F.struct(
-            F.xxhash64(*[x["line"] for x in own]).alias("h1"), F.xxhash64(F.lit(width), *[x["line"] for x in own[::-1]]).alias("h2"),
-            own[0]["n"].alias("start"), own[-1]["n"].alias("stop"))
+            F.xxhash64(*[x["line"] for x in run]).alias("h1"), F.xxhash64(F.lit(width), *[x["line"] for x in run[::-1]]).alias("h2"),
+            run[0]["n"].alias("start"), run[-1]["n"].alias("stop"))
 
     numbers = F.when(F.size("full") >= width, F.sequence(F.lit(0), F.size("full") - width))
-    return rows.select("id", F.explode(F.transform(numbers, window)).alias("w")).select("id", "w.*")
+    return rows.select("id", "own", F.explode(F.transform(numbers, window)).alias("w")).select("id", "own", "w.*")
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
-    """Windows that occurred before, in an earlier document or higher up in their own; the first by (id, start) stays.
+    """Windows that occurred before, in an earlier document or higher up in their own; the first by (id, own, start) stays.
 
     First places combine before their shuffle.  Only repeated windows are joined back, from the
     shared folder, so adaptive execution can split a very common one.
     """
-    place = F.struct("id", "start")
+    place = F.struct("id", "own", "start")
     firsts = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     firsts = checkpointed(firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"))
     met = windows.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    return met.where(place != F.col("first")).select("id", "start", "stop")
+    return met.where(place != F.col("first")).select("id", "own", "start", "stop")
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -53,11 +54,12 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Covered positions of overlapping windows merge.  The first occurrence, by id and then position,
     stays, unless it is itself covered by another window that came before.  Null text is empty
-    text with one line; a text of fewer than ``width`` lines with words keeps all.  Rows that repeat an
-    id are one document: they are cut alike.  A null id names no document and keeps its text.
+    text with one line; a text of fewer than ``width`` lines with words keeps all.  Rows that repeat
+    an id and its text are one document: they are cut alike.  Other texts of the id are documents of
+    their own, in the order of a hash of the text.  A null id names no document and keeps its text.
     An empty table gives no rows; other columns are not read.
     """
-    covered = later_windows(line_windows(docs, id_col, text_col, width)).groupBy(F.col("id").alias("c")).agg(
+    covered = later_windows(line_windows(docs, id_col, text_col, width)).groupBy(F.col("id").alias("c"), F.col("own").alias("o")).agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +81,6 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 ["id", "text", "n_lines", "n_removed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    met = rows.join(covered, F.col("id") == F.col("c"), "left").select("id", "text", "cuts")
+    met = rows.join(covered, (F.col("id") == F.col("c")) & (F.xxhash64("text") == F.col("o")), "left").select("id", "text", "cuts")
     return met.mapInArrow(run, "id long, text string, n_lines long, n_removed long").withColumnsRenamed(
         {"id": id_col, "text": text_col})
