@@ -75,3 +75,23 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
         assert kept.schema == docs.schema
         assert function(spark, docs.limit(0), folder).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
+
+
+def test_null_and_repeated_ids_are_judged_by_text(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(3000))
+    near = long.replace("word7 ", "other ")
+    rows = [(None, "alone without id"), (None, "twice without id"), (None, "Twice without id"), (None, "named elsewhere"), (5, "named elsewhere"),
+            (6, "first of six"), (6, "second of six"), (7, "second of six"), (6, long), (None, near), (8, long + " end"),
+            (9, "repeated row"), (9, "repeated row")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda found: sorted((str(r["doc_id"]), r["text"].lower()) for r in found.collect())
+    single = corpus_pipeline.exact_dedup(spark, docs, str(tmp_path))
+    expected = [("None", "alone without id"), ("None", "twice without id"), ("5", "named elsewhere"), ("6", "first of six"), ("7", "second of six"),
+                ("6", long), ("None", near), ("8", long + " end"), ("9", "repeated row")]
+    assert key(single) == sorted(expected)
+    left = [x for x in expected if x[1] not in (near, long + " end")]
+    assert key(corpus_pipeline.near_dedup(spark, single, str(tmp_path))) == sorted(left)
+    pieces = contract.queries()["pipeline"](spark, str(tmp_path)).where("start = 0").collect()
+    assert sorted(str(p["doc_id"]) for p in pieces) == sorted(k for k, _ in left)
