@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Labelled documents the classifier is fitted on, at most in expectation and never over twice this.
-SAMPLE = 1500
-FEATURES = 2048
+SAMPLE = 2000
+FEATURES = 4096
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from foliospark.llm.ann import balanced_partition, nearest, neighbours, train_router
-from foliospark.llm.language import (FEATURES, UNKNOWN, decision_values, families, frequencies, identify, is_held_out, linear_svm,
+from foliospark.llm.language import (FEATURES, SAMPLE, UNKNOWN, decision_values, families, frequencies, identify, is_held_out, linear_svm,
                                      train as train_language)
 from foliospark.llm.scoring import (CLASSES, MEMBERS, OFFSETS, RARE, Network, Vocabulary, build_vocabulary, positions,
                                     pseudo_likelihood, score, train as train_network)
@@ -57,6 +57,11 @@ def test_language_edges(spark, documents):
     assert train_language(awkward(spark, [(i, "12", "xx") for i in range(20)])) is None
 
 
+def test_training_keeps_its_size():
+    assert (SAMPLE, FEATURES) == (2000, 4096)
+    assert frequencies(["word"]).shape == (1, 4096)
+
+
 def test_decision_values_are_linear_in_frequencies():
     texts = ["Abc def", "é", "x" * 5000, "Ω≈ç√ 1"]
     rng = np.random.default_rng(0)
