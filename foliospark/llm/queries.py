@@ -16,6 +16,7 @@ from foliospark.llm.exact import UPPER, exact_duplicates
 from foliospark.llm.language import identify, is_held_out, train
 from foliospark.llm.lines import remove_repeated_lines
 from foliospark.llm.packing import pack_documents
+from foliospark.llm.resampling import resample
 from foliospark.llm.scoring import pseudo_likelihood
 from foliospark.llm.sharding import write_shards
 from foliospark.llm.simhash import near_duplicates
@@ -150,3 +151,40 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op12_resampling", """
+    WITH RECURSIVE steps AS (
+      SELECT i, i AS c, 0 AS n FROM range(256) t(i)
+      UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), n + 1 FROM steps WHERE n < 8),
+    crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE n = 8),
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+    dw AS (SELECT doc_id, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+    words AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+    hashed AS (
+      SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+               range(0, octet_length(encode(w))), lambda j: ('0x' || substr(hex(encode(w)), (2 * j + 1)::INT, 2))::BIGINT)),
+               lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) % 10000 AS k
+      FROM words, crc),
+    s AS (SELECT k, count(*) AS n FROM dw JOIN hashed USING (w) GROUP BY k),
+    t AS (SELECT k, count(*) AS n FROM bw JOIN hashed USING (w) GROUP BY k),
+    gain AS (
+      SELECT s.k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+               / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS g
+      FROM s LEFT JOIN t USING (k)),
+    sums AS (SELECT doc_id, count(*) AS n, sum(g) AS g FROM dw JOIN hashed USING (w) JOIN gain USING (k) GROUP BY doc_id),
+    weighed AS (
+      SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features,
+             coalesce(g // n - (g % n < 0)::INT, 0)::BIGINT AS weight,
+             ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h
+      FROM d LEFT JOIN sums USING (doc_id)),
+    scores AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed),
+    ranked AS (
+      SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scores WHERE n_features >= 20)
+    SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+    FROM scores s LEFT JOIN ranked r ON s.doc_id = r.doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
