@@ -16,6 +16,7 @@ from foliospark.llm.exact import UPPER, exact_duplicates
 from foliospark.llm.language import identify, is_held_out, train
 from foliospark.llm.lines import remove_repeated_lines
 from foliospark.llm.packing import pack_documents
+from foliospark.llm.phrases import mine_phrases
 from foliospark.llm.resampling import resample
 from foliospark.llm.scoring import pseudo_likelihood
 from foliospark.llm.sharding import write_shards
@@ -188,3 +189,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM scores s LEFT JOIN ranked r ON s.doc_id = r.doc_id""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_phrases", f"""
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+    g AS (
+      SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest(range(1, 5)) AS k)),
+    f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+    total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+    long AS (SELECT lang, k, n, string_split(phrase, ' ') AS ws FROM f WHERE k > 2),
+    sub AS (
+      SELECT lang, n, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))) AS phrase
+      FROM long, (SELECT unnest([2, 3]) AS j) WHERE j < k),
+    cover AS (SELECT lang, phrase, max(n) AS longer FROM sub GROUP BY ALL),
+    kept AS (
+      SELECT f.lang, f.phrase, f.k, f.n AS a FROM f LEFT JOIN cover c ON f.lang = c.lang AND f.phrase = c.phrase
+      WHERE f.k > 1 AND coalesce(100 * longer::HUGEINT < 80 * f.n::HUGEINT, true)),
+    cut AS (
+      SELECT lang, phrase, a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS first,
+             array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS rest
+      FROM kept, (SELECT unnest([1, 2, 3]) AS c) WHERE c < k),
+    scored AS (
+      SELECT cut.lang, cut.phrase, a, c, x.n AS l, y.n AS r, (2000000 * a::HUGEINT // (x.n::HUGEINT + y.n))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+    weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
