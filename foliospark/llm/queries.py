@@ -21,6 +21,7 @@ from foliospark.llm.resampling import resample
 from foliospark.llm.scoring import pseudo_likelihood
 from foliospark.llm.sharding import write_shards
 from foliospark.llm.simhash import near_duplicates
+from foliospark.llm.topk import exact_top_k
 from foliospark.llm.warc import archive_pages
 
 PIECES = os.environ.get("FOLIO_PIECE_MODEL", public_tokenizers.path("piece_bpe_32k.model"))
@@ -154,6 +155,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+@query("op11_topk", """
+    WITH v AS (
+      SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
+      FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @query("op12_resampling", """
     WITH RECURSIVE steps AS (
       SELECT i, i AS c, 0 AS n FROM range(256) t(i)
