@@ -1,4 +1,4 @@
-"""Burkhard-Keller trees over 64-bit fingerprints, built and searched level by level.
+"""Burkhard-Keller trees over fingerprints of 64-bit words, built and searched level by level.
 
 A forest holds one tree per group.  Below a node, the child on edge d holds all
 points at Hamming distance exactly d from the node, so a search at distance x
@@ -13,6 +13,8 @@ import numpy as np
 
 # Bound of (query, node) visits held at once.
 FRONTIER = 500_000
+# More than any distance.
+EDGES = 512
 
 
 def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -21,9 +23,15 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
 
 
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; fingerprints are one word, or a row of at most seven."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class Forest:
     def __init__(self, points: np.ndarray, groups: np.ndarray, count: int):
-        """``points`` are unsigned 64-bit; ``groups`` numbers the tree of each, below ``count``."""
+        """``points`` are unsigned 64-bit, one or a row of them; ``groups`` numbers the tree of each, below ``count``."""
         self.points = points
         self.roots = np.full(count, -1, dtype=np.int64)
         self.sizes = np.bincount(groups, minlength=len(self.roots))
@@ -44,10 +52,10 @@ class Forest:
             rest = np.ones(len(left), dtype=bool)
             rest[first] = False
             above, left = nodes[slot][rest], left[rest]
-            distance = np.bitwise_count(points[left] ^ points[above]).astype(np.int64)
-            slot = above * 128 + distance
+            distance = hamming(points[left], points[above])
+            slot = above * EDGES + distance
         child = np.flatnonzero(parent >= 0)
-        key = parent[child] * 128 + edge[child]
+        key = parent[child] * EDGES + edge[child]
         order = np.argsort(key, kind="stable")
         self.child, self.key = child[order], key[order]
 
@@ -60,11 +68,11 @@ class Forest:
             to = max(at + 1, int(np.searchsorted(cost, done + FRONTIER, side="right")))
             query, node = np.arange(at, to), self.roots[groups[at:to]]
             while len(query):
-                distance = np.bitwise_count(points[query] ^ self.points[node]).astype(np.int64)
+                distance = hamming(points[query], self.points[node])
                 hit = distance <= radius
                 yield query[hit], node[hit]
-                low = np.searchsorted(self.key, node * 128 + np.maximum(distance - radius, 0))
-                high = np.searchsorted(self.key, node * 128 + distance + radius, side="right")
+                low = np.searchsorted(self.key, node * EDGES + np.maximum(distance - radius, 0))
+                high = np.searchsorted(self.key, node * EDGES + np.minimum(distance + radius, EDGES - 1), side="right")
                 query, node = np.repeat(query, high - low), self.child[spans(low, high - low)]
             at = to
 
@@ -84,3 +92,24 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             if (jumped == label).all():
                 break
             label = jumped
+
+
+def spanning_forest(count: int, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indexes of the links of a minimum spanning forest of ``count`` points, by rounds of nearest other components."""
+    label, kept = np.arange(count), []
+    open_ = np.arange(len(a))
+    while True:
+        la, lb = label[a[open_]], label[b[open_]]
+        cross = la != lb
+        open_, la, lb = open_[cross], la[cross], lb[cross]
+        if not len(open_):
+            return np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
+        # A total order of the links, so that no round closes a circle.
+        order = np.empty(len(open_), dtype=np.int64)
+        order[np.lexsort((open_, length[open_]))] = np.arange(len(open_))
+        best = np.full(count, len(open_))
+        np.minimum.at(best, la, order)
+        np.minimum.at(best, lb, order)
+        chosen = np.flatnonzero(np.isin(order, best[best < len(open_)]))
+        kept.append(open_[chosen])
+        label = merge_labels(label, a[open_[chosen]], b[open_[chosen]])

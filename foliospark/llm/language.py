@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -18,12 +17,16 @@ SAMPLE = 2000
 FEATURES = 4096
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 # Bytes of text scored at once; a text is never cut.
 SLICE = 1 << 20
 FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L is in it; number signs such as a raised two are none."""
+    return any(map(str.isalpha, text))
+
+
 def ngram_slots(data: np.ndarray, order: int) -> np.ndarray:
     """Feature slot of the n-gram that starts at each byte but the last ``order - 1``."""
     count = len(data) - order + 1
@@ -171,9 +174,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 langs, texts = (c.to_pylist() for c in whole.slice(at, 64).columns)
-                pairs = [(n, t) for n, t in zip(langs, texts, strict=True) if LETTER.search(t)]
+                pairs = [(n, t) for n, t in zip(langs, texts, strict=True) if has_letter(t)]
                 middles = [(n, t[len(t) // 3:][:120]) for n, t in pairs]
-                pairs += [(n, t) for n, t in middles if LETTER.search(t)]
+                pairs += [(n, t) for n, t in middles if has_letter(t)]
                 if pairs:
                     found = frequencies([t for _, t in pairs])
                     yield pa.RecordBatch.from_arrays(
@@ -194,7 +197,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict_batch(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text; ``und`` and 0 where there is no letter or no model."""
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    ask = [i for i, t in enumerate(texts) if model is not None and LETTER.search(t)]
+    ask = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
     at = 0
     while at < len(ask):
         to, size = at, 0

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import checkpointed, text_or_empty
 
 WINDOW = 3
+# What is trimmed from the ends of a line; a line of nothing else is blank.
+BLANKS = " \t\r\x0b\x0c"
 
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """(id, own, h1, h2, start, stop): every run of ``width`` lines with words, by a 128-bit hash.
 
-    Lines are compared without blanks at their ends; blank lines do not count, so a window
-    may span them.  ``start`` and ``stop`` are its first and last line in the text,
+    Lines are compared without blanks (space, tab, carriage return, vertical tab, form feed) at their
+    ends; lines of nothing else do not count, so a window may span them.  ``start`` and ``stop`` are its first and last line in the text,
     and ``own``, a hash of the whole text, tells texts of one id apart.
     """
-    lines = F.transform(F.split(F.col("text"), "\n"), lambda line, n: F.struct(n.alias("n"), F.trim(line).alias("line")))
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda line, n: F.struct(n.alias("n"), F.btrim(line, F.lit(BLANKS)).alias("line")))
     full = F.filter(lines, lambda x: x["line"] != "")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where(
         F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("own"), full.alias("full"))

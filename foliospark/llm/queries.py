@@ -139,7 +139,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH l AS (
       SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
              unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
-    f AS (SELECT doc_id, n, trim(line) AS t FROM l WHERE trim(line) <> ''),
+    f AS (SELECT * FROM (SELECT doc_id, n, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM l) WHERE t <> ''),
     w AS (
       SELECT doc_id, n AS start, lead(n, 2) OVER d AS stop, t || chr(10) || lead(t) OVER d || chr(10) || lead(t, 2) OVER d AS k
       FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY n)),

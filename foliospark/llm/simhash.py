@@ -17,6 +17,8 @@ SEED = 42
 # Points of one tree; larger groups become blocks that meet pairwise.
 TREE = 1 << 16
 BLOCK = 1 << 15
+# One tree and the queries that search it.
+KEYS = ["shard", "tree_no", "query_no"]
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
@@ -68,7 +70,11 @@ def shard_rows(points: DataFrame, radius: int, tree: int = TREE) -> DataFrame:
         value = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1))
         blocks.append(value * 64 + n)
         at += bits
-    spread = points.select("fp", "rep", F.explode(F.array(*blocks)).alias("shard"))
+    return cut_shards(points.select("fp", "rep", F.explode(F.array(*blocks)).alias("shard")), tree)
+
+
+def cut_shards(spread: DataFrame, tree: int = TREE) -> DataFrame:
+    """Rows (shard, fp, rep) sent to the trees of their shard, see ``shard_rows``."""
     sizes = spread.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree)
     cuts = checkpointed(sizes.select(F.col("shard").alias("s"), F.ceil(F.col("n") / tree).cast("int").alias("cuts")))
     cut = spread.join(cuts, F.col("shard") == F.col("s"), "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
@@ -83,59 +89,67 @@ def shard_rows(points: DataFrame, radius: int, tree: int = TREE) -> DataFrame:
         "shard", "to.tree_no", "to.query_no", "to.member", "fp", "rep")
 
 
-def _search(rows: np.ndarray, fp: np.ndarray, rep: np.ndarray, member: np.ndarray, radius: int
-            ) -> tuple[np.ndarray, np.ndarray]:
-    """Links found in whole groups: each point with the smallest rep of its class there."""
+def hits(rows: np.ndarray, fp: np.ndarray, member: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of row pairs of whole groups whose fingerprints lie within the radius."""
     group = np.cumsum(np.r_[False, (rows[1:] != rows[:-1]).any(axis=1)])
-    # Indexes ordered by rep: the smallest index of a class is its smallest rep.
-    order = np.argsort(rep, kind="stable")
-    fp, rep, member, group = fp[order].view(np.uint64), rep[order], member[order], group[order]
     tree = np.flatnonzero(member)
-    forest = Forest(fp[tree], group[tree], int(group.max()) + 1)
-    label = np.arange(len(fp))
+    forest = Forest(fp[tree], group[tree], int(group[-1]) + 1)
     # A block of queries sent to a foreign tree asks alone; elsewhere members ask.
     foreign = np.bincount(group, weights=~member, minlength=len(forest.roots)) > 0
     ask = np.flatnonzero(np.where(foreign[group], ~member, True) & (forest.sizes[group] > 0))
     for query, node in forest.within(fp[ask], group[ask], radius):
-        label = merge_labels(label, ask[query], tree[node])
-    moved = np.flatnonzero(label != np.arange(len(fp)))
+        yield ask[query], tree[node]
+
+
+def _search(rows: np.ndarray, fp: np.ndarray, rep: np.ndarray, member: np.ndarray, radius: int
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """Links found in whole groups: each point with the smallest rep of its class there."""
+    # Numbers ordered by rep: the smallest of a class is its smallest rep.
+    order = np.argsort(rep, kind="stable")
+    number = np.empty(len(rep), dtype=np.int64)
+    number[order] = np.arange(len(rep))
+    rep, label = rep[order], np.arange(len(rep))
+    for a, b in hits(rows, fp.view(np.uint64), member, radius):
+        label = merge_labels(label, number[a], number[b])
+    moved = np.flatnonzero(label != np.arange(len(rep)))
     return rep[moved], rep[label[moved]]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of KEYS, with their keys, from rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    keys_of = lambda table: np.column_stack([table.column(k).to_numpy() for k in KEYS])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < 65_536:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        rows = keys_of(table)
+        change = np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1))
+        if len(change):
+            whole = int(change[-1]) + 1
+            yield table.slice(0, whole), rows[:whole]
+            table = table.slice(whole)
+        held, count = table.to_batches(), table.num_rows
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, keys_of(table)
+
+
 def links(points: DataFrame, radius: int = 4, tree: int = TREE) -> DataFrame:
     """Edges (a, b) between reps of points (fp, rep): within every shard, stars that join what is linked."""
-    keys = ["shard", "tree_no", "query_no"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-
-        def found(table: pa.Table):
-            rows = np.column_stack([table.column(k).to_numpy() for k in keys])
+        for table, rows in whole_groups(batches):
             a, b = _search(rows, *(table.column(c).to_numpy() for c in ("fp", "rep", "member")), radius)
             pairs = np.unique(np.column_stack([a, b]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            count += batch.num_rows
-            if count < 65_536:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            rows = np.column_stack([table.column(k).to_numpy() for k in keys])
-            change = np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1))
-            if len(change):
-                whole = int(change[-1]) + 1
-                yield found(table.slice(0, whole))
-                table = table.slice(whole)
-            held, count = table.to_batches(), table.num_rows
-        if held:
-            yield found(pa.Table.from_batches(held))
-
-    rows = shard_rows(points, radius, tree).repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "a long, b long")
+    return shard_rows(points, radius, tree).repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tree: int = TREE,
@@ -145,17 +159,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tree: int
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the
     smallest id reachable, the row's own included.  Texts of fewer words than
     ``width`` are one shingle; texts without words have fingerprint zero and link like
-    any other.  A null id names no component: it never is a ``component_id`` unless no id
-    of its class is given.  Repeated rows share their class.  An empty table gives no rows.
+    any other.  A null id links by its fingerprint but names no component: ``component_id`` is null only where
+    no id of its class is given.  Repeated rows share their class.  An empty table gives no rows.
 
     Equal fingerprints collapse first, so copies cost nothing in the search.
     """
     prints = checkpointed(fingerprints(docs, width, id_col, text_col))
     points = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    named = connected_components(links(points.where("rep IS NOT NULL").select("fp", "rep"), radius, tree))
-    named = named.withColumnRenamed("node", "rep")
-    classes = points.join(named, "rep", "left").where("n > 1 OR component IS NOT NULL").select(
-        F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component"))
-    classes = checkpointed(classes)
+    # Fingerprints stand for themselves, so that one held by rows without an id links as any other.
+    named = connected_components(links(points.select("fp", F.col("fp").alias("rep")), radius, tree))
+    linked = checkpointed(points.join(named, F.col("fp") == F.col("node")).select("fp", "rep", "component"))
+    first = checkpointed(linked.groupBy("component").agg(F.min("rep").alias("first"))).withColumnRenamed("component", "c")
+    joined = linked.join(first, F.col("component") == F.col("c")).select(F.col("fp").alias("f"), F.col("first").alias("component"))
+    alone = points.where("n > 1").join(linked.select(F.col("fp").alias("l")), F.col("fp") == F.col("l"), "left_anti")
+    classes = checkpointed(joined.unionByName(alone.select(F.col("fp").alias("f"), F.col("rep").alias("component"))))
     return prints.join(classes, F.col("fp") == F.col("f"), "left").select(
         F.col("id").alias(id_col), "fp", F.coalesce("component", "id").alias("component_id"))
