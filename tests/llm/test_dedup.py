@@ -8,12 +8,13 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliospark.llm.bktree import Forest, merge_labels
+from foliospark.llm.bktree import Forest, merge_labels, spanning_forest
 from foliospark.llm.components import connected_components
 from foliospark.llm.exact import build_index, exact_duplicates, keyed, read_index
 from foliospark.llm.common import scratch
 from foliospark.llm.extendible import KEY_BITS, build_directory
 from foliospark.llm.sharding import assign_shards, write_shards
+from foliospark.llm.similar import agreement, layout, near_copies, shingles
 from foliospark.llm.simhash import fingerprint, links, near_duplicates
 
 EXTRA = "doc_id long, text string, key string, norm int, shard string, fp string, rep string, component string"
@@ -79,6 +80,80 @@ def test_near_duplicates_equal_brute_force(spark):
         assert [r["component_id"] for r in found if r["doc_id"] is None] == [None]
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    prints = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": 0xFFFF << 48, "e": (0xFFFF << 48) + 7}
+    monkeypatch.setattr("foliospark.llm.simhash.fingerprints", lambda docs, *_: docs.select(F.col("doc_id").alias("id"), F.col("fp")))
+    for key, want in ((2, [1, 1, 1]), (None, [1, 1, 1])):
+        rows = [(1, prints["a"]), (key, prints["b"]), (3, prints["c"]), (None, prints["d"] - (1 << 64)), (None, prints["e"] - (1 << 64))]
+        found = near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+        got = {r["fp"]: r["component_id"] for r in found}
+        assert [got[prints[n]] for n in "abc"] == want and [got[prints[n] - (1 << 64)] for n in "de"] == [None, None]
+
+
+def plain_sets(text, width=5):
+    words = plain_words(text)
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def plain_words(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for space in "\t\n\x0b\x0c\r":
+        lowered = lowered.replace(space, " ")
+    return [w for w in lowered.split(" ") if w]
+
+
+@pytest.mark.parametrize("text", [None, " \n", "a", "A b\tc d", "one two three four five six One two three four five", "w " * 3000])
+def test_shingles(text):
+    assert len(shingles(text)) == len(plain_sets(text)) and shingles(text).shape[1] == 2
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(120):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([6, 40, 200, 900]))]
+        for n in range(rng.choice([1, 2, 5])):
+            changed = list(words)
+            for _ in range(int(len(words) * rng.choice([0, 0.004, 0.01, 0.02, 0.05]))):
+                changed[rng.randrange(len(words))] = f"x{rng.randrange(99)}"
+            texts.append(" ".join(changed))
+    base = [f"hot{i}" for i in range(300)]
+    texts += [" ".join([*base[:n % 280], f"own{n}", *base[n % 280 + 1:]]) for n in range(300)]  # one group over several trees
+    texts += [None, "", "  ", "same text", "SAME  text", "same text of more"]
+    sets = [plain_sets(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = classes(len(texts), pairs)
+    docs = spark.createDataFrame([*rows_of(enumerate(texts)), (None, texts[0], "k", 1, "s", "f", "r", "c")], EXTRA)
+    for tree in (4096, 40):
+        got = {r["doc_id"]: r["component_id"] for r in near_copies(docs, tree=tree).collect()}
+        assert set(got) == set(range(len(texts)))
+        # Links are confirmed: no class is too large.  Most pairs at the similarity are found.
+        assert all(want[i] <= got[i] for i in got) and all(want[i] == want[got[i]] for i in got)
+        assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+        assert len({got[i] for i in range(len(texts) - 306, len(texts) - 6)}) == 1
+    assert near_copies(docs.limit(0)).count() == 0
+
+
+def test_layout_grows_with_the_points():
+    for points in (0, 1, 1000, 10 ** 6, 10 ** 9):
+        places, radius = layout(points, 0.8)
+        same = agreement(0.8)
+        assert 1 - (1 - same ** len(places[0])) ** len(places) >= 0.97 and 40 <= radius <= 60
+        assert points / 2 ** len(places[0]) < 1100
+
+
+def test_spanning_forest_keeps_components_at_every_length():
+    rng = np.random.default_rng(3)
+    a, b, length = rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.integers(0, 9, 300)
+    kept = spanning_forest(60, a, b, length)
+    for limit in range(9):
+        within = [(int(x), int(y)) for x, y, n in zip(a, b, length) if n <= limit and x != y]
+        own = [(int(a[i]), int(b[i])) for i in kept if length[i] <= limit]
+        assert classes(60, own) == classes(60, within)
+    assert len(kept) == 60 - len(set(classes(60, [(int(x), int(y)) for x, y in zip(a, b) if x != y])))
+    assert not len(spanning_forest(3, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)))
+
+
 def test_links_through_cut_trees_lose_nothing(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 12, dtype=np.uint64)

@@ -77,7 +77,7 @@ def plain(texts, width=3):
     order = sorted((k, t or "") for k, t in texts if k is not None)
     seen, gone = set(), {}
     for key, text in order:
-        lines = [(n, x.strip(" ")) for n, x in enumerate(text.split("\n")) if x.strip(" ")]
+        lines = [(n, x.strip(" \t\r\x0b\x0c")) for n, x in enumerate(text.split("\n")) if x.strip(" \t\r\x0b\x0c")]
         for i in range(len(lines) - width + 1):
             window = tuple(x for _, x in lines[i:i + width])
             if window in seen:
@@ -107,6 +107,12 @@ def test_lines(spark):
     assert remove_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_blanks_do_not_count(spark):
+    rows = [(1, "\t\n\r\n \x0b\x0c\t\na"), (2, "\t\n\r\n \x0b\x0c\t\nb"), (3, "one\r\ntwo\r\n\r\n\r\n\r\nthree"), (4, "one\n\ttwo\n\nthree\t\nx")]
+    found = remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_removed"], r["text"]) for r in found] == [(0, rows[0][1]), (0, rows[1][1]), (0, rows[2][1]), (4, "x")]
+
+
 def test_repeated_rows_of_one_document(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_removed"]) for r in remove_repeated_lines(docs).collect()) == [(1, 0), (1, 0), (2, 3)]

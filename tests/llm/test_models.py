@@ -49,6 +49,8 @@ def test_language_edges(spark, documents):
     found = sorted((str(r["doc_id"]), r["lang_pred"]) for r in identify(awkward(spark, texts), model).collect())
     assert [p for k, p in found if k in "123"] == [UNKNOWN] * 3
     assert [p for k, p in found if k == "4"] == ["en", "en"]
+    signs = [(1, "² ½ ③ Ⅷ ٣ _", None), (2, "\u0301 ++", None), (3, "1 ª", None)]
+    assert [r["lang_pred"] == UNKNOWN for r in identify(awkward(spark, signs), model).orderBy("doc_id").collect()] == [True, True, False]
     none = awkward(spark, [])
     assert train_language(none) is None and identify(none, model).count() == 0
     assert {r["lang_pred"] for r in identify(awkward(spark, texts), None).collect()} == {UNKNOWN}

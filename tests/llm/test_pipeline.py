@@ -1,31 +1,39 @@
 """The pipeline against a brute-force version, and its entry in the registry."""
 
 import re
+import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
 from conftest import SF
 from foliospark.llm.queries import BYTES
-from test_dedup import classes, plain_fingerprint
+from test_dedup import classes
 
 
 def plain_lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+def plain_shingles(text):
+    words = [w for w in re.split("[\x20\x09-\x0D]+", plain_lower(text)) if w]
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def survivors(rows):
-    """Ids left by the first three stages: a letter, last of its equal texts, first of its near class."""
-    lettered = [(k, t) for k, t in rows if re.search(r"[^\W\d_]", t or "")]
+    """Ids left by the first three stages: a letter, last of its equal texts, first of those that share 0.8 of their shingles."""
+    lettered = [(k, t) for k, t in rows if any(unicodedata.category(c)[0] == "L" for c in t or "")]
     last: dict = {}
     for key, text in lettered:
         last[plain_lower(text)] = max(key, last.get(plain_lower(text), key))
     single = sorted((k, t) for k, t in lettered if last[plain_lower(t)] == k)
-    prints = [plain_fingerprint(t) for _, t in single]
-    pairs = [(a, b) for a in range(len(single)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    sets = [plain_shingles(t) for _, t in single]
+    pairs = [(a, b) for a in range(len(single)) for b in range(a)
+             if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
     first = classes(len(single), pairs)
     return {k: t for n, (k, t) in enumerate(single) if first[n] == n}
 
@@ -37,7 +45,7 @@ def folder(spark, tmp_path_factory):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     base = max(r["doc_id"] for r in docs.select("doc_id").collect()) + 1
     long = " ".join(f"word{i}" for i in range(3000))
-    texts = [None, "", "12 34", "!", "ABC def", "abc DEF", long, long.replace("word7 ", "other "), long + " end", "one two three"]
+    texts = [None, "", "12 34", "!", "² ½ ③", "ABC def", "abc DEF", long, long.replace("word7 ", "other "), long + " end", "one two three"]
     more = spark.createDataFrame([(base + i, t, None, "x", len(t or "")) for i, t in enumerate(texts)], docs.schema)
     docs.union(more).repartition(3).write.parquet(f"{path}/documents.parquet")
     return path
@@ -47,7 +55,7 @@ def test_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in contract.queries()
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_pipeline_equals_brute_force(spark, folder):
@@ -77,6 +85,15 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
 
 
+def test_stages_leave_clashing_columns_alone(spark, folder):
+    names = ["row", "keep", "Lang_pred", "score", "component_id", "own", "text_sha256", "kept", "number"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        kept = function(spark, docs, folder)
+        assert kept.schema == docs.schema
+        assert kept.where(" OR ".join(f"{n} <> concat('{n}', doc_id)" for n in names)).count() == 0
+
+
 def test_null_and_repeated_ids_are_judged_by_text(spark, tmp_path):
     long = " ".join(f"word{i}" for i in range(3000))
     near = long.replace("word7 ", "other ")
