@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import staged, text_or_empty
-from foliospark.llm.exact import exact_duplicates, normalised
+from foliospark.llm.common import fresh, numbered, staged
+from foliospark.llm.exact import exact_duplicates
 from foliospark.llm.language import UNKNOWN, tag_language, train
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.queries import BYTES, query
-from foliospark.llm.simhash import near_duplicates
+from foliospark.llm.similar import near_copies
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 ORACLE_SQL = None
@@ -33,34 +33,39 @@ def stage(name: str):
 @stage("language")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or no letter) go; any other stays, however unsure."""
-    tagged = tag_language(docs, train(docs), lang_pred="__lang_pred", score="__score")
-    return tagged.where(F.col("__lang_pred") != UNKNOWN).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    tagged = tag_language(docs, train(docs), lang_pred=lang, score=score)
+    return tagged.where(F.col(lang) != UNKNOWN).select(*docs.columns)
 
 
 @stage("exact_dedup")
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, one with the largest id; a null id only where all of the group are null.
 
-    Rows that share an id are judged each by its own text.
+    Rows are told apart by numbers of their own, so rows that share an id are judged each by its own text.
     """
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__text", F.sha2(normalised(text_or_empty("text")), 256))
-    own = (F.col("__text") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__keep"))
-    return rows.join(kept, own, "left_semi").dropDuplicates(["__text"]).select(*docs.columns)
+    rows, row = numbered(docs)
+    judged = exact_duplicates(rows.select(F.struct("doc_id", row).alias("name"), "text"), id_col="name")
+    kept = judged.where("kept").select(F.col("name")[row].alias("keep"))
+    keep = fresh(rows, "keep")
+    kept = kept.withColumnRenamed("keep", keep)
+    return rows.join(kept, F.col(row) == F.col(keep), "left_semi").select(*docs.columns)
 
 
 @stage("near_dedup")
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, one with the smallest id; a null id only where all of the group are null.
 
-    Rows are told apart by numbers of their own, written once, not by their ids.
+    Near copies share eight tenths of their five-word shingles.  Rows are told apart by numbers of their own, not by their ids.
     """
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(rows, id_col="__row").select(F.col("__row").alias("__own"), "component_id")
-    named = groups.join(rows.select("__row", "doc_id"), F.col("__own") == F.col("__row")).select("__row", "doc_id", "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row"))
-    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first")["__row"].alias("__keep"))
-    return rows.join(kept, F.col("__row") == F.col("__keep"), "left_semi").select(*docs.columns)
+    rows, row = numbered(docs)
+    groups = near_copies(rows.select(F.col(row).alias("own"), "text"), id_col="own")
+    names = rows.select(F.col(row).alias("number"), "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "number"))
+    kept = groups.join(names, F.col("own") == F.col("number")).groupBy("component_id").agg(first.alias("first"))
+    keep = fresh(rows, "keep")
+    kept = kept.select(F.col("first")["number"].alias(keep))
+    return rows.join(kept, F.col(row) == F.col(keep), "left_semi").select(*docs.columns)
 
 
 @stage("packing")
