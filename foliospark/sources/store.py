@@ -1,110 +1,97 @@
-"""Parquet store: one folder per table, partitioned by corpus and by a
-document bucket, so reads of a corpus or of some documents prune to their
-folders and a rewrite touches one corpus only."""
+"""Parquet store: tables by corpus and document bucket, changed by one commit over all of them."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from foliospark.sources.snapshots import Part, Snapshot, Snapshots, bucket_of
+
 BUCKET = "doc_bucket"
+BY = ["corpus", BUCKET]
 
 
 class Store:
+    """Corpus tables in one folder.
+
+    Reads of a corpus or of some documents list their own folders only, and a rewrite replaces the touched
+    buckets of one corpus.  Every change is one commit (see ``Snapshots``): a crash leaves the old rows or the
+    new ones, in all tables, and a writer that another one has overtaken gets ``Conflict``.
+    """
+
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    def _bucket(self, document_id: Column) -> Column:
-        return F.pmod(F.xxhash64(document_id.cast("string")), F.lit(self.buckets)).cast("int")
+        self.log = Snapshots(spark, root)
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        ident = F.col("document_id") if "document_id" in df.columns else F.lit("")
-        return df.withColumn(BUCKET, self._bucket(ident))
-
-    def path(self, table: str, corpus: str | None = None) -> str:
-        return f"{self.root}/{table}" + (f"/corpus={corpus}" if corpus else "")
+        ident: Column = F.col("document_id") if "document_id" in df.columns else F.lit("")
+        return df.withColumn(BUCKET, bucket_of(ident, self.buckets))
 
-    def _path(self, text: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
-
-    def _fs(self, text: str):
-        return self._path(text).getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _stage(self, table: str, df: DataFrame) -> tuple[str, list[Part]]:
+        return self.log.stage(table, self._bucketed(df), BY)
 
     def exists(self, table: str, corpus: str | None = None) -> bool:
-        target = self.path(table, corpus)
-        return self._fs(target).exists(self._path(target))
+        parts = self.log.load().parts.get(table, ())
+        return bool(parts) if corpus is None else any(p.has({"corpus": corpus}) for p in parts)
 
-    def read(self, table: str, corpus: str | None = None, documents: list | None = None) -> DataFrame:
-        df = self.spark.read.option("basePath", self.path(table)).parquet(self.path(table))
-        if corpus is not None:
-            df = df.where(F.col("corpus") == corpus)
+    def read(self, table: str, corpus: str | None = None, documents: list | None = None, snapshot: Snapshot | None = None) -> DataFrame:
+        keys: dict[str, str | set[str]] = {} if corpus is None else {"corpus": corpus}
+        if documents is not None:
+            wanted = [bucket_of(F.lit(str(d)), self.buckets) for d in documents]
+            found = self.spark.range(1).select(F.array(*wanted).cast("array<string>").alias("b")).first()["b"] if wanted else []
+            keys[BUCKET] = set(found)
+        df = self.log.read(table, snapshot, **keys)
         if documents is not None:
-            wanted = [self._bucket(F.lit(str(d))) for d in documents]
-            df = df.where(F.col(BUCKET).isin(*wanted) & F.col("document_id").cast("string").isin([str(d) for d in documents]))
+            df = df.where(F.col("document_id").cast("string").isin([str(d) for d in documents]))
         return df.drop(BUCKET)
 
     def append(self, table: str, df: DataFrame) -> None:
-        self._bucketed(df).write.mode("append").partitionBy("corpus", BUCKET).parquet(self.path(table))
+        self.log.commit(self.log.load(), {table: self._stage(table, df)})
 
-    def _touched(self, df: DataFrame) -> list[int]:
+    def touched(self, df: DataFrame) -> set[int]:
         """Buckets of some rows, ``buckets`` at most."""
-        return sorted(r[0] for r in self._bucketed(df).select(BUCKET).distinct().collect())
+        return {r[0] for r in self._bucketed(df).select(BUCKET).distinct().collect()}
 
-    def rewrite(self, table: str, corpus: str, df: DataFrame, touched: list[int] | None = None) -> None:
-        """Replace buckets of one corpus by rows that may be read from them.
+    def change(self, corpus: str, tables: dict[str, DataFrame], touched: set[int] | None = None, base: Snapshot | None = None) -> None:
+        """Replace buckets of one corpus in several tables by rows that may be read from them, in one commit.
 
-        The rows are written aside first; then each bucket's folder is renamed out of the way, the new one
-        renamed in and the old one removed, so that a crash leaves every bucket whole, old or new (see
-        ``recover``).  ``touched`` names the buckets that ``df`` replaces; by default all.
+        ``touched`` names the buckets that the rows replace; by default all.  ``base`` is the snapshot the
+        rows were made from; a change since then is refused.
         """
-        stage = f"{self.path(table)}/_stage-{uuid.uuid4().hex}"
-        self._bucketed(df.drop("corpus")).write.partitionBy(BUCKET).parquet(stage)
-        fs, live = self._fs(stage), self.path(table, corpus)
-        fs.mkdirs(self._path(live))
-        for bucket in range(self.buckets) if touched is None else touched:
-            old, new, aside = (self._path(x) for x in (
-                f"{live}/{BUCKET}={bucket}", f"{stage}/{BUCKET}={bucket}", f"{live}/_old-{bucket}"))
-            if fs.exists(old):
-                fs.rename(old, aside)
-            if fs.exists(new):
-                fs.rename(new, old)
-            fs.delete(aside, True)
-        fs.delete(self._path(stage), True)
-
-    def recover(self, table: str, corpus: str) -> None:
-        """After a crash: put back bucket folders that were set aside and not replaced, drop what is left over."""
-        live = self.path(table, corpus)
-        fs = self._fs(live)
-        for bucket in range(self.buckets):
-            old, aside = self._path(f"{live}/{BUCKET}={bucket}"), self._path(f"{live}/_old-{bucket}")
-            if fs.exists(aside):
-                if fs.exists(old):
-                    fs.delete(aside, True)
-                else:
-                    fs.rename(aside, old)
+        base = base or self.log.load()
+        keys = {"corpus": corpus} | ({} if touched is None else {BUCKET: {str(b) for b in touched}})
+        add = {t: self._stage(t, df.drop("corpus").withColumn("corpus", F.lit(corpus))) for t, df in tables.items()}
+        drop = {p for t in tables for p in base.parts.get(t, ()) if p.has(keys)}
+        self.log.commit(base, add, drop)
+
+    def rewrite(self, table: str, corpus: str, df: DataFrame, touched: set[int] | None = None) -> None:
+        self.change(corpus, {table: df}, touched)
 
     def upsert_scans(self, corpus: str, scans: DataFrame) -> None:
         """page_scans by (document_id, page_number), newest wins; only their buckets are read and rewritten."""
         from foliospark.plans.corpus_edit import upsert
 
-        touched = self._touched(scans)
+        touched = self.touched(scans)
         if not touched:
             return
-        every = self.spark.read.option("basePath", self.path("page_scans")).parquet(self.path("page_scans"))
-        old = every.where((F.col("corpus") == corpus) & F.col(BUCKET).isin(touched)).drop(BUCKET, "corpus")
+        base = self.log.load()
+        old = self.log.read("page_scans", base, corpus=corpus, doc_bucket={str(b) for b in touched}).drop(BUCKET, "corpus")
         new = scans.drop("corpus").select(*old.columns)
-        self.rewrite("page_scans", corpus, upsert(old, new, ["document_id", "page_number"]), touched)
+        self.change(corpus, {"page_scans": upsert(old, new, ["document_id", "page_number"])}, touched, base)
+
+    def compact(self, table: str) -> None:
+        """Join the small folders that many appends leave behind."""
+        self.log.compact(table, by=BY)
 
     def export(self, corpus: str, target: str, tables: list[str]) -> None:
         """Self-contained copy of one corpus; an existing target is refused."""
+        base = self.log.load()
         for table in tables:
-            self.read(table, corpus).write.mode("errorifexists").partitionBy("corpus").parquet(f"{target}/{table}")
+            self.read(table, corpus, snapshot=base).write.mode("errorifexists").partitionBy("corpus").parquet(f"{target}/{table}")
 
     def duplicate(self, corpus: str, copy: str, tables: list[str]) -> None:
-        """Copy a corpus under a new name; a name in use is refused."""
+        """Copy a corpus under a new name, all tables at once; a name in use is refused."""
+        base = self.log.load()
         for table in tables:
-            if self.exists(table, copy):
+            if any(p.has({"corpus": copy}) for p in base.parts.get(table, ())):
                 raise FileExistsError(f"corpus {copy!r} exists")
-        for table in tables:
-            self.append(table, self.read(table, corpus).withColumn("corpus", F.lit(copy)))
+        self.log.commit(base, {t: self._stage(t, self.read(t, corpus, snapshot=base).withColumn("corpus", F.lit(copy))) for t in tables})

@@ -5,6 +5,7 @@ from foliospark.operators.joins import finished_batches
 from foliospark.plans import corpus_edit as ed, ledger as lg
 from foliospark.plans.chunk_corpus import chunk_pages, embed, formula_artifacts, repair
 from foliospark.sources.corpus import import_artifacts, import_curriculum, list_files, register_documents, scan_corpus
+from foliospark.sources.snapshots import Conflict, Snapshots
 from foliospark.sources.store import Store
 from foliospark.streaming import jobs as st
 
@@ -190,21 +191,78 @@ def test_updates_keep_the_newest(spark):
     assert sorted((r.k, r.n) for r in st.latest(rows, ["k"]).collect()) == [("a", 2), ("b", 5)]
 
 
-def test_store_upsert_and_recovery(spark, tmp_path):
-    import os
+SCANS = "corpus string, document_id string, page_number int, width_px int"
 
+
+def test_store_upsert(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), buckets=4)
-    schema = "corpus string, document_id string, page_number int, width_px int"
-    store.append("page_scans", spark.createDataFrame([("a", f"d{i}", 1, 10) for i in range(20)] + [("b", "d0", 1, 1)], schema))
+    store.append("page_scans", spark.createDataFrame([("a", f"d{i}", 1, 10) for i in range(20)] + [("b", "d0", 1, 1)], SCANS))
     store.upsert_scans("a", spark.createDataFrame([("d3", 1, 99), ("d3", 2, 98)], "document_id string, page_number int, width_px int"))
     got = {(r.document_id, r.page_number): r.width_px for r in store.read("page_scans", "a").collect()}
     assert len(got) == 21 and got["d3", 1] == 99 and got["d3", 2] == 98 and store.read("page_scans", "b").count() == 1
-    live = store.path("page_scans", "a")
-    bucket = next(n for n in os.listdir(live) if n.startswith("doc_bucket="))
-    os.rename(f"{live}/{bucket}", f"{live}/_old-{bucket.split('=')[1]}")  # a crash between the two renames
-    assert store.read("page_scans", "a").count() < 21
-    store.recover("page_scans", "a")
-    assert store.read("page_scans", "a").count() == 21
+    assert store.read("page_scans", "a", ["d3", "d4"]).count() == 3 and store.read("page_scans", "a", []).count() == 0
+    assert store.read("page_scans", "none").count() == 0
+    with pytest.raises(FileNotFoundError):
+        store.read("nothing")
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["stage", "_put"])
+def test_killed_change_leaves_one_whole_snapshot(spark, tmp_path, monkeypatch, step):
+    """A change over two tables that dies before its manifest stands has not happened, in either table."""
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    pages = spark.createDataFrame([("a", f"d{i}", i, 10) for i in range(6)], SCANS)
+    for table in ("page_scans", "chunks"):
+        store.append(table, pages)
+    calls = []
+    real = getattr(store.log, step)
+
+    def dies(*args):
+        calls.append(args)
+        if step == "_put" or len(calls) == 2:
+            raise Killed
+        return real(*args)
+
+    monkeypatch.setattr(store.log, step, dies)
+    new = pages.withColumn("width_px", F.lit(77))
+    with pytest.raises(Killed):
+        store.change("a", {"page_scans": new, "chunks": new})
+    monkeypatch.undo()
+    assert all(r.width_px == 10 for t in ("page_scans", "chunks") for r in store.read(t, "a").collect())
+    store.change("a", {"page_scans": new, "chunks": new})
+    assert all(r.width_px == 77 for t in ("page_scans", "chunks") for r in store.read(t, "a").collect())
+    assert store.log.vacuum() >= 2 and store.read("chunks").count() == 6
+
+
+def test_second_writer_is_refused(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    rows = spark.createDataFrame([("a", "d", 1, 10)], SCANS)
+    store.append("page_scans", rows)
+    base = store.log.load()
+    store.change("a", {"page_scans": rows.withColumn("width_px", F.lit(11))}, base=base)
+    with pytest.raises(Conflict):
+        store.change("a", {"page_scans": rows.withColumn("width_px", F.lit(12))}, base=base)
+    assert [r.width_px for r in store.read("page_scans").collect()] == [11]
+    # A reader of the older snapshot still sees it.
+    assert [r.width_px for r in store.read("page_scans", snapshot=base).collect()] == [10]
+    with pytest.raises(ValueError, match="columns"):
+        store.append("page_scans", rows.withColumn("more", F.lit(1)))
+
+
+def test_compaction_bounds_folders(spark, tmp_path):
+    log = Snapshots(spark, str(tmp_path / "s"))
+    for n in range(12):
+        log.commit(log.load(), {"t": log.stage("t", spark.createDataFrame([(n, n % 3)], "n int, k int"))}, marks={"w": n})
+        log.compact("t", most=4)
+        assert len(log.load().parts["t"]) <= 5
+    assert sorted(r.n for r in log.read("t").collect()) == list(range(12)) and log.load().marks == {"w": 11}
+    log.commit(log.load(), {"t": log.stage("t", spark.createDataFrame([(99, 1)], "n int, k int"))})
+    newest = lambda df: df.groupBy("k").agg(F.max("n").alias("n")).select("n", "k")
+    log.compact("t", most=0, collapse=newest)
+    assert sorted((r.n, r.k) for r in log.read("t").collect()) == [(9, 0), (11, 2), (99, 1)]
 
 
 def test_sources_and_store(spark, tmp_path):
