@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark.catalog.tables import Tables, register
 from foliospark.session import shared_dir
+from foliospark.sources.snapshots import Snapshots
 from foliospark.streaming import jobs as st
 
 
@@ -69,8 +70,8 @@ def str_rate_limit(t: Tables) -> DataFrame:
         F.col("event_id").alias("request_id"),
     )
     root = f"{shared_dir(t.spark)}/limit-{uuid.uuid4().hex}"
-    st.stream_rate_limit(t.spark, requests, f"{root}/sink", f"{root}/checkpoint", 2, 3600)
-    out = t.spark.read.parquet(f"{root}/sink/decided")
+    st.stream_rate_limit(requests, f"{root}/sink", f"{root}/checkpoint", 2, 3600)
+    out = t.spark.read.parquet(f"{root}/sink")
     return out.select("request_id", F.col("allowed").cast("int").alias("allowed"))
 
 
@@ -90,7 +91,7 @@ def _ingested(t: Tables, text: F.Column | None = None) -> str:
 @register("str_ingest", """
     SELECT CAST(document_id AS STRING) AS document_id, count(*) AS pages FROM @v_chunks GROUP BY document_id""")
 def str_ingest(t: Tables) -> DataFrame:
-    jobs = t.spark.read.parquet(f"{_ingested(t)}/jobs")
+    jobs = Snapshots(t.spark, _ingested(t)).read("jobs")
     return jobs.groupBy("document_id").agg(F.count("*").alias("pages"))
 
 
@@ -102,7 +103,7 @@ def str_ingest(t: Tables) -> DataFrame:
     SELECT CAST(document_id AS STRING) AS document_id, title, page_number AS page_start,
            CAST(coalesce(nxt - 1, total_pages) AS INT) AS page_end FROM n JOIN d USING (document_id)""")
 def str_toc_incremental(t: Tables) -> DataFrame:
-    toc = st.latest_per_document(t.spark, f"{_ingested(t)}/toc")
+    toc = st.latest_per_document(t.spark, _ingested(t), "toc")
     return toc.select("document_id", "title", "page_start", "page_end")
 
 
@@ -120,8 +121,8 @@ def str_solution_link(t: Tables) -> DataFrame:
         F.concat(F.lit("Correction de l'exercice n° "), number),
     ).otherwise("Cours")
     sink = _ingested(t, F.concat(head, F.lit("\n\n"), F.replace(F.col("content_markdown"), F.lit("## "), F.lit(""))))
-    links = t.spark.read.parquet(f"{sink}/solution_links")
-    page = t.spark.read.parquet(f"{sink}/chunks").select("chunk_id", "page_number")
+    links = st.latest_per_document(t.spark, sink, "solution_links")
+    page = Snapshots(t.spark, sink).read("chunks").select("chunk_id", "page_number")
     return (
         links.join(page.withColumnRenamed("page_number", "exercise_page"), "chunk_id")
         .join(page.select(F.col("chunk_id").alias("linked_solution_chunk_id"), F.col("page_number").alias("solution_page")),

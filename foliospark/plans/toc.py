@@ -202,6 +202,13 @@ def reliable_page_ends(toc: DataFrame) -> DataFrame:
     )
 
 
+def toc_of_headings(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Derived contents from the rows of ``heading_rows``; no text is read."""
+    entries = checkpointed(number_entries(checkpointed(toc_entries(found))))
+    placed = toc_parents(entries.withColumnRenamed("page_number", "page_start").drop("chunk_index"))
+    return toc_page_ends(placed, documents)
+
+
 def build_toc(chunks: DataFrame, documents: DataFrame, native: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Derived contents of every document and the chunks tied to them; a full
     rebuild that never touches documents with a native outline."""
@@ -211,10 +218,7 @@ def build_toc(chunks: DataFrame, documents: DataFrame, native: DataFrame | None
     else:
         derived_from = chunks
     # Entries are a sliver of the text they come from and are read many times.
-    found = checkpointed(heading_rows(derived_from))
-    entries = checkpointed(number_entries(checkpointed(toc_entries(found))))
-    placed = toc_parents(entries.withColumnRenamed("page_number", "page_start").drop("chunk_index"))
-    toc = toc_page_ends(placed, documents)
+    toc = toc_of_headings(checkpointed(heading_rows(derived_from)), documents)
     return toc, chunk_toc(derived_from, toc)
 
 

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliospark.operators.joins import link_solutions
-from foliospark.operators.scans import rate_limit
 from foliospark.plans.chunk_corpus import chunk_pages
 from foliospark.plans.curriculum import key_id
-from foliospark.plans.toc import build_toc
+from foliospark.plans.toc import heading_rows, toc_of_headings
+from foliospark.session import checkpointed
+from foliospark.sources.snapshots import Part, Snapshots
 
 PAGES = "document_id string, page_number int, total_pages int, content_markdown string"
+HEADINGS = "array<struct<level:int,title:string>>"
+# What the contents and the links of a document need of its chunks: no text but its headings.
+MARKS = (
+    "document_id string, page_number int, total_pages int, chunk_index int, chunk_id string, pedagogical_type string,"
+    " pedagogical_index int, headings string"
+)
 
 
 def run_available(
@@ -29,96 +39,136 @@ def run_available(
     return query
 
 
-def _bucket(column: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(buckets)).cast("int").alias("bucket")
-
-
-def _touched(df: DataFrame, column: str, buckets: int) -> list[int]:
-    """Buckets a batch touches, ``buckets`` at most."""
-    return sorted(r["bucket"] for r in df.select(_bucket(column, buckets)).distinct().collect())
-
-
-def _write(df: DataFrame, path: str, batch_id: int, key: str, buckets: int) -> None:
-    """Rows of one batch by bucket; a replay overwrites the folders of its own batch only."""
-    rows = df.withColumns({"bucket": _bucket(key, buckets), "batch": F.lit(batch_id).cast("long")})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
-
-
-def _read(spark: SparkSession, path: str, schema: str, touched: list[int]) -> DataFrame:
-    """Rows of a sink with their batch, from the touched buckets' folders; an absent sink is empty."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    full = f"{schema}, bucket int, batch long"
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], full).drop("bucket")
-    return spark.read.schema(full).parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
-
-
-JOBS = "document_id string, page_number int, status string"
-CHUNKS = (
-    "chunk_id string, document_id string, page_number int, chunk_index int, section_title string, content_markdown string,"
-    " pedagogical_type string, pedagogical_index int, token_count int, has_solution boolean, linked_solution_chunk_id string"
-)
-BUCKETS = 64
+# ── ingest ─────────────────────────────────────────────────────────────────
 
 
 def stream_ingest(
-    spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, files_per_batch: int = 1000,
-    buckets: int = BUCKETS,
+    spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, files_per_batch: int = 1000, most_parts: int = 16,
 ) -> StreamingQuery:
-    """New page files become chunks exactly once.
+    """New page files become chunks exactly once; contents and solution links follow from the new pages alone.
 
-    Sinks lie by document bucket and batch.  A batch reads the buckets of its own documents
-    only, and owns its folders, so replaying it after a crash overwrites its own output.  Pages READY
-    from another batch are skipped.  Contents are rebuilt for the documents a batch touched, and
-    exercises are linked once their document is complete.  ``buckets`` is sized to the corpus and
-    stays the same for a sink.
+    The pages that have come are keys in the state store, so a batch reads no sink: its cost does not
+    grow with what is stored.  Pages, chunks and jobs of a batch are one commit in ``sink_dir`` (see ``Snapshots``),
+    marked with the batch, so a replay after a crash adds nothing.  More than ``most_parts`` small folders of a
+    table are joined.  What the contents need of the chunks goes to a queue of files for ``stream_contents``, which
+    then runs over them.
     """
     stream = (
         spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+        .dropDuplicates(["document_id", "page_number"])
     )
+    log = Snapshots(spark, sink_dir)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        touched = _touched(batch, "document_id", buckets)
-        ready = _read(spark, f"{sink_dir}/jobs", JOBS, touched).where(F.col("batch") != batch_id)
-        fresh = batch.dropDuplicates(["document_id", "page_number"]).join(
-            ready.select("document_id", "page_number"), ["document_id", "page_number"], "left_anti"
-        )
-        _write(fresh, f"{sink_dir}/pages", batch_id, "document_id", buckets)
-        stored = _read(spark, f"{sink_dir}/pages", PAGES, touched).where(F.col("batch") == batch_id).drop("batch")
-        chunks = chunk_pages(stored.drop("total_pages")).select(
-            key_id("chunk", F.col("document_id"), F.col("page_number"), F.col("chunk_index")).alias("chunk_id"),
-            "*", F.lit(False).alias("has_solution"), F.lit(None).cast("string").alias("linked_solution_chunk_id"),
-        )
-        _write(chunks, f"{sink_dir}/chunks", batch_id, "document_id", buckets)
-        done = stored.select("document_id", "page_number", F.lit("READY").alias("status"))
-        _write(done, f"{sink_dir}/jobs", batch_id, "document_id", buckets)
-        totals = stored.groupBy("document_id").agg(F.max("total_pages").alias("total_pages"))
-        every = _read(spark, f"{sink_dir}/chunks", CHUNKS, touched).drop("batch")
-        toc = rebuild_toc(every, totals)
-        _write(toc, f"{sink_dir}/toc", batch_id, "document_id", buckets)
-        jobs = _read(spark, f"{sink_dir}/jobs", JOBS, touched)
-        _write(relink(every, jobs, totals), f"{sink_dir}/solution_links", batch_id, "document_id", buckets)
+        base = log.load()
+        if base.marks.get("ingest", -1) < batch_id:
+            pages = log.stage("pages", batch.withColumn("batch", F.lit(batch_id).cast("long")))
+            stored = log.read("pages", base, pages[1]) if "pages" in base.schemas else spark.read.schema(
+                f"{PAGES}, batch long").parquet(*[f"{log.root}/{p.path}" for p in pages[1]])
+            chunks = log.stage("chunks", chunk_pages(stored.drop("total_pages", "batch")).select(
+                key_id("chunk", F.col("document_id"), F.col("page_number"), F.col("chunk_index")).alias("chunk_id"), "*",
+                F.lit(batch_id).cast("long").alias("batch")))
+            done = log.stage("jobs", stored.select("document_id", "page_number", "total_pages", F.lit("READY").alias("status"), "batch"))
+            base = log.commit(base, {"pages": pages, "chunks": chunks, "jobs": done}, marks={"ingest": batch_id})
+            _queue(log, batch_id, {"chunks": chunks[1], "jobs": done[1]}).write.mode("overwrite").parquet(f"{sink_dir}-marks/batch={batch_id}")
+            for table in ("pages", "chunks", "jobs"):
+                log.compact(table, most=most_parts)
+        else:
+            # Committed, but perhaps killed before the queue was written; the reader knows pages it has seen.
+            _replayed(batch)
+            _queue(log, batch_id).write.mode("overwrite").parquet(f"{sink_dir}-marks/batch={batch_id}")
+
+    query = run_available(stream, checkpoint, on_batch)
+    if log.load().version:
+        stream_contents(spark, f"{sink_dir}-marks", sink_dir, f"{checkpoint}-contents", files_per_batch, most_parts)
+    return query
+
 
-    return run_available(stream, checkpoint, on_batch)
+def _replayed(batch: DataFrame) -> None:
+    """Run a batch whose rows are stored already, so that its state is stored too."""
+    batch.write.format("noop").mode("overwrite").save()
 
 
-def rebuild_toc(chunks: DataFrame, totals: DataFrame) -> DataFrame:
-    """Derived contents of the documents in ``totals``, from all their pages."""
-    return build_toc(chunks.join(totals.select("document_id"), "document_id", "left_semi"), totals)[0]
+def _queue(log: Snapshots, batch_id: int, parts: dict[str, list[Part]] | None = None) -> DataFrame:
+    """Rows of MARKS for the chunks of one batch, read from its own parts; a page without chunks has a row of its own."""
+    own = lambda table: log.read(table, parts=(parts or {}).get(table)).where(F.col("batch") == batch_id).drop("batch")
+    chunks = own("chunks").where("content_markdown IS NOT NULL")
+    found = heading_rows(chunks).select("document_id", "page_number", "chunk_index", F.to_json("hs").alias("headings"))
+    keys = ["document_id", "page_number"]
+    marks = chunks.drop("content_markdown").join(found, [*keys, "chunk_index"], "left")
+    rows = own("jobs").drop("status").join(marks, keys, "left")
+    return rows.select("document_id", "page_number", "total_pages", "chunk_index", "chunk_id", "pedagogical_type", "pedagogical_index", "headings")
 
 
-def relink(chunks: DataFrame, jobs: DataFrame, totals: DataFrame) -> DataFrame:
-    """Solutions of the documents whose last page has just become READY."""
-    ready = jobs.groupBy("document_id").agg(F.countDistinct("page_number").alias("n"))
-    complete = totals.join(ready, "document_id").where("n >= total_pages")
-    linked = link_solutions(chunks.join(complete.select("document_id"), "document_id", "left_semi"))
-    return linked.where("linked_solution_chunk_id is not null").select(
-        "document_id", "chunk_id", "linked_solution_chunk_id")
+def stream_contents(
+    spark: SparkSession, marks_dir: str, sink_dir: str, checkpoint: str, files_per_batch: int = 1000, most_parts: int = 16,
+) -> StreamingQuery:
+    """Contents of the documents a batch touched, and solution links of those whose last page has come in.
 
+    The state of a document is what its pages said of headings, open exercises and solutions, and which pages there
+    were; it is updated by new pages alone.  Pages seen before change nothing, so the queue may deliver one twice.
+    Tables ``toc`` (newest batch of a document counts) and ``solution_links`` (newest batch too) grow by one
+    commit a batch; read files leave the queue.
+    """
+    rows = (
+        spark.readStream.schema(MARKS).option("maxFilesPerTrigger", files_per_batch).option("cleanSource", "delete")
+        .option("recursiveFileLookup", "true").parquet(marks_dir)
+    )
+    told = rows.groupBy("document_id").applyInPandasWithState(
+        _remember, f"{MARKS}, complete boolean", "seen string", "append", GroupStateTimeout.NoTimeout)
+    log = Snapshots(spark, sink_dir)
 
-def latest_per_document(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest batch of each document in a rebuilt sink."""
-    return latest(spark.read.option("basePath", path).parquet(path), ["document_id"]).drop("batch", "bucket")
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        base = log.load()
+        if base.marks.get("contents", -1) >= batch_id:
+            return _replayed(batch)
+        batch = checkpointed(batch)
+        totals = batch.groupBy("document_id").agg(F.max("total_pages").alias("total_pages"))
+        heads = batch.where("headings IS NOT NULL").select(
+            "document_id", "page_number", "chunk_index", F.from_json("headings", HEADINGS).alias("hs"))
+        mark = F.lit(batch_id).cast("long").alias("batch")
+        add = {"toc": log.stage("toc", toc_of_headings(heads, totals).select("*", mark))}
+        numbered = batch.where("complete AND chunk_id IS NOT NULL").withColumns(
+            {"has_solution": F.lit(False), "linked_solution_chunk_id": F.lit(None).cast("string")})
+        linked = link_solutions(numbered).where("linked_solution_chunk_id IS NOT NULL")
+        add["solution_links"] = log.stage("solution_links", linked.select("document_id", "chunk_id", "linked_solution_chunk_id", mark))
+        log.commit(base, add, marks={"contents": batch_id})
+        for table in add:
+            # Contents of one batch replace those of the batches before: only the newest are kept.
+            log.compact(table, most=most_parts, collapse=lambda df: latest(df, ["document_id"]))
+
+    return run_available(told, checkpoint, on_batch)
+
+
+def _remember(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Add the pages of a batch to a document's state and tell all the state holds, if anything is new."""
+    seen = json.loads(state.get[0]) if state.exists else {"pages": {}, "total": None}
+    new: dict[str, list] = {}
+    for frame in frames:
+        for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
+            page = str(row.page_number)
+            if page not in seen["pages"]:
+                if row.total_pages is not None:
+                    seen["total"] = max(int(row.total_pages), seen["total"] or 0)
+                kept = [row.chunk_index, row.chunk_id, row.pedagogical_type, row.pedagogical_index, row.headings]
+                own = new.setdefault(page, [])
+                # Of a chunk, what has neither headings nor a number is not needed again.
+                if row.chunk_index is not None and (row.headings is not None or row.pedagogical_index is not None):
+                    own.append([None if x is None else int(x) if n in (0, 3) else x for n, x in enumerate(kept)])
+    if not new:
+        return
+    seen["pages"].update(new)
+    state.update((json.dumps(seen),))
+    complete = seen["total"] is not None and len(seen["pages"]) >= seen["total"]
+    out = [[key[0], int(page), seen["total"], *chunk, complete] for page, chunks in seen["pages"].items() for chunk in chunks or [[None] * 5]]
+    names = [c.split()[0] for c in MARKS.split(",")]
+    table = pd.DataFrame(out, columns=[*names, "complete"], dtype=object)
+    yield table.astype({c: "Int32" for c in ("page_number", "total_pages", "chunk_index", "pedagogical_index")})
+
+
+def latest_per_document(spark: SparkSession, sink_dir: str, table: str) -> DataFrame:
+    """Rows of the newest batch of each document in a rebuilt table."""
+    return latest(Snapshots(spark, sink_dir).read(table), ["document_id"]).drop("batch")
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,6 +177,9 @@ def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.join(newest, [*keys, "batch"])
 
 
+# ── feeds ──────────────────────────────────────────────────────────────────
+
+
 def stream_progress(events: DataFrame) -> DataFrame:
     """Jobs per batch and status, and the latest page seen."""
     return events.groupBy("batch_id", "status").agg(
@@ -147,28 +200,59 @@ def stream_throughput(events: DataFrame, window: str = "1 hour", lateness: str =
     )
 
 
-def stream_rate_limit(
-    spark: SparkSession, requests: DataFrame, sink_dir: str, checkpoint: str, per_window: int, seconds: int = 60,
-    lateness: int = 0, buckets: int = BUCKETS,
-) -> StreamingQuery:
-    """Accepted-only sliding window per key over ``requests(key, micros, request_id)``.
+def decide_requests(requests: DataFrame, per_window: int, seconds: int = 60, lateness: int = 600) -> DataFrame:
+    """(key, micros, request_id, allowed) of a stream ``requests(key, micros, request_id)``: at most ``per_window`` accepted ones per window.
 
-    Each batch runs the batch operator in time order, on top of what earlier batches accepted.
-    The state is a table of accepted times, kept while they lie within the window and ``lateness`` seconds
-    of the newest time seen, so idle keys leave it; a key has few of them.  Batches own their folders.
+    The state of a key is its accepted times, kept in the state store as long as a request could still come that they
+    count for: ``seconds`` and ``lateness`` back from its newest.  An event-time timer drops the key after that, so
+    idle keys hold nothing, and no batch reads what earlier ones wrote.  Requests of a batch are decided in time order
+    on top of what was accepted before, as ``rate_limit`` does.  A request that comes over ``lateness``
+    seconds behind the newest of an earlier batch is left to the watermark, which drops it.
     """
-    key, ident = (requests.schema[c].dataType.simpleString() for c in ("key", "request_id"))
-    span = (seconds + lateness) * 1_000_000
+    span, delay = seconds * 1_000_000, lateness * 1_000_000
+    key, ident = requests.schema["key"].dataType.simpleString(), requests.schema["request_id"].dataType.simpleString()
+
+    def decide(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        asked = pd.concat(list(frames)).sort_values(["micros", "request_id"], kind="stable")
+        before = sorted(state.get[0]) if state.exists else []
+        times, flags, carried = [], [], 0
+        first = 0
+        for at in asked["micros"].tolist():
+            while carried < len(before) and before[carried] <= at:
+                times.append(before[carried])
+                carried += 1
+            while first < len(times) and at - times[first] > span:
+                first += 1
+            flags.append(len(times) - first < per_window)
+            if flags[-1]:
+                times.append(at)
+        times += before[carried:]
+        mark = state.getCurrentWatermarkMs() * 1000
+        newest = max([mark + delay, *times])
+        kept = [at for at in times if at > newest - delay - span]
+        if kept:
+            state.update((kept,))
+            state.setTimeoutTimestamp(max(kept[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": [name[0]] * len(asked), "micros": asked["micros"], "request_id": asked["request_id"], "allowed": flags})
+
+    timed = requests.withColumn("at", F.timestamp_micros("micros")).withWatermark("at", f"{lateness} seconds")
+    return timed.groupBy("key").applyInPandasWithState(
+        decide, f"key {key}, micros long, request_id {ident}, allowed boolean", "accepted array<long>", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        touched = list(range(buckets))
-        before = _read(spark, f"{sink_dir}/accepted", f"key {key}, micros long", touched).where(F.col("batch") == batch_id - 1)
-        carried = before.drop("batch")
-        decided = rate_limit(batch, per_window, seconds, accepted=carried)
-        _write(decided, f"{sink_dir}/decided", batch_id, "key", buckets)
-        own = _read(spark, f"{sink_dir}/decided", f"key {key}, micros long, request_id {ident}, allowed boolean", touched)
-        now = own.where((F.col("batch") == batch_id) & F.col("allowed")).select("key", "micros").unionByName(carried)
-        newest = now.agg(F.max("micros").alias("m")).scalar()
-        _write(now.where(F.col("micros") > newest - span), f"{sink_dir}/accepted", batch_id, "key", buckets)
-
-    return run_available(requests, checkpoint, on_batch)
+
+def stream_rate_limit(
+    requests: DataFrame, sink_dir: str, checkpoint: str, per_window: int, seconds: int = 60, lateness: int = 600,
+) -> StreamingQuery:
+    """Append the decisions of ``decide_requests`` to a folder; its own log makes each batch appear once and whole."""
+    query = (
+        decide_requests(requests, per_window, seconds, lateness).writeStream.format("parquet").outputMode("append")
+        .option("path", sink_dir).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators.joins import finished_batches
+from foliospark.operators.scans import rate_limit
 from foliospark.plans import corpus_edit as ed, ledger as lg
 from foliospark.plans.chunk_corpus import chunk_pages, embed, formula_artifacts, repair
 from foliospark.sources.corpus import import_artifacts, import_curriculum, list_files, register_documents, scan_corpus
@@ -130,60 +131,83 @@ def test_models_never_stop_the_job(spark):
     assert embed(rows, broken, "raw_data").where("embedding is null").count() == 3
 
 
+STREAMED = "document_id string, page_number int, total_pages int, content_markdown string"
+
+
 def test_stream_ingest_resumes_and_links(spark, tmp_path):
     src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
     rows = [(d, p, 3, t) for d, p, t in PAGES]
-    schema = "document_id string, page_number int, total_pages int, content_markdown string"
-    spark.createDataFrame(rows[:2], schema).write.parquet(src)
+    log = Snapshots(spark, sink)
+    spark.createDataFrame(rows[:2], STREAMED).write.parquet(src)
     st.stream_ingest(spark, src, sink, ck)
-    first = spark.read.parquet(f"{sink}/chunks").count()
-    spark.createDataFrame(rows[1:], schema).write.mode("append").parquet(src)  # page 2 comes again
+    first = log.read("chunks").count()
+    assert log.read("solution_links").count() == 0
+    spark.createDataFrame(rows[1:], STREAMED).write.mode("append").parquet(src)  # page 2 comes again
     st.stream_ingest(spark, src, sink, ck)
     st.stream_ingest(spark, src, sink, ck)
-    jobs = spark.read.parquet(f"{sink}/jobs")
-    assert jobs.count() == 3 and first == 2 and spark.read.parquet(f"{sink}/chunks").count() == 3
-    assert spark.read.parquet(f"{sink}/solution_links").count() == 1
-    toc = st.latest_per_document(spark, f"{sink}/toc").collect()
+    assert log.read("jobs").count() == 3 and first == 2 and log.read("chunks").count() == 3
+    assert st.latest_per_document(spark, sink, "solution_links").count() == 1
+    toc = st.latest_per_document(spark, sink, "toc").collect()
     assert [(t.title, t.page_start, t.page_end) for t in toc] == [("Exercice n° 7", 2, 3)]
+    assert log.load().marks == {"ingest": 1, "contents": 1}
 
 
-def test_stream_batches_read_their_own_buckets(spark, tmp_path):
-    """A batch must not need the folders of buckets it does not touch."""
+def test_stream_contents_need_no_stored_text(spark, tmp_path):
+    """Contents of a document are rebuilt from its new page and the state, with its stored files gone; folders stay few."""
+    src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
+    log = Snapshots(spark, sink)
+    for n in range(1, 6):
+        page = [("d", n, 9, f"## Part {n}\n\ntext"), (f"e{n}", 1, 1, None), (None, n, 1, "# none")]
+        spark.createDataFrame(page, STREAMED).coalesce(1).write.mode("append").parquet(src)
+        if n == 5:
+            for part in (tmp_path / "sink" / "chunks").rglob("part-*.parquet"):
+                part.write_bytes(b"broken")
+        st.stream_ingest(spark, src, sink, ck, most_parts=2 if n < 5 else 99)
+        assert all(len(p) <= 4 for p in log.load().parts.values())
+    toc = st.latest_per_document(spark, sink, "toc").where("document_id = 'd'").orderBy("page_start").collect()
+    assert [(t.title, t.page_start, t.page_end) for t in toc] == [(f"Part {n}", n, n if n < 5 else 9) for n in range(1, 6)]
+    assert log.read("jobs").count() == 15
+    left = [p for p in (tmp_path / "sink-marks").rglob("part-*.parquet")]
+    assert len(left) <= 8  # read files of the queue go
+
+
+def test_stream_killed_after_its_commit(spark, tmp_path, monkeypatch):
     src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
-    schema = "document_id string, page_number int, total_pages int, content_markdown string"
-    spark.createDataFrame([("d", 1, 2, PAGES[0][2])], schema).write.parquet(src)
-    st.stream_ingest(spark, src, sink, ck, buckets=8)
-    own = st._touched(spark.createDataFrame([("d",)], "document_id string"), "document_id", 8)[0]
-    other = next(f"e{i}" for i in range(99) if st._touched(spark.createDataFrame([(f"e{i}",)], "document_id string"), "document_id", 8)[0] != own)
-    broken = next((tmp_path / "sink" / "chunks" / f"bucket={own}").rglob("part-*.parquet"))
-    content = broken.read_bytes()
-    broken.write_bytes(b"broken")
-    for crc in broken.parent.glob("*.crc"):
-        crc.unlink()
-    spark.createDataFrame([(other, 1, 1, PAGES[1][2])], schema).write.mode("append").parquet(src)
-    st.stream_ingest(spark, src, sink, ck, buckets=8)
-    broken.write_bytes(content)
-    spark.createDataFrame([("d", 2, 2, PAGES[1][2])], schema).write.mode("append").parquet(src)
-    st.stream_ingest(spark, src, sink, ck, buckets=8)
-    assert sorted((r.document_id, r.page_number) for r in spark.read.parquet(f"{sink}/jobs").collect()) == [("d", 1), ("d", 2), (other, 1)]
-
-
-def test_rate_limit_over_batches(spark, tmp_path):
+    spark.createDataFrame([("d", 1, 1, "## Part one\n\ntext")], STREAMED).write.parquet(src)
+
+    def dies(*args):
+        raise Killed
+
+    monkeypatch.setattr(st, "_queue", dies)
+    with pytest.raises(Exception, match="Killed"):
+        st.stream_ingest(spark, src, sink, ck)
+    monkeypatch.undo()
+    assert Snapshots(spark, sink).read("jobs").count() == 1
+    st.stream_ingest(spark, src, sink, ck)
+    assert Snapshots(spark, sink).read("chunks").count() == Snapshots(spark, sink).read("jobs").count() == 1
+    assert [t.title for t in st.latest_per_document(spark, sink, "toc").collect()] == ["Part one"]
+
+
+def test_rate_limit_state(spark, tmp_path):
+    """Batches with late requests equal the batch operator on top of what was accepted; keys that idle leave the state."""
     src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
     schema = "key string, micros long, request_id int"
-    times = [0, 10, 20, 30, 61, 62, 75, 200]
-    rows = [("a", t * 1_000_000, i) for i, t in enumerate(times)]
-    for part in (rows[:3], rows[3:6], rows[6:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-        st.stream_rate_limit(spark, spark.readStream.schema(schema).parquet(src), sink, ck, 2, 60, buckets=4)
-    kept, want = [], {}
-    for i, t in enumerate(times):
-        kept = [x for x in kept if t - x <= 60]
-        want[i] = len(kept) < 2
-        kept += [t] * want[i]
-    assert {r.request_id: r.allowed for r in spark.read.parquet(f"{sink}/decided").collect()} == want
-    last = spark.read.parquet(f"{sink}/accepted").where("batch = 2").collect()
-    assert [r.micros for r in last] == [200_000_000]
+    second = 1_000_000
+    parts = [[("a", t) for t in (0, 10, 20, 30, 61, 62)] + [("idle", 5), (None, 7), (None, 8), (None, 9)],
+             [("a", t) for t in (40, 75, 63, 200)] + [("b", t) for t in (70, 71, 72, 90)],
+             [("a", t) for t in (190, 260, 900)], [("b", 2000)]]
+    numbers, accepted, want, rows_held = iter(range(99)), None, {}, []
+    for part in parts:
+        df = spark.createDataFrame([(k, (10 ** 6 + t) * second, next(numbers)) for k, t in part], schema).coalesce(1)
+        df.write.mode("append").parquet(src)
+        twin = [tuple(r) for r in rate_limit(df, 2, 60, accepted=accepted).collect()]
+        want |= {ident: allowed for _, _, ident, allowed in twin}
+        kept = [(k, t) for k, t, _, allowed in twin if allowed] + ([tuple(r) for r in accepted.collect()] if accepted is not None else [])
+        accepted = spark.createDataFrame(kept, "key string, micros long")
+        query = st.stream_rate_limit(spark.readStream.schema(schema).parquet(src), sink, ck, 2, 60, lateness=100)
+        rows_held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert {r.request_id: r.allowed for r in spark.read.parquet(sink).collect()} == want
+    assert rows_held[0] == 3 and rows_held[-1] == 1
 
 
 def test_updates_keep_the_newest(spark):
