@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -117,6 +119,50 @@ def test_latex_cleaning(col):
     assert got["text"] == "\n\n⟦math 0⟧\n\n mid ⟦math 1⟧ and ⟦math 2⟧"
 
 
+def plain_math(text):
+    """Formulas character by character: display blocks up to the next double dollar before a mark, then inline ones."""
+    blocks, out, at = [], "", 0
+    while at < len(text):
+        end = text.find("$$", at + 2) if text.startswith("$$", at) else -1
+        body = text[at + 2:end]
+        if end >= 0 and not any(mark in body for mark in ("###", "---", "```")):
+            out += f"\n\n⟦math {len(blocks)}⟧\n\n"
+            blocks.append(("display", body))
+            at = end + 2
+        else:
+            out += text[at]
+            at += 1
+    text, out, at = out, "", 0
+    while at < len(text):
+        end = text.find("$", at + 1) if text[at] == "$" else -1
+        body = text[at + 1:end]
+        if end > at + 1 and "\n" not in body and "|" not in body:
+            out += f"⟦math {len(blocks)}⟧"
+            blocks.append(("inline", body))
+            at = end + 1
+        else:
+            out += text[at]
+            at += 1
+    return out, blocks
+
+
+def test_protect_math_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["", "$", "$$", "$$$", "$$$$", "$$$a$$", "$$a$$$b$", "$$a### $$b$$", "#### $$x$$ --- $$", "$a\n$b$", "$a|b$c$", "$$a$$$$b$$", "x$$y"]
+    texts += ["".join(rng.choices(["$", "$$", "a", "b ", "\n", "|", "###", "#", "---", "```", "x"], k=rng.randrange(1, 25))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", latex.protect_math(F.col("x")).alias("p"))
+    for row in df.collect():
+        text, blocks = plain_math(row["x"])
+        assert row["p"]["text"] == text, row["x"]
+        assert [(b["type"], b["math"]) for b in row["p"]["blocks"]] == [(k, m.strip().replace("$", "").strip()) for k, m in blocks], row["x"]
+
+
+def test_long_text_arguments_stay(col):
+    for size in (150, 260, 5000):
+        inside = "\\text{" + "طول " * (size // 4) + "}"
+        assert col(inside + " عرض", latex.clean_math) == inside + " \\text{عرض}"
+
+
 @given(st.text(alphabet="$ \\[]()abegindtms{}12", max_size=40))
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_sanitize_is_idempotent(spark, text):
