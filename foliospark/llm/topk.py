@@ -13,6 +13,8 @@ from foliospark.llm.common import staged
 SCALE = 256
 # Vectors whose lists one task holds, and queries that read them there.
 VECTORS, QUERIES = 8192, 2048
+# Tasks per shuffle partition, at most.
+TASKS = 16
 # Queries whose bounds are held at once, and pairs resolved at once.
 BATCH, PAIRS = 256, 1 << 16
 
@@ -164,6 +166,9 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SC
             query, point, score = best(vecs[asks], ids[asks], vecs[~asks], ids[~asks], k)
         return pa.table({"query_id": ids[asks][query], "own": own[asks][query], "id": ids[~asks][point], "score": score})
 
-    found = points.unionByName(asking).groupBy("dim", "v", "q").applyInArrow(search, "query_id long, own long, id long, score long")
+    # A small block is long work: as many tasks as blocks, not as bytes would need.
+    cells = cuts.agg(F.sum(F.col("v_cuts") * F.col("q_cuts"))).first()[0] or 1
+    tasks = min(cells, TASKS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = points.unionByName(asking).repartition(tasks, "dim", "v", "q").groupBy("dim", "v", "q").applyInArrow(search, "query_id long, own long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
