@@ -52,12 +52,10 @@ def flt_paginate(t: Tables) -> DataFrame:
     FROM @v_documents""")
 def flt_documents(t: Tables) -> DataFrame:
     """Whole listing, newest first, with each document's place in it."""
-    from foliospark.operators.scans import even_block, row_number_by
+    from foliospark.operators.scans import position_by
 
     docs = t["v_documents"].select("document_id", "title", "created_on")
-    # Newest day first, then the id: one number that orders as the listing does, so a busy day spreads too.
-    place = F.col("document_id") - F.unix_date("created_on").cast("long") * F.lit(1 << 40)
-    return row_number_by(docs, [], [F.desc("created_on"), F.asc("document_id")], even_block(docs, place), "position")
+    return position_by(docs, [], [F.desc("created_on"), F.asc("document_id")], "position")
 
 
 @register("flt_substring", """
@@ -162,11 +160,9 @@ def top_exercise_order(t: Tables) -> DataFrame:
     SELECT term_id, program_id, title, row_number() OVER (PARTITION BY term_id ORDER BY title, program_id) AS position
     FROM @b_programs""")
 def top_program_order(t: Tables) -> DataFrame:
-    from foliospark.operators.scans import row_number_by
+    from foliospark.operators.scans import position_by
 
-    return row_number_by(
-        t["b_programs"], ["term_id"], [F.col("title"), F.col("program_id")], F.ascii("title"), "position"
-    )
+    return position_by(t["b_programs"], ["term_id"], [F.col("title"), F.col("program_id")], "position")
 
 
 # ── sets ───────────────────────────────────────────────────────────────────

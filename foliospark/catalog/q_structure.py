@@ -8,7 +8,7 @@ from foliospark.catalog.tables import Tables, register
 from foliospark.operators import joins as j
 from foliospark.operators.ranges import range_counts
 from foliospark.operators.scans import (
-    even_block, moving_average, rate_limit, row_number_by, running_count, window_count_before,
+    moving_average, rate_limit, row_number_by, running_count, window_count_before,
 )
 from foliospark.plans import curriculum as cur, toc as tc
 
@@ -427,8 +427,7 @@ def win_reading_order(t: Tables) -> DataFrame:
     FROM @events""")
 def win_moving_latency(t: Tables) -> DataFrame:
     events = t["events"].select("event_id", "ts", "value")
-    block = even_block(events, F.unix_micros(F.col("ts").cast("timestamp")))
-    return moving_average(events, "value", ["ts", "event_id"], block).select(
+    return moving_average(events, "value", ["ts", "event_id"]).select(
         "event_id", F.round("moving_avg", 4).alias("moving_avg")
     )
 

@@ -572,15 +572,13 @@ def fn_md_table(t: Tables) -> DataFrame:
            row_number() OVER (PARTITION BY event_type ORDER BY CAST(cell AS DOUBLE), event_id) AS position FROM c""")
 def top_table_sort(t: Tables) -> DataFrame:
     """Numeric position of each value cell among the cells of its kind."""
-    from foliospark.operators.scans import even_block, row_number_by
+    from foliospark.operators.scans import position_by
 
     tables = t["events"].select(F.col("event_id").alias("artifact_id"), F.expr(_TABLE).alias("raw_data"))
     cells = tab.table_cells(tables)
     keys = cells.where("row_no = 0 and col_no = 0").select("artifact_id", F.col("cell").alias("kind"))
     values = cells.where("row_no = 0 and col_no = 1").select("artifact_id", "number").join(keys, "artifact_id")
-    ranked = row_number_by(
-        values, ["kind"], [F.col("number"), F.col("artifact_id")], even_block(values, F.col("number")), "position"
-    )
+    ranked = position_by(values, ["kind"], [F.col("number"), F.col("artifact_id")], "position")
     return ranked.select("artifact_id", "number", "position")
 
 

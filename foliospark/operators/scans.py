@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from foliospark.session import checkpointed
+
 BLOCK = "_block"
 
 
@@ -20,14 +23,25 @@ def _blocks(keys: list[str]):
     return W.partitionBy(*keys).orderBy(BLOCK)
 
 
-def even_block(df: DataFrame, value: Column, blocks: int = 256) -> Column:
-    """Block of each row along a numeric, date or time value, cut at quantiles of ``df``, so blocks hold about as
-    many rows each wherever the values lie.  Non-decreasing in the value; null is block -1."""
-    shares = [n / blocks for n in range(1, blocks)]
-    cuts = df.agg(F.percentile_approx(value, shares, F.lit(10 * blocks)).alias("cuts")).scalar()
-    # The place of the value among the cuts; a scalar subquery may not stand in a lambda.
-    place = F.array_position(F.sort_array(F.array_append(cuts, value)), value)
-    return F.when(value.isNull(), F.lit(-1)).otherwise(place)
+def position_by(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """1-based place of each row within its key, by columns of any type; without keys, in the whole table.
+
+    Rows are dealt out by ranges of (keys, order) and sorted where they lie, so a key of very many rows spreads over
+    many tasks.  The sorted rows are written once, each with its place in its task; the tasks' sizes, one
+    number each, turn that into a place in the whole table, and a key's first place into one within the key.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sort = [F.col(k) for k in keys] + order
+    dealt = df.repartitionByRange(tasks, *sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())
+    dealt = checkpointed(dealt)
+    task = F.shiftright("_at", 33).cast("int")
+    sizes = {r["task"]: r["count"] for r in dealt.groupBy(task.alias("task")).count().collect()}
+    before = F.lit([0, *accumulate(sizes.get(n, 0) for n in range(tasks))]).cast("array<bigint>")
+    placed = dealt.withColumn("_place", F.get(before, task) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    if not keys:
+        return placed.withColumn(name, F.col("_place") + 1).drop("_place")
+    first = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return _null_safe(placed, first, keys).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
 
 
 def row_number_by(df: DataFrame, keys: list[str], order: list[Column], block: Column, name: str) -> DataFrame:
@@ -110,15 +124,14 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
 
 
 def moving_average(
-    df: DataFrame, value: str, order: list[str], block: Column, k: int = 10, name: str = "moving_avg",
-    slab: int = 4096,
+    df: DataFrame, value: str, order: list[str], k: int = 10, name: str = "moving_avg", slab: int = 4096,
 ) -> DataFrame:
     """Mean of the last ``k`` rows in one global order.
 
     Rows get their global position first; slabs of consecutive positions are
     then averaged side by side, each with the k-1 rows before it as overlap.
     """
-    ranked = row_number_by(df, [], [F.col(c) for c in order], block, "_pos")
+    ranked = position_by(df, [], [F.col(c) for c in order], "_pos")
     home = F.floor((F.col("_pos") - 1) / slab)
     spill = (F.col("_pos") - 1) % slab >= slab - (k - 1)
     copies = ranked.withColumn("_home", home).withColumn(

@@ -53,25 +53,25 @@ def test_scans_on_a_hot_key(spark):
             assert ahead[r[1]] == next((x[1] for x in mine[n + 1:] if x[1] % 4 == 0), None)
 
 
-def test_even_blocks(spark):
-    df = spark.createDataFrame([(i, i * i) for i in range(1000)] + [(5000 + i, 7) for i in range(1000)] + [(9000, None)], "id int, v int")
-    rows = df.withColumn("b", scans.even_block(df, F.col("v"), 16)).collect()
-    known = sorted((r for r in rows if r.v is not None), key=lambda r: r.v)
-    assert all(a.b <= b.b for a, b in zip(known, known[1:])) and [r.b for r in rows if r.v is None] == [-1]
-    sizes = {}
-    for r in rows:
-        if r.v != 7:
-            sizes[r.b] = sizes.get(r.b, 0) + 1
-    assert max(sizes.values()) <= 160
-    got = scans.row_number_by(df, [], [F.col("v"), F.col("id")], scans.even_block(df, F.col("v"), 16), "n").collect()
-    order = sorted(got, key=lambda r: (r.v is not None, r.v or 0, r.id))
-    assert [r.n for r in order] == list(range(1, len(rows) + 1))
+def test_positions_by_any_columns(spark):
+    """Hot keys, ties, nulls and strings; descending too."""
+    rows = [("hot" if i % 5 else None if i % 10 else f"k{i % 7}", "tie" if i % 3 else f"s{i * 7 % 50:03}", None if i % 11 == 0 else i % 13, i)
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, s string, v int, id int")
+    got = {r.id: r.n for r in scans.position_by(df, ["k"], [F.desc("s"), F.col("v"), F.col("id")], "n").collect()}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[3]))
+        mine.sort(key=lambda r: r[1], reverse=True)
+        assert [got[r[3]] for r in mine] == list(range(1, len(mine) + 1))
+    whole = {r.id: r.n for r in scans.position_by(df, [], [F.col("s"), F.desc("id")], "n").collect()}
+    assert [whole[r[3]] for r in sorted(rows, key=lambda r: (r[1], -r[3]))] == list(range(1, len(rows) + 1))
+    assert scans.position_by(df.limit(0), ["k"], [F.col("s")], "n").count() == 0
 
 
 def test_moving_average_across_slabs(spark):
     rows = [(i, float((i * 37) % 11)) for i in range(100)]
     df = spark.createDataFrame(rows, "t int, v double")
-    got = {r.t: r.m for r in scans.moving_average(df, "v", ["t"], F.floor(F.col("t") / 9), 10, "m", slab=16).collect()}
+    got = {r.t: r.m for r in scans.moving_average(df, "v", ["t"], 10, "m", slab=16).collect()}
     for t, _ in rows:
         window = [v for u, v in rows if t - 9 <= u <= t]
         assert got[t] == pytest.approx(sum(window) / len(window))
