@@ -15,6 +15,7 @@ from foliospark.plans.search import (
     CHANNEL_TOP, Index, Settings, build_index, channel_rank, fuse_ranks, hybrid_search, index_bm25, knn,
     rag_context, ranked_hits, scan_bm25,
 )
+from foliospark.plans.segments import SegmentedIndex
 from foliospark.session import shared_dir
 
 QUERY = "esat estion ndat"
@@ -149,6 +150,20 @@ def sr_bm25_phrase(t: Tables) -> DataFrame:
     return scores.select("corpus", "row_id", F.round("score", 4).alias("score"))
 
 
+@register("sr_index_edit", f"""
+    WITH {sql_bm25("(SELECT * FROM @v_rows WHERE row_id % 7 <> 0)")} SELECT corpus, row_id, round(score, 4) AS score FROM scored""")
+def sr_index_edit(t: Tables) -> DataFrame:
+    """Rows come in, change and go by edits of the index; scores are those of what is left."""
+    rows, last = t["v_rows"], F.col("row_id") % 10
+    index = SegmentedIndex(t.spark, f"{shared_dir(t.spark).rstrip('/')}/segments-{uuid.uuid4().hex}", COLUMNS)
+    stale = F.when(last == 3, F.concat(F.lit("esat esat "), F.col("search_content"))).otherwise(F.col("search_content"))
+    index.edit(rows.where(last != 0).withColumn("search_content", stale))
+    index.edit(rows.where(last.isin(0, 3)), rows.where(F.col("row_id") % 7 == 1))
+    index.edit(rows.where(F.col("row_id") % 7 == 1), rows.where(F.col("row_id") % 7 == 0))
+    index.merge()
+    return index_bm25(index.index(), QUERY).select("corpus", "row_id", F.round("score", 4).alias("score"))
+
+
 @register("sr_index_build", f"""
     WITH toks AS (SELECT corpus, row_id, {TOKENS.format('search_content')} AS w FROM @v_rows),
     st AS (SELECT corpus, count(*) AS n_rows, round(avg(len(w)), 4) AS avg_dl FROM toks GROUP BY corpus),

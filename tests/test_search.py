@@ -1,10 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators.sets import index_rows
 from foliospark.plans import search as se
+from foliospark.plans.segments import SegmentedIndex
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +94,46 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted((r.term, r.tf) for r in back.postings.where("corpus = 'x'").collect()) == [("a", 2), ("b", 1)]
 
 
+def test_edits_score_like_a_rebuild(spark, tmp_path):
+    """Rows put in, changed, removed and put back by segments, before and after merging; an edit writes one segment."""
+    rng = random.Random(6)
+    words = [f"w{n}" for n in range(8)]
+    schema = "corpus string, row_id int, chunk_id int, t string"
+    text = lambda: " ".join(rng.choices(words, k=rng.randrange(9)))
+    held = {(c, i): text() for c in ("x", "y") for i in range(30)}
+    frame = lambda rows: spark.createDataFrame([(c, i, i, x) for (c, i), x in rows.items()], schema)
+    index = SegmentedIndex(spark, str(tmp_path / "ix"), ["t"])
+    index.edit(frame(held))
+
+    def agrees():
+        for query in ("w1 w2", "w3'w4 w0"):
+            want = {(r.corpus, r.row_id): r.score for r in se.scan_bm25(frame(held), query, ["t"]).collect()}
+            got = {(r.corpus, r.row_id): r.score for r in se.index_bm25(index.index(), query).collect()}
+            assert got == pytest.approx(want)
+
+    old = index.log.load()
+    for step in range(3):
+        put = {("x", rng.randrange(35)): text() for _ in range(4)} | {("y", 40 + step): text()}
+        gone = [k for k in list(held)[::9] if k not in put] + [("x", 999), ("new", 1)]
+        for key in gone:
+            held.pop(key, None)
+        held |= put
+        before = index.segments()
+        index.edit(frame(put), spark.createDataFrame(gone, "corpus string, row_id int"))
+        assert len(index.segments()) == len(before) + 1 and before.items() <= index.segments().items()
+        agrees()
+    large = max(index.segments().values())
+    index.merge(small=large)  # the first segment stays, with its tombstones
+    assert len(index.segments()) == 2 and index.log.load().parts["gone"]
+    agrees()
+    index.merge()
+    assert len(index.segments()) == 1 and not index.log.load().parts["gone"]
+    agrees()
+    assert index.index(old).lengths.count() == 60
+    index.edit(frame({}).where("false"), frame(held))
+    assert se.index_bm25(index.index(), "w1").count() == 0 and index.index().stats.count() == 0
+
+
 def test_artifacts_eat_slots_before_dedup(spark):
     """Twenty rows are kept before one rank per chunk is given."""
     data = [("x", f"r{i:02}", 1 if i < 19 else i, "word") for i in range(30)] + [("x", f"z{i}", 100 + i, "other") for i in range(60)]
