@@ -23,11 +23,27 @@ def _corpus(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName,
-        [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in tables.items()],
-    )
+# One shape for the rows of all tables: a name and a value, as text that both engines read.
+_NAMED = {
+    "chunks": ("CAST(chunk_id AS STRING)", "CAST(is_human_edited AS INT)"),
+    "artifacts": ("CAST(artifact_id AS STRING)", "CAST(is_human_edited AS INT)"),
+    "page_scans": ("CAST(document_id AS STRING) || ':' || CAST(page_number AS STRING)", "CAST(width_px AS INT)"),
+    "jobs": ("CAST(job_id AS STRING) || status", "CAST(retry_count AS INT)"),
+    "toc": ("CAST(toc_id AS STRING)", "CAST(page_start AS INT)"),
+    "benchmarks": ("CAST(event_id AS STRING)", "CAST(page_number AS INT)"),
+    "links": ("link_id || from_id || to_id", "CAST(length(link_type) AS INT)"),
+    "documents": ("CAST(document_id AS STRING)", "CAST(total_pages AS INT)"),
+}
+
+
+def _rows(tables: dict[str, DataFrame], named: dict[str, tuple[str, str]] = _NAMED) -> DataFrame:
+    """Name and value of every row of some tables."""
+    return reduce(DataFrame.unionByName, [
+        df.selectExpr(f"'{name}' AS table", f"{named[name][0]} AS id", f"{named[name][1]} AS value") for name, df in tables.items()])
+
+
+def _rows_sql(name: str, source: str, where: str = "TRUE", named: dict[str, tuple[str, str]] = _NAMED) -> str:
+    return f"""SELECT '{name}' AS "table", {named[name][0]} AS id, {named[name][1]} AS value FROM {source} WHERE {where}"""
 
 
 _SCOPE = "document_id = 7 AND page_number BETWEEN 5 AND 40"
@@ -48,16 +64,14 @@ def agg_purge_preview(t: Tables) -> DataFrame:
 _DOC = "document_id = 7"
 
 
-@register("job_purge_scope", f"""
-    SELECT 'chunks' AS "table", count(*) AS n FROM @b_chunks WHERE NOT ({_DOC} AND NOT is_human_edited)
-    UNION ALL SELECT 'artifacts', count(*) FROM @b_artifacts WHERE NOT ({_DOC} AND NOT is_human_edited)
-    UNION ALL SELECT 'page_scans', count(*) FROM @b_scans WHERE NOT ({_DOC})
-    UNION ALL SELECT 'jobs', count(*) FROM @v_jobs WHERE NOT ({_DOC})
-    UNION ALL SELECT 'toc', count(*) FROM @b_toc WHERE NOT ({_DOC})
-    UNION ALL SELECT 'benchmarks', count(*) FROM @v_benchmarks WHERE NOT ({_DOC})
-    UNION ALL SELECT 'links', count(*) FROM @b_links UNION ALL SELECT 'documents', count(*) FROM @b_documents""")
+@register("job_purge_scope", " UNION ALL ".join([
+    *[_rows_sql(n, f"@{v}", f"NOT ({_DOC} AND NOT is_human_edited)") for n, v in (("chunks", "b_chunks"), ("artifacts", "b_artifacts"))],
+    *[_rows_sql(n, f"@{v}", f"NOT ({_DOC})") for n, v in (
+        ("page_scans", "b_scans"), ("jobs", "v_jobs"), ("toc", "b_toc"), ("benchmarks", "v_benchmarks"))],
+    _rows_sql("links", "@b_links"), _rows_sql("documents", "@b_documents")]))
 def job_purge_scope(t: Tables) -> DataFrame:
-    return _counts(ed.purge(_corpus(t), ed.Scope("document", 7)))
+    """All that a purge of one document leaves, row by row."""
+    return _rows(ed.purge(_corpus(t), ed.Scope("document", 7)))
 
 
 @register("job_purge_chapter", """
@@ -72,12 +86,11 @@ def job_purge_chapter(t: Tables) -> DataFrame:
 
 
 @register("job_reprocess_scope", """
-    SELECT status, count(*) AS n FROM (
-      SELECT status FROM @v_jobs WHERE NOT (document_id = 7 AND page_number BETWEEN 5 AND 40)
-      UNION ALL SELECT 'QUEUED' FROM range(5, 41)) GROUP BY status""")
+    SELECT document_id, page_number, status, batch_id FROM @v_jobs WHERE NOT (document_id = 7 AND page_number BETWEEN 5 AND 40)
+    UNION ALL SELECT 7, CAST(p AS INT), 'QUEUED', 'again' FROM range(5, 41) AS r(p)""")
 def job_reprocess_scope(t: Tables) -> DataFrame:
     jobs = ed.reprocess(_corpus(t), ed.Scope("page_range", 7, 5, 40), "again")["jobs"]
-    return jobs.groupBy("status").agg(F.count("*").alias("n"))
+    return jobs.select("document_id", "page_number", "status", "batch_id")
 
 
 @register("job_reingest_scope", """
@@ -89,12 +102,15 @@ def job_reprocess_scope(t: Tables) -> DataFrame:
     fresh AS (SELECT document_id, page_number, k AS chunk_index FROM pg, (SELECT unnest([0, 1]) AS k)),
     added AS (SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM kept h WHERE h.is_human_edited
               AND h.document_id = f.document_id AND h.page_number = f.page_number AND h.chunk_index = f.chunk_index))
-    SELECT 'chunks' AS "table", (SELECT count(*) FROM kept) + (SELECT count(*) FROM added) AS n
-    UNION ALL SELECT 'artifacts', (SELECT count(*) FROM @b_artifacts a WHERE is_human_edited OR NOT EXISTS
-              (SELECT 1 FROM pg WHERE pg.document_id = a.document_id AND pg.page_number = a.page_number))
-              + (SELECT count(*) FROM pg)
-    UNION ALL SELECT 'page_scans', count(*) FROM @b_scans
-    UNION ALL SELECT 'anchored', count(*) FROM added WHERE chunk_index = 0""")
+    SELECT 'chunks' AS "table", CAST(chunk_id AS STRING) AS id, CAST(is_human_edited AS STRING) AS value FROM kept
+    UNION ALL SELECT 'chunks', CAST(-(document_id * 100000 + page_number * 10 + chunk_index) AS STRING), 'false' FROM added
+    UNION ALL SELECT 'artifacts', CAST(artifact_id AS STRING), NULL FROM @b_artifacts a WHERE is_human_edited OR NOT EXISTS
+              (SELECT 1 FROM pg WHERE pg.document_id = a.document_id AND pg.page_number = a.page_number)
+    UNION ALL SELECT 'artifacts', CAST(-(p.document_id * 100000 + p.page_number * 10) AS STRING),
+              CASE WHEN f.document_id IS NOT NULL THEN CAST(-(p.document_id * 100000 + p.page_number * 10) AS STRING) END
+              FROM pg p LEFT JOIN added f ON f.document_id = p.document_id AND f.page_number = p.page_number AND f.chunk_index = 0
+    UNION ALL SELECT 'page_scans', CAST(document_id AS STRING) || ':' || CAST(page_number AS STRING), CAST(width_px AS STRING)
+              FROM @b_scans""")
 def job_reingest_scope(t: Tables) -> DataFrame:
     """Every page of the exam documents comes in again with two chunks and one
     artifact."""
@@ -116,8 +132,12 @@ def job_reingest_scope(t: Tables) -> DataFrame:
         {"chunks": t["b_chunks"], "artifacts": t["b_artifacts"], "page_scans": t["b_scans"]},
         {"chunks": chunks, "artifacts": artifacts, "page_scans": pages},
     )
-    anchored = out["artifacts"].where("artifact_id < 0 and chunk_id is not null")
-    return _counts({**out, "anchored": anchored})
+    return _rows(out, {
+        "chunks": (_NAMED["chunks"][0], "CAST(is_human_edited AS STRING)"),
+        # New artifacts hang on the first new chunk of their page.
+        "artifacts": (_NAMED["artifacts"][0], "CASE WHEN artifact_id < 0 THEN CAST(chunk_id AS STRING) END"),
+        "page_scans": (_NAMED["page_scans"][0], "CAST(width_px AS STRING)"),
+    })
 
 
 @register("job_edit_chunk", """
@@ -202,19 +222,16 @@ def job_curriculum_crud(t: Tables) -> DataFrame:
     WITH g AS (SELECT c_custkey AS d FROM @customer WHERE c_mktsegment = 'BUILDING'),
     ch AS (SELECT * FROM @b_chunks WHERE document_id NOT IN (SELECT d FROM g)),
     ar AS (SELECT * FROM @b_artifacts WHERE document_id NOT IN (SELECT d FROM g))
-    SELECT 'chunks' AS "table", count(*) AS n FROM ch
-    UNION ALL SELECT 'artifacts', count(*) FROM ar
-    UNION ALL SELECT 'artifact_links', count(*) FROM ar WHERE chunk_id IN (SELECT chunk_id FROM ch)
-    UNION ALL SELECT 'solution_links', count(*) FROM ch WHERE linked_solution_chunk_id IN (SELECT chunk_id FROM ch)
-    UNION ALL SELECT 'toc', count(*) FROM @b_toc WHERE document_id NOT IN (SELECT d FROM g)""")
+    SELECT 'chunks' AS "table", chunk_id AS id,
+           CASE WHEN linked_solution_chunk_id IN (SELECT chunk_id FROM ch) THEN linked_solution_chunk_id END AS link FROM ch
+    UNION ALL SELECT 'artifacts', artifact_id, CASE WHEN chunk_id IN (SELECT chunk_id FROM ch) THEN chunk_id END FROM ar
+    UNION ALL SELECT 'toc', toc_id, NULL FROM @b_toc WHERE document_id NOT IN (SELECT d FROM g)""")
 def job_cascade_delete(t: Tables) -> DataFrame:
     gone = t["customer"].where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("document_id"))
     left = ed.cascade_delete({"chunks": t["b_chunks"], "artifacts": t["b_artifacts"], "toc": t["b_toc"]}, gone)
-    return _counts({
-        **left,
-        "artifact_links": left["artifacts"].where("chunk_id is not null"),
-        "solution_links": left["chunks"].where("linked_solution_chunk_id is not null"),
-    })
+    links = {"chunks": ("chunk_id", "linked_solution_chunk_id"), "artifacts": ("artifact_id", "chunk_id"),
+             "toc": ("toc_id", "CAST(NULL AS BIGINT)")}
+    return _rows(left, links).withColumnRenamed("value", "link")
 
 
 # ── ledger ─────────────────────────────────────────────────────────────────
