@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ SLICE = 1 << 21
 # Words whose count every worker holds; the counts of all others are joined in by a shuffle.
 NEAR = 1 << 16
 COUNTS = "word string, count long"
+# Different words that a task counts before it sends them.
+HELD = 1 << 18
 
 
 class Vocabulary:
@@ -51,8 +55,11 @@ class Vocabulary:
         self.path = path
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get, rare = self.table.get, self.rare - 16
-        return np.array([get(w) or rare + 16 * (len(w) if len(w) < 16 else 16) + w[-1] % 16 for w in words], dtype=np.int32)
+        """Ids of words in order; lengths and last bytes are read off all of them at once."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        last = np.frombuffer(b"".join(words), np.uint8)[np.cumsum(sizes) - 1]
+        found = np.fromiter(map(self.table.get, words, repeat(0)), np.int32, len(words))
+        return np.where(found > 0, found, self.rare + 16 * (np.minimum(sizes, 16) - 1) + last % 16).astype(np.int32)
 
 
 @dataclass
@@ -85,48 +92,55 @@ class Network:
         return cls(*out)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        """Squashed sums with a constant 1 at the end; ``around`` is (offset, position)."""
+        """Squashed sums with a constant 1 at the end, one column per position; ``around`` is (offset, position)."""
         total = self.inputs[0][around[0]]
         for table, ids in zip(self.inputs[1:], around[1:], strict=True):
             total = total + table[ids]
-        return np.hstack([np.tanh(total), np.ones((len(total), 1), np.float32)])
+        return np.vstack([np.tanh(total.T), np.ones((1, len(total)), np.float32)])
 
     def log_probs(self, around: np.ndarray, target: np.ndarray, grads: list[np.ndarray] | None = None) -> np.ndarray:
-        """log p(token | both sides) of every position; fills ``grads`` of their mean when given."""
+        """log p(token | both sides) of every position; fills ``grads`` of their mean when given.
+
+        Positions are put in the order of their classes once, so that a class is a slice.
+        """
+        order = np.argsort(target // MEMBERS, kind="stable")
+        around, target = around[:, order], target[order]
         h = self.hidden(around)
         group, member = target // MEMBERS, target % MEMBERS
         every, share = np.arange(len(target)), 1 / max(1, len(target))
-        p = _softmax(h @ self.outer.T)
-        out = np.log(p[every, group])
+        p = _softmax(self.outer @ h)
+        logs = np.log(p[group, every])
         if grads is not None:
-            p[every, group] -= 1
-            grads[1] += share * (p.T @ h)
-            back = share * (p @ self.outer)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
+            p[group, every] -= 1
+            grads[1] += share * (p @ h.T)
+            back = share * (self.outer.T @ p)
+        ends = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            own = order[ends[c]:ends[c + 1]]
-            if not len(own):
+            own = slice(ends[c], ends[c + 1])
+            if ends[c] == ends[c + 1]:
                 continue
-            q = _softmax(h[own] @ self.inner[c].T)
-            within = np.arange(len(own))
-            out[own] += np.log(q[within, member[own]])
+            q = _softmax(self.inner[c] @ h[:, own])
+            within = every[:ends[c + 1] - ends[c]]
+            logs[own] += np.log(q[member[own], within])
             if grads is not None:
-                q[within, member[own]] -= 1
-                grads[2][c] += share * (q.T @ h[own])
-                back[own] += share * (q @ self.inner[c])
+                q[member[own], within] -= 1
+                grads[2][c] += share * (q @ h[:, own].T)
+                back[:, own] += share * (self.inner[c].T @ q)
         if grads is not None:
-            back = back[:, :-1] * (1 - h[:, :-1] ** 2)
+            back = back[:-1] * (1 - h[:-1] ** 2)
             for table, ids in zip(grads[0], around, strict=True):
                 for d in range(WIDTH):
-                    table[:, d] += np.bincount(ids, weights=back[:, d], minlength=len(table))
+                    table[:, d] += np.bincount(ids, weights=back[d], minlength=len(table))
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
+    """Of each column."""
+    scores -= scores.max(axis=0)
     np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
+    scores /= scores.sum(axis=0)
     return np.maximum(scores, np.float32(1e-12), out=scores)
 
 
@@ -172,14 +186,39 @@ def kind_of(word: Column) -> Column:
 def build_vocabulary(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> Vocabulary:
     """Counts every word of the corpus in a table in the shared folder.
 
-    The driver sees the words that get a token of their own, the ``near`` next ones and the tokens per kind.
+    The driver sees the words that get a token of their own, at most ``near`` more, and sums per kind and frequency.
     """
-    words = F.explode(F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+")).alias("word")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def told() -> pa.RecordBatch:
+            words = [w.decode() for w in held]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "count"])
+
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                held.update((text or b"").split())
+                if len(held) >= HELD:
+                    yield told()
+                    held.clear()
+        yield told()
+
     path = scratch(docs.sparkSession, "words")
-    docs.select(words).where("word <> ''").groupBy("word").count().write.option("compression", "zstd").parquet(path)
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, COUNTS)
+    found.groupBy("word").agg(F.sum("count").alias("count")).write.option("compression", "zstd").parquet(path)
     counts = docs.sparkSession.read.schema(COUNTS).parquet(path)
     own = CLASSES * MEMBERS - RARE - 1
-    top = [(r["word"].encode(), r["count"]) for r in counts.orderBy(F.desc("count"), "word").limit(own + near).collect()]
+    # Words of about one frequency stand or fall together, so that the driver gets no more than it keeps.
+    steps = F.floor(F.log2("count") * 16)
+    least, held = None, 0
+    for r in sorted(counts.groupBy(steps.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        if held + r["count"] > own + near:
+            break
+        least, held = r["step"], held + r["count"]
+    chosen = counts.where(steps >= least) if held >= own or least is not None and held == counts.count() else counts.orderBy(
+        F.desc("count"), "word").limit(own)
+    top = sorted(((r["word"].encode(), r["count"]) for r in chosen.collect()), key=lambda x: (-x[1], x[0]))
     totals = np.zeros(RARE, dtype=np.int64)
     for r in counts.groupBy(kind_of(F.col("word")).alias("kind")).agg(F.sum("count").alias("n")).collect():
         totals[r["kind"]] = r["n"]
