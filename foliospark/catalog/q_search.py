@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark.catalog.tables import Tables, register
 from foliospark.functions.text import fold_pair, tokens
-from foliospark.operators.joins import hydrate
 from foliospark.operators.sets import index_rows
 from foliospark.operators.topk import top_k
 from foliospark.plans.search import (
-    CHANNEL_TOP, Index, Settings, build_index, channel_rank, fuse_ranks, hybrid_search, index_bm25, knn,
+    CHANNEL_TOP, Index, Settings, build_index, channel_rank, fuse_ranks, hybrid_search, hydrate_best, index_bm25, knn,
     rag_context, ranked_hits, scan_bm25,
 )
 from foliospark.plans.segments import SegmentedIndex
@@ -279,9 +278,9 @@ def sr_hybrid_rrf(t: Tables) -> DataFrame:
 @register("jn_hydrate_hits", _HYBRID)
 def jn_hydrate_hits(t: Tables) -> DataFrame:
     hits = ranked_hits(
-        _one(t["v_rows"]), QUERY, _one(t["v_vectors"]), query_vector(t), None, SETTINGS, COLUMNS
+        stored_index(t, "all", _one(t["v_rows"])), QUERY, _one(t["v_vectors"]), query_vector(t), None, SETTINGS, COLUMNS
     )
-    return hydrate(hits.drop("_rrf"), t["v_doc_chunks"], t["v_documents"])
+    return hydrate_best(hits.drop("_rrf"), t["v_doc_chunks"], t["v_documents"])
 
 
 @register("sr_bm25_only", f"""
@@ -291,7 +290,7 @@ def jn_hydrate_hits(t: Tables) -> DataFrame:
     SELECT chunk_id, CAST(bm25_rank AS INT) AS bm25_rank, round(1.0 / (60 + bm25_rank), 5) AS rrf_score
     FROM br ORDER BY 1.0 / (60 + br.bm25_rank) DESC LIMIT 5""")
 def sr_bm25_only(t: Tables) -> DataFrame:
-    hits = ranked_hits(_one(t["v_rows"]), QUERY, settings=SETTINGS, columns=COLUMNS)
+    hits = ranked_hits(stored_index(t, "all", _one(t["v_rows"])), QUERY, settings=SETTINGS, columns=COLUMNS)
     return hits.select("chunk_id", "bm25_rank", "rrf_score")
 
 

@@ -364,10 +364,14 @@ def hybrid_search(
     """
     hits = ranked_hits(source, query, vectors, query_vector, chunk_filter, settings, columns)
     merged = top_k(hits, settings.top_k, [F.desc("rrf_score"), F.asc("corpus"), F.desc("_rrf"), F.desc("chunk_id")])
-    merged = merged.drop("_rrf")
-    best = merged.collect()
+    return hydrate_best(merged.drop("_rrf"), chunks, documents, settings.max_chars)
+
+
+def hydrate_best(hits: DataFrame, chunks: DataFrame, documents: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """The few rows of a top-k list with their chunks and documents; their ids are literals that reach the scan of the chunks."""
+    best = hits.collect()
     found = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in best]))
-    return hydrate(chunks.sparkSession.createDataFrame(best, merged.schema), found, documents, settings.max_chars)
+    return hydrate(chunks.sparkSession.createDataFrame(best, hits.schema), found, documents, max_chars)
 
 
 def rag_context(hits: DataFrame) -> DataFrame:
