@@ -10,7 +10,8 @@ from foliospark.llm.common import scratch, text_or_empty
 from foliospark.llm.extendible import Directory, build_directory
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BUCKET_TEXTS = 1_000_000
+# Distinct texts of a bucket, and buckets, at most; with more texts buckets grow.
+BUCKET_TEXTS, BUCKETS = 128, 1 << 14
 
 
 def normalised(text: Column) -> Column:
@@ -24,26 +25,28 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "id", "norm", F.shiftrightunsigned(F.xxhash64("norm"), 4).alias("key"), F.sha2("norm", 256).alias("digest"))
 
 
-def build_index(rows: DataFrame, path: str, bucket_texts: int = BUCKET_TEXTS) -> Directory:
-    """Write one entry per distinct text to ``path``, in folders by bucket.
+def build_index(rows: DataFrame, path: str, bucket_texts: int = BUCKET_TEXTS, most_buckets: int = BUCKETS) -> Directory:
+    """Write one entry per distinct text to ``path``, bucket by bucket.
 
-    The directory is sized by distinct keys, so copies do not split buckets.
-    Copies combine before the shuffle.  The owner task of a key range compares
-    whole texts; texts that share a key chain up as 0, 1, ...
+    The directory is sized by distinct keys, so copies do not split buckets: a bucket holds at most ``bucket_texts``
+    of them, or a ``most_buckets``-th of all where that is more, which bounds the directory.  Copies combine before
+    their shuffle, where whole texts are compared.  Each bucket then goes to one owner task, which
+    writes the entries of its key range in order; texts that share a key chain up as 0, 1, ...
     """
     keys = rows.groupBy("key").agg(F.lit(1).cast("long").alias("weight"))
-    directory = build_directory(keys, bucket_texts)
+    directory = build_directory(keys, lambda total: max(bucket_texts, -(-total // most_buckets)))
     owned = rows.withColumn("bucket", directory.bucket(F.col("key")))
     entries = owned.groupBy("bucket", "key", "norm", "digest").agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).drop("norm")
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("digest")) - 1
-    entries.withColumn("chain", chain).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    entries.repartition("bucket").withColumn("chain", chain).sortWithinPartitions("bucket", "key", "chain").write.option(
+        "compression", "zstd").parquet(path)
     return directory
 
 
 def read_index(spark: SparkSession, path: str, id_type: str) -> DataFrame:
     return spark.read.schema(
-        f"key long, digest string, keep_id {id_type}, group_size long, chain int, bucket string").parquet(path)
+        f"bucket string, key long, digest string, keep_id {id_type}, group_size long, chain int").parquet(path)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -55,17 +58,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``keep_id`` is null.  Rows that repeat the kept id are all kept: an id names
     one document.  An empty table gives no rows; other columns are not read.
 
-    Only groups of two or more are joined back, from the index files, so both
-    sides are plain shuffles and adaptive execution can split a hot text.
+    A row is looked up in the bucket that owns its key, along the chain of that key.  Only groups of two or more are
+    joined back, from the index files, so both sides are plain shuffles and adaptive execution can split a hot text.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     path = scratch(spark, "exact-index")
-    build_index(rows, path, bucket_texts)
+    directory = build_index(rows, path, bucket_texts)
     copies = read_index(spark, path, rows.schema["id"].dataType.simpleString()).where("group_size > 1").select(
-        F.col("key").alias("k"), F.col("digest").alias("d"), "keep_id", "group_size")
-    joined = rows.select("id", "key", "digest").join(copies, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")), "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+        F.col("bucket").alias("b"), F.col("key").alias("k"), F.col("digest").alias("d"), "chain", "keep_id", "group_size")
+    asked = rows.select("id", "key", "digest", directory.bucket(F.col("key")).alias("bucket"))
+    in_chain = (F.col("bucket") == F.col("b")) & (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d"))
+    joined = asked.join(copies, in_chain, "left")
+    keep = F.when(F.col("chain").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))

@@ -10,6 +10,7 @@ summed by Spark per prefix, so the driver sees a few numbers per bucket
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -79,8 +80,8 @@ class Directory:
         return self._lookup(key, {b: str(x.rows) for b, x in self.leaves.items()}).cast("long")
 
 
-def build_directory(keys: DataFrame, limit: int, key: str = "key", weight: str = "weight") -> Directory:
-    """Directory over ``keys`` whose buckets weigh at most ``limit`` each.
+def build_directory(keys: DataFrame, limit: int | Callable[[int], int], key: str = "key", weight: str = "weight") -> Directory:
+    """Directory over ``keys`` whose buckets weigh at most ``limit`` each, or what that makes of the weight of all.
 
     One pass sums weights for a few bits more than an even split needs; each
     further round doubles the directory for the buckets still overfull.  A
@@ -90,6 +91,7 @@ def build_directory(keys: DataFrame, limit: int, key: str = "key", weight: str =
     sums = (F.sum(weight).cast("long").alias("w"), F.count(F.lit(1)).alias("n"),
             F.min(key).alias("low"), F.max(key).alias("high"))
     whole = keys.agg(*sums).first()
+    limit = limit(whole["w"] or 0) if callable(limit) else limit
     out, depth = Directory(limit), 0
     pending = {"": Bucket(whole["w"], whole["n"], whole["low"], whole["high"]) if whole["n"] else EMPTY}
     while pending:
