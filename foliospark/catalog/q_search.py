@@ -15,6 +15,7 @@ from foliospark.plans.search import (
     rag_context, ranked_hits, scan_bm25,
 )
 from foliospark.plans.segments import SegmentedIndex
+from foliospark.plans.vectors import knn_many
 from foliospark.session import shared_dir
 
 QUERY = "esat estion ndat"
@@ -205,6 +206,18 @@ def sr_vector_cosine(t: Tables) -> DataFrame:
     return near.select("chunk_id", F.round("score", 4).alias("score"))
 
 
+@register("sr_vector_many", """
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM @embeddings),
+    d AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_distance(v.e, q.e) AS score FROM v q, v WHERE q.vec_id % 25 = 0)
+    SELECT query_id, chunk_id, round(score, 6) AS score FROM d
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d.score, chunk_id) <= 20""")
+def sr_vector_many(t: Tables) -> DataFrame:
+    """One vector in 25 asks, all of them in one plan."""
+    vectors = t["embeddings"].select(F.col("vec_id").alias("chunk_id"), "embedding")
+    questions = vectors.where("chunk_id % 25 = 0").withColumnRenamed("chunk_id", "query_id")
+    return knn_many(vectors, questions).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @register("sr_threshold", f"""
     WITH {sql_bm25()}
     SELECT corpus, count(*) AS eligible FROM scored WHERE score <= -0.3 GROUP BY corpus""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.operators.sets import index_rows
 from foliospark.plans import search as se
 from foliospark.plans.segments import SegmentedIndex
+from foliospark.plans.vectors import knn_many
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +164,22 @@ def test_vectors_without_distance_take_no_place(spark):
         got = se.knn(v, [2.0, 0.0], top=5, metric="cosine", partition=partition).collect()
         assert sorted(r.chunk_id for r in got) == [100, 101, 102]
     assert 200 not in {r.chunk_id for r in se.knn(v, [2.0, 0.0], top=40).collect()}
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_many_questions_equal_one_by_one(spark, metric):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)] + [(200 + i, [1.0] * 6) for i in range(30)]
+    rows += [(300, [0.0] * 6), (301, None), (302, [float("nan")] * 6), (303, [1.0, 2.0]), (304, [float("inf")] * 6)]
+    vectors = spark.createDataFrame(rows, "chunk_id int, embedding array<float>")
+    asked = {"a": rows[3][1], "ties": [1.0] * 6, "short": [1.0, 2.0], "zero": [0.0] * 6, "long": [1.0] * 9}
+    questions = spark.createDataFrame([*asked.items(), ("none", None)], "query_id string, embedding array<double>")
+    for blocks in ((16_384, 2_048), (40, 2)):
+        got: dict = {}
+        for r in knn_many(vectors, questions, 20, metric, *blocks).collect():
+            got.setdefault(r.query_id, {})[r.chunk_id] = r.score
+        for name, vector in asked.items():
+            want = {r.chunk_id: r.score for r in se.knn(vectors, vector, 20, metric).collect()}
+            assert got.get(name, {}) == pytest.approx(want), name
+        assert "none" not in got
+    assert knn_many(vectors, questions.limit(0)).count() == 0
