@@ -132,7 +132,8 @@ def fit(labels: np.ndarray, x: np.ndarray) -> Model:
     """Train all machines; scales ``x`` in place."""
     names = sorted(set(labels))
     groups = families({n: x[labels == n].mean(axis=0) for n in names})
-    scale = x.std(axis=0) + np.float32(1e-4)
+    # By columns, so that no copy of the whole table is made.
+    scale = np.concatenate([x[:, at:at + 256].std(axis=0) for at in range(0, x.shape[1], 256)]) + np.float32(1e-4)
     x /= scale
     scaled = x
     columns = []
@@ -179,18 +180,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 pairs += [(n, t) for n, t in middles if has_letter(t)]
                 if pairs:
                     found = frequencies([t for _, t in pairs])
+                    full = [np.flatnonzero(r) for r in found]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([n for n, _ in pairs]), pa.array([r.tobytes() for r in found], pa.binary())], ["lang", "x"])
+                        [pa.array([n for n, _ in pairs]), pa.array([f.astype(np.uint16).tobytes() for f in full], pa.binary()),
+                         pa.array([r[f].tobytes() for r, f in zip(found, full)], pa.binary())], ["lang", "slots", "x"])
 
-    drawn = rows.where(taken).select("lang", "text").mapInArrow(features, "lang string, x binary")
+    drawn = rows.where(taken).select("lang", "text").mapInArrow(features, "lang string, slots binary, x binary")
     found = drawn.limit(4 * sample).toArrow()
     if not found.num_rows:
         return None
     labels = np.array(found.column("lang").to_pylist())
-    x = np.empty((len(labels), FEATURES), dtype=np.float32)
-    for row, value in enumerate(found.column("x")):
-        x[row] = np.frombuffer(value.as_buffer(), dtype=np.float32)
-    del found
+    x = np.zeros((len(labels), FEATURES), dtype=np.float32)
+    for row, (slots, value) in enumerate(zip(found.column("slots"), found.column("x"), strict=True)):
+        x[row, np.frombuffer(slots.as_buffer(), dtype=np.uint16)] = np.frombuffer(value.as_buffer(), dtype=np.float32)
+    del found, slots, value
+    pa.default_memory_pool().release_unused()
     return fit(labels, x)
 
 
