@@ -21,7 +21,7 @@ BITS = 64 * WORDS
 # Share of the pairs at the similarity that bands and radius are laid out to reach, each.
 AIM = 0.97
 # Points a shard holds by chance, and points of one tree.
-SHARD, TREE = 512, 4096
+SHARD, TREE = 256, 4096
 # Shingles whose bits are summed at once; below 256, so that bytes can count them.
 ROWS = 255
 
@@ -150,8 +150,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     Ids name rows; give rows without a name of their own a number first.  Similarity is that of the sets of ``width``-word
     shingles (fewer words: one shingle; none: no links).  Candidates share a band of bits of a 256-bit SimHash
     and lie within a radius of it, so a pair at the similarity itself is found with a chance of over 0.9, nearer pairs more
-    surely.  Each point's nearest candidate is confirmed first; of the others only those that would
-    still join two components.  Equal fingerprints are taken for equal sets.  An empty table gives no rows; other columns are not read.
+    surely; each candidate is then confirmed by the sets themselves.  Equal fingerprints are taken for equal sets.  An empty table gives no rows; other columns are not read.
     """
     rows = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"CAST(`{text_col}` AS STRING) AS text").where("id IS NOT NULL")
 
@@ -164,18 +163,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     named = checkpointed(rows.mapInArrow(prints, "id long, fp binary"))
     points = checkpointed(named.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     edges = checkpointed(candidates(points.select("fp", "rep"), similarity, tree))
-    ends = edges.select("a", "b", "apart").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
-    nearest = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    nearest = checkpointed(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sure = checkpointed(confirmed(nearest, rows, width, similarity))
-    label = checkpointed(connected_components(sure))
-    at = lambda end: label.select(F.col("node").alias(f"n_{end}"), F.col("component").alias(f"c_{end}"))
-    tried = nearest.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    open_ = edges.join(tried, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    open_ = open_.join(at("a"), F.col("a") == F.col("n_a"), "left").join(at("b"), F.col("b") == F.col("n_b"), "left").where(
-        F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    late = confirmed(checkpointed(open_), rows, width, similarity)
-    label = connected_components(checkpointed(sure.unionByName(late)))
+    label = connected_components(confirmed(edges.select("a", "b"), rows, width, similarity))
     classes = points.join(label, F.col("rep") == F.col("node"), "left").where("n > 1 OR component IS NOT NULL").select(
         F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component"))
     return named.join(checkpointed(classes), F.col("fp") == F.col("f"), "left").select(
