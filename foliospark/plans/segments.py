@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliospark.plans.search import INDEXED, Index, build_index
+from foliospark.session import staged
 from foliospark.sources.snapshots import Part, Snapshot, Snapshots
 
 ROW = ["corpus", "row_id"]
@@ -35,20 +36,30 @@ class SegmentedIndex:
         number = F.lit(base.version + 1).cast("long").alias("segment")
         made = build_index(rows, self.columns, self.keep, self.arabic_fold)
         add = {
-            "postings": self.log.stage("postings", _sorted(made.postings.select("*", number)), BY),
+            "postings": self.log.stage("postings", _sorted(staged(made.postings, "postings").select("*", number)), BY),
             "lengths": self.log.stage("lengths", made.lengths.select("*", number), BY),
         }
         names = rows.select(*ROW) if gone is None else rows.select(*ROW).union(gone.select(*ROW))
-        put = made.lengths.select("corpus", F.lit(1).cast("long").alias("n"), F.col("dl").cast("long").alias("dl"))
+        # Read back, so that texts are not cut again for the statistics.
+        own = self._back(made.lengths.select("*", number), add["lengths"][1])
+        put = own.select("corpus", F.lit(1).cast("long").alias("n"), F.col("dl").cast("long").alias("dl"))
         if base.parts.get("lengths"):
             hidden = self._live("lengths", base).join(names.distinct(), ROW, "left_semi").select(*ROW, "dl", number)
             add["gone"] = self.log.stage("gone", hidden)
             # Read back, so that tombstones and statistics are of the same rows.
-            dead = self.log.spark.read.schema(hidden.schema).parquet(*[f"{self.log.root}/{p.path}" for p in add["gone"][1]])
+            dead = self._back(hidden, add["gone"][1])
             put = put.union(dead.select("corpus", F.lit(-1).cast("long"), -F.col("dl").cast("long")))
         add["stats"] = self.log.stage("stats", put.groupBy("corpus").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).coalesce(1))
         return self.log.commit(base, add)
 
+    def _back(self, made: DataFrame, parts: list[Part]) -> DataFrame:
+        """Rows just staged, read from their files."""
+        if not parts:
+            return self.log.spark.createDataFrame([], made.schema)
+        base = parts[0].path.split("/", 2)
+        rows = self.log.spark.read.schema(made.schema).option("basePath", f"{self.log.root}/{'/'.join(base[:2])}")
+        return rows.parquet(*[f"{self.log.root}/{p.path}" for p in parts]).select(*made.columns)
+
     def _live(self, table: str, base: Snapshot, parts: list[Part] | None = None) -> DataFrame:
         rows = self.log.read(table, base, parts)
         if not base.parts.get("gone"):

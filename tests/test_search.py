@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,35 @@ def test_bm25_formula_and_index_agree(spark):
     assert scan == pytest.approx(want) and stored == pytest.approx(want)
 
 
+def test_words_of_a_batch_are_counted_in_slices(monkeypatch):
+    """A batch of many words reaches the counting in bounded runs; rows longer than a run and empty ones stay whole."""
+    monkeypatch.setattr(se, "SLICE", 5)
+    rows = [["a", "b", "a"], [], ["c"] * 7, ["a", "", "b"], ["d"], [], ["e", "f"]]
+    batch = pa.record_batch({"row_id": pa.array(range(20, 28)), "w": pa.array([["x"], *rows])}).slice(1)
+    parts = list(se._slices(batch))
+    assert [p.num_rows for p in parts] == [2, 1, 3, 1] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    found = [r for p in se._count_terms(iter([batch])) for r in p.to_pylist()]
+    want = {(21 + n, w): [i for i, x in enumerate(row) if x == w] for n, row in enumerate(rows) for w in row if w}
+    assert {(r["row_id"], r["term"]): r["positions"] for r in found} == want and len(found) == len(want)
+    assert all(r["tf"] == len(r["positions"]) and r["dl"] == sum(x != "" for x in rows[r["row_id"] - 21]) for r in found)
+
+
+def test_texts_are_cut_once_for_postings_and_once_for_lengths(spark, tmp_path):
+    cut = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            cut.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("c", i, i, f"t{i}") for i in range(8)], "corpus string, row_id int, chunk_id int, t string")
+    se.build_index(rows.mapInArrow(seen, rows.schema), ["t"]).write(str(tmp_path / "once"))
+    assert cut.value == 16
+    index = SegmentedIndex(spark, str(tmp_path / "segments"), ["t"])
+    index.edit(rows.mapInArrow(seen, rows.schema))
+    assert cut.value == 16 + 16
+
+
 def test_both_paths_score_phrases_alike(spark, tmp_path):
     texts = [("l'exercice un", "fractions"), ("l exercice l exercice", ""), ("exercice l", None), ("l", "exercice"), ("x", "fractions l'exercice"), (None, "y"), ("z z z", "z z")]
     rows = spark.createDataFrame([("c", i, i, a, b) for i, (a, b) in enumerate(texts)], "corpus string, row_id int, chunk_id int, a string, b string")
