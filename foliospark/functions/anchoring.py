@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from foliospark.functions.text import once
+
 MARKER = r"(?m)^[ \t]*\[\[FIGURE:(\d+)\]\][ \t]*$"
 BREAK = r"\n\n+"
 
@@ -18,18 +20,19 @@ def image(anchor: Column) -> Column:
 def break_offsets(text: Column) -> Column:
     """Start offset of every paragraph break."""
     parts, gaps = F.split(text, BREAK), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))
+    # Both lists are arguments, made once; the last part has no gap behind it.
+    sizes = F.zip_with(parts, gaps, lambda p, g: F.struct(
+        F.length(p).alias("part"), F.coalesce(F.length(g), F.lit(0)).alias("gap"), g.isNotNull().alias("broken")))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
+    def step(acc: Column, own: Column) -> Column:
+        end = acc["at"] + own["part"]
         return F.struct(
-            F.array_append(acc["out"], end).alias("out"),
-            (end + F.coalesce(F.length(F.get(gaps, acc["k"])), F.lit(0))).alias("at"),
-            (acc["k"] + 1).alias("k"),
+            F.when(own["broken"], F.array_append(acc["out"], end)).otherwise(acc["out"]).alias("out"),
+            (end + own["gap"]).alias("at"),
         )
 
-    start = F.struct(F.from_json(F.lit("[]"), "array<int>").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("k"))
-    ends = F.aggregate(parts, start, step, lambda a: a["out"])
-    return F.slice(ends, 1, F.size(gaps))
+    start = F.struct(F.from_json(F.lit("[]"), "array<int>").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(sizes, start, step, lambda a: a["out"])
 
 
 def _nearest(offsets: Column, target: Column) -> Column:
@@ -101,22 +104,21 @@ def anchor_safe(text: Column, anchor: Column, page_height: Column) -> Column:
     """Idempotent anchoring that never cuts a math block: the break nearest to
     the target, else the safe break nearest to that one, else the end."""
     body = F.coalesce(text, F.lit(""))
-    offsets = break_offsets(body)
-    placeable = (F.coalesce(page_height, F.lit(0)) > 0) & anchor["y0"].isNotNull() & (F.size(offsets) > 0)
+    marker = F.concat(F.lit("asset://artifacts/"), anchor["id"].cast("string"))
     ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), anchor["y0"] / page_height))
-    preferred = _nearest(offsets, ratio * F.greatest(F.lit(1), F.length(body)))["o"]
 
-    def choose(o: Column) -> Column:
+    def choose(o: Column, offsets: Column) -> Column:
         safe = F.filter(offsets, lambda b: ~inside_math(body, b))
         return F.when(~inside_math(body, o), o).otherwise(_nearest(safe, o)["o"])
 
-    at = F.when(placeable, F.get(F.transform(F.array(preferred), choose), F.lit(0)))
+    def target(offsets: Column) -> Column:
+        placeable = (F.coalesce(page_height, F.lit(0)) > 0) & anchor["y0"].isNotNull() & (F.size(offsets) > 0)
+        preferred = _nearest(offsets, ratio * F.greatest(F.lit(1), F.length(body)))["o"]
+        return F.when(placeable, once(preferred, lambda o: choose(o, offsets)))
+
     inserted = lambda o: F.concat(
         F.substr(body, F.lit(1), o), F.lit("\n\n"), image(anchor), F.substr(body, o + 1, F.length(body))
     )
     appended = F.when(body == "", image(anchor)).otherwise(F.concat(body, F.lit("\n\n"), image(anchor)))
-    marker = F.concat(F.lit("asset://artifacts/"), anchor["id"].cast("string"))
-    placed = F.get(
-        F.transform(F.array(at), lambda o: F.when(o.isNull(), appended).otherwise(inserted(o))), F.lit(0)
-    )
+    placed = once(once(break_offsets(body), target), lambda o: F.when(o.isNull(), appended).otherwise(inserted(o)))
     return F.when(F.contains(body, marker), text).otherwise(placed)

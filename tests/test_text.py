@@ -298,3 +298,11 @@ def test_math_of_odd_texts(spark):
     assert got == [
         (None, None), ("", []), ("plain", []), ("$", []), (f"a {one(0)} c $d", [("inline", "b")]),
         (f"\n\n{one(0)}\n\n --- $$y", [("display", "x")]), (f"{one(0)} | $b|c$ $\n$", [("inline", "a")])]
+
+
+def test_anchors_cut_texts_once(spark):
+    anchor = F.struct(F.lit("i").alias("id"), F.lit("c").alias("caption"), F.lit(5.0).alias("y0"), F.lit(0.0).alias("x0"))
+    df = spark.createDataFrame([("a\n\nb",)], "x string").select(anchoring.anchor_safe(F.col("x"), anchor, F.lit(10)).alias("y"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    offsets = lambda t: spark.createDataFrame([(t,)], "x string").select(anchoring.break_offsets(F.col("x"))).first()[0]
+    assert [offsets(t) for t in ("", "a", "\n\n", "ab\n\nc\n\n\nd", "a\n\n", None)] == [[], [], [0], [2, 5], [1], None]
