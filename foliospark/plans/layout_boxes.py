@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -40,8 +42,10 @@ def _pairs(boxes: DataFrame) -> DataFrame:
     cell = _long_side() / CELLS
     steps = lambda low, high: F.sequence(
         F.floor((F.col(low) - gap) / cell), F.floor((F.col(high) + gap) / cell))
-    placed = boxes.withColumn("cx", F.explode(steps("x0", "x1"))).withColumn("cy", F.explode(steps("y0", "y1")))
     keys = [*PAGE, "cx", "cy"]
+    # A box alone on its page meets none.
+    crowded = boxes.groupBy(*PAGE).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    placed = boxes.join(crowded, list(PAGE), "left_semi").withColumn("cx", F.explode(steps("x0", "x1"))).withColumn("cy", F.explode(steps("y0", "y1")))
     left = placed.select(*keys, F.col("no").alias("a"), *[F.col(s).alias(f"a{s}") for s in SIDES])
     right = placed.select(*keys, F.col("no").alias("b"), *[F.col(s).alias(f"b{s}") for s in SIDES])
     met = left.join(right, keys).where("a < b")
@@ -89,16 +93,21 @@ def merge_boxes(boxes: DataFrame, max_regions: int | None = None) -> DataFrame:
     """
     state = boxes.where(fits()).groupBy(*PAGE, *SIDES).agg(
         F.min("box_no").cast("long").alias("no"), F.min("is_text").alias("is_text"))
-    state = checkpointed(state)
+    state, settled = checkpointed(state), []
     while True:
-        moves = checkpointed(_steps(_pairs(state)))
+        # The steps read the pairs three times.
+        moves = checkpointed(_steps(checkpointed(_pairs(state))))
         if moves.isEmpty():
             break
-        joined = state.join(moves, ["document_id", "page_number", "no"], "left")
+        # A page without a merge in this round has none in later ones, so only the others go on.
+        busy = moves.select("document_id", "page_number").distinct()
+        settled.append(state.join(busy, ["document_id", "page_number"], "left_anti"))
+        joined = state.join(busy, ["document_id", "page_number"], "left_semi").join(
+            moves, ["document_id", "page_number", "no"], "left")
         state = checkpointed(joined.groupBy(*PAGE, F.coalesce("target", "no").alias("no")).agg(
             *[F.min(s).alias(s) for s in SIDES[:2]], *[F.max(s).alias(s) for s in SIDES[2:]], F.min("is_text").alias("is_text")))
     page = Window.partitionBy("document_id", "page_number")
-    regions = state.where(fits())
+    regions = reduce(DataFrame.unionByName, settled, state).where(fits())
     if max_regions is not None:
         regions = regions.withColumn("_r", F.row_number().over(page.orderBy("is_text", "y0", "x0", "no"))).where(
             F.col("_r") <= max_regions)

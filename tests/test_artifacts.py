@@ -170,3 +170,23 @@ def test_explode_elements(spark):
     got = aj.explode_elements(frames, el, max_elements=12).collect()
     assert [tuple(g.bbox) for g in got] == [(200.0, 250.0, 600.0, 1050.0)] * 2
     assert {g.artifact_type for g in got} == {"dense_illustration"}
+
+
+def test_boxes_of_settled_pages_take_no_further_part(spark, monkeypatch):
+    """Page 1 needs several rounds, page 2 has nothing to merge, and page 3 has a single box."""
+    side = lambda n: (100.0 + 300 * n, 100.0, 450.0 + 300 * n, 500.0)
+    rows = [(1, 1, n, *side(n)) for n in range(5)] + [(1, 2, 0, 100.0, 100.0, 500.0, 500.0), (1, 2, 1, 1500.0, 2000.0, 1900.0, 2400.0)]
+    rows += [(1, 3, 0, 100.0, 100.0, 500.0, 500.0), (None, 4, 0, 100.0, 100.0, 500.0, 500.0)]
+    boxes = spark.createDataFrame(rows, "document_id int, page_number int, box_no int, x0 double, y0 double, x1 double, y1 double").selectExpr(
+        "*", "false AS is_text", "2480 AS width_px", "3508 AS height_px")
+    rounds, pairs = [], layout_boxes._pairs
+
+    def seen(state):
+        rounds.append({r.page_number for r in state.select("page_number").distinct().collect()})
+        return pairs(state)
+
+    monkeypatch.setattr(layout_boxes, "_pairs", seen)
+    found = {(r.document_id, r.page_number): r.n for r in layout_boxes.merge_boxes(boxes).groupBy("document_id", "page_number").agg(
+        F.count("*").alias("n")).collect()}
+    assert found == {(1, 1): 1, (1, 2): 2, (1, 3): 1, (None, 4): 1}
+    assert len(rounds) > 2 and rounds[0] == {1, 2, 3, 4} and all(r == {1} for r in rounds[1:])
