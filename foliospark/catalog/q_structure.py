@@ -11,6 +11,7 @@ from foliospark.operators.scans import (
     moving_average, rate_limit, row_number_by, running_count, window_count_before,
 )
 from foliospark.plans import curriculum as cur, toc as tc
+from foliospark.session import staged, tasks_for
 
 _RANGE = "p.document_id = r.document_id AND p.page_number BETWEEN r.page_start AND coalesce(r.page_end, 1000000000)"
 
@@ -321,7 +322,8 @@ def jn_page_course_legacy(t: Tables) -> DataFrame:
            AS INT) AS page_end
     FROM @b_toc t LEFT JOIN n USING (toc_id) LEFT JOIN @b_documents d ON d.document_id = t.document_id""")
 def win_toc_page_end(t: Tables) -> DataFrame:
-    return tc.toc_page_ends(t["b_toc"].drop("page_end"), t["b_documents"]).select("toc_id", "page_end")
+    entries = staged(t["b_toc"].drop("page_end"), "entries")
+    return tc.toc_page_ends(entries, t["b_documents"], tasks_for(t.spark, entries.count())).select("toc_id", "page_end")
 
 
 @register("win_toc_page_end_native", """

@@ -63,11 +63,13 @@ def row_number_by(df: DataFrame, keys: list[str], order: list[Column], block: Co
 
 def running_last(
     df: DataFrame, keys: list[str], order: list[str], block: Column, values: dict[str, Column],
-    inclusive: bool = True, descending: bool = False,
+    inclusive: bool = True, descending: bool = False, tasks: int | None = None,
 ) -> DataFrame:
     """For each named value, its last non-null one up to each row (or strictly
-    before it).  ``block`` never decreases along the scan."""
+    before it).  ``block`` never decreases along the scan; blocks are dealt out to ``tasks`` tasks when given."""
     cut = df.withColumn(BLOCK, block)
+    if tasks is not None:
+        cut = cut.repartition(tasks, *keys, BLOCK)
     held = {name: f"_v{i}" for i, name in enumerate(values)}
     for name, value in values.items():
         cut = cut.withColumn(held[name], value)

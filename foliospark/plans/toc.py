@@ -102,7 +102,7 @@ def toc_parents(entries: DataFrame) -> DataFrame:
     return known.withColumn("parent_id", F.when(F.col("level") == 2, F.col("_l1"))).drop("_l1")
 
 
-def _next_starts(entries: DataFrame) -> DataFrame:
+def _next_starts(entries: DataFrame, tasks: int | None = None) -> DataFrame:
     """For each start page of a document, the next later page that starts an
     entry of at most each level.
 
@@ -112,7 +112,7 @@ def _next_starts(entries: DataFrame) -> DataFrame:
     return running_last(
         pages, ["document_id"], ["page"], -F.floor(F.col("page") / 256),
         {f"n{level}": F.when(F.col("lv") <= level, F.col("page")) for level in LEVELS},
-        inclusive=False, descending=True,
+        inclusive=False, descending=True, tasks=tasks,
     )
 
 
@@ -123,15 +123,18 @@ def _by_level(prefix: str):
     return out
 
 
-def toc_page_ends(entries: DataFrame, documents: DataFrame) -> DataFrame:
+def toc_page_ends(entries: DataFrame, documents: DataFrame, tasks: int | None = None) -> DataFrame:
     """End page of entries sorted by page: one before the next entry of the
     same or a higher level that starts later, else the end of the document;
-    never before the start nor past the document."""
+    never before the start nor past the document.  ``tasks`` deals the rows out to that many tasks at each step."""
     totals = documents.select("document_id", "total_pages")
-    starts = _next_starts(entries).select(
+    dealt = lambda df, *keys: df if tasks is None else df.repartition(tasks, *keys)
+    starts = _next_starts(entries, tasks).select(
         "document_id", F.col("page").alias("page_start"), *[f"n{level}" for level in LEVELS]
     )
-    joined = entries.join(starts, ["document_id", "page_start"]).join(totals, "document_id", "left")
+    page = ["document_id", "page_start"]
+    placed = dealt(entries, *page).join(dealt(starts, *page), page)
+    joined = dealt(placed, "document_id").join(totals, "document_id", "left")
     total = F.coalesce("total_pages", "page_start")
     end = F.coalesce(_by_level("n") - 1, total)
     return joined.select(

@@ -230,3 +230,23 @@ def test_toc_fold_equals_one_pass_memory(spark):
                     want.append((doc, page, level, title))
                     break
     assert got == sorted(want)
+
+
+def test_contents_rows_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    """More rows than the session's shuffle tasks should hold get more tasks, with the same page ends."""
+    from foliospark import session
+    from foliospark.catalog.tables import Tables
+
+    lines = [(n % 40, n % 7, 1 + n % 5) for n in range(400)] + [(None, 1, 1), (3, None, 2)]
+    spark.createDataFrame(lines, "l_partkey long, l_quantity int, l_linenumber int").selectExpr(
+        "l_partkey", "CAST(l_quantity AS DOUBLE) AS l_quantity", "l_linenumber", "'A' AS l_returnflag", "'F' AS l_linestatus",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    documents = spark.createDataFrame([(n, 5) for n in range(0, 40, 2)], "document_id long, total_pages int")
+    rows = lambda: Tables(spark, str(tmp_path))["b_toc"].drop("page_end")
+    ends = lambda tasks: sorted(tc.toc_page_ends(rows(), documents, tasks).collect(), key=str)
+    before = ends(None)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.tasks_for(spark, 5) == least
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    assert session.tasks_for(spark, 401) == max(least, 41) and rows().rdd.getNumPartitions() == max(least, 41)
+    assert ends(41) == before and tc.toc_page_ends(rows(), documents, 41).rdd.getNumPartitions() == 41
