@@ -297,7 +297,7 @@ def test_math_of_odd_texts(spark):
     one = lambda n: latex.PLACEHOLDER.format(n)
     assert got == [
         (None, None), ("", []), ("plain", []), ("$", []), (f"a {one(0)} c $d", [("inline", "b")]),
-        (f"\n\n{one(0)}\n\n --- $$y", [("display", "x")]), (f"{one(0)} | $b|c$ $\n$", [("inline", "a")])]
+        (f"\n\n{one(0)}\n\n --- $$y", [("display", "x")]), (f"{one(0)} | $b|c{one(1)}\n$", [("inline", "a"), ("inline", "")])]
 
 
 def test_anchors_cut_texts_once(spark):
