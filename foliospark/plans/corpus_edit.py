@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliospark import session
 from foliospark.functions.lint import lint_chunk
 from foliospark.operators.sets import unprotected
 from foliospark.plans.curriculum import key_id
@@ -228,18 +229,31 @@ def reembed(vectors: DataFrame, edited: DataFrame, patches: DataFrame, encoder)
 
 def cascade_delete(tables: dict[str, DataFrame], documents: DataFrame) -> dict[str, DataFrame]:
     """Drop documents with their dependents; links that point at a dropped
-    chunk or entry become null."""
+    chunk or entry become null.  Links and their targets meet in tasks of
+    about ``session.TASK_ROWS`` rows where there are more than that."""
     gone = documents.select("document_id").distinct()
     out = {
         name: df.join(gone, "document_id", "left_anti") if "document_id" in df.columns else df
         for name, df in tables.items()
     }
 
+    held: dict[str, int] = {}
+
+    def size(name: str) -> int:
+        if name not in held:
+            held[name] = tables[name].count()
+        return held[name]
+
     def null_out(name: str, column: str, parent: str, key: str) -> None:
         if name not in out or parent not in out or column not in out[name].columns:
             return
-        alive = out[parent].select(F.col(key).alias("_alive")).distinct()
-        df = out[name].where(F.col(column).isNotNull()).join(alive, F.col(column) == F.col("_alive"), "left")
+        alive, linked = out[parent].select(F.col(key).alias("_alive")), out[name].where(F.col(column).isNotNull())
+        rows = size(name) + size(parent)
+        if rows > session.TASK_ROWS:
+            # Adaptive execution would join small partitions by their compressed bytes, which say little of the memory of a sort.
+            tasks = session.tasks_for(linked.sparkSession, rows)
+            alive, linked = alive.repartition(tasks, "_alive"), linked.repartition(tasks, column)
+        df = linked.join(alive.distinct(), F.col(column) == F.col("_alive"), "left")
         kept = df.withColumn(column, F.col("_alive")).select(*out[name].columns)
         out[name] = kept.unionByName(out[name].where(F.col(column).isNull()))
 

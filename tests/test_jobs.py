@@ -105,6 +105,23 @@ def test_edits_and_cascade(spark, corpus):
     assert left["chunks"].count() == 1 and all(left[n].count() == 0 for n in ("artifacts", "page_scans", "jobs", "toc"))
 
 
+def test_cascade_links_meet_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr("foliospark.session.TASK_ROWS", 100)
+    chunks = spark.range(1000).selectExpr("id AS chunk_id", "id % 10 AS document_id", "IF(id % 4 = 0, NULL, id + 1) AS linked_solution_chunk_id")
+    artifacts = spark.range(1000).selectExpr("id AS artifact_id", "id % 7 AS document_id", "IF(id % 5 = 0, NULL, id * 2) AS chunk_id")
+    twice = chunks.union(chunks.where("chunk_id < 50")).union(spark.createDataFrame([(None, 1, 3)], "chunk_id long, document_id long, linked_solution_chunk_id long"))
+    left = ed.cascade_delete({"chunks": twice, "artifacts": artifacts}, spark.createDataFrame([(3,)], "document_id long"))
+    alive = {n for n in range(1000) if n % 10 != 3}
+    own = [(n, n + 1 if n % 4 and n + 1 in alive else None) for n in sorted([*alive, *(n for n in alive if n < 50)])] + [(None, 3 if 3 in alive else None)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, left["chunks"].select("chunk_id", "linked_solution_chunk_id").collect()), key=key) == sorted(own, key=key)
+    assert sorted(map(tuple, left["artifacts"].select("artifact_id", "chunk_id").collect()), key=key) == sorted(
+        [(n, 2 * n if n % 5 and 2 * n in alive else None) for n in range(1000) if n % 7 != 3], key=key)
+    linked = left["chunks"].where("linked_solution_chunk_id IS NOT NULL OR chunk_id % 4 <> 0")
+    largest = linked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 150
+
+
 PAGES = [
     ("d", 1, "Cours : Théorème de Pythagore\n\nDéfinition : si $a^2 + b^2 = c^2$ alors."),
     ("d", 2, "## Exercice n° 7\n\nAvec $3x$ et\n\n$$x^2 - 1 = (x-1)(x+1)$$"),
