@@ -14,8 +14,8 @@ from foliospark.operators.joins import link_solutions
 from foliospark.plans.chunk_corpus import chunk_pages
 from foliospark.plans.curriculum import key_id
 from foliospark.plans.toc import heading_rows, toc_of_headings
-from foliospark.session import checkpointed
-from foliospark.sources.snapshots import Part, Snapshots
+from foliospark.session import scratch
+from foliospark.sources.snapshots import Part, Snapshot, Snapshots
 
 PAGES = "document_id string, page_number int, total_pages int, content_markdown string"
 HEADINGS = "array<struct<level:int,title:string>>"
@@ -24,6 +24,11 @@ MARKS = (
     "document_id string, page_number int, total_pages int, chunk_index int, chunk_id string, pedagogical_type string,"
     " pedagogical_index int, headings string"
 )
+KEPT = ("chunk_index", "chunk_id", "pedagogical_type", "pedagogical_index", "headings")
+TOLD = (
+    "total_pages int, complete boolean, rows array<struct<page_number:int,chunk_index:int,chunk_id:string,"
+    "pedagogical_type:string,pedagogical_index:int,headings:string>>"
+)
 
 
 def run_available(
@@ -114,56 +119,71 @@ def stream_contents(
         spark.readStream.schema(MARKS).option("maxFilesPerTrigger", files_per_batch).option("cleanSource", "delete")
         .option("recursiveFileLookup", "true").parquet(marks_dir)
     )
-    told = rows.groupBy("document_id").applyInPandasWithState(
-        _remember, f"{MARKS}, complete boolean", "seen string", "append", GroupStateTimeout.NoTimeout)
+    # A row travels as one text each way: a frame of many columns for every document costs more than the work on it.
+    told = rows.select("document_id", F.to_json(F.struct(*rows.columns[1:])).alias("row")).groupBy("document_id").applyInPandasWithState(
+        _remember, "document_id string, told string", "seen string", "append", GroupStateTimeout.NoTimeout)
+    told = told.select("document_id", F.from_json("told", TOLD).alias("t")).select(
+        "document_id", "t.total_pages", "t.complete", F.explode("t.rows").alias("r")).select(
+        *[F.col(c) if c in ("document_id", "total_pages") else F.col(f"r.{c}") for c in rows.columns], "complete")
     log = Snapshots(spark, sink_dir)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         base = log.load()
         if base.marks.get("contents", -1) >= batch_id:
             return _replayed(batch)
-        batch = checkpointed(batch)
-        totals = batch.groupBy("document_id").agg(F.max("total_pages").alias("total_pages"))
-        heads = batch.where("headings IS NOT NULL").select(
-            "document_id", "page_number", "chunk_index", F.from_json("headings", HEADINGS).alias("hs"))
-        mark = F.lit(batch_id).cast("long").alias("batch")
-        add = {"toc": log.stage("toc", toc_of_headings(heads, totals).select("*", mark))}
-        numbered = batch.where("complete AND chunk_id IS NOT NULL").withColumns(
-            {"has_solution": F.lit(False), "linked_solution_chunk_id": F.lit(None).cast("string")})
-        linked = link_solutions(numbered).where("linked_solution_chunk_id IS NOT NULL")
-        add["solution_links"] = log.stage("solution_links", linked.select("document_id", "chunk_id", "linked_solution_chunk_id", mark))
-        log.commit(base, add, marks={"contents": batch_id})
-        for table in add:
-            # Contents of one batch replace those of the batches before: only the newest are kept.
-            log.compact(table, most=most_parts, collapse=lambda df: latest(df, ["document_id"]))
+        # Read back outside the stream's own session, which fixes all joins and partition counts beforehand.
+        path = scratch(spark, "told")
+        batch.write.option("compression", "zstd").parquet(path)
+        try:
+            _contents(log, base, spark.read.schema(batch.schema).parquet(path), batch_id, most_parts)
+        finally:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
     return run_available(told, checkpoint, on_batch)
 
 
+def _contents(log: Snapshots, base: Snapshot, batch: DataFrame, batch_id: int, most_parts: int) -> None:
+    """One commit of the contents and links of the documents in a batch."""
+    totals = batch.groupBy("document_id").agg(F.max("total_pages").alias("total_pages"))
+    heads = batch.where("headings IS NOT NULL").select(
+        "document_id", "page_number", "chunk_index", F.from_json("headings", HEADINGS).alias("hs"))
+    mark = F.lit(batch_id).cast("long").alias("batch")
+    add = {"toc": log.stage("toc", toc_of_headings(heads, totals).select("*", mark))}
+    numbered = batch.where("complete AND chunk_id IS NOT NULL").withColumns(
+        {"has_solution": F.lit(False), "linked_solution_chunk_id": F.lit(None).cast("string")})
+    linked = link_solutions(numbered).where("linked_solution_chunk_id IS NOT NULL")
+    add["solution_links"] = log.stage("solution_links", linked.select("document_id", "chunk_id", "linked_solution_chunk_id", mark))
+    log.commit(base, add, marks={"contents": batch_id})
+    for table in add:
+        # Contents of one batch replace those of the batches before: only the newest are kept.
+        log.compact(table, most=most_parts, collapse=lambda df: latest(df, ["document_id"]))
+
+
 def _remember(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Add the pages of a batch to a document's state and tell all the state holds, if anything is new."""
     seen = json.loads(state.get[0]) if state.exists else {"pages": {}, "total": None}
     new: dict[str, list] = {}
     for frame in frames:
-        for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
-            page = str(row.page_number)
+        for row in map(json.loads, frame["row"]):
+            page = str(row.get("page_number"))
             if page not in seen["pages"]:
-                if row.total_pages is not None:
-                    seen["total"] = max(int(row.total_pages), seen["total"] or 0)
-                kept = [row.chunk_index, row.chunk_id, row.pedagogical_type, row.pedagogical_index, row.headings]
+                if row.get("total_pages") is not None:
+                    seen["total"] = max(row["total_pages"], seen["total"] or 0)
+                kept = [row.get(c) for c in KEPT]
                 own = new.setdefault(page, [])
                 # Of a chunk, what has neither headings nor a number is not needed again.
-                if row.chunk_index is not None and (row.headings is not None or row.pedagogical_index is not None):
-                    own.append([None if x is None else int(x) if n in (0, 3) else x for n, x in enumerate(kept)])
+                if kept[0] is not None and (row.get("headings") is not None or row.get("pedagogical_index") is not None):
+                    own.append(kept)
     if not new:
         return
     seen["pages"].update(new)
     state.update((json.dumps(seen),))
     complete = seen["total"] is not None and len(seen["pages"]) >= seen["total"]
-    out = [[key[0], int(page), seen["total"], *chunk, complete] for page, chunks in seen["pages"].items() for chunk in chunks or [[None] * 5]]
-    names = [c.split()[0] for c in MARKS.split(",")]
-    table = pd.DataFrame(out, columns=[*names, "complete"], dtype=object)
-    yield table.astype({c: "Int32" for c in ("page_number", "total_pages", "chunk_index", "pedagogical_index")})
+    out = [{"page_number": int(page), **dict(zip(KEPT, chunk, strict=True))}
+           for page, chunks in seen["pages"].items() for chunk in chunks or [[None] * len(KEPT)]]
+    told = json.dumps({"total_pages": seen["total"], "complete": complete, "rows": out})
+    yield pd.DataFrame({"document_id": [key[0]], "told": [told]})
 
 
 def latest_per_document(spark: SparkSession, sink_dir: str, table: str) -> DataFrame:

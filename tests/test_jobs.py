@@ -169,6 +169,26 @@ def test_stream_ingest_resumes_and_links(spark, tmp_path):
     assert log.load().marks == {"ingest": 1, "contents": 1}
 
 
+def test_stream_contents_leave_the_plan_to_the_batch(spark, tmp_path, monkeypatch):
+    """Contents are planned outside the stream's session, and a document's state tells its rows as one text."""
+    asked, contents = [], st.toc_of_headings
+
+    def watched(heads, totals):
+        asked.append((heads.sparkSession.conf.get("spark.sql.adaptive.enabled"), heads.count()))
+        return contents(heads, totals)
+
+    monkeypatch.setattr(st, "toc_of_headings", watched)
+    marks = [("d", 1, 2, 0, "c1", "exercise_unsolved", 7, '[{"level":1,"title":"\u00c9t\u00e9 \\"a\\" \U0001f600"}]'), ("d", 2, 2, 0, "c2", "solution_only", 7, None),
+             ("e", 4, None, None, None, None, None, None), (None, 1, 1, 0, "c3", None, None, '[{"level":1,"title":"x"}]')]
+    spark.createDataFrame(marks, st.MARKS).write.parquet(str(tmp_path / "marks"))
+    st.stream_contents(spark, str(tmp_path / "marks"), str(tmp_path / "sink"), str(tmp_path / "checkpoint"))
+    assert asked == [("true", 2)]
+    toc = st.latest_per_document(spark, str(tmp_path / "sink"), "toc").where("document_id = 'd'").collect()
+    assert [(r.title, r.page_start, r.page_end) for r in toc] == [('\u00c9t\u00e9 "a" \U0001f600', 1, 2)]
+    links = Snapshots(spark, str(tmp_path / "sink")).read("solution_links").collect()
+    assert [(r.chunk_id, r.linked_solution_chunk_id) for r in links] == [("c1", "c2")]
+
+
 def test_stream_contents_need_no_stored_text(spark, tmp_path):
     """Contents of a document are rebuilt from its new page and the state, with its stored files gone; folders stay few."""
     src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
