@@ -96,6 +96,30 @@ def test_texts_are_cut_once_for_postings_and_once_for_lengths(spark, tmp_path):
     assert cut.value == 16 + 16
 
 
+def test_ranges_of_a_sample_write_the_same_index_in_one_pass(spark, tmp_path, monkeypatch):
+    """Postings go straight to their range, without a copy of all of them; rows without words or corpus stay."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(("the", "the", "a", f"w{rng.randrange(400)}", "\u00e9t\u00e9", "\U0001f600x")) for _ in range(rng.randrange(40))) for _ in range(300)]
+    data = [(("x", "y", None)[i % 3], i % 290, i, t or None) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(data, "corpus string, row_id int, chunk_id int, t string")
+    made = se.build_index(rows, ["t"])
+    told, staged = [], se.staged
+    monkeypatch.setattr(se, "staged", lambda df, label: (told.append(label), staged(df, label))[1])
+    monkeypatch.setattr(se, "SAMPLE", 1)
+    monkeypatch.setattr("foliospark.session.TASK_ROWS", 60)
+    se.build_index(rows, ["t"]).write(str(tmp_path / "ix"))
+    assert told == ["sample"]
+    back = se.Index.read(spark, str(tmp_path / "ix"))
+    plain = lambda df, names: sorted((repr(tuple(r)) for r in df.select(*names).collect()))
+    for have, want in ((back.postings, made.postings), (back.lengths, made.lengths)):
+        assert plain(have, want.columns) == plain(want, want.columns)
+    assert {r.corpus: (r.n_rows, r.avg_dl) for r in back.stats.collect()} == {r.corpus: (r.n_rows, r.avg_dl) for r in made.stats.collect()}
+    files = [[r["term"] for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "ix").rglob("corpus=x/*.parquet") if "kind=postings" in str(f)]
+    assert len(files) > 4 and all(own == sorted(own, key=str.encode) for own in files)
+    ends = sorted((min(own, key=str.encode).encode(), max(own, key=str.encode).encode()) for own in files)
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_both_paths_score_phrases_alike(spark, tmp_path):
     texts = [("l'exercice un", "fractions"), ("l exercice l exercice", ""), ("exercice l", None), ("l", "exercice"), ("x", "fractions l'exercice"), (None, "y"), ("z z z", "z z")]
     rows = spark.createDataFrame([("c", i, i, a, b) for i, (a, b) in enumerate(texts)], "corpus string, row_id int, chunk_id int, a string, b string")
