@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from foliospark.llm import scoring
 from foliospark.llm.ann import balanced_partition, nearest, neighbours, train_router
 from foliospark.llm.language import (FEATURES, SAMPLE, UNKNOWN, decision_values, families, frequencies, identify, is_held_out, linear_svm,
                                      train as train_language)
@@ -104,6 +106,22 @@ def test_conditionals_sum_to_one_and_gradient_is_right():
         assert abs(grad[at] + (high - low) / 0.02) < 0.02 * abs(grad[at]) + 1e-3
 
 
+def test_scoring_divides_only_what_it_reads():
+    """Without gradients the same numbers come out, bit by bit; texts reach the words as bytes."""
+    rng = np.random.default_rng(5)
+    network = Network.fresh()
+    network.outer += rng.normal(0, 9, network.outer.shape).astype(np.float32)
+    network.inner += rng.normal(0, 9, network.inner.shape).astype(np.float32)
+    around, target = (rng.integers(0, CLASSES * MEMBERS, size).astype(np.int32) for size in ((len(OFFSETS), 500), 500))
+    with_grads = network.log_probs(around, target, [np.zeros_like(p) for p in network.parts()])
+    assert (network.log_probs(around, target) == with_grads).all()
+    scores = rng.normal(0, 20, (32, 50)).astype(np.float32)
+    row, column = rng.integers(0, 32, 50), np.arange(50)
+    assert (scoring._chosen(scores.copy(), row, column) == scoring._softmax(scores.copy())[row, column]).all()
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["\u00e9 \U0001f600", None]})
+    assert list(scoring.slices(batch)) == [(0, ["\u00e9 \U0001f600".encode(), b""])]
+
+
 def test_positions_keep_texts_apart():
     vocabulary = Vocabulary([b"a", b"b", b"c"])
     around, target, sizes = positions([b"a b c", b"", b"c"], vocabulary)
